@@ -1,13 +1,22 @@
 """All registered queries of the weekly engine."""
 
+from __future__ import annotations
 
-def flagship(spark, sf_dir):
-    return spark.range(0)
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def queries():
-    return {}
+from termforge.plans import curves, scores, series
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly curve panel, three-factor fit, seasonal z-score and regime counts."""
+    return curves.regime_counts(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return series.Q | curves.Q | scores.Q
+
+
+def oracle_sql() -> dict[str, str]:
+    return series.SQL | curves.SQL | scores.SQL
