@@ -59,7 +59,7 @@ def windows(text: str | None) -> list[bytes]:
         if end < last:
             space = data.rfind(b" ", at + 1, end)
             end = space if space > at else end
-        out.append(data[at : end + 1])
+        out.append(data[at : end + 1] if data[end : end + 1] == b" " else data[at:end])
         at = end
     return out or [b""]
 
