@@ -44,5 +44,79 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+def _tree_sql(text: str) -> str:
+    """A struct of a text's sections, paragraphs and chunks, as nested lists of MD5s."""
+    return f"""list_transform(string_split({text}, chr(10) || chr(10)), lambda s: list_transform(string_split(s, chr(10)),
+      lambda p: list_transform(regexp_extract_all(p, '{merkle.CHUNK}'), lambda c: md5(c))))"""
+
+
+def _print_sql(tree: str) -> str:
+    """The fingerprint of such lists."""
+    nodes = f"list_transform({tree}, lambda s: list_transform(s, lambda p: md5(array_to_string(p, ''))))"
+    sections = f"list_transform({nodes}, lambda s: md5(array_to_string(s, '')))"
+    paragraph = "substr(md5(array_to_string(p, '')), 1, 8) || '=' || array_to_string(list_transform(p, lambda c: substr(c, 1, 6)), '')"
+    section = f"""substr(md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), '')), 1, 8) || ':' || array_to_string(list_transform(s, lambda p: {paragraph}), ',')"""
+    return f"substr(sha256(array_to_string({sections}, '')), 1, 32) || '|' || array_to_string(list_transform({tree}, lambda s: {section}), ';')"
+
+
+def _leaves_sql(tree: str) -> str:
+    return f"list_distinct(list_transform(flatten(flatten({tree})), lambda c: substr(c, 1, 6)))"
+
+
+def _like_sql(a: str, b: str) -> str:
+    return f"""CASE WHEN substr(f{a}, 1, 32) = substr(f{b}, 1, 32) THEN 1.0::DOUBLE WHEN len(l{a}) + len(l{b}) = 0 THEN 0.0::DOUBLE
+      ELSE 2.0::DOUBLE * len(list_intersect(l{a}, l{b})) / (len(l{a}) + len(l{b})) END"""
+
+
+_FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(t))),
+e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS et FROM n),
+x AS (SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, {_tree_sql('t')} AS xa, {_tree_sql('et')} AS xb, {_tree_sql('nt')} AS xc FROM e),
+y AS (SELECT *, {_print_sql('xa')} AS fa, {_print_sql('xb')} AS fb, {_print_sql('xc')} AS fc, {_leaves_sql('xa')} AS la, {_leaves_sql('xb')} AS lb, {_leaves_sql('xc')} AS lc FROM x)
+SELECT doc_id, n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like_sql('a', 'b')} AS near_edited, {_like_sql('a', 'c')} AS near_next FROM y"""
+
+_MIX = f"""
+WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::DOUBLE AS words FROM z GROUP BY 1),
+k AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight FROM s),
+r AS (SELECT *, 2.0::DOUBLE * words / weight AS turn FROM k),
+l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(words) FROM s) - coalesce(sum(2.0::DOUBLE * words) OVER (ORDER BY turn, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(weight) OVER (ORDER BY turn, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
+t AS (SELECT source, words, CASE WHEN level >= turn THEN 2.0::DOUBLE * words ELSE weight * (SELECT arg_min(level, (turn, source IS NULL, source)) FROM l WHERE level < turn) END AS target FROM l),
+p AS (SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0 END AS ratio FROM t),
+c AS (SELECT *, floor(least(ratio, 2.0)) AS certain, ratio - floor(least(ratio, 2.0)) AS p, target - floor(least(ratio, 2.0)) * words AS open FROM p),
+u AS (SELECT z.*, c.words, c.target, c.certain, c.p, c.open, (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM z JOIN c ON z.source IS NOT DISTINCT FROM c.source),
+q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM u WHERE p > 0),
+v AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS upto FROM q),
+g AS (SELECT source, any_value(open) - coalesce(sum(size) FILTER (upto <= open), 0) AS gap FROM v GROUP BY 1),
+b AS (SELECT v.source, arg_min(doc_id, (abs(size - gap), rank, doc_id)) AS extra FROM v JOIN g ON v.source IS NOT DISTINCT FROM g.source WHERE upto > open AND abs(size - gap) < gap GROUP BY 1),
+w AS (SELECT u.*, v.upto <= v.open AS drawn, b.extra FROM u LEFT JOIN v USING (doc_id) LEFT JOIN b ON u.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, words::BIGINT AS source_size, target, (size * (certain + (coalesce(drawn, false) OR coalesce(extra = doc_id, false))::INTEGER))::BIGINT AS taken FROM w"""
+
+
+def _shards_sql(n_shards: int = 24) -> str:
+    """CRC-32 by its byte table; the permutation's rounds as nested selects, repeated while the place is n or more."""
+    rounds = "SELECT row, step, n, a, b, place % a AS l, place // a AS r FROM walk, sides WHERE step = 0 OR place >= n"
+    for i in range(sharding.ROUNDS):
+        half, side, move = ("r", "a", "l") if i % 2 == 0 else ("l", "b", "r")
+        moved = f"({move} + ('0x' || substr(md5('{sharding.KEY}:{i}:' || {half}), 1, 12))::BIGINT % {side}) % {side} AS {move}"
+        rounds = f"SELECT row, step, n, a, b, {moved}, {half} FROM ({rounds})"
+    return f"""
+WITH RECURSIVE tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(1, 9)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(n))),
+d AS (SELECT doc_id, (strlen(coalesce(text, '')) + 8)::BIGINT AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+e AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, size - 8), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+    lambda c, x: xor(t[((xor(c, x)) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS text_crc32 FROM d, tab),
+o AS (SELECT *, row_number() OVER (ORDER BY md5('{sharding.KEY}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || size || ':' || text_crc32), doc_id, size, text_crc32) - 1 AS row FROM e),
+sides AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT count(*) AS n, greatest(1, ceil(sqrt(count(*))))::BIGINT AS a FROM documents)),
+walk AS (SELECT row, 0 AS step, row AS place FROM o UNION ALL SELECT row, step + 1, l + r * a FROM ({rounds}))
+SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {n_shards})::INTEGER AS shard, place // {n_shards} AS slot, NULL::INTEGER AS grown_shard
+FROM o JOIN walk USING (row) CROSS JOIN sides WHERE step > 0 AND place < n"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the operators whose functions DuckDB has."""
+    return {"op2_sharding": _shards_sql(), "op6_source_mixing": _MIX, "op7_merkle_fingerprints": _FINGERPRINTS}
