@@ -62,7 +62,7 @@ def backtest_group(table: pd.DataFrame, horizon: int, model: int, first: pd.Time
         if model:
             last = np.searchsorted(when, week, side="right") - 1  # the last complete row known at the week
             fit = rows[rows + horizon <= last]
-            if last >= rows[0] and len(fit) >= x.shape[1] + 2:
+            if len(rows) and last >= rows[0] and len(fit) >= x.shape[1] + 2:
                 xf, yf = x[: len(fit)], beta[fit + horizon]
                 coef = least_squares(xf, yf, decay_weights(len(fit), decay) if model == 3 else None)
                 hat, asof, n_used, norm = x[last - rows[0]] @ coef, when[last], len(fit), float(np.linalg.norm(coef))
