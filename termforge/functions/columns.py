@@ -55,11 +55,11 @@ def log_price(tau: float, decay: float, prefix: str = "beta") -> Column:
 # scores and labels --------------------------------------------------------------------------
 def logit(p: Column, edge: float = 1e-4) -> Column:
     q = F.greatest(F.least(p, F.lit(1 - edge)), F.lit(edge))
-    return F.log(q / (1 - q))
+    return F.when(p.isNotNull(), F.log(q / (1 - q)))  # least() and greatest() pass over nulls
 
 
 def sigmoid(z: Column) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return F.when(z.isNotNull(), 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0)))))
 
 
 def average_rank(value: Column, keys: list[str]) -> Column:

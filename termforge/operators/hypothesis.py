@@ -149,3 +149,14 @@ def select_lag(table: DataFrame, columns: list[str], max_lag: int = 4) -> DataFr
         return pd.DataFrame([[*r, r[0] == best] for r in out], columns=["p", "aic", "bic", "hq", "chosen"])
 
     return table.select("week_end", *columns, F.lit(1).alias("__all")).groupBy("__all").applyInPandas(run, "p int, aic double, bic double, hq double, chosen boolean")
+
+
+def choose_transforms(tested: DataFrame, order: tuple[str, ...] = ("level", "z52W"), otherwise: str = "d1W") -> DataFrame:
+    """For each series the first transform of `order` that is stationary, else `otherwise`.
+
+    tested: series, transform, verdict.
+    """
+    place = F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)])
+    good = F.when(F.col("verdict").isin("STATIONARY"), place[F.col("transform")])
+    best = tested.groupBy("series").agg(F.min_by("transform", good).alias("first"), F.min(good).alias("place"))
+    return best.select("series", F.when(F.col("place").isNull(), otherwise).otherwise(F.col("first")).alias("transform"))

@@ -130,3 +130,24 @@ def nearest_within(left: DataFrame, day: str, right: DataFrame, other_day: str,
         F.min(F.struct(F.abs(F.datediff("__at", other_day)).alias("gap"), (-F.unix_date(other_day)).alias("later"), F.struct(*right.columns).alias("row"))).alias("best")
     )
     return left.join(near.select("__at", "best.row"), left[day] == F.col("__at"), "left").select(*left.columns, "row.*")
+
+
+def sparse_weeks(wide: DataFrame, values: list[str], over: int = 3) -> DataFrame:
+    """Weeks with more than `over` missing columns, and how many are missing."""
+    missing = sum((F.col(v).isNull().cast("int") for v in values), F.lit(0))
+    return wide.select("week_end", missing.alias("n_missing")).where(F.col("n_missing") > over)
+
+
+def nearest_week(weekly: DataFrame, target) -> DataFrame:
+    """The week nearest to a date; of two as near, the earlier."""
+    gap = F.abs(F.datediff("week_end", F.lit(target)))
+    return weekly.agg(F.min_by("week_end", F.struct(gap, "week_end")).alias("week_end"))
+
+
+def describe(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """n, n_distinct, mean, sd, least, greatest and their weeks for each key."""
+    return rows.groupBy(key).agg(
+        F.count(value).alias("n"), F.countDistinct(value).alias("n_distinct"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        F.min(value).alias("least"), F.max(value).alias("greatest"),
+        F.min_by("week_end", F.struct(value, "week_end")).alias("least_week"), F.max_by("week_end", F.struct(value, "week_end")).alias("greatest_week"),
+    )

@@ -188,6 +188,31 @@ add("lp_macro_ew", lambda s, d: rounded(regress.metrics(regress.forecast_errors(
 add("ew_decay_search", lambda s, d: rounded(regress.decay_search(joined(s, d), panel(s, d), MATURITIES, DECAY, (0.97, 0.99, 0.997, 1.0), 4, 3, S.test_start, ["x1", "x2", "x3"])))
 add("coefficient_stability", lambda s, d: rounded(regress.stabilisation_date(regress.stability(_backtest(s, d, (1, 2))))))
 
+_EXP = ", ".join(f"CASE WHEN count(*) OVER w >= 5 THEN covar_samp(r{i}, r{j}) OVER w ELSE {1e-4 if i == j else 0.0} END AS s{i}{j}" for i in range(3) for j in range(i, 3))
+_EXPANDING = f"ecov AS (SELECT horizon, 0 AS model, realized_date AS week_end, count(*) OVER w AS n, {_EXP} FROM pool WINDOW w AS (PARTITION BY horizon ORDER BY realized_date, origin ROWS UNBOUNDED PRECEDING))"
+_SIX = [f"s{i}{j}" for i in range(3) for j in range(i, 3)]
+add("expanding_covariance", lambda s, d: rounded(regress.expanding_covariance(_pool(s, d))), with_sql(FACT, _BASIC, _POOL, _EXPANDING, f"SELECT horizon, model, week_end, n, {_round_sql(_SIX)} FROM ecov"))
+
+
+def _default(spark, d):
+    weeks = fact(spark, d).select("week_end", F.lit(13).alias("horizon"), F.lit(0).alias("model"))
+    return rounded(regress.with_default(weeks, regress.expanding_covariance(_pool(spark, d)).drop("n"), ["horizon", "model", "week_end"], {c: 1e-4 if c[1] == c[2] else 0.0 for c in _SIX}))
+
+
+add("covariance_with_default", _default, with_sql(FACT, _BASIC, _POOL, _EXPANDING, "SELECT f.week_end, 13 AS horizon, 0 AS model, " + ", ".join(
+    f"round(coalesce({c}, {1e-4 if c[1] == c[2] else 0.0}), 6) AS {c}" for c in _SIX) + " FROM fact f LEFT JOIN ecov e ON e.week_end = f.week_end AND e.horizon = 13"))
+add("lag_robustness", lambda s, d: rounded(regress.lag_robustness(fact(s, d), ["beta0", "beta1", "beta2"], difference_first=True)))
+
+
+def _spec(spark, d):
+    t = weekly.macro_transforms(macro(spark, d), "value", "series").where(F.col("transform").isin("level", "z52W", "d1W"))
+    rows = t.select("week_end", F.concat_ws("|", "series", "transform").alias("series"), "value")
+    tested = hypothesis.stationarity(rows).select(F.split("series", r"\|")[0].alias("series"), F.split("series", r"\|")[1].alias("transform"), "verdict")
+    return hypothesis.choose_transforms(tested)
+
+
+add("transform_choice", _spec)
+
 # tests on series ----------------------------------------------------------------------------
 def _series(spark, d):
     f = fact(spark, d).select("week_end", *[F.col(f"beta{i}").alias(f"beta{i}") for i in range(3)])

@@ -65,6 +65,18 @@ def _gauss(spark, d):
 add("gaussian_exceedance", lambda s, d: rounded(_gauss(s, d)))
 add("price_bands", lambda s, d: rounded(probability.price_bands(_gauss(s, d), {"p05": -1.6448536269514722, "p50": 0.0, "p95": 1.6448536269514722}), 4))
 
+def _both(spark, d):
+    """Brier skill of the pooled and of the Gaussian probabilities, each against the same outcomes."""
+    pooled = probabilities(spark, d)
+    keys = ["week_end", "horizon", "model", "maturity", "threshold"]
+    normal = _gauss(spark, d).select(*keys, "p_up", "p_down").join(pooled.select(*keys, "actual_up", "actual_down"), keys)
+    a = probability.brier(probability.by_direction(pooled), KEYS).select(*KEYS, F.col("brier_score").alias("brier_pool"), F.col("brier_skill").alias("skill_pool"))
+    b = probability.brier(probability.by_direction(normal), KEYS).select(*KEYS, F.col("brier_score").alias("brier_normal"), F.col("brier_skill").alias("skill_normal"))
+    return rounded(a.join(b, KEYS).withColumn("pool_better", F.col("brier_pool") < F.col("brier_normal")))
+
+
+add("gaussian_vs_bootstrap", _both)
+
 _LONG = """dir AS (SELECT * FROM (SELECT week_end, horizon, model, maturity, threshold, 'up' AS direction, p_up AS p, actual_up AS actual FROM probs
   UNION ALL SELECT week_end, horizon, model, maturity, threshold, 'down', p_down, actual_down FROM probs) WHERE actual IS NOT NULL)"""
 KEYS = ["model", "horizon", "maturity", "threshold", "direction"]
@@ -178,6 +190,15 @@ add("volatility_errors", lambda s, d: rounded(deal.volatility_errors(_deal(s, d)
     "SELECT 0 AS model, round(avg(a), 6) AS mae_naive, round(avg(b), 6) AS mae_model, round(avg((b < a)::INTEGER), 6) AS win_rate, count(*) AS n FROM e HAVING count(*) > 0"))
 
 
+def _deal_rolling(spark, d):
+    rows = _deal(spark, d).select("week_end", F.lit(DH).alias("horizon"), "model", F.lit(3).alias("maturity"), F.lit(0.0).alias("threshold"), "p_up", "p_down", "actual_up", "actual_down")
+    long = probability.by_direction(rows).withColumn("realized_date", F.date_add("week_end", 7 * DH))
+    return rounded(calibrate.rolling_apply(long, ["model", "direction"], None, S.shock, least_rows=10, least_dates=10).select("week_end", "model", "direction", "p", "p_cal", "n_used", "in_domain"))
+
+
+add("deal_rolling_calibration", _deal_rolling)
+
+
 def _breaches(spark, d):
     w = wide(spark, d)
     exits = w.where("m01 is not null").select(F.date_add("week_end", 2).alias("day"), F.col("m01").alias("exit_price"))

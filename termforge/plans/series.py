@@ -218,3 +218,17 @@ def _events(spark, d):
 
 
 add("events_hourly_window", _events, "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+
+
+def _holes(spark, d):
+    sparse = table(spark, d, "lineitem").where("l_orderkey % 29 = 0")
+    return weekly.to_wide(weekly.curve_panel(sparse, "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity", range(1, 7)), range(1, 7))
+
+
+_THIN = PANEL.replace("WHERE", "WHERE l_orderkey % 29 = 0 AND")
+add("sparse_weeks", lambda s, d: weekly.sparse_weeks(_holes(s, d), [f"m{m:02d}" for m in range(1, 7)]), with_sql(_THIN, WIDE,
+    "x AS (SELECT week_end, (" + " + ".join(f"(m{m:02d} IS NULL)::INTEGER" for m in range(1, 7)) + ")::INTEGER AS n_missing FROM wide)", "SELECT * FROM x WHERE n_missing > 3"))
+add("nearest_week", lambda s, d: weekly.nearest_week(wide(s, d), "1998-05-18"), with_sql(PANEL, "SELECT arg_min(week_end, (abs(week_end - DATE '1998-05-18'), week_end)) AS week_end FROM panel"))
+add("series_description", lambda s, d: rounded(weekly.describe(macro(s, d), "series", "value")), with_sql(MACRO,
+    """SELECT series, count(value) AS n, count(DISTINCT value) AS n_distinct, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS least, round(max(value), 6) AS greatest,
+    arg_min(week_end, (value, week_end)) AS least_week, arg_max(week_end, (value, week_end)) AS greatest_week FROM macro GROUP BY 1"""))

@@ -259,6 +259,12 @@ def test_auc_verdicts(spark):
     assert [r.v for r in rows] == ["UNDEFINED", "INSUFFICIENT", "GENUINE", "WEAK", "WEAK", "INVERTED"]
 
 
+def test_scores_keep_nulls(spark):
+    none = F.lit(None).cast("double")
+    row = spark.range(1).select(columns.logit(none).alias("a"), columns.sigmoid(none).alias("b"), columns.sigmoid(F.lit(0.0)).alias("c")).first()
+    assert (row.a, row.b, row.c) == (None, None, 0.5)
+
+
 # calibration --------------------------------------------------------------------------------
 def test_platt_recovers_and_bounds():
     r = np.random.default_rng(8)
