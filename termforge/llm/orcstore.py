@@ -19,6 +19,7 @@ they occur. An empty table gives a store without rows. Extra columns are not rea
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -33,13 +34,31 @@ from termforge.llm.common import BROADCAST_ROWS, fresh_path, materialize
 END_ID = 2
 STRIPE_BYTES = 16 << 20
 ROW_GROUP = 10_000
-MEMO_WORDS, MEMO_CHARS = 300_000, 64
+MEMO_WORDS, MEMO_CHARS, PARTED = 1_400_000, 64, 512
+PART = "^"
+#: Full stop or comma after a letter (Latin, but for the capital I with a dot, which lower-cases to two) and before a space.
+_STOP = re.compile(r"[.,](?=[ \n]|\Z)(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)")
 STORE = "doc_id long, part int, start long, ids array<int>"
 _WORKER: dict = {}
 
 
+def _is_latin(text: str) -> bool:
+    """Whether the text is Latin-1, whose letters lower-case one by one."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
-    """Ids of a text by a tokenizer that never joins across white space: each distinct word is encoded once."""
+    """Ids of a text, as little-endian 32-bit integers, by a tokenizer that never joins across white space.
+
+    Each distinct word is encoded once and kept as bytes, so a text is the concatenation of
+    its words' bytes. New words are encoded together, parted by a character that is a word and
+    a token of its own. Full stops and commas at the end of Latin words are set apart, and
+    Latin-1 texts lower-cased, before words are told apart: this tokenizer does both itself.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,27 +66,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = False
-        self.memo: dict[str, list[int]] = {}
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        (self.part_id,) = self.tokenizer.encode(PART, add_special_tokens=False).ids
+        self.memo: dict[str, bytes] = {}
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word by itself."""
+        out: list[bytes] = []
+        for at in range(0, len(words), PARTED):
+            some = words[at : at + PARTED]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {PART} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.part_id)
+            if len(ends) != len(some) - 1:  # a word holds the parting character itself
+                each = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
+                out += [np.array(e.ids, "<u4").tobytes() for e in each]
+                continue
+            data, starts = ids.tobytes(), [0, *(4 * (ends + 1)).tolist()]
+            stops = [*(4 * ends).tolist(), len(data)]
+            out += [data[a:b] for a, b in zip(starts, stops)]
+        return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         memo = self.memo
-        split = [t.split(" ") if t else [] for t in texts]
-        fresh = list({w for words in split for w in words if w not in memo})
+        split = []
+        for t in texts:
+            t = _STOP.sub(r" \g<0>", t or "").replace("\n", " ")
+            split.append((t.lower() if _is_latin(t) and "<|" not in t else t).split(" "))
+        fresh = list(set(chain.from_iterable(split)).difference(memo))
         if len(memo) + len(fresh) > MEMO_WORDS:
             memo.clear()
-            fresh = list({w for words in split for w in words})
-        coded = dict(zip(fresh, self.encode_batch(fresh)))
-        rare = {w: ids for w, ids in coded.items() if len(w) > MEMO_CHARS}
-        memo.update((w, ids) for w, ids in coded.items() if len(w) <= MEMO_CHARS)
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += memo[w] if len(w) <= MEMO_CHARS else rare[w]
-            out.append(ids)
+            fresh = list(set(chain.from_iterable(split)))
+        memo.update(zip(fresh, self.encode_words(fresh)))
+        out = [b"".join(map(memo.__getitem__, words)) for words in split]
+        for w in fresh:
+            if len(w) > MEMO_CHARS:
+                del memo[w]
         return out
 
 
@@ -96,14 +128,13 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = _encoder(tokenizer), TaskContext.get().partitionId(), 0
+        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for doc_ids, texts in _runs(batch):
-                coded = coder.encode(texts)
-                for ids in coded:
-                    ids.append(end_id)
-                sizes = np.array([len(x) for x in coded], np.int64)
+                coded = [ids + end for ids in coder.encode(texts)]
+                sizes = np.array([len(x) // 4 for x in coded], np.int64)
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
+                flat = np.frombuffer(b"".join(coded), "<u4").astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(doc_ids, pa.int64()),
@@ -125,6 +156,7 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
         .option("orc.row.index.stride", ROW_GROUP)
         .option("orc.stripe.size", STRIPE_BYTES)
         .option("orc.encoding.strategy", "SPEED")
+        .option("compression", "lz4")
         .orc(store)
     )
 
