@@ -213,13 +213,16 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     """Train on at most sample[0] toxic and sample[1] ordinary texts of docs, labelled and not held out."""
+    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("label_id"), "toxic").distinct()
-    picked = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES).join(known, F.col("doc_id") == F.col("label_id"))
-    order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text")]
-    texts = [
-        [r["text"] for r in picked.where(F.col("toxic") == label).orderBy(*order).select("text").limit(n).toLocalIterator()]
-        for label, n in zip((1, 0), sample)
-    ]
+    # Ids alone are joined to choose the sample; then its texts are fetched by a broadcast of at most n ids.
+    present = known.join(short.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")
+    texts = []
+    for label, n in zip((1, 0), sample):
+        ids = present.where(F.col("toxic") == label).orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(n).select("label_id")
+        found = short.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+        order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text")]
+        texts.append([r["text"] for r in found.orderBy(*order).limit(n).select("text").toLocalIterator()])
     return train(*texts)
 
 
