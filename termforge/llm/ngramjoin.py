@@ -18,10 +18,13 @@ component is exactly that of the complete graph of similar candidate pairs: no l
 different texts is lost, while a group of n near copies that resemble a hub costs about n
 comparisons, and no step emits the pairs of a group.
 
+The links of a text are counted afterwards: all members of a component are compared on their
+full sets, block by block, each pair in one task only, and tasks return counts. This takes a
+share of n * n of a group of n texts, and is left out where only classes are asked for.
+
 Results: ``class_id`` is the least doc_id of the component, ``text_id`` the least doc_id of
-the equal texts, ``n_copies`` their number, ``n_links`` the number of other texts that the
-text was verified to be similar to (each text with a link has at least one; links that the
-class implies need not be counted).
+the equal texts, ``n_copies`` their number, ``n_links`` the number of other different texts
+of the component that the text is similar to.
 
 Defined results. A text of fewer than five words has one n-gram, all its words. A text
 without words (null, empty, white space) is only ever equal to itself: its copies share a
@@ -42,11 +45,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from termforge.llm.common import materialize
+from termforge.llm.common import join_per_key, materialize
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 150
 #: Buckets of more members than FEW are compared in blocks of about BLOCK members.
 FEW, BLOCK = 12, 512
+#: N-grams of at most LIGHT members of a block are counted pair by pair, others as matrices of GRAMS columns.
+LIGHT, GRAMS = 32, 4_096
 _SLICE = 1 << 20
 _SIGNATURE = "doc_id long, digest binary, key long, n_grams long, bands array<long>"
 
@@ -290,6 +295,83 @@ def compare_blocks(members: DataFrame, texts: DataFrame, threshold: float = THRE
     return dealt.mapInArrow(links, "a long, b long")
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], n: int) -> np.ndarray:
+    """Number of common n-grams of each of left and each of right; sets are arrays of different numbers below n."""
+    a, b = (np.repeat(np.arange(len(side)), [len(own) for own in side]) for side in (left, right))
+    x, y = (np.concatenate([*side, np.zeros(0, np.int64)]) for side in (left, right))
+    order = np.argsort(y, kind="stable")
+    b, y = b[order], y[order]
+    size = np.bincount(y, minlength=n)
+    start = np.cumsum(size) - size
+    common = np.zeros((len(left), len(right)), np.int64)
+
+    light = np.flatnonzero((size[x] > 0) & (size[x] <= LIGHT))
+    for at in range(0, len(light), 1 << 16):
+        own = light[at : at + (1 << 16)]
+        times = size[x[own]]
+        found = np.repeat(start[x[own]], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        common += np.bincount(np.repeat(a[own], times) * len(right) + b[found], minlength=common.size).reshape(common.shape)
+
+    heavy = np.flatnonzero((size > LIGHT) & (np.bincount(x, minlength=n) > 0))
+    column = np.full(n, -1)
+    column[heavy] = np.arange(len(heavy))
+    for at in range(0, len(heavy), GRAMS):
+        sides = []
+        for member, gram, rows in ((a, x, len(left)), (b, y, len(right))):
+            own = np.flatnonzero((column[gram] >= at) & (column[gram] < at + GRAMS))
+            sides.append(np.zeros((rows, min(GRAMS, len(heavy) - at)), np.float32))
+            sides[-1][member[own], column[gram[own]] - at] = 1.0
+        common += (sides[0] @ sides[1].T).astype(np.int64)
+    return common
+
+
+def counts_in_block(rows: list[tuple[int, int, str]], i: int, j: int, threshold: float = THRESHOLD) -> list[tuple[int, int]]:
+    """(key, number of similar members of the other block) of the members (key, block, text) of blocks i and j."""
+    number: dict = {}
+    owned = [np.array([number.setdefault(gram, len(number)) for gram in _gram_set(text)], np.int64) for _, _, text in rows]
+    left, right = ([at for at, row in enumerate(rows) if row[1] == block] for block in (i, j))
+    common = overlaps([owned[at] for at in left], [owned[at] for at in right], len(number))
+    sizes = np.array([len(own) for own in owned])
+    similar = (common > 0) & (common >= threshold * (sizes[left][:, None] + sizes[right] - common))
+    if i == j:
+        np.fill_diagonal(similar, False)
+    out = [(rows[at][0], n) for at, n in zip(left, similar.sum(1).tolist())]
+    if i != j:
+        out += [(rows[at][0], n) for at, n in zip(right, similar.sum(0).tolist())]
+    return out
+
+
+def count_links(members: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(key, n_links) of members (key, root, n) of components of n texts; texts: key, text.
+
+    Like compare_blocks, with every pair of a component in one pair of blocks.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = members.withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("root", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "key", "own")
+    rows = dealt.join(texts.withColumnRenamed("key", "k"), F.col("key") == F.col("k")).select("root", "i", "j", "key", "own", "text")
+    rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "key")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(at, group):
+            found = counts_in_block(group, at[1], at[2], threshold)
+            return pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([n for _, n in found], pa.int64())], names=["key", "n"])
+
+        last, group = None, []
+        for batch in batches:
+            plain = [batch.column(k).to_pylist() for k in range(5)]
+            for root, i, j, key, own, text in zip(*plain, batch.column(5)):
+                if (root, i, j) != last:
+                    if group:
+                        yield made(last, group)
+                    last, group = (root, i, j), []
+                group.append((key, own, text.as_py()))
+        if group:
+            yield made(last, group)
+
+    return rows.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n_links"))
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for the nodes of links (a, b): root is the least node reachable.
 
@@ -322,8 +404,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return materialize(found.union(edges.select("v", "v").toDF("node", "root").distinct()), name)
 
 
-def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
-    """(signed documents, classes by digest: key, text_id, n_copies, class_id, n_links), both materialised."""
+def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, counted: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(signed documents, classes by digest: key, text_id, n_copies, class_id, and n_links if counted), both materialised."""
     signed = materialize(sign_documents(docs, threshold, recall), "ngram-signatures")
     # Equal texts: one class each, with the least id; folded before the shuffle.
     texts = materialize(
@@ -391,15 +473,19 @@ def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     links = star_links.union(rest_links)
     roots = components(links)
 
-    links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    degree = links.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count(F.lit(1)).alias("n_links"))
     placed = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min("text_id").alias("class_id")).withColumnRenamed("root", "r")
-    classes = (
-        placed.join(named, placed["root"] == named["r"])
-        .join(degree, F.col("key") == F.col("linked"), "left")
-        .select("digest", "key", "text_id", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    classes = placed.join(named, placed["root"] == named["r"]).select("digest", "key", "text_id", "n_copies", "class_id")
+    if counted:
+        # The two texts of a component of two have one link; larger components are compared in full.
+        large = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "ngram-large")
+        linked = join_per_key(roots.select(F.col("node").alias("key"), "root"), large, ["root"])
+        linked = materialize(linked, "ngram-linked")
+        crowd = linked.where("n is not null")
+        bodies = _bodies(docs, crowd.select(F.col("key").alias("a"), F.col("key").alias("b")), heads)
+        degree = linked.where("n is null").select("key", F.lit(1).cast("long").alias("n_links")).union(count_links(crowd, bodies, threshold))
+        classes = classes.join(degree.withColumnRenamed("key", "linked"), F.col("key") == F.col("linked"), "left")
+        classes = classes.select("digest", "key", "text_id", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("doc_id", "digest", "key"), materialize(classes, "ngram-classes")
 
 
@@ -412,7 +498,7 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One document of each class, with all columns: that with the least id (of rows that repeat it, one)."""
-    signed, classes = link_texts(docs, threshold, recall)
+    signed, classes = link_texts(docs, threshold, recall, counted=False)
     kept = classes.where("text_id <=> class_id").select(F.col("text_id").alias("__id"), F.col("key").alias("__key"))
     kept = materialize(kept.groupBy("__id").agg(F.min("__key").alias("__key")), "ngram-kept")
     out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))

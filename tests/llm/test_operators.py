@@ -306,6 +306,35 @@ def test_join_edges(docs, none):
     assert sorted(r.doc_id for r in kept.where("doc_id < 90").collect()) == sorted({r.class_id for r in got if r.class_id is not None and r.class_id < 90})
 
 
+def slow_links(texts: list[str]) -> dict:
+    sets = {t: ngramjoin._gram_set(t) for t in set(texts)}
+    return {t: sum(u != t and len(own & other) >= 0.8 * len(own | other) > 0 for u, other in sets.items()) for t, own in sets.items()}
+
+
+@pytest.mark.parametrize("few,block", [(12, 512), (1, 3)])
+def test_link_counts_match_brute_force(spark, monkeypatch, few, block):
+    monkeypatch.setattr(ngramjoin, "FEW", few)
+    monkeypatch.setattr(ngramjoin, "BLOCK", block)
+    texts = [t for _, t in chain_rows()]
+    for n, size in ((3, 90), (60, 150)):  # groups of mutually similar variants
+        words = prose(700 + n, size).split()
+        texts += [" ".join(words[: k * 2] + [f"u{n}_{k}"] + words[k * 2 + 1 :]) for k in range(n)]
+    texts += [texts[0], texts[50], "one of its kind only here", "", None]
+    got = ngramjoin.link_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = slow_links([t or "" for t in texts])
+    assert max(want.values()) > 50
+    assert {r.doc_id: r.n_links for r in got} == {i: want[t or ""] for i, t in enumerate(texts)}
+
+
+def test_overlaps_match_sets(monkeypatch):
+    monkeypatch.setattr(ngramjoin, "LIGHT", 4)
+    monkeypatch.setattr(ngramjoin, "GRAMS", 7)
+    r = np.random.default_rng(3)
+    left, right = ([np.flatnonzero(r.random(60) < np.linspace(0.02, 0.9, 60)) for _ in range(n)] for n in (9, 20))
+    want = [[len(set(x) & set(y)) for y in right] for x in left]
+    assert ngramjoin.overlaps(left, right, 60).tolist() == want
+
+
 def test_bands_reach_the_recall():
     bands, rows = ngramjoin.choose_bands()
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
