@@ -16,9 +16,10 @@ steps select whole cells; since the cells' sums are exact integers, every run gi
 estimate in whatever order rows arrive.
 
 Defined results. A null text counts as empty (no words, base_failed). Null languages and
-sources form groups of their own. Only documents that pass the base rules are fitted. In a
-group of fewer than ``min_group`` such documents there is no estimate, and the base rules
-alone decide. Repeated rows count as often as they occur and share one verdict. An empty
+sources form groups of their own. Only documents that pass the base rules are fitted. A
+group of fewer than ``min_group`` such documents is judged by the estimate from all of its
+language, and where these are fewer too, by that from all documents; so every document that
+passes the base rules gets a distance. Repeated rows count as often as they occur and share one verdict. An empty
 table gives an empty result. Other columns of the input are not read, whatever their names.
 """
 
@@ -205,27 +206,54 @@ def mcd(cells: pd.DataFrame, support: float = SUPPORT) -> tuple[np.ndarray, np.n
     return centre, scatter + floor
 
 
-def _fit(cells: pd.DataFrame) -> pd.DataFrame:
+_ESTIMATE = "centre array<double>, precision array<double>"
+
+
+def _fit(cells: pd.DataFrame, keys: list[str]) -> pd.DataFrame:
     cells = cells.sort_values([f"c{i}" for i in range(_P)], kind="stable").reset_index(drop=True)
     centre, scatter = mcd(cells)
     inverse = np.linalg.inv(scatter)
-    own = cells.iloc[0]
-    return pd.DataFrame({"lang": [own["lang"]], "source": [own["source"]], "centre": [centre.tolist()], "precision": [inverse.ravel().tolist()]})
+    return pd.DataFrame({**{k: [cells.iloc[0][k]] for k in keys}, "centre": [centre.tolist()], "precision": [inverse.ravel().tolist()]})
+
+
+def _estimates(cells: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """keys -> centre, precision of the groups of at least so many documents."""
+    names = [*keys, "centre", "precision"]
+    return cells.groupBy(*keys).applyInPandas(
+        lambda g: _fit(g, keys) if g["n"].sum() >= least else pd.DataFrame(columns=names, dtype=object),
+        ", ".join([f"{k} string" for k in keys] + [_ESTIMATE]),
+    )
 
 
 def fit_outliers(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
-    """(lang, source) -> centre, precision (inverse scatter), from counts with lang and source."""
+    """(lang, source) -> centre, precision (inverse scatter), from counts with lang and source.
+
+    Smaller groups than min_group get the estimate of their language, or else of all documents,
+    from the same cells summed further.
+    """
     stats = counts.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select(
         "lang", "source", *[v.alias(f"v{i}") for i, v in enumerate(statistics(F.col))]
     )
+    axes = [f"c{i}" for i in range(_P)]
+    sums = ["n", *[f"s{i}" for i in range(_P)], *[f"q{i}{j}" for i, j in _PAIRS]]
     cells = stats.groupBy("lang", "source", *[F.floor(F.col(f"v{i}") / w).cast("int").alias(f"c{i}") for i, w in enumerate(CELL)]).agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(f"v{i}").alias(f"s{i}") for i in range(_P)],
         *[F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"q{i}{j}") for i, j in _PAIRS],
     )
-    return cells.groupBy("lang", "source").applyInPandas(
-        lambda g: _fit(g) if g["n"].sum() >= min_group else pd.DataFrame(columns=["lang", "source", "centre", "precision"], dtype=object),
-        "lang string, source string, centre array<double>, precision array<double>",
+    cells = materialize(cells, "quality-cells")
+    own = _estimates(cells, ["lang", "source"], min_group)
+    small = materialize(cells.groupBy("lang", "source").agg(F.sum("n").alias("n")).where(F.col("n") < min_group).select("lang", "source"), "quality-small")
+    if small.isEmpty():
+        return own
+    by_lang = cells.groupBy("lang", *axes).agg(*[F.sum(x).alias(x) for x in sums])
+    by_lang = materialize(by_lang, "quality-lang-cells")
+    pooled = materialize(_estimates(by_lang, ["lang"], min_group).withColumnsRenamed({"centre": "near", "precision": "near_precision"}), "quality-lang-params")
+    whole = by_lang.groupBy(*axes).agg(*[F.sum(x).alias(x) for x in sums]).withColumn("lang", F.lit("all"))
+    whole = materialize(_estimates(whole, ["lang"], 0), "quality-whole-params").select(F.col("centre").alias("far"), F.col("precision").alias("far_precision"))
+    borrowed = join_per_key(small, pooled, ["lang"]).crossJoin(F.broadcast(whole))
+    return own.union(
+        borrowed.select("lang", "source", F.coalesce("near", "far").alias("centre"), F.coalesce("near_precision", "far_precision").alias("precision"))
     )
 
 
@@ -239,12 +267,11 @@ def _distance(c) -> Column:
 
 
 def robust_verdict(rows: DataFrame, params: DataFrame, c, cutoff: float = CUTOFF) -> DataFrame:
-    """rows with __failed, __kept and __distance (squared; null where the group has no estimate)."""
+    """rows with __failed, __kept and __distance (squared; null where the base rules fail)."""
     failed = base_failed(c("n_words"), c("n_repeat_words"))
     out = join_per_key(rows, params.withColumnsRenamed({"centre": "__centre", "precision": "__precision"}), ["lang", "source"])
     out = out.withColumn("__distance", F.when(~failed, _distance(c))).withColumn("__failed", failed)
-    fits = F.coalesce(F.col("__distance"), F.lit(0.0)) <= chi2_ppf(cutoff, _P)
-    return out.withColumn("__kept", ~failed & fits).drop("__centre", "__precision")
+    return out.withColumn("__kept", ~failed & (F.col("__distance") <= chi2_ppf(cutoff, _P))).drop("__centre", "__precision")
 
 
 def count_documents(docs: DataFrame) -> DataFrame:

@@ -87,6 +87,23 @@ def test_quality_rows_and_outliers(spark, docs, none):
     assert quality.judge_documents(none).count() == 0
 
 
+def test_small_groups_are_judged(spark):
+    junk = prose(9, 40) + " " + "#| " * 60
+    rows = [(i, prose(200 + i, 30 + i % 9), "en", f"big{i % 2}") for i in range(120)]
+    rows += [(1_000 + i, prose(400 + i, 35), lang, f"tiny{i}") for i, lang in enumerate(["en", "en", "xx", None])]
+    rows += [(2_000 + i, junk, lang, source) for i, (lang, source) in enumerate([("en", "tiny0"), ("en", None), ("xx", "odd"), (None, None)])]
+    rows += [(3_000, "too short", "zz", "lone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality.judge_documents(docs).collect()}
+    assert len(got) == len(rows)
+    assert all((r.distance is None) == r.base_failed for r in got.values())
+    assert all(got[1_000 + i].kept for i in range(4)) and not any(got[2_000 + i].kept for i in range(4))
+    assert got[3_000].kept is False
+    assert {r.doc_id for r in quality.filter_documents(docs).collect()} == {i for i, r in got.items() if r.kept}
+    few = quality.judge_documents(docs.where("doc_id in (1, 2, 3)")).collect()
+    assert all(r.distance is not None and r.kept for r in few)
+
+
 def test_quality_filter_keeps_columns(docs):
     kept = quality.filter_documents(docs, min_group=20)
     assert kept.columns == docs.columns
