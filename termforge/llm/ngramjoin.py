@@ -28,8 +28,10 @@ of the component that the text is similar to.
 
 Defined results. A text of fewer than five words has one n-gram, all its words. A text
 without words (null, empty, white space) is only ever equal to itself: its copies share a
-class and have no links. Repeated rows and repeated ids are copies. Null doc_ids form classes
-like others and take the id of a non-null copy where there is one. An empty table gives an
+class and have no links. Repeated rows are copies. Null doc_ids form classes like others and
+take the id of a non-null copy where there is one. Classes are named by ids, so classes of
+different texts with one id, or without ids, have the same name; keep_one_per_class tells them
+apart by their texts and keeps one row of each. An empty table gives an
 empty result. Extra columns are not read.
 """
 
@@ -187,7 +189,9 @@ def _bodies(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = heads.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("id"), F.col("key").alias("wanted"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).where(text_key(F.col("text")) == F.col("wanted"))
+    # Rows without an id are looked up by their texts, so that they don't all meet.
+    unnamed = F.when(F.col("doc_id").isNull(), text_key(F.col("text"))).eqNullSafe(F.when(F.col("id").isNull(), F.col("wanted")))
+    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & unnamed).where(text_key(F.col("text")) == F.col("wanted"))
     return found.select(F.col("wanted").alias("key"), "text").dropDuplicates(["key"])
 
 
@@ -405,7 +409,7 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, counted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(signed documents, classes by digest: key, text_id, n_copies, class_id, and n_links if counted), both materialised."""
+    """(signed documents, classes by digest: key, root, text_id, n_copies, class_id, and n_links if counted), both materialised."""
     signed = materialize(sign_documents(docs, threshold, recall), "ngram-signatures")
     # Equal texts: one class each, with the least id; folded before the shuffle.
     texts = materialize(
@@ -475,7 +479,7 @@ def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
 
     placed = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min("text_id").alias("class_id")).withColumnRenamed("root", "r")
-    classes = placed.join(named, placed["root"] == named["r"]).select("digest", "key", "text_id", "n_copies", "class_id")
+    classes = placed.join(named, placed["root"] == named["r"]).select("digest", "key", "root", "text_id", "n_copies", "class_id")
     if counted:
         # The two texts of a component of two have one link; larger components are compared in full.
         large = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "ngram-large")
@@ -485,7 +489,7 @@ def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         bodies = _bodies(docs, crowd.select(F.col("key").alias("a"), F.col("key").alias("b")), heads)
         degree = linked.where("n is null").select("key", F.lit(1).cast("long").alias("n_links")).union(count_links(crowd, bodies, threshold))
         classes = classes.join(degree.withColumnRenamed("key", "linked"), F.col("key") == F.col("linked"), "left")
-        classes = classes.select("digest", "key", "text_id", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        classes = classes.select("digest", "key", "root", "text_id", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return signed.select("doc_id", "digest", "key"), materialize(classes, "ngram-classes")
 
 
@@ -497,13 +501,16 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One document of each class, with all columns: that with the least id (of rows that repeat it, one)."""
+    """One document of each component, with all columns: that with the least id (of rows that repeat it, one)."""
     signed, classes = link_texts(docs, threshold, recall, counted=False)
-    kept = classes.where("text_id <=> class_id").select(F.col("text_id").alias("__id"), F.col("key").alias("__key"))
-    kept = materialize(kept.groupBy("__id").agg(F.min("__key").alias("__key")), "ngram-kept")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")))
+    first = F.struct(F.col("text_id").isNull(), F.col("text_id"), F.col("key"))
+    kept = classes.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.text_id").alias("__id"), F.col("first.key").alias("__key"))
+    kept = materialize(kept, "ngram-kept")
+    same_id = F.col("doc_id").eqNullSafe(F.col("__id"))
     # Only where ids repeat must texts be told apart and rows be folded.
     repeated = signed.groupBy("doc_id").count().where("count > 1").limit(1).count()
     if repeated:
-        out = out.where(text_key(F.col("text")) == F.col("__key")).dropDuplicates(["__id"])
+        out = docs.join(kept, same_id & (text_key(F.col("text")) == F.col("__key"))).dropDuplicates(["__key"])
+    else:
+        out = docs.join(kept, same_id)
     return out.select(*docs.columns)

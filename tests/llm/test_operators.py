@@ -323,6 +323,19 @@ def test_join_edges(docs, none):
     assert sorted(r.doc_id for r in kept.where("doc_id < 90").collect()) == sorted({r.class_id for r in got if r.class_id is not None and r.class_id < 90})
 
 
+def test_unrelated_texts_without_or_with_one_id_are_kept(spark):
+    words = prose(31, 80).split()
+    near = [" ".join(words[:k] + ["other"] + words[k + 1 :]) for k in (0, 79)]
+    rows = [(None, prose(600 + i, 30)) for i in range(6)] + [(5, prose(650 + i, 30)) for i in range(4)] + [(5, prose(650, 30)), (None, prose(600, 30))]
+    rows += [(None, near[0]), (None, near[1]), (9, prose(32, 50)), (None, prose(32, 50)), (None, None), (None, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.text or "") for r in ngramjoin.keep_one_per_class(table).collect())
+    assert max(got.values()) == 1
+    (one,) = [t for t in near if (None, t) in got]
+    want = {(i, t or "") for i, t in rows if t not in near and (i, t) != (None, prose(32, 50))} | {(None, one)}
+    assert set(got) == want
+
+
 def slow_links(texts: list[str]) -> dict:
     sets = {t: ngramjoin._gram_set(t) for t in set(texts)}
     return {t: sum(u != t and len(own & other) >= 0.8 * len(own | other) > 0 for u, other in sets.items()) for t, own in sets.items()}
