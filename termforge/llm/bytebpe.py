@@ -28,8 +28,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-MEMO_PIECES, MEMO_PAIRS, MEMO_CHARS = 250_000, 1_000_000, 64
-_WORKER: dict = {}
+from termforge.llm.common import resident
+
+MEMO_PIECES, MEMO_PAIRS, MEMO_CHARS = 200_000, 300_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -159,10 +160,7 @@ class ByteBpe:
 
 
 def _coder(path: str, pattern: str) -> ByteBpe:
-    if (path, pattern) not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path, pattern] = ByteBpe(read_ranks(path), pattern)
-    return _WORKER[path, pattern]
+    return resident(("bytebpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
 def encode_column(path: str, pattern: str):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from termforge.llm.common import BROADCAST_ROWS, fresh_path, materialize
+from termforge.llm.common import BROADCAST_ROWS, fresh_path, materialize, resident
 
 END_ID = 2
 STRIPE_BYTES = 16 << 20
@@ -39,7 +39,6 @@ PART = "^"
 #: Full stop or comma after a letter (Latin, but for the capital I with a dot, which lower-cases to two) and before a space.
 _STOP = re.compile(r"[.,](?=[ \n]|\Z)(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f].)")
 STORE = "doc_id long, part int, start long, ids array<int>"
-_WORKER: dict = {}
 
 
 def _is_latin(text: str) -> bool:
@@ -104,10 +103,7 @@ class WordEncoder:
 
 
 def _encoder(path: str) -> WordEncoder:
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = WordEncoder(path)
-    return _WORKER[path]
+    return resident(("orcstore", path), lambda: WordEncoder(path))
 
 
 def _runs(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list, list]]:

@@ -27,9 +27,10 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from termforge.llm.common import resident
+
 MARK = "▁"
 MEMO_WORDS, TRIE_NODES, LONG_WORD = 400_000, 300_000, 256
-_WORKER: dict = {}
 
 
 def read_pieces(path: str) -> tuple[dict[str, float], float]:
@@ -111,10 +112,7 @@ class TokenCounter:
 
 
 def _counter(path: str) -> TokenCounter:
-    if path not in _WORKER:
-        _WORKER.clear()
-        _WORKER[path] = TokenCounter(*read_pieces(path))
-    return _WORKER[path]
+    return resident(("tokencount", path), lambda: TokenCounter(*read_pieces(path)))
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
