@@ -47,7 +47,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from termforge.llm.common import join_per_key, materialize
+from termforge.llm.common import KeyFilter, discard, join_per_key, materialize
 
 N, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 150
 #: Buckets of more members than FEW are compared in blocks of about BLOCK members.
@@ -55,7 +55,7 @@ FEW, BLOCK = 12, 512
 #: N-grams of at most LIGHT members of a block are counted pair by pair, others as matrices of GRAMS columns.
 LIGHT, GRAMS = 32, 4_096
 _SLICE = 1 << 20
-_SIGNATURE = "doc_id long, digest binary, key long, n_grams long, bands array<long>"
+_SIGNATURE = "doc_id long, rid long, digest binary, key long, n_grams long, bands array<long>"
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES) -> tuple[int, int]:
@@ -133,15 +133,20 @@ def signatures(texts: list[str | None], bands: int, rows: int) -> tuple[np.ndarr
     return sizes, keys
 
 
+def row_id(doc_id, text):
+    """A hash by which rows of (doc_id, text) are told apart; rows that repeat both share it."""
+    return F.xxhash64(doc_id.cast("long"), text.cast("string"))
+
+
 def sign_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, digest of the text (and its first 60 bits as key), number of distinct n-grams, band keys."""
+    """doc_id, rid (row_id), digest of the text (and its first 60 bits as key), number of distinct n-grams, band keys."""
     bands, rows = choose_bands(threshold, recall)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, run, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids.append(doc_id)
+            for doc_id, rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids.append((doc_id, rid))
                 run.append(text.as_py())
                 size += len(run[-1] or "")
                 if size >= _SLICE:
@@ -154,15 +159,17 @@ def sign_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
         sizes, keys = signatures(texts, bands, rows)
         digests = [hashlib.sha256((t or "").encode()).hexdigest() for t in texts]
         columns = [
-            pa.array(ids, pa.int64()),
+            pa.array([doc_id for doc_id, _ in ids], pa.int64()),
+            pa.array([rid for _, rid in ids], pa.int64()),
             pa.array([bytes.fromhex(d[:32]) for d in digests], pa.binary()),
             pa.array([int(d[:15], 16) for d in digests], pa.int64()),
             pa.array(sizes),
             pa.array(keys, pa.list_(pa.int64())),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "digest", "key", "n_grams", "bands"])
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "digest", "key", "n_grams", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sign, _SIGNATURE)
+    own = F.col("doc_id").cast("long").alias("doc_id"), row_id(F.col("doc_id"), F.col("text")).alias("rid"), F.col("text").cast("string").alias("text")
+    return docs.select(*own).mapInArrow(sign, _SIGNATURE)
 
 
 def _gram_set(text: str) -> set:
@@ -184,15 +191,23 @@ def text_key(text):
     return F.conv(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 15), 16, 10).cast("long")
 
 
-def _bodies(docs: DataFrame, pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """(key, text) of the texts in pairs, each once; heads: key and doc_id of one row with the text."""
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = heads.join(wanted, "key", "left_semi").select(F.col("doc_id").alias("id"), F.col("key").alias("wanted"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Rows without an id are looked up by their texts, so that they don't all meet.
-    unnamed = F.when(F.col("doc_id").isNull(), text_key(F.col("text"))).eqNullSafe(F.when(F.col("id").isNull(), F.col("wanted")))
-    found = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & unnamed).where(text_key(F.col("text")) == F.col("wanted"))
-    return found.select(F.col("wanted").alias("key"), "text").dropDuplicates(["key"])
+def _bodies(docs: DataFrame, wanted: DataFrame, heads: DataFrame) -> DataFrame:
+    """(key, text) of the texts whose keys are wanted, each once; heads: key and rid of one row with the text.
+
+    Rows that surely aren't wanted are left out in the scan by a key filter, and rows that repeat
+    a text are folded before they are moved; so about the wanted texts are shuffled, once.
+    """
+    found = heads.join(wanted.distinct(), "key", "left_semi")
+    found = materialize(found, "ngram-wanted")
+    rows = docs.select(row_id(F.col("doc_id"), F.col("text")).alias("rid"), F.col("text").cast("string").alias("text"))
+    maybe = KeyFilter(found.select("rid"), "ngram-wanted-filter").mark(rows, F.col("rid"), "maybe").where("maybe")
+    texts = maybe.select(text_key(F.col("text")).alias("key"), "text").dropDuplicates(["key"])
+    return texts.join(found.select("key"), "key", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """The keys of pairs (a, b), as key."""
+    return pairs.select(F.col("a").alias("key")).union(pairs.select("b"))
 
 
 def verify(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -400,7 +415,8 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w")
         small = large.join(low, F.col("u") == F.col("w"))
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("w", "m")).distinct()
-        edges = materialize(small, name)
+        last, edges = edges, materialize(small, name)
+        discard(last)
         before, now = now, state(edges)
         if before == now:
             break
@@ -409,16 +425,21 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 
 def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, counted: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(signed documents, classes by digest: key, root, text_id, n_copies, class_id, and n_links if counted), both materialised."""
+    """(signed documents, classes by digest: key, rid, root, text_id, n_copies, class_id, and n_links if counted), both materialised."""
     signed = materialize(sign_documents(docs, threshold, recall), "ngram-signatures")
     # Equal texts: one class each, with the least id; folded before the shuffle.
     texts = materialize(
-        signed.groupBy("digest", "key").agg(F.min("doc_id").alias("text_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_grams").alias("n_grams")),
+        signed.groupBy("digest", "key").agg(
+            F.min("doc_id").alias("text_id"),
+            F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("rid"),
+            F.count(F.lit(1)).alias("n_copies"),
+            F.max("n_grams").alias("n_grams"),
+        ),
         "ngram-texts",
     )
-    heads = texts.where("n_grams > 0").select("key", F.col("text_id").alias("doc_id"))
+    heads = texts.where("n_grams > 0").select("key", "rid")
     own = (
-        signed.join(heads.toDF("k", "id"), (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("id")))
+        signed.join(heads.toDF("k", "head"), (F.col("rid") == F.col("head")) & (F.col("key") == F.col("k")))
         .dropDuplicates(["key"])
         .select("key", "n_grams", F.explode("bands").alias("band"))
     )
@@ -445,7 +466,7 @@ def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
         .distinct()
     )
     stars = materialize(stars, "ngram-stars")
-    star_links = materialize(verify(stars, _bodies(docs, stars, heads), threshold), "ngram-links")
+    star_links = materialize(verify(stars, _bodies(docs, _ends(stars), heads), threshold), "ngram-links")
     roots = components(star_links)
 
     placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", "n_grams", F.coalesce("root", "key").alias("root"))
@@ -465,32 +486,31 @@ def link_texts(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RE
     )
     seen = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     rest = materialize(rest.join(seen, ["a", "b"], "left_anti"), "ngram-rest")
-    rest_links = verify(rest, _bodies(docs, rest, heads), threshold)
 
     # Larger ones: block against block.
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     many = sized.where(F.col("n") > FEW).withColumn("own", F.pmod(F.xxhash64("key"), blocks).cast("int"))
     many = many.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     many = many.select("band", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "key", "root", "own")
-    bodies = _bodies(docs, sized.where(F.col("n") > FEW).select(F.col("key").alias("a"), F.col("key").alias("b")), heads)
-    rest_links = materialize(rest_links.union(compare_blocks(many, bodies, threshold)), "ngram-links")
+    bodies = _bodies(docs, _ends(rest).union(many.select("key")), heads)
+    rest_links = materialize(verify(rest, bodies, threshold).union(compare_blocks(many, bodies, threshold)), "ngram-links")
     links = star_links.union(rest_links)
     roots = components(links)
 
     placed = texts.join(roots, texts["key"] == roots["node"], "left").withColumn("root", F.coalesce("root", "key"))
     named = placed.groupBy("root").agg(F.min("text_id").alias("class_id")).withColumnRenamed("root", "r")
-    classes = placed.join(named, placed["root"] == named["r"]).select("digest", "key", "root", "text_id", "n_copies", "class_id")
+    classes = placed.join(named, placed["root"] == named["r"]).select("digest", "key", "rid", "root", "text_id", "n_copies", "class_id")
     if counted:
         # The two texts of a component of two have one link; larger components are compared in full.
         large = materialize(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 2"), "ngram-large")
         linked = join_per_key(roots.select(F.col("node").alias("key"), "root"), large, ["root"])
         linked = materialize(linked, "ngram-linked")
         crowd = linked.where("n is not null")
-        bodies = _bodies(docs, crowd.select(F.col("key").alias("a"), F.col("key").alias("b")), heads)
+        bodies = _bodies(docs, crowd.select("key"), heads)
         degree = linked.where("n is null").select("key", F.lit(1).cast("long").alias("n_links")).union(count_links(crowd, bodies, threshold))
         classes = classes.join(degree.withColumnRenamed("key", "linked"), F.col("key") == F.col("linked"), "left")
         classes = classes.select("digest", "key", "root", "text_id", "n_copies", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "digest", "key"), materialize(classes, "ngram-classes")
+    return signed.select("doc_id", "rid", "digest", "key"), materialize(classes, "ngram-classes")
 
 
 def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
@@ -501,16 +521,23 @@ def link_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
 
 def keep_one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One document of each component, with all columns: that with the least id (of rows that repeat it, one)."""
+    """One document of each component, with all columns: that with the least id (of rows that repeat it, one).
+
+    Two key filters, of the rows that stay and of those that go, decide nearly all rows in the
+    scan; only rows that both may hold are moved, to be decided exactly.
+    """
     signed, classes = link_texts(docs, threshold, recall, counted=False)
-    first = F.struct(F.col("text_id").isNull(), F.col("text_id"), F.col("key"))
-    kept = classes.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.text_id").alias("__id"), F.col("first.key").alias("__key"))
+    first = F.struct(F.col("text_id").isNull(), F.col("text_id"), F.col("key"), F.col("rid"))
+    kept = classes.groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.rid").alias("kept_rid"), F.col("first.key").alias("kept_key"))
     kept = materialize(kept, "ngram-kept")
-    same_id = F.col("doc_id").eqNullSafe(F.col("__id"))
-    # Only where ids repeat must texts be told apart and rows be folded.
-    repeated = signed.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        out = docs.join(kept, same_id & (text_key(F.col("text")) == F.col("__key"))).dropDuplicates(["__key"])
-    else:
-        out = docs.join(kept, same_id)
-    return out.select(*docs.columns)
+    # Rows that go: those of other texts, other ids, and all of a kept row that repeats, so that it is folded below.
+    rows_of = signed.groupBy("rid", "key").agg(F.count(F.lit(1)).alias("n"))
+    sole = kept.select(F.col("kept_rid").alias("rid"), F.col("kept_key").alias("key"))
+    gone = rows_of.join(sole, ["rid", "key"], "left_anti").select("rid").union(rows_of.where("n > 1").select("rid"))
+    nested = docs.select(F.struct(*docs.columns).alias("row"), row_id(F.col("doc_id"), F.col("text")).alias("rid"))
+    marked = KeyFilter(kept.select("kept_rid"), "ngram-kept-filter").mark(nested, F.col("rid"), "stays")
+    marked = KeyFilter(gone, "ngram-gone-filter").mark(marked, F.col("rid"), "goes")
+    sure = marked.where("stays and not goes").select("row.*")
+    open_rows = marked.where("stays and goes").withColumn("key", text_key(F.col("row.text")))
+    settled = open_rows.join(kept, (F.col("rid") == F.col("kept_rid")) & (F.col("key") == F.col("kept_key")))
+    return sure.union(settled.dropDuplicates(["kept_key"]).select("row.*"))
