@@ -5,24 +5,32 @@ times its source's words; what is over goes to the others by weight until none i
 is the level L at which the sum of min(cap * words, weight * L) is the total, found from
 running sums over the sources in order of cap * words / weight.
 
-Documents. A source's ratio of target to words gives each document floor(ratio) certain whole
-copies, and one more copy with inclusion probability p = ratio - floor(ratio). The extra
-copies are drawn by Pareto order sampling: documents are ranked by (u / (1 - u)) / (p / (1 - p))
-with u uniform by hash of the id, and taken in that order as long as their words fit the
-rest of the target. One closing document, that whose words come nearest to what then is
-still open, is added if this brings the source nearer to its target. Reruns agree, since u
-depends on ids and seed only.
-
-Scale. Words are counted once into a table without texts. Sums by source are partial
-sums. A source's ranking is never sorted as a whole: ranks are folded into BUCKETS buckets
-per source, the bucket in which the target is reached is found from their sums, and only that
-bucket's documents are ordered, so a source with a third of all rows puts about 1/BUCKETS of
-them into one task. Sources are one row each.
-
-Defined results. A null text has no words; it is taken or not like others and counts
+Certain copies. A source's ratio of target to words gives each of its documents floor(ratio)
+certain whole copies; what is left of the target, ``open`` words, is drawn as one more copy of
+some documents.
+
+Pareto order sampling. A source's documents are parted by size into classes (sixteen to
+a doubling). A class with N documents of W words in all gives a sample of fixed size n, with inclusion
+probabilities in proportion to size, p = n * size / W (n / N for all, where a share would
+reach 1): documents are ranked by the odds of a uniform number by hash, (u / (1 - u)), divided by
+the inclusion odds p / (1 - p), and the n of least rank are taken. n is the whole number
+nearest to the class's share of the open words, plus what larger classes left over: classes are gone
+through from the largest documents down, each passing on the words that its whole number of documents
+is expected to miss by. So small documents make up for large ones, and a source ends near its target
+though no document is taken out of its order. Reruns agree, since u depends on the seed, the id and
+the text only.
+
+Scale. Words are counted once into a table without texts. Sums by source and class
+are partial sums; a source has at most a few hundred classes. A class's ranking is never
+sorted as a whole: ranks are folded into BUCKETS buckets, the bucket in which the sample size is reached is
+found from counts, and only that bucket's documents are ordered. What is decided is one
+row for each (source, class): sample size and greatest rank taken. From it every document's copies follow
+in the scan (take_documents moves no text while that table fits a broadcast).
+
+Defined results. A null text has no words; it gets the certain copies of its source and counts
 nothing. A null source is a source, last in order. Sources without words have target 0.
-Repeated rows have equal ranks and are separate documents. An empty table gives an empty
-result. Extra columns are not read by mix_documents and kept by take_documents.
+Rows that repeat id and text have one rank, and are taken or left together. An empty table gives an empty
+result. Extra columns, whatever their names, are not read by mix_documents and kept by take_documents.
 """
 
 from __future__ import annotations
@@ -33,13 +41,28 @@ from termforge.llm.common import WORD, join_per_key, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix"
+#: Size classes to a doubling of size, as a power of two.
+CLASS_BITS = 4
 BUCKETS = 4096
+#: Rows of the plan, one for each source and class, up to which it is broadcast (about 60 bytes each).
+PLAN_ROWS = 400_000
+KEYS = ["source", "size_class"]
 
 
-def uniform(doc_id: Column, seed: str) -> Column:
-    """A number in (0, 1) by hash of seed and id, the same in any engine with MD5."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
-    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+def words_of(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def uniform(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in (0, 1) by hash of seed, id and text, the same in any engine with MD5."""
+    named = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit(""))))
+    return (F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+
+
+def size_class(size: Column) -> Column:
+    """The leading CLASS_BITS + 1 bits of a size and the number of bits after them, as one number that grows with size."""
+    rest = F.greatest(F.length(F.bin(size)) - (CLASS_BITS + 1), F.lit(0))
+    return (rest * (1 << CLASS_BITS) + F.floor(size / F.pow(F.lit(2.0), rest))).cast("int")
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -59,91 +82,94 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return levelled.select("source", F.col("words").cast("long").alias("source_size"), target.alias("target"))
 
 
-def plan_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
-    """doc_id, source, size, row, source_size, target, copies of every document; row tells rows apart."""
-    sized = materialize(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            "source",
-            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-            F.monotonically_increasing_id().alias("row"),
-        ),
-        "mix-sizes",
+def sample_sizes(sized: DataFrame, targets: DataFrame, cap: float = CAP) -> DataFrame:
+    """source, size_class, source_size, target, certain, n_docs, words, even, take: the sample size of each class.
+
+    even marks classes whose documents have equal odds. One row a class: sources' lists of
+    classes are a few hundred entries long.
+    """
+    square = (F.col("size") * F.col("size")).cast("decimal(38,0)")
+    classes = sized.groupBy(*KEYS).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("size").cast("double").alias("w"), F.sum(square).cast("double").alias("q"), F.max("size").cast("double").alias("top")
     )
-    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
+    listed = classes.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size_class", "n", "w", "q", "top")), asc=False).alias("classes"))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    certain = F.floor(F.least(ratio, F.lit(cap)))
-    drawn = targets.select("*", certain.cast("long").alias("certain"), (ratio - certain).alias("p")).withColumn(
-        "open", F.col("target") - F.col("certain") * F.col("source_size")
-    )
-    u = uniform(F.col("doc_id"), seed)
-    rank = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    ranked = join_per_key(sized, drawn, ["source"]).withColumn("rank", F.when(F.col("p") > 0, rank))
+    rows = join_per_key(listed, targets, ["source"]).withColumn("certain", F.floor(F.least(ratio, F.lit(cap))).cast("long"))
+    rows = rows.withColumn("share", F.when(F.col("source_size") > 0, (F.col("target") - F.col("certain") * F.col("source_size")) / F.col("source_size")).otherwise(F.lit(0.0)))
+
+    def step(state: Column, c: Column) -> Column:
+        due = F.col("share") * c["w"] + state["carry"]
+        wanted = F.when(c["w"] > 0, F.floor(due / (c["q"] / F.greatest(c["w"], F.lit(1.0))) + 0.5)).otherwise(F.lit(0)).cast("long")
+        take = F.greatest(F.least(wanted, c["n"]), F.lit(0).cast("long"))
+        even = take * c["top"] >= c["w"]
+        got = F.when(take == c["n"], c["w"]).when(even, take * c["w"] / c["n"]).otherwise(take * c["q"] / F.greatest(c["w"], F.lit(1.0)))
+        done = F.struct(c["size_class"].alias("size_class"), c["n"].alias("n_docs"), c["w"].alias("words"), even.alias("even"), take.alias("take"))
+        return F.struct((due - got).alias("carry"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    empty = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<size_class:int,n_docs:bigint,words:double,even:boolean,take:bigint>>").alias("done"))
+    walked = rows.select("source", "source_size", "target", "certain", F.explode(F.aggregate("classes", empty, step, lambda s: s["done"])).alias("c"))
+    return walked.select("source", "source_size", "target", "certain", "c.*")
+
+
+def inclusion(size: Column) -> Column:
+    """The inclusion probability of a document of a class: columns take, n_docs, words, even."""
+    p = F.when(F.col("even"), F.col("take") / F.col("n_docs")).otherwise(F.col("take") * size / F.greatest(F.col("words"), F.lit(1.0)))
+    return F.when(F.col("take") == F.col("n_docs"), F.lit(1.0)).otherwise(p)
+
+
+def pareto_rank(u: Column, p: Column) -> Column:
+    """Random odds divided by inclusion odds, for 0 < p < 1; null otherwise."""
+    return F.when((p > 0) & (p < 1), (u / (1 - u)) / (p / (1 - p)))
+
+
+def plan_classes(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """sample_sizes with cut: the rank of the last document taken of each class whose sample is a part of it."""
+    targets = materialize(source_targets(sized, weights, share, cap), "mix-targets")
+    sizes = materialize(sample_sizes(sized, targets, cap), "mix-classes")
+    part = sizes.where("take > 0 and take < n_docs").select(*KEYS, "take", "n_docs", "words", "even")
+    ranked = join_per_key(sized, part, KEYS, "inner", PLAN_ROWS).withColumn("rank", pareto_rank(F.col("u"), inclusion(F.col("size"))))
     bucket = F.floor(F.col("rank") / (1 + F.col("rank")) * BUCKETS).cast("int")
-    ranked = materialize(ranked.withColumn("bucket", bucket), "mix-ranks")
-
-    pool = ranked.where("rank is not null")
-    sums = pool.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("open").alias("open"))
-    running = Window.partitionBy("source").orderBy("bucket")
-    summed = sums.withColumn("upto", F.sum("words").over(running))
-    # The bucket in which the open words are exceeded, and what the buckets before it hold.
-    edge = summed.where("upto > open").groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-    edge = materialize(edge.select("source", F.col("edge.bucket").alias("edge"), F.col("edge.before").alias("before")), "mix-edges")
-    edged = join_per_key(pool, edge, ["source"])
-    within = Window.partitionBy("source").orderBy("rank", "doc_id", "size", "row")
-    last = edged.where("bucket = edge").withColumn("upto", F.col("before") + F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)))
-    last = materialize(last.where("upto <= open").select(F.col("row").alias("in_edge"), "source", "size"), "mix-edge-rows")
-
-    # The closing document of each source.
-    taken = summed.join(edge.withColumnsRenamed({"source": "s"}), F.col("source").eqNullSafe(F.col("s")), "left")
-    taken = taken.where("edge is null or bucket < edge").select("source", F.col("words").alias("size")).union(last.select("source", "size"))
-    gap = drawn.select("source", F.col("open")).join(
-        taken.groupBy("source").agg(F.sum("size").alias("got")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left"
-    ).select("source", (F.col("open") - F.coalesce("got", F.lit(0))).alias("gap"))
-    gap = materialize(gap, "mix-gaps")
-    drawn_rows = edged.join(last.select("in_edge"), F.col("row") == F.col("in_edge"), "left").withColumn(
-        "drawn", F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | F.col("in_edge").isNotNull()
-    )
-    drawn_rows = materialize(drawn_rows.select("row", "source", "doc_id", "size", "rank", "drawn"), "mix-drawn")
-    miss = F.abs(F.col("size") - F.col("gap"))
-    closing = (
-        join_per_key(drawn_rows.where("not drawn"), gap, ["source"])
-        .where(miss < F.col("gap"))
-        .groupBy("source")
-        .agg(F.min(F.struct(miss, F.col("rank"), F.col("doc_id"), F.col("size"), F.col("row"))).alias("best"))
-        .select(F.col("best.row").alias("extra"))
-    )
-    extra = drawn_rows.where("drawn").select(F.col("row").alias("extra")).union(closing)
-    return ranked.join(extra, ranked["row"] == extra["extra"], "left").select(
-        "doc_id", "source", "size", "row", "source_size", "target", (F.col("certain") + F.when(F.col("extra").isNotNull(), 1).otherwise(0)).alias("copies")
-    )
+    ranked = materialize(ranked.select(*KEYS, "take", "rank", bucket.alias("bucket")), "mix-ranks")
+    counts = ranked.groupBy(*KEYS, "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("take").alias("take"))
+    summed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEYS).orderBy("bucket")))
+    # The bucket in which the sample size is reached, and how many of its documents are taken.
+    edge = summed.where("upto >= take").groupBy(*KEYS).agg(F.min(F.struct("bucket", (F.col("take") - F.col("upto") + F.col("n")).alias("open"))).alias("e"))
+    edge = materialize(edge.select(*KEYS, F.col("e.bucket").alias("edge"), F.col("e.open").alias("open")), "mix-edges")
+    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("rank"))
+    cuts = join_per_key(ranked, edge, KEYS, "inner", PLAN_ROWS).where("bucket = edge").withColumn("place", place)
+    cuts = materialize(cuts.where("place = open").select(*KEYS, F.col("rank").alias("cut")), "mix-cuts")
+    return materialize(join_per_key(sizes, cuts, KEYS), "mix-plan")
+
+
+def _copies() -> Column:
+    """Copies of a document, from its class's plan, size and u."""
+    p = inclusion(F.col("size"))
+    drawn = (p == 1) | (pareto_rank(F.col("u"), p) <= F.col("cut"))
+    return (F.coalesce("certain", F.lit(0)) + F.coalesce(drawn, F.lit(False)).cast("int")).cast("long")
+
+
+def _with_size(docs: DataFrame, seed: str, *kept: Column) -> DataFrame:
+    size = words_of(F.col("text"))
+    return docs.select(*kept, "source", size.alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u")).withColumn("size_class", size_class(F.col("size")))
+
+
+def plan_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, inclusion (probability of the drawn copy), copies of every document."""
+    sized = materialize(_with_size(docs, seed, F.col("doc_id").cast("long").alias("doc_id")), "mix-sizes")
+    plan = plan_classes(sized, weights, share, cap)
+    rows = join_per_key(sized, plan, KEYS, limit=PLAN_ROWS)
+    return rows.select("doc_id", "source", "size", "source_size", "target", inclusion(F.col("size")).alias("inclusion"), _copies().alias("copies"))
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words, repeats counted) of every document."""
+    """doc_id, size, source_size, target, taken (words, repeats counted), inclusion of every document."""
     planned = plan_copies(docs, **how)
-    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
-
+    return planned.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "inclusion")
 
-def take_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: every document as often as it is taken, with all its columns.
 
-    Copies are looked up by (doc_id, source). Rows that repeat both share their copies
-    out one by one, so the number of rows is as planned.
-    """
-    planned = materialize(plan_copies(docs, **how), "mix-plan")
-    repeated = planned.groupBy("doc_id", "source").count().where("count > 1").limit(1).count()
-    names = {"doc_id": "__id", "source": "__source", "copies": "__copies", "turn": "__turn"}
-    if repeated:
-        twin = Window.partitionBy("doc_id", "source").orderBy("size", "row")
-        planned = planned.withColumn("turn", F.row_number().over(twin)).select(*names).withColumnsRenamed(names)
-        words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        rows = docs.withColumn("__own", F.row_number().over(Window.partitionBy("doc_id", "source").orderBy(words)))
-        on = rows["doc_id"].eqNullSafe(planned["__id"]) & rows["source"].eqNullSafe(planned["__source"]) & (rows["__own"] == planned["__turn"])
-    else:
-        planned = planned.select("doc_id", "source", "copies").withColumnsRenamed(names)
-        rows = docs
-        on = rows["doc_id"].eqNullSafe(planned["__id"]) & rows["source"].eqNullSafe(planned["__source"])
-    joined = rows.join(planned.where("__copies > 0"), on)
-    repeated_rows = joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
-    return repeated_rows.select(*docs.columns)
+def take_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = SEED) -> DataFrame:
+    """The mix itself: every document as often as it is taken, with all its columns."""
+    sized = materialize(_with_size(docs, seed), "mix-sizes")
+    plan = plan_classes(sized, weights, share, cap)
+    rows = join_per_key(_with_size(docs, seed, F.struct(*docs.columns).alias("row")), plan, KEYS, limit=PLAN_ROWS)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")

@@ -77,23 +77,33 @@ y AS (SELECT *, {_print_sql('xa')} AS fa, {_print_sql('xb')} AS fb, {_print_sql(
 SELECT doc_id, n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like_sql('a', 'b')} AS near_edited, {_like_sql('a', 'c')} AS near_next FROM y"""
 
 _MIX = f"""
-WITH z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH RECURSIVE z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
+  (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u FROM documents),
+d AS (SELECT *, greatest(length(bin(size)) - 5, 0) * 16 + size // (2 ** greatest(length(bin(size)) - 5, 0))::BIGINT AS cls FROM z),
 s AS (SELECT source, sum(size)::DOUBLE AS words FROM z GROUP BY 1),
 k AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight FROM s),
 r AS (SELECT *, 2.0::DOUBLE * words / weight AS turn FROM k),
 l AS (SELECT *, (1.5::DOUBLE * (SELECT sum(words) FROM s) - coalesce(sum(2.0::DOUBLE * words) OVER (ORDER BY turn, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(weight) OVER (ORDER BY turn, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, words, CASE WHEN level >= turn THEN 2.0::DOUBLE * words ELSE weight * (SELECT arg_min(level, (turn, source IS NULL, source)) FROM l WHERE level < turn) END AS target FROM l),
-p AS (SELECT *, CASE WHEN words > 0 THEN target / words ELSE 0 END AS ratio FROM t),
-c AS (SELECT *, floor(least(ratio, 2.0)) AS certain, ratio - floor(least(ratio, 2.0)) AS p, target - floor(least(ratio, 2.0)) * words AS open FROM p),
-u AS (SELECT z.*, c.words, c.target, c.certain, c.p, c.open, (('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
-  FROM z JOIN c ON z.source IS NOT DISTINCT FROM c.source),
-q AS (SELECT *, (u / (1 - u)) / (p / (1 - p)) AS rank FROM u WHERE p > 0),
-v AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size) AS upto FROM q),
-g AS (SELECT source, any_value(open) - coalesce(sum(size) FILTER (upto <= open), 0) AS gap FROM v GROUP BY 1),
-b AS (SELECT v.source, arg_min(doc_id, (abs(size - gap), rank, doc_id)) AS extra FROM v JOIN g ON v.source IS NOT DISTINCT FROM g.source WHERE upto > open AND abs(size - gap) < gap GROUP BY 1),
-w AS (SELECT u.*, v.upto <= v.open AS drawn, b.extra FROM u LEFT JOIN v USING (doc_id) LEFT JOIN b ON u.source IS NOT DISTINCT FROM b.source)
-SELECT doc_id, size, words::BIGINT AS source_size, target, (size * (certain + (coalesce(drawn, false) OR coalesce(extra = doc_id, false))::INTEGER))::BIGINT AS taken FROM w"""
+c AS (SELECT *, CASE WHEN words > 0 THEN floor(least(target / words, 2.0::DOUBLE)) ELSE 0 END AS certain FROM t),
+o AS (SELECT *, CASE WHEN words > 0 THEN (target - certain * words) / words ELSE 0 END AS share FROM c),
+g AS (SELECT source, cls, count(*) AS n, sum(size)::DOUBLE AS w, sum(size::HUGEINT * size)::DOUBLE AS q, max(size)::DOUBLE AS top FROM d GROUP BY 1, 2),
+h AS (SELECT g.*, share, row_number() OVER (PARTITION BY g.source ORDER BY cls DESC) AS step FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source),
+walk(source, step, carry, cls, n, w, even, take) AS (
+  SELECT source, 0::BIGINT, 0.0::DOUBLE, NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE, NULL::BOOLEAN, NULL::BIGINT FROM o
+  UNION ALL
+  SELECT source, step, due - CASE WHEN take = n THEN w WHEN take * top >= w THEN take * w / n ELSE take * q / greatest(w, 1.0::DOUBLE) END, cls, n, w, take * top >= w, take FROM (
+    SELECT *, greatest(least(CASE WHEN w > 0 THEN floor(due / (q / greatest(w, 1.0::DOUBLE)) + 0.5::DOUBLE) ELSE 0 END::BIGINT, n), 0)::BIGINT AS take FROM (
+      SELECT h.source, h.step, h.share * h.w + walk.carry AS due, h.cls, h.n, h.w, h.q, h.top
+      FROM walk JOIN h ON h.source IS NOT DISTINCT FROM walk.source AND h.step = walk.step + 1))),
+p AS (SELECT d.doc_id, d.source, d.size, d.cls, d.u, n, take, CASE WHEN take = n THEN 1.0::DOUBLE WHEN even THEN take::DOUBLE / n ELSE take * d.size / greatest(w, 1.0::DOUBLE) END AS inclusion
+  FROM d JOIN walk ON walk.step > 0 AND walk.cls = d.cls AND d.source IS NOT DISTINCT FROM walk.source),
+q AS (SELECT *, CASE WHEN inclusion > 0 AND inclusion < 1 THEN (u / (1 - u)) / (inclusion / (1 - inclusion)) END AS rank FROM p),
+v AS (SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY rank) AS place FROM q),
+x AS (SELECT *, max(CASE WHEN place = take THEN rank END) OVER (PARTITION BY source, cls) AS cut FROM v)
+SELECT doc_id, size, words::BIGINT AS source_size, target, (size * (certain + (inclusion = 1 OR coalesce(rank <= cut, false))::INTEGER))::BIGINT AS taken, inclusion
+FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source"""
 
 
 def _shards_sql(n_shards: int = 24) -> str:
