@@ -267,11 +267,12 @@ def _distance(c) -> Column:
 
 
 def robust_verdict(rows: DataFrame, params: DataFrame, c, cutoff: float = CUTOFF) -> DataFrame:
-    """rows with __failed, __kept and __distance (squared; null where the base rules fail)."""
+    """rows (with lang and source) with a struct `verdict`: failed, kept, distance (squared; null where the base rules fail)."""
     failed = base_failed(c("n_words"), c("n_repeat_words"))
     out = join_per_key(rows, params.withColumnsRenamed({"centre": "__centre", "precision": "__precision"}), ["lang", "source"])
-    out = out.withColumn("__distance", F.when(~failed, _distance(c))).withColumn("__failed", failed)
-    return out.withColumn("__kept", ~failed & (F.col("__distance") <= chi2_ppf(cutoff, _P))).drop("__centre", "__precision")
+    out = out.withColumn("distance", F.when(~failed, _distance(c)))
+    kept = ~failed & (F.col("distance") <= chi2_ppf(cutoff, _P))
+    return out.withColumn("verdict", F.struct(failed.alias("failed"), kept.alias("kept"), "distance")).drop("__centre", "__precision", "distance")
 
 
 def count_documents(docs: DataFrame) -> DataFrame:
@@ -285,18 +286,18 @@ def judge_documents(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MI
     counts = materialize(count_documents(docs), "quality-counts")
     params = materialize(fit_outliers(counts, min_group), "quality-params")
     out = robust_verdict(counts, params, F.col, cutoff)
-    verdict = [F.col(f"__{x}").alias(y) for x, y in (("failed", "base_failed"), ("kept", "kept"), ("distance", "distance"))]
-    return out.select("doc_id", *COUNTS, *verdict)
+    return out.select("doc_id", *COUNTS, F.col("verdict.failed").alias("base_failed"), "verdict.kept", "verdict.distance")
 
 
 def filter_documents(docs: DataFrame, cutoff: float = CUTOFF, min_group: int = MIN_GROUP) -> DataFrame:
     """The documents that judge_documents keeps, with all their columns.
 
-    Texts are read twice (to fit, and to judge) rather than joined back, so that the stage
-    needs no unique id and moves no text between executors.
+    Each text is counted once: rows are written with their counts beside them, so the stage needs
+    no unique id and moves no text between executors.
     """
-    counts = materialize(count_documents(docs), "quality-counts")
-    params = materialize(fit_outliers(counts, min_group), "quality-params")
-    counted = docs.withColumn("__quality", counts_of(F.col("text")))
-    judged = robust_verdict(counted, params, lambda name: F.col(f"__quality.{name}"), cutoff)
-    return judged.where("__kept").select(*docs.columns)
+    nested = docs.select(F.struct(*docs.columns).alias("row"), counts_of(F.col("text")).alias("counts"))
+    nested = materialize(nested, "quality-counted")
+    counted = nested.select(F.col("row.lang").alias("lang"), F.col("row.source").alias("source"), "counts.*")
+    params = materialize(fit_outliers(counted, min_group), "quality-params")
+    rows = nested.select("row", "counts", F.col("row.lang").alias("lang"), F.col("row.source").alias("source"))
+    return robust_verdict(rows, params, lambda name: F.col(f"counts.{name}"), cutoff).where("verdict.kept").select("row.*")
