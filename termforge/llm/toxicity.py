@@ -1,35 +1,36 @@
 """Toxicity by compression distance: the dictionary under which a text's windows compress shorter.
 
 Training (on the driver, from a bounded sample of labelled texts). Two zstandard dictionaries
-of the same size are built: one from toxic text, one from ordinary text. Both end with the
-same dictionary that zstandard trains on ordinary windows, and begin with words typical of
-their class: words holding a character 5-gram whose document frequency is significantly
-higher in that class (likelihood-ratio test, level by the number of 5-grams tested). With the
-common part in the same place in both, an ordinary window compresses to nearly the same
-length under both, and a window with toxic wording is shorter under the toxic dictionary.
+are trained, one on toxic and one on ordinary windows. Toxic texts are ordinary text but for a
+few phrases, so dictionaries of all their windows differ by chance more than by
+toxicity. Each class's own dictionary is therefore trained on the windows that tell it best: of
+two halves of a class's texts, the windows of one half are ranked by how much shorter they compress
+under the dictionaries trained on the other half, and the first MINED of them train the next
+dictionary of their half, ROUNDS times over. A window ranks high only by content that the other
+half's texts hold too. To either class's dictionary is joined one large dictionary trained on ordinary
+windows, so that ordinary content costs the same under both.
 
 Scoring. A whole text, lower-cased, is cut into windows of about 96 bytes at spaces. Each
-window gives the difference of its two compressed lengths. The greatest, the mean, the mean of
-the three greatest, and the number of windows over the threshold are turned into a score by a
-logistic calibration, fitted on sample texts that the dictionaries were not built from; the
-window threshold is that which separates these texts best.
-
-Scale: one pass over the texts, no shuffle; the model is a few dozen kilobytes. The sample
-is at most SAMPLE texts a class, by hash of the id, of texts up to SAMPLE_BYTES; scoring has
-no such bounds. Near copies within the sample are dropped, since a copied text is no new
+window gives the difference of its compressed lengths, ordinary minus toxic. The greatest difference, the mean
+of the three greatest, the mean, and the numbers of windows over three thresholds (high quantiles of
+ordinary texts' windows) are turned into a score by a logistic calibration, fitted on sample
+texts that no dictionary was trained on.
+
+Scale: one pass over the texts, no shuffle; the model is about 200 kilobytes. The sample
+is at most SAMPLE texts a class, by hash of the id, whole; scoring has
+no such bound. Near copies within the sample are dropped, since a copied text is no new
 evidence.
 
 Defined results. A null or empty text has one empty window and gets the score of a
-difference of zero, below 0.5. Repeated rows get equal scores. Without at least one sample
-text of each class the score is the share of toxic labels (0 if there are none). Extra
-columns, and labels whose document is missing, are not read.
+difference of zero, below 0.5. Repeated rows get equal scores. Without at least TRAINABLE sample
+texts of each class the score is the share of toxic labels, or 0 if that is all. Extra
+columns, whatever their names, and labels whose document is missing, are not read.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,25 +38,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from termforge.llm.common import resident
+
 SAMPLE = (1_500, 2_500)
-SAMPLE_BYTES = 32_768
-WINDOW, GRAM, LEVEL = 96, 5, 7
-TYPICAL_BYTES, COMMON_BYTES = 4_096, 16_384
-FOLDS = 5
+#: Bytes of the windows that are scored, and of those that dictionaries are trained on.
+WINDOW, TRAIN_WINDOW = 96, 32
+#: Sizes of the dictionary of a class and of the common one.
+OWN_BYTES, COMMON_BYTES = 3_072, 196_608
+MINED, ROUNDS, LEVEL = 0.03, 3, 7
+QUANTILES = (0.99, 0.999, 0.9999)
+TRAINABLE, FOLDS = 12, 5
 _SPACE = re.compile(r"[\x09-\x0d\x20]+")
-_WORKER: dict = {}
 
 
 def normal(text: str | None) -> str:
     return " " + _SPACE.sub(" ", (text or "").lower()).strip(" ") + " "
 
 
-def windows(text: str | None) -> list[bytes]:
-    """The whole text in windows of about WINDOW bytes that end at spaces, each with the space on both sides."""
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
+    """The whole text in windows of about `size` bytes that end at spaces, each with the space on both sides."""
     data = normal(text).encode()
     out, at, last = [], 0, len(data) - 1
     while at < last:
-        end = min(at + WINDOW, last)
+        end = min(at + size, last)
         if end < last:
             space = data.rfind(b" ", at + 1, end)
             end = space if space > at else end
@@ -78,82 +83,48 @@ def distinct_texts(texts: list[str]) -> list[str]:
     return out
 
 
-def _grams(word: str) -> set[str]:
-    word = f" {word} "
-    return {word[i : i + GRAM] for i in range(len(word) - GRAM + 1)}
-
-
-def _frequencies(texts: list[str]) -> tuple[Counter, Counter]:
-    """Document frequencies of words of up to 32 characters, and of the 5-grams of these words."""
-    words, grams = Counter(), Counter()
-    for text in texts:
-        own = {w for w in normal(text).split(" ") if w and len(w) <= 32}
-        words.update(own)
-        grams.update(set().union(*map(_grams, own)) if own else ())
-    return words, grams
-
-
-def typical_words(own: tuple[Counter, Counter], n: int, other: tuple[Counter, Counter], m: int) -> list[str]:
-    """Words that hold all 5-grams typical of n texts against m others, commonest first."""
-    (words, grams), (_, against) = own, other
-    level = 2.0 * np.log(len(grams) + 2)
-
-    def log_likelihood(k: int, size: int, p: float) -> float:
-        return (k * np.log(p) if k else 0.0) + ((size - k) * np.log1p(-p) if size > k else 0.0)
-
-    typical = set()
-    for gram, k in grams.items():
-        j = against[gram]
-        if k >= 3 and k * (m + 1) > 20 * (j + 0.5) * n:
-            p = (k + j) / (n + m)
-            gain = log_likelihood(k, n, k / n) + log_likelihood(j, m, j / m) - log_likelihood(k, n, p) - log_likelihood(j, m, p)
-            if 2.0 * gain > level:
-                typical.add(gram)
-    out, held = [], set()
-    for word, _ in sorted(words.items(), key=lambda x: (-x[1], x[0])):
-        new = (_grams(word) & typical) - held
-        if new:
-            out.append(f" {word} ")
-            held |= new
-    return out
-
-
 @dataclass(frozen=True)
 class Model:
-    """Two dictionaries, the window threshold and the calibration; prior is used where there are no dictionaries."""
+    """The dictionaries and the calibration; without weights the score is the prior."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    threshold: float = 1.0
+    common: bytes = b""
+    scale: tuple[float, float] = (0.0, 1.0)
+    thresholds: tuple[float, ...] = ()
     weights: tuple[float, ...] = ()
     prior: float = 0.0
 
 
+def compressor(dictionary: bytes):
+    """Compress with a dictionary's content; entropy is coded per window, so that equal matches cost the same under any."""
+    import zstandard
+
+    content = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+
 class Scorer:
     def __init__(self, model: Model):
-        import zstandard
-
         self.model = model
-        self.lengths = []
-        for content in (model.ordinary, model.toxic):
-            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            words.precompute_compress(level=LEVEL)
-            self.lengths.append(
-                zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_content_size=False, write_checksum=False, write_dict_id=False).compress
-            )
-
-    def differences(self, text: str | None) -> np.ndarray:
-        ordinary, toxic = self.lengths
-        return np.array([len(ordinary(w)) - len(toxic(w)) for w in windows(text)], float)
-
-    def features(self, text: str | None, threshold: float) -> list[float]:
-        d = np.sort(self.differences(text))[::-1]
-        return [1.0, d[0], d.mean() * 4.0, d[:3].mean(), np.log1p((d >= threshold).sum()), (d >= threshold).mean() * 4.0]
+        self.ordinary, self.toxic = compressor(model.ordinary + model.common), compressor(model.toxic + model.common)
+
+    def differences(self, pieces: list[bytes]) -> np.ndarray:
+        """How much longer each piece is under the ordinary dictionary than under the toxic one."""
+        ordinary, toxic = self.ordinary, self.toxic
+        return np.array([len(ordinary(w)) - len(toxic(w)) for w in pieces], float)
+
+    def features(self, d: np.ndarray) -> list[float]:
+        mean, sd = self.model.scale
+        top = np.sort(d)[::-1][:3]
+        over = [np.log1p((d > t).sum()) for t in self.model.thresholds]
+        return [1.0, (top[0] - mean) / sd, (top.mean() - mean) / sd, 3.0 * (d.mean() - mean) / sd, *over]
 
     def score(self, text: str | None) -> float:
         if not self.model.weights:
             return self.model.prior
-        z = float(np.dot(self.features(text, self.model.threshold), self.model.weights))
+        z = float(np.dot(self.features(self.differences(windows(text))), self.model.weights))
         return 1.0 / (1.0 + np.exp(-min(max(z, -30.0), 30.0)))
 
 
@@ -170,40 +141,54 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> np.ndarray:
     return w
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """A model from sample texts of the two classes; two thirds make the dictionaries, one third calibrates."""
+def _dictionary(pieces: list[bytes], size: int, segment: int) -> bytes:
+    """A dictionary trained on pieces; where they are too few to train on, the pieces themselves."""
     import zstandard
 
+    try:
+        return zstandard.train_dictionary(size, pieces, k=segment, d=6).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(pieces)[-size:]
+
+
+def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, bytes]:
+    """(ordinary, toxic, common) from texts of the two classes, by mining windows across halves."""
+    common = _dictionary([w for t in ordinary for w in windows(t)], COMMON_BYTES, 64)
+    halves = [[[w for t in texts[f::2] for w in windows(t, TRAIN_WINDOW)] for f in (0, 1)] for texts in (ordinary, toxic)]
+    least = min(len(h) for side in halves for h in side)
+    mined = [[h[:: max(1, len(h) // least)] for h in side] for side in halves]
+
+    def own(pieces: list[bytes]) -> bytes:
+        return _dictionary(pieces, OWN_BYTES, TRAIN_WINDOW)
+
+    for _ in range(ROUNDS):
+        following: list[list] = [[[], []], [[], []]]
+        for f in (0, 1):
+            scorer = Scorer(Model(own(mined[0][f]), own(mined[1][f]), common))
+            for side, sign in ((0, 1.0), (1, -1.0)):
+                other = halves[side][1 - f]
+                order = np.argsort(sign * scorer.differences(other), kind="stable")
+                following[side][1 - f] = [other[i] for i in order[: max(TRAINABLE, int(MINED * len(other)))]]
+        mined = following
+    return own(mined[0][0] + mined[0][1]), own(mined[1][0] + mined[1][1]), common
+
+
+def train(toxic: list[str], ordinary: list[str]) -> Model:
+    """A model from sample texts of the two classes; two thirds train the dictionaries, one third calibrates."""
     prior = len(toxic) / max(1, len(toxic) + len(ordinary))
     toxic, ordinary = distinct_texts(toxic), distinct_texts(ordinary)
-    parts = [([t for i, t in enumerate(c) if i % 3 != 2] or c, [t for i, t in enumerate(c) if i % 3 == 2] or c) for c in (toxic, ordinary)]
-    if not toxic or not ordinary:
-        return Model(prior=prior if not ordinary else 0.0)
-    (toxic_base, toxic_rest), (plain_base, plain_rest) = parts
-    common_samples = [w for t in plain_base[:1_500] for w in windows(t)][:20_000]
-    try:
-        common = zstandard.train_dictionary(COMMON_BYTES, common_samples, k=64, d=6).as_bytes()
-    except zstandard.ZstdError:  # too few windows to train on: they are the dictionary themselves
-        common = b"".join(common_samples)[-COMMON_BYTES:]
-    tox, plain = _frequencies(toxic_base), _frequencies(plain_base)
-
-    def content(words: list[str]) -> bytes:
-        out = b""
-        for word in words:
-            if len(out) + len(word.encode()) <= TYPICAL_BYTES:
-                out = word.encode() + out
-        return b"\xff" * (TYPICAL_BYTES - len(out)) + out + common
-
-    draft = Model(
-        content(typical_words(plain, len(plain_base), tox, len(toxic_base))),
-        content(typical_words(tox, len(toxic_base), plain, len(plain_base))),
-    )
-    scorer = Scorer(draft)
-    rest, y = toxic_rest + plain_rest, np.array([1.0] * len(toxic_rest) + [0.0] * len(plain_rest))
-    greatest = np.array([scorer.differences(t).max() for t in rest])
-    threshold = max((float(t) for t in range(1, 9)), key=lambda t: ((greatest >= t)[y == 1].mean() - (greatest >= t)[y == 0].mean(), -t))
-    weights = _logistic(np.array([scorer.features(t, threshold) for t in rest]), y)
-    return Model(draft.ordinary, draft.toxic, threshold, tuple(weights.tolist()), prior)
+    if min(len(toxic), len(ordinary)) < TRAINABLE:
+        return Model(prior=prior if ordinary else 0.0)
+    base, rest = ([[t for i, t in enumerate(c) if (i % 3 == 2) == last] for c in (ordinary, toxic)] for last in (False, True))
+    scorer = Scorer(Model(*train_dictionaries(base[1], base[0])))
+    found = [[scorer.differences(windows(t)) for t in c] for c in rest]
+    plain = np.concatenate(found[0])
+    thresholds = tuple(float(np.quantile(plain, q)) for q in QUANTILES)
+    scorer = Scorer(Model(scorer.model.ordinary, scorer.model.toxic, scorer.model.common, (float(plain.mean()), float(max(plain.std(), 0.1))), thresholds))
+    x = np.array([scorer.features(d) for c in found for d in c])
+    weights = _logistic(x, np.repeat([0.0, 1.0], [len(c) for c in found]))
+    m = scorer.model
+    return Model(m.ordinary, m.toxic, m.common, m.scale, m.thresholds, tuple(weights.tolist()), prior)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -213,14 +198,14 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Model:
     """Train on at most sample[0] toxic and sample[1] ordinary texts of docs, labelled and not held out."""
-    short = docs.select("doc_id", "text").where(F.octet_length("text") <= SAMPLE_BYTES)
+    texts_of = docs.select("doc_id", "text").where("text is not null")
     known = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).select(F.col("doc_id").alias("label_id"), "toxic").distinct()
     # Ids alone are joined to choose the sample; then its texts are fetched by a broadcast of at most n ids.
-    present = known.join(short.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")
+    present = known.join(texts_of.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")
     texts = []
     for label, n in zip((1, 0), sample):
         ids = present.where(F.col("toxic") == label).orderBy(F.md5(F.col("label_id").cast("string")), "label_id").limit(n).select("label_id")
-        found = short.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+        found = texts_of.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
         order = [F.md5(F.col("doc_id").cast("string")), F.col("doc_id"), F.col("text")]
         texts.append([r["text"] for r in found.orderBy(*order).limit(n).select("text").toLocalIterator()])
     return train(*texts)
@@ -231,12 +216,9 @@ def score_column(model: Model):
 
     @F.pandas_udf("double")
     def scores(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = hash(model)
-        if key not in _WORKER:
-            _WORKER.clear()
-            _WORKER[key] = Scorer(model)
+        scorer = resident(("toxicity", model), lambda: Scorer(model))
         for batch in texts:
-            yield pd.Series([_WORKER[key].score(t if isinstance(t, str) else None) for t in batch], dtype="float64")
+            yield pd.Series([scorer.score(t if isinstance(t, str) else None) for t in batch], dtype="float64")
 
     return scores
 
@@ -251,4 +233,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents with a score below 0.5, with all their columns."""
     score = score_column(learn(docs, labels))
-    return docs.withColumn("__toxicity", score(F.col("text"))).where("__toxicity < 0.5").select(*docs.columns)
+    scored = docs.select(F.struct(*docs.columns).alias("row"), score(F.col("text")).alias("score"))
+    return scored.where("score < 0.5").select("row.*")
