@@ -409,7 +409,7 @@ def test_mix_meets_targets(docs, sample, none):
             if len(source[r.doc_id]) == 1:
                 assert r.target == pytest.approx(want[source[r.doc_id][0]]) and r.source_size == size[source[r.doc_id][0]]
         if table is sample:
-            assert all(abs(got[s] - want[s]) <= 0.05 * want[s] for s in want)
+            assert all(abs(got[s] - want[s]) <= 0.01 * want[s] for s in want)
             again = mixing.mix_documents(table.repartition(7)).collect()
             assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     assert mixing.mix_documents(none).count() == 0
@@ -424,6 +424,36 @@ def test_taken_rows_follow_the_plan(docs):
     assert Counter(r.doc_id for r in taken.collect()) == +planned
 
 
+def test_inclusion_rates_are_the_stated_ones(spark):
+    """Many sources of documents of the same sizes are many draws of one sample design."""
+    sizes = [40, 41, 42, 43, 40, 41, 42, 43, 17, 17, 16, 9, 9, 9, 9, 9, 3, 3, 1, 120]
+    rows = [(1_000 * d + k, f"w{d} " * n, f"s{d}") for d in range(400) for k, n in enumerate(sizes)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = mixing.plan_copies(table, weights=(1,), share=0.45).toPandas()
+    planned["k"] = planned["doc_id"] % 1_000
+    assert planned["copies"].isin([0, 1]).all()
+    for k, own in planned.groupby("k"):
+        p = own["inclusion"].iloc[0]
+        assert own["inclusion"].nunique() == 1 and abs(own["copies"].mean() - p) <= 4 * math.sqrt(max(p * (1 - p), 1e-9) / 400) + 0.02, k
+    # fixed sizes: each size class gives the same number of documents in every draw, and larger ones of a class are likelier
+    counts = planned.groupby(["source", "size"])["copies"].sum().unstack()
+    assert counts[9].nunique() == counts[17].nunique() == 1
+    of = planned.drop_duplicates("k").set_index("k")["inclusion"]
+    assert of[0] < of[1] or of[0] == of[1] in (0.0, 1.0)
+    words = (planned["copies"] * planned["size"]).groupby(planned["source"]).sum()
+    assert abs(words / (0.45 * sum(sizes)) - 1).max() <= 0.06
+
+
+def test_mix_edges(spark):
+    table = spark.createDataFrame([(None, f"t{i} " * 5, "a", 1) for i in range(40)] + [(7, None, "b", 2), (7, "", None, 3)], "doc_id long, text string, source string, u int")
+    taken = mixing.take_documents(table)
+    assert taken.columns == table.columns
+    assert taken.count() == sum(r.copies for r in mixing.plan_copies(table).collect())
+    words = sum(len(r.text.split()) for r in taken.where("source = 'a'").collect())
+    assert abs(words - 300) <= 5
+    assert mixing.take_documents(table.limit(0)).count() == 0
+
+
 # fingerprints -------------------------------------------------------------------------------
 def slow_tree(text: str) -> tuple[str, set]:
     chunk = re.compile(merkle.CHUNK)
@@ -573,6 +603,64 @@ def test_toxicity_is_learned_and_held_out(spark, sf_dir, docs, none):
     assert kept.columns == table.columns and kept.count() == sum(1 for x in got.values() if x.score < 0.5)
 
 
+def test_scores_are_compressed_length_differences():
+    import zstandard
+
+    words = ["alba", "borin", "cedo", "dunat", "ferol", "gimar", "hestu", "ilvan"]
+    r = random.Random(3)
+    plain = [" ".join(r.choice(words) + r.choice(words) for _ in range(80)) for _ in range(60)]
+    toxic = [t + " vilewort grobian " + " ".join(r.choice(words) for _ in range(9)) + " scheusal" for t in plain[:30]]
+    model = toxicity.train(toxic, plain[30:])
+    assert model.ordinary[:4] == model.toxic[:4] == model.common[:4] == (0xEC30A437).to_bytes(4, "little")  # all three come from the trainer
+    assert b"vilewort" in model.toxic and b"vilewort" not in model.ordinary + model.common
+
+    def length(window, content):
+        held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        held.precompute_compress(level=toxicity.LEVEL)
+        own = zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=held, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(own.compress(window))
+
+    text = toxic[0] + " " + plain[40]
+    pieces = toxicity.windows(text)
+    want = [length(w, model.ordinary + model.common) - length(w, model.toxic + model.common) for w in pieces]
+    scorer = toxicity.Scorer(model)
+    assert scorer.differences(pieces).tolist() == want
+    top = sorted(want, reverse=True)[:3]
+    x = [1.0, (top[0] - model.scale[0]) / model.scale[1], (sum(top) / 3 - model.scale[0]) / model.scale[1], 3 * (sum(want) / len(want) - model.scale[0]) / model.scale[1]]
+    x += [math.log1p(sum(v > t for v in want)) for t in model.thresholds]
+    z = sum(a * b for a, b in zip(x, model.weights))
+    assert scorer.score(text) == pytest.approx(1 / (1 + math.exp(-z)))
+    assert scorer.score(None) == scorer.score("") < 0.5
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, prose(i, 40) + (" vilewort grobian scheusal" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(200)]
+    long_one = prose(9_000, 20_000)
+    table = spark.createDataFrame([(i, t, "x", 1.0) for i, t, _ in rows] + [(900, None, "x", 2.0), (901, "", "x", 3.0), (902, long_one, "x", 4.0), (902, long_one, "x", 4.0), (None, "a", "x", 5.0)],
+                                  "doc_id long, text string, row string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(900, 1), (5_000, 1), (3, None)], "doc_id long, toxic int")
+    got = toxicity.score_documents(table, labels).collect()
+    by = defaultdict(set)
+    for x in got:
+        by[x.doc_id].add(x.score)
+    assert len(got) == 205 and len(by[902]) == 1 and by[900] == by[901] and max(by[900]) < 0.5
+    kept = toxicity.drop_toxic(table, labels)
+    assert kept.columns == table.columns and toxicity.drop_toxic(table.limit(0), labels).count() == 0
+    assert sorted(r.score for r in kept.where("doc_id >= 900 and doc_id < 902").collect()) == [2.0, 3.0]
+
+
+def test_key_filters_miss_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from termforge.llm.common import KeyFilter
+
+    marked = KeyFilter(spark.range(-30_000, 30_000, 3).toDF("k")).mark(spark.range(-30_000, 30_000), F.col("id"), "may")
+    counts = {(r.own, r.may): r["count"] for r in marked.groupBy((F.pmod("id", F.lit(3)) == 0).alias("own"), "may").count().collect()}
+    assert counts[True, True] == 20_000 and (True, False) not in counts
+    assert counts[False, True] <= 0.15 * 40_000
+    assert KeyFilter(spark.range(0).toDF("k")).mark(spark.range(10), F.col("id"), "may").where("may").count() == 0
+
+
 def test_windows_cover_the_whole_text():
     text = prose(8, 700) + " " + "y" * 500
     joined = b" ".join(w.strip(b" ") for w in toxicity.windows(text))

@@ -30,6 +30,29 @@ def test_stages_in_order(spark, sf_dir):
     assert all(r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() for r in five)
 
 
+def test_run_keeps_only_what_its_result_reads(spark, sf_dir):
+    from termforge.llm import common
+
+    before = common.written()
+    out = corpus_pipeline.run(spark, sf_dir.replace("sf0.01", "sf0.001"))
+    assert common.written() <= before + 1 + len(corpus_pipeline.STAGES) and out.count() > 0
+    common.release(spark, before)
+
+
+def test_stages_on_odd_tables(spark, sf_dir):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row int, score double, rid long, counts string, key string, __own int"
+    text = " ".join(f"wort{i}" for i in range(40))
+    rows = [(i, f"{text} own{i}{'x' * (i % 7)} tail{i * i}", "en", "a" if i % 3 else None, 1, 2, 3.0, 4, "c", "k", 5) for i in range(12)]
+    rows += [(None, f"{text} none", None, None, None, None, None, None, None, None, None)] * 2 + [(3, None, "en", "a", *[None] * 7), (4, "", "en", "b", *[None] * 7)]
+    for table in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        docs, n = table, table.count()
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i < len(corpus_pipeline.STAGES) - 1:
+                assert docs.columns == table.columns, name
+        assert n or docs.count() == 0
+
+
 def test_registered_names():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
