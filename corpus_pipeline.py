@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from termforge.config import ship_package
 from termforge.llm import bytebpe, mixing, ngramjoin, quality, toxicity
-from termforge.llm.common import materialize
+from termforge.llm.common import materialize, release, written
 from termforge.llm.queries import BYTE_RANKS
 
 #: No SQL: stages compress, fit and encode. Each is tested against a brute-force version.
@@ -61,9 +61,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself is deleted once its result stands; all
+    but the last stage's result, which the returned DataFrame reads, is gone then."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = written()
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, name.replace(" ", "-"))
+            release(spark, since, keep=docs)
     return docs
