@@ -13,12 +13,15 @@ its first 8 digits and its paragraphs, each as 8 digits and 6 digits a chunk:
 Equal roots mean equal texts. Where roots differ, the sections, then the paragraphs whose
 digits differ locate the edit (changed_paragraphs), without the texts.
 
-Likeness of two fingerprints: 1 where the roots are equal, else the Dice coefficient of their
-sets of chunk digits.
+Likeness of two fingerprints descends the tree. Sections whose digits are in both count as common with
+all their chunks, and are not looked into. In the rest, paragraphs whose digits are in both do,
+and in what then is left single chunks do. Likeness is twice the common chunks divided by those of
+both, each node counted once: 1 where all is common, 0 where nothing is.
 
 Scale. Built-in functions only. To see the next document, texts are dealt into ranges of
-doc_id, about RANGE_ROWS rows each, whose bounds are quantiles of the ids (at most MAX_RANGES
-numbers); each range also gets a copy of the first document of the following range. So texts
+doc_id of about RANGE_ROWS rows each, more beyond MAX_RANGES ranges; their bounds are quantiles of the ids. Documents without id
+follow all others by the digests of their texts, and are dealt by these. Each range
+also gets a copy of the first document of the following range, looked up in a table of one row a range. So texts
 are shuffled once and sorted within ranges, and no task sees all rows.
 
 Defined results. A null text counts as empty; an empty text has one empty chunk. Null
@@ -31,10 +34,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from termforge.llm.common import shared_dir
+from termforge.llm.common import materialize
 
 CHUNK = r"(?: *[^ ]+){1,8} *| +"
-RANGE_ROWS, MAX_RANGES = 3_000, 4_096
+RANGE_ROWS, MAX_RANGES = 3_000, 65_536
 ROOT, NODE, LEAF = 32, 8, 6
 
 
@@ -51,34 +54,55 @@ def _chunk_nodes(text: Column) -> Column:
 
 
 def with_tree(rows: DataFrame, text: Column, name: str) -> DataFrame:
-    """rows with columns `name` (the fingerprint) and `name`_leaves (array of its chunk digits) for a text."""
+    """rows with columns `name` (the fingerprint) and `name`_tree (its sections, paragraphs and chunks) for a text.
+
+    The tree is an array of sections (node, paragraphs), these of (node, chunks), with nodes as the fingerprint writes them.
+    """
     cut = lambda node, n: F.substring(node, 1, n)
     tree = rows.withColumn("__chunks", _chunk_nodes(text))
     tree = tree.withColumn("__paragraphs", F.transform("__chunks", lambda s: F.transform(s, lambda p: F.md5(F.array_join(p, "")))))
     tree = tree.withColumn("__sections", F.transform("__paragraphs", lambda s: F.md5(F.array_join(s, ""))))
-    tree = tree.withColumn("__leaves", F.transform("__chunks", lambda s: F.transform(s, lambda p: F.transform(p, lambda c: cut(c, LEAF)))))
+    nodes = F.transform(
+        F.arrays_zip(F.col("__sections").alias("s"), F.col("__paragraphs").alias("p"), F.col("__chunks").alias("c")),
+        lambda x: F.struct(
+            cut(x["s"], NODE).alias("node"),
+            F.zip_with(x["p"], x["c"], lambda p, c: F.struct(cut(p, NODE).alias("node"), F.transform(c, lambda k: cut(k, LEAF)).alias("chunks"))).alias("paragraphs"),
+        ),
+    )
+    tree = tree.withColumn(f"{name}_tree", nodes)
     written = F.transform(
-        F.arrays_zip(F.col("__sections").alias("s"), F.col("__paragraphs").alias("p"), F.col("__leaves").alias("c")),
-        lambda x: F.concat(
-            cut(x["s"], NODE),
-            F.lit(":"),
-            F.array_join(F.zip_with(x["p"], x["c"], lambda p, c: F.concat(cut(p, NODE), F.lit("="), F.array_join(c, ""))), ","),
+        f"{name}_tree",
+        lambda s: F.concat(
+            s["node"], F.lit(":"), F.array_join(F.transform(s["paragraphs"], lambda p: F.concat(p["node"], F.lit("="), F.array_join(p["chunks"], ""))), ",")
         ),
     )
     root = F.substring(F.sha2(F.array_join("__sections", ""), 256), 1, ROOT)
-    return (
-        tree.withColumn(name, F.concat(root, F.lit("|"), F.array_join(written, ";")))
-        .withColumn(f"{name}_leaves", F.array_distinct(F.flatten(F.flatten("__leaves"))))
-        .drop("__chunks", "__paragraphs", "__sections", "__leaves")
-    )
-
-
-def likeness(a: str, b: str) -> Column:
-    """Likeness of the fingerprints in columns a and b, made by with_tree."""
-    x, y = F.col(f"{a}_leaves"), F.col(f"{b}_leaves")
-    both, total = F.size(F.array_intersect(x, y)), F.size(x) + F.size(y)
-    dice = F.when(total > 0, 2.0 * both / total).otherwise(F.lit(0.0))
-    return F.when(F.substring(F.col(a), 1, ROOT) == F.substring(F.col(b), 1, ROOT), F.lit(1.0)).otherwise(dice)
+    return tree.withColumn(name, F.concat(root, F.lit("|"), F.array_join(written, ";"))).drop("__chunks", "__paragraphs", "__sections")
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
+def likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """rows with the likeness of the fingerprints in columns a and b, made by with_tree."""
+    nodes = lambda x: F.transform(x, lambda n: n["node"])
+    inside = lambda x, common: F.filter(x, lambda n: F.array_contains(common, n["node"]))
+    outside = lambda x, common: F.filter(x, lambda n: ~F.array_contains(common, n["node"]))
+    sized = lambda x, size: _sum(F.transform(F.array_distinct(F.transform(x, lambda n: F.struct(n["node"].alias("node"), size(n).alias("n")))), lambda y: y["n"]))
+    x, y = F.col(f"{a}_tree"), F.col(f"{b}_tree")
+    out = rows.withColumn("__sections", F.array_intersect(nodes(x), nodes(y)))
+    whole = sized(inside(x, F.col("__sections")), lambda n: _sum(F.transform(n["paragraphs"], lambda p: F.size(p["chunks"]))))
+    rest = {c: F.flatten(F.transform(outside(t, F.col("__sections")), lambda n: n["paragraphs"])) for c, t in (("__x", x), ("__y", y))}
+    out = out.withColumns({"__whole": whole, **rest}).withColumn("__paragraphs", F.array_intersect(nodes(F.col("__x")), nodes(F.col("__y"))))
+    more = sized(inside(F.col("__x"), F.col("__paragraphs")), lambda n: F.size(n["chunks"]))
+    left = {c: F.array_distinct(F.flatten(F.transform(outside(F.col(c), F.col("__paragraphs")), lambda n: n["chunks"]))) for c in ("__x", "__y")}
+    out = out.withColumns({"__whole": F.col("__whole") + more, **left})
+    common = F.col("__whole") + F.size(F.array_intersect("__x", "__y"))
+    total = 2 * F.col("__whole") + F.size("__x") + F.size("__y")
+    value = F.when(total > 0, 2.0 * common / F.greatest(total, F.lit(1))).otherwise(F.lit(0.0))
+    equal = F.substring(F.col(a), 1, ROOT) == F.substring(F.col(b), 1, ROOT)
+    return out.withColumn(name, F.when(equal, F.lit(1.0)).otherwise(value)).drop("__sections", "__whole", "__x", "__y", "__paragraphs")
 
 
 def changed_paragraphs(a: Column, b: Column) -> Column:
@@ -105,57 +129,53 @@ def changed_paragraphs(a: Column, b: Column) -> Column:
     return F.flatten(F.transform(pairs, within))
 
 
-def range_bounds(docs: DataFrame) -> list[int]:
-    """At most MAX_RANGES quantiles of doc_id that part the rows evenly; their number follows the row count."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    n = ids.count()
-    parts = min(MAX_RANGES, -(-n // RANGE_ROWS))
+def range_bounds(ids: DataFrame) -> tuple[list[int], int]:
+    """At most MAX_RANGES quantiles of doc_id that part the rows with an id evenly, and the number of ranges for those without."""
+    n = ids.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("named")).first()
+    parts = min(MAX_RANGES, -(-n["named"] // RANGE_ROWS))
+    unnamed = min(MAX_RANGES, max(1, -(-(n["all"] - n["named"]) // RANGE_ROWS)))
     if parts < 2:
-        return []
-    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000).alias("q")).first()["q"]
-    return sorted(set(found or []))
+        return [], unnamed
+    exact = max(10_000, min(1_000_000, 10 * parts))
+    found = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], exact).alias("q")).first()["q"]
+    return sorted(set(found)), unnamed
 
 
-def _range_of(doc_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds at or above the id: 0 for the greatest ids; null ids come last."""
+def _range_of(doc_id: Column, digest: Column, bounds: list[int], unnamed: int) -> Column:
+    """Number of bounds at or above the id: 0 for the greatest ids; null ids come last, by their leading digest digits."""
+    last = F.floor(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") * unnamed / float(16**8)).cast("int") + len(bounds) + 1
     if not bounds:
-        return F.lit(0)
-    listed = F.array(*[F.lit(b) for b in bounds])
-    place = F.array_position  # noqa: F841
-    lo, hi = F.lit(0), F.lit(len(bounds))
-    # Binary search, unrolled: the number of bounds below the id.
-    state = F.struct(lo.alias("lo"), hi.alias("hi"))
-    for _ in range(len(bounds).bit_length()):
-        state = F.transform(
-            F.array(state),
-            lambda s: F.when(s["lo"] >= s["hi"], s).otherwise(
-                F.when(
-                    F.get(listed, F.floor((s["lo"] + s["hi"]) / 2).cast("int")) < doc_id,
-                    F.struct((F.floor((s["lo"] + s["hi"]) / 2).cast("int") + 1).alias("lo"), s["hi"].alias("hi")),
-                ).otherwise(F.struct(s["lo"].alias("lo"), F.floor((s["lo"] + s["hi"]) / 2).cast("int").alias("hi")))
-            ),
-        )[0]
-    below = F.transform(F.array(state), lambda s: s["lo"])[0]
-    return F.when(doc_id.isNull(), F.lit(len(bounds) + 1)).otherwise(F.lit(len(bounds)) - below)
+        return F.when(doc_id.isNull(), last).otherwise(F.lit(0))
+    listed = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    # Binary search: the number of bounds below the id.
+    below = F.aggregate(
+        F.sequence(F.lit(1), F.lit(len(bounds).bit_length())),
+        F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s)
+        .when(F.get(listed, middle(s)) < doc_id, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
+        lambda s: s["lo"],
+    )
+    return F.when(doc_id.isNull(), last).otherwise(F.lit(len(bounds)) - below)
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, next_text: of the document that follows in descending doc_id; after the last, the first."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds = range_bounds(docs)
-    ids = picked.select("doc_id", _range_of(F.col("doc_id"), bounds).alias("part"))
-    firsts = sorted((r["part"], r["first"]) for r in ids.groupBy("part").agg(F.max("doc_id").alias("first")).collect())
-    if not firsts:
-        return picked.withColumn("next_text", F.col("text"))
-    # firsts has one row a range. The first of each range also closes the range before it.
-    parts = [p for p, _ in firsts]
-    heads = {first: parts[i - 1] for i, (_, first) in enumerate(firsts)}
-    known = [h for h in heads if h is not None]
-    closes = F.element_at(F.create_map(*[F.lit(x) for h in known for x in (h, heads[h])]), F.coalesce(F.col("doc_id"), F.lit(-1))) if known else F.lit(None).cast("int")
-    closes = F.when(F.col("doc_id").isNull(), F.lit(heads.get(None)).cast("int")).otherwise(closes)
-    own = F.struct(_range_of(F.col("doc_id"), bounds).alias("part"), F.lit(0).alias("guest"))
-    guest = F.when(closes.isNotNull(), F.array(own, F.struct(closes.alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(own))
-    dealt = picked.withColumn("__at", F.explode(guest)).select("doc_id", "text", "__at.part", "__at.guest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    picked = picked.withColumn("digest", F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))  # of unnamed rows only
+    bounds, unnamed = range_bounds(docs.select(F.col("doc_id").cast("long").alias("doc_id")))
+    ranged = picked.withColumn("part", _range_of(F.col("doc_id"), F.col("digest"), bounds, unnamed))
+    # One row a range: its first document, and the range before it, which that document closes.
+    heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head"), F.min("digest").alias("head_digest"))
+    before = F.coalesce(F.lag("part").over(Window.orderBy("part")), F.max("part").over(Window.partitionBy()))
+    heads = materialize(heads.select("head", "head_digest", before.alias("closes")), "merkle-heads")
+    named = F.col("doc_id").eqNullSafe(F.col("head")) & F.col("digest").eqNullSafe(F.col("head_digest"))
+    found = ranged.join(F.broadcast(heads), named, "left")
+    own = F.struct(F.col("part"), F.lit(0).alias("guest"))
+    places = F.when(F.col("closes").isNotNull(), F.array(own, F.struct(F.col("closes").alias("part"), F.lit(1).alias("guest")))).otherwise(F.array(own))
+    dealt = found.select("doc_id", "text", F.explode(places).alias("at")).select("doc_id", "text", "at.part", "at.guest")
     order = Window.partitionBy("part").orderBy("guest", F.col("doc_id").desc_nulls_last(), F.sha2("text", 256))
     return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").drop("part", "guest")
 
@@ -172,12 +192,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = with_tree(rows, F.col("text"), "fingerprint")
     rows = with_tree(rows, F.col("__edited"), "edited_fingerprint")
     rows = with_tree(rows, F.col("next_text"), "__next")
+    rows = likeness(rows, "fingerprint", "edited_fingerprint", "near_edited")
+    rows = likeness(rows, "fingerprint", "__next", "near_next")
     return rows.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("__edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
-        likeness("fingerprint", "__next").alias("near_next"),
+        "near_edited",
+        "near_next",
     )

@@ -59,13 +59,36 @@ def _print_sql(tree: str) -> str:
     return f"substr(sha256(array_to_string({sections}, '')), 1, 32) || '|' || array_to_string(list_transform({tree}, lambda s: {section}), ';')"
 
 
-def _leaves_sql(tree: str) -> str:
-    return f"list_distinct(list_transform(flatten(flatten({tree})), lambda c: substr(c, 1, 6)))"
-
-
-def _like_sql(a: str, b: str) -> str:
-    return f"""CASE WHEN substr(f{a}, 1, 32) = substr(f{b}, 1, 32) THEN 1.0::DOUBLE WHEN len(l{a}) + len(l{b}) = 0 THEN 0.0::DOUBLE
-      ELSE 2.0::DOUBLE * len(list_intersect(l{a}, l{b})) / (len(l{a}) + len(l{b})) END"""
+def _nodes_sql(tree: str) -> str:
+    """The lists as sections (node, paragraphs (node, chunks)), with nodes cut as fingerprints write them."""
+    return f"""list_transform({tree}, lambda s: {{'node': substr(md5(array_to_string(list_transform(s, lambda p: md5(array_to_string(p, ''))), '')), 1, 8),
+      'ps': list_transform(s, lambda p: {{'node': substr(md5(array_to_string(p, '')), 1, 8), 'cs': list_transform(p, lambda c: substr(c, 1, 6))}})}})"""
+
+
+def _like_sql(a: str, b: str) -> tuple[str, ...]:
+    """CTEs that follow y: common sections, then common paragraphs of the rest, then common chunks of what is left."""
+    n = f"{a}{b}"
+    names = lambda x: f"list_transform({x}, lambda n: n.node)"
+    sums = lambda x: f"coalesce(list_sum(list_transform(list_distinct({x}), lambda n: n.k)), 0)"
+    whole = sums(f"list_transform(list_filter(t{a}, lambda n: list_contains(s{n}, n.node)), lambda n: {{'node': n.node, 'k': list_sum(list_transform(n.ps, lambda p: len(p.cs)))}})")
+    rest = lambda t: f"flatten(list_transform(list_filter(t{t}, lambda n: NOT list_contains(s{n}, n.node)), lambda n: n.ps))"
+    more = sums(f"list_transform(list_filter(u{n}, lambda n: list_contains(p{n}, n.node)), lambda n: {{'node': n.node, 'k': len(n.cs)}})")
+    left = lambda t: f"list_distinct(flatten(list_transform(list_filter({t}{n}, lambda n: NOT list_contains(p{n}, n.node)), lambda n: n.cs)))"
+    return (
+        f"SELECT *, list_intersect({names('t' + a)}, {names('t' + b)}) AS s{n} FROM ",
+        f"SELECT *, {whole} AS k{n}, {rest(a)} AS u{n}, {rest(b)} AS v{n} FROM ",
+        f"SELECT *, list_intersect({names('u' + n)}, {names('v' + n)}) AS p{n} FROM ",
+        f"SELECT *, {more} AS m{n}, {left('u')} AS x{n}, {left('v')} AS y{n} FROM ",
+        f"""SELECT *, CASE WHEN substr(f{a}, 1, 32) = substr(f{b}, 1, 32) THEN 1.0::DOUBLE WHEN 2 * (k{n} + m{n}) + len(x{n}) + len(y{n}) = 0 THEN 0.0::DOUBLE
+          ELSE 2.0::DOUBLE * (k{n} + m{n} + len(list_intersect(x{n}, y{n}))) / (2 * (k{n} + m{n}) + len(x{n}) + len(y{n})) END AS like_{n} FROM """,
+    )
+
+
+def _chain(first: str, *steps: str) -> str:
+    out = first
+    for step in steps:
+        out = f"{step}({out})"
+    return out
 
 
 _FINGERPRINTS = f"""
@@ -73,8 +96,8 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, sha256(t))),
 e AS (SELECT *, substr(t, 1, length(t) - length(t) // 2) || substr(nt, 1, length(t) // 2) AS et FROM n),
 x AS (SELECT doc_id, length(t) AS n_chars, sha256(et) AS edited_sha256, {_tree_sql('t')} AS xa, {_tree_sql('et')} AS xb, {_tree_sql('nt')} AS xc FROM e),
-y AS (SELECT *, {_print_sql('xa')} AS fa, {_print_sql('xb')} AS fb, {_print_sql('xc')} AS fc, {_leaves_sql('xa')} AS la, {_leaves_sql('xb')} AS lb, {_leaves_sql('xc')} AS lc FROM x)
-SELECT doc_id, n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, {_like_sql('a', 'b')} AS near_edited, {_like_sql('a', 'c')} AS near_next FROM y"""
+y AS (SELECT *, {_print_sql('xa')} AS fa, {_print_sql('xb')} AS fb, {_print_sql('xc')} AS fc, {_nodes_sql('xa')} AS ta, {_nodes_sql('xb')} AS tb, {_nodes_sql('xc')} AS tc FROM x)
+SELECT doc_id, n_chars, edited_sha256, fa AS fingerprint, fb AS edited_fingerprint, like_ab AS near_edited, like_ac AS near_next FROM ({_chain('SELECT * FROM y', *_like_sql('a', 'b'), *_like_sql('a', 'c'))})"""
 
 _MIX = f"""
 WITH RECURSIVE z AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,

@@ -455,26 +455,57 @@ def test_mix_edges(spark):
 
 
 # fingerprints -------------------------------------------------------------------------------
-def slow_tree(text: str) -> tuple[str, set]:
+def slow_tree(text: str) -> tuple[str, list]:
+    """The fingerprint, and sections as (node, [(node, chunks)])."""
     chunk = re.compile(merkle.CHUNK)
     md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
-    sections, leaves, written = [], set(), []
+    sections, tree = [], []
     for s in text.split("\n\n"):
-        nodes, parts = [], []
+        parts, nodes = [], []
         for p in s.split("\n"):
             own = [md5(c) for c in chunk.findall(p)]
-            leaves |= {c[:6] for c in own}
             nodes.append(md5("".join(own)))
-            parts.append(nodes[-1][:8] + "=" + "".join(c[:6] for c in own))
+            parts.append((nodes[-1][:8], [c[:6] for c in own]))
         sections.append(md5("".join(nodes)))
-        written.append(sections[-1][:8] + ":" + ",".join(parts))
-    return hashlib.sha256("".join(sections).encode()).hexdigest()[:32] + "|" + ";".join(written), leaves
+        tree.append((sections[-1][:8], parts))
+    written = ";".join(node + ":" + ",".join(p + "=" + "".join(cs) for p, cs in parts) for node, parts in tree)
+    return hashlib.sha256("".join(sections).encode()).hexdigest()[:32] + "|" + written, tree
 
 
 def slow_likeness(a: tuple, b: tuple) -> float:
     if a[0][:32] == b[0][:32]:
         return 1.0
-    return 2.0 * len(a[1] & b[1]) / (len(a[1]) + len(b[1])) if a[1] or b[1] else 0.0
+    common = 0
+    x, y = a[1], b[1]
+    both = {n for n, _ in x} & {n for n, _ in y}
+    common += sum(sum(len(cs) for _, cs in parts) for parts in {n: parts for n, parts in x if n in both}.values())
+    x, y = ([p for n, parts in t if n not in both for p in parts] for t in (x, y))
+    both = {n for n, _ in x} & {n for n, _ in y}
+    common += sum(len(cs) for cs in {n: cs for n, cs in x if n in both}.values())
+    x, y = ({c for n, cs in t if n not in both for c in cs} for t in (x, y))
+    total = 2 * common + len(x) + len(y)
+    return 2.0 * (common + len(x & y)) / total if total else 0.0
+
+
+def test_likeness_descends_sections_and_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    one, two, three = (prose(70 + i, 60) for i in range(3))
+    a = f"{one}\n{two}\n\n{three}\n{one} end"
+    cases = [a, f"{three}\n{one} end\n\n{one}\n{two}", f"{one}\n{two} more\n\n{three}\n{one} end", f"{two}\n\nother words", "", "\n\n", f"{one}\n\n{one}\n\n{one}", a + "\n\n"]
+    rows = spark.createDataFrame([(x, y) for x in cases for y in cases], "x string, y string")
+    rows = merkle.with_tree(merkle.with_tree(rows, F.col("x"), "fx"), F.col("y"), "fy")
+    for r in merkle.likeness(rows, "fx", "fy", "near").select("x", "y", "near").collect():
+        assert r.near == pytest.approx(slow_likeness(slow_tree(r.x), slow_tree(r.y))), (r.x, r.y)
+        assert 0 <= r.near <= 1 and (r.near == 1 or r.x != r.y)
+
+
+def test_rows_without_ids_have_ranges_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 5)
+    table = spark.createDataFrame([(i if i % 3 else None, f"text {i}") for i in range(60)], "doc_id long, text string").repartition(4)
+    order = sorted(table.collect(), key=lambda r: (r.doc_id is None, -(r.doc_id or 0), hashlib.sha256(r.text.encode()).hexdigest() if r.doc_id is None else ""))
+    want = {r.text: order[(k + 1) % len(order)].text for k, r in enumerate(order)}
+    assert {r.text: r.next_text for r in merkle.with_next(table).collect()} == want
 
 
 @pytest.mark.parametrize("range_rows", [3_000, 7])
