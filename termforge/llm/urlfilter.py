@@ -5,12 +5,16 @@ starts with the rule's path; the longest rule (host and path together) wins. Whe
 the trees decide.
 
 Trees are trained from labelled URLs, which are those that a rule decides: a bounded sample,
-SAMPLE URLs of least MD5. Features: lengths of URL, host and path, depth, labels of the host,
+SAMPLE distinct URLs of least MD5, of hosts that are not held out (CRC-32 of the host, modulo HELD_OUT, not 0).
+Features: lengths of URL, host and path, depth, labels of the host,
 digit ratio, character entropy, parameter counts, and smoothed block rates of the host's last
-label and of the path's file suffix. The suffix rates count all labelled rows.
+label, of the path's file suffix and of its first five characters. Rates count all labelled rows; those of a labelled URL
+leave out the rows of its own fold of hosts (of FOLDS), so that no label is a feature of itself. Values without
+labels have the rate of all labelled rows.
 
-Scale: one pass for the sample, one to score, no text beyond URLs is read and nothing is
-shuffled but partial counts by suffix. Suffix tables are joined by join_per_key.
+Scale: built-in functions but for the trees, which score batches of feature columns. Labelled URLs are made distinct and
+counted by suffix; nothing else is shuffled and no text beyond URLs is read. The driver sees the sample
+only. Suffix tables are joined by join_per_key.
 
 Defined results. A null URL, or one without "://", has empty host and path, matches no
 rule and is judged by the trees on zero lengths. Ports and user names are part of the host as
@@ -39,9 +43,12 @@ RULES = (
 )
 SAMPLE = 20_000
 ROUNDS, DEPTH, RATE, BINS, LEAST_LEAF = 40, 3, 0.2, 32, 20
-SMOOTHING = 10.0
+SMOOTHING = 2.0
+FOLDS, HELD_OUT = 64, 5
 LEXICAL = ["url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "entropy", "n_parameters", "n_marks"]
-FEATURES = [*LEXICAL, "domain_rate", "file_rate"]
+#: Suffixes and starts whose block rates are features.
+RATES = ("domain", "file", "head")
+FEATURES = [*LEXICAL, *(f"{k}_rate" for k in RATES)]
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -64,40 +71,48 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return out.withColumn("rule", rule).withColumn("ruled", ruled)
 
 
-def with_suffixes(rows: DataFrame) -> DataFrame:
-    """rows with domain (the host's last label) and file (the path's suffix after its last dot, or empty)."""
-    domain = F.substring_index("host", ".", -1)
-    return rows.withColumn("domain", domain).withColumn("file", F.regexp_extract("path", r"\.([^./]*)$", 1))
-
-
-def suffix_rates(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """Smoothed share of block labels for each value of key, over all labelled rows."""
-    own = rows.where("ruled is not null").groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"), F.sum((F.col("ruled") == "block").cast("int")).alias("blocked")
-    )
-    return materialize(own.select(key, ((F.col("blocked") + SMOOTHING / 2) / (F.col("n") + SMOOTHING)).alias(name)), f"url-{name}")
-
-
-def lexical(urls: pd.Series, hosts: pd.Series, paths: pd.Series) -> np.ndarray:
-    """The lexical features of URLs, one row each."""
-    out = np.zeros((len(urls), len(LEXICAL)))
-    for i, (url, host, path) in enumerate(zip(urls, hosts, paths)):
-        url = url if isinstance(url, str) else ""
-        counts = np.array([url.count(c) for c in set(url)], float)
-        share = counts / max(1, len(url))
-        query = url.split("#", 1)[0].partition("?")[2]
-        out[i] = (
-            len(url),
-            len(host),
-            len(path),
-            sum(1 for p in path.split("/") if p),
-            host.count(".") + 1 if host else 0,
-            sum(map(url.count, "0123456789")) / max(1, len(url)),
-            -(share * np.log2(share)).sum() if len(share) else 0.0,
-            query.count("&") + 1 if query else 0,
-            sum(map(url.count, "-_%=~@")),
-        )
-    return out
+def fold(host: Column) -> Column:
+    """Fold 0 to FOLDS - 1 of a host."""
+    return (F.crc32(host.cast("binary")) % FOLDS).cast("int")
+
+
+def held_out(host: Column) -> Column:
+    """Whether a host's URLs are kept out of training."""
+    return F.crc32(host.cast("binary")) % HELD_OUT == 0
+
+
+def entropy(text: Column) -> Column:
+    """Bits a character of a text, from its own character counts; 0 for an empty text."""
+    n = F.greatest(F.length(text), F.lit(1))
+    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (F.length(text) - F.length(F.replace(text, c, F.lit("")))) / n)
+    return F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda total, p: total - p * F.log2(p))
+
+
+def with_lexical(rows: DataFrame) -> DataFrame:
+    """rows (with_rule) with the LEXICAL features and domain (the host's last label), file (the path's suffix after its last dot, or empty), head."""
+    url = F.coalesce(F.col("url"), F.lit(""))
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    counts = {
+        "url_length": F.length(url),
+        "host_length": F.length("host"),
+        "path_length": F.length("path"),
+        "depth": F.size(F.filter(F.split("path", "/"), lambda x: x != "")),
+        "host_labels": F.when(F.col("host") == "", 0).otherwise(F.regexp_count("host", F.lit(r"\.")) + 1),
+        "digit_ratio": F.regexp_count(url, F.lit("[0-9]")) / F.greatest(F.length(url), F.lit(1)),
+        "entropy": entropy(url),
+        "n_parameters": F.when(query == "", 0).otherwise(F.regexp_count(query, F.lit("&")) + 1),
+        "n_marks": F.regexp_count(url, F.lit("[-_%=~@]")),
+    }
+    keys = {"domain": F.substring_index("host", ".", -1), "file": F.regexp_extract("path", r"\.([^./]*)$", 1), "head": F.substring("path", 1, 5)}
+    return rows.withColumns({k: v.cast("double") for k, v in counts.items()} | keys | {"fold": fold(F.col("host"))})
+
+
+def suffix_rates(rows: DataFrame, key: str) -> DataFrame:
+    """For each value of key: n and blocked of all labelled rows, and arrays of the same by fold."""
+    blocked = (F.col("ruled") == "block").cast("long")
+    by_fold = [F.sum(F.when(F.col("fold") == f, x).otherwise(0)) for x in (F.lit(1), blocked) for f in range(FOLDS)]
+    own = rows.where("ruled is not null").groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(blocked).alias("blocked"), F.array(*by_fold[:FOLDS]).alias("ns"), F.array(*by_fold[FOLDS:]).alias("bs"))
+    return materialize(own, f"url-{key}-rates")
 
 
 @dataclass(frozen=True)
@@ -163,35 +178,37 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, depth: int = DEPTH
 
 
 def with_rates(rows: DataFrame) -> DataFrame:
-    """rows (with_rule) with domain_rate and file_rate; a suffix without labelled rows has rate one half."""
-    rows = with_suffixes(rows)
-    for key, name in (("domain", "domain_rate"), ("file", "file_rate")):
-        rows = join_per_key(rows, suffix_rates(rows, key, name), [key]).withColumn(name, F.coalesce(F.col(name), F.lit(0.5)))
+    """rows (with_lexical) with the rates; a labelled row's leave out its own fold."""
+    total = rows.where("ruled is not null").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("ruled") == "block").cast("long")).alias("b")).first()
+    prior = (total["b"] or 0) / max(1, total["n"])
+    for key in RATES:
+        rows = join_per_key(rows, suffix_rates(rows, key), [key])
+        out = F.col("ruled").isNotNull()  # of the labelled row, its fold is left out
+        n = F.col("n") - F.when(out, F.get("ns", F.col("fold"))).otherwise(0)
+        b = F.col("blocked") - F.when(out, F.get("bs", F.col("fold"))).otherwise(0)
+        rate = (b + SMOOTHING * prior) / (n + SMOOTHING)
+        rows = rows.withColumn(f"{key}_rate", F.coalesce(rate, F.lit(prior))).drop("n", "blocked", "ns", "bs")
     return rows
 
 
-def matrix(rows: pd.DataFrame) -> np.ndarray:
-    return np.hstack([lexical(rows["url"], rows["host"], rows["path"]), rows[["domain_rate", "file_rate"]].to_numpy(float)])
-
-
 def train(rows: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from the labelled rows (with_rates) of least MD5 of their URL."""
-    labelled = rows.where("ruled is not null and url is not null").select("url", "host", "path", "ruled", "domain_rate", "file_rate").distinct()
+    """Trees from the labelled rows (with_rates) of least MD5 of their URL, of hosts that are not held out."""
+    labelled = rows.where(F.col("ruled").isNotNull() & F.col("url").isNotNull() & ~held_out(F.col("host"))).select("url", "ruled", *FEATURES).distinct()
     own = labelled.orderBy(F.md5("url"), "url").limit(sample).toPandas()
-    return boost(matrix(own), (own["ruled"] == "block").to_numpy(float))
+    return boost(own[FEATURES].to_numpy(float), (own["ruled"] == "block").to_numpy(float))
 
 
 def judge_pages(pages: DataFrame, rules=RULES, sample: int = SAMPLE) -> DataFrame:
     """page_id, host, path, rule, verdict, score (of the trees: probability of block) of every page."""
-    rows = with_rates(with_rule(pages.select("page_id", "url"), rules))
+    rows = with_rates(with_lexical(with_rule(pages.select("page_id", "url"), rules)))
     trees = train(rows, sample)
 
     @F.pandas_udf("double")
-    def block(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for url, host, path, domain_rate, file_rate in batches:
-            x = matrix(pd.DataFrame({"url": url, "host": host, "path": path, "domain_rate": domain_rate, "file_rate": file_rate}))
+    def block(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(float) for c in columns])
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(trees.log_odds(x), -30, 30))))
 
-    scored = rows.withColumn("score", block("url", "host", "path", "domain_rate", "file_rate"))
+    scored = rows.withColumn("score", block(*FEATURES))
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("ruled", own).alias("verdict"), "score")
