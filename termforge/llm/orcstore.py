@@ -7,12 +7,13 @@ which ORC stores by its integer run-length encoding; stripes are the unit that r
 at. Each row also has its part number and its start within the part, so that a document's
 place among all ids needs only the totals of the parts.
 
-Scale. Texts are dealt into ranges by doc_id before they are encoded (the sampling for the
-ranges reads ids and texts, but runs no encoder), each task encodes and writes its range, and
-nothing is sorted after. Part totals, one row per file, are the only thing summed up globally.
+Scale. Texts are dealt into ranges by doc_id, and equal or null ids by the MD5 of their texts, before they are encoded
+(the sampling for the ranges runs no encoder), each task encodes and writes its range, and
+nothing is sorted after. A file has a stripe for about every STRIPE_BYTES of ids, and a stripe a row group for
+every ROW_GROUP documents, which the row index and the Bloom filters tell apart. Part totals, one row per file, are the only thing summed up globally.
 
 Defined results. A null text counts as empty; every document has at least the end id. Null
-doc_ids come first. Equal doc_ids are ordered by text. Repeated rows are stored as often as
+doc_ids come first. Equal doc_ids are ordered by the MD5 of their texts. Repeated rows are stored as often as
 they occur. An empty table gives a store without rows. Extra columns are not read.
 """
 
@@ -29,11 +30,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from termforge.config import ship_package
 from termforge.llm.common import BROADCAST_ROWS, fresh_path, materialize, resident
 
 END_ID = 2
-STRIPE_BYTES = 16 << 20
-ROW_GROUP = 10_000
+#: ORC allows no row groups of fewer than 1,000 rows.
+STRIPE_BYTES = 4 << 20
+ROW_GROUP = 1_000
 MEMO_WORDS, MEMO_CHARS, PARTED = 1_400_000, 64, 512
 PART = "^"
 #: Full stop or comma after a letter (Latin, but for the capital I with a dot, which lower-cases to two) and before a space.
@@ -119,8 +122,9 @@ def _runs(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[list, l
         yield ids, texts
 
 
-def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_ID) -> None:
+def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_ID, stripe_bytes: int = STRIPE_BYTES, row_group: int = ROW_GROUP) -> None:
     """Encode docs (doc_id, text) and write the store folder. tokenizer: a file present on every executor."""
+    ship_package(docs.sparkSession)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, start = _encoder(tokenizer), TaskContext.get().partitionId(), 0
@@ -143,14 +147,16 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
                 start += int(offsets[-1])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ranged = picked.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.md5(F.coalesce("text", F.lit("")))
+    ranged = picked.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     (
         ranged.mapInArrow(encode, STORE)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
         .option("orc.create.index", "true")
-        .option("orc.row.index.stride", ROW_GROUP)
-        .option("orc.stripe.size", STRIPE_BYTES)
+        .option("orc.row.index.stride", row_group)
+        .option("orc.stripe.size", stripe_bytes)
+        .option("orc.rows.between.memory.checks", row_group)
         .option("orc.encoding.strategy", "SPEED")
         .option("compression", "lz4")
         .orc(store)
