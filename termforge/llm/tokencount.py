@@ -7,8 +7,8 @@ worked out once, when the first word with that prefix arrives, and shared by all
 count at a word's last node is its token count. Documents then add up counts by word.
 
 The vocabulary is a public piece list in rank order. Its file has ranks and no probabilities,
-so piece scores follow Zipf's law by rank: log p = -log(rank + 10) - log(sum). Single bytes
-stand in for characters that no piece covers, at a score below all pieces.
+so piece scores follow Zipf's law by rank: log p = -log(rank + 10) - log(sum); any other scores can be passed.
+A character that no piece covers costs a score below all pieces and as many tokens as it has bytes.
 
 Scale: no shuffle and one pass. Words are counted in the task that reads them; a worker keeps
 the counts of at most MEMO_WORDS words and the trie of at most TRIE_NODES nodes and drops
@@ -53,7 +53,13 @@ class Trie:
 
     def __init__(self, scores: dict[str, float], byte_score: float):
         self.scores, self.byte_score = scores, byte_score
-        self.longest = max(map(len, scores), default=1)
+        # Pieces by their characters from the last to the first: walked back from an end, it gives all that end there.
+        self.backward: dict = {}
+        for piece, score in scores.items():
+            node = self.backward
+            for char in reversed(piece):
+                node = node.setdefault(char, {})
+            node[""] = score
         self.clear()
 
     def clear(self) -> None:
@@ -62,12 +68,18 @@ class Trie:
 
     def best(self, word: str, end: int, path: list) -> tuple[float, int]:
         """Best (score, pieces) of word[:end]; path holds the nodes of its proper prefixes."""
-        width = len(word[end - 1].encode())
-        score, pieces = path[end - 1][1] + width * self.byte_score, path[end - 1][2] + width
-        for start in range(max(0, end - self.longest), end):
-            own = self.scores.get(word[start:end])
+        before = path[end - 1]
+        score, pieces = before[1] + self.byte_score, before[2] + len(word[end - 1].encode())
+        node, start = self.backward, end
+        while start:
+            start -= 1
+            node = node.get(word[start])
+            if node is None:
+                break
+            own = node.get("")
             if own is not None:
-                s, p = path[start][1] + own, path[start][2] + 1
+                from_here = path[start]
+                s, p = from_here[1] + own, from_here[2] + 1
                 if s > score or s == score and p < pieces:
                     score, pieces = s, p
         return score, pieces
