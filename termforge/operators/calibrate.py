@@ -15,18 +15,32 @@ from termforge.functions.linear import platt
 from termforge.operators.probability import brier
 
 
-def fit_pooled(rows: DataFrame, keys: list[str], least: int = 20) -> DataFrame:
-    """a, b, n_fit for each key from p and actual; keys with fewer rows have none."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema) + ", a double, b double, n_fit long"
+def fit_pooled(rows: DataFrame, keys: list[str], least: int = 20, steps: int = 12) -> DataFrame:
+    """a, b, n_fit for each key from p and actual; keys with fewer rows have none.
 
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) < least:
-            return pd.DataFrame(columns=[*keys, "a", "b", "n_fit"], dtype=object)
-        g = g.sort_values(["p", "actual"], kind="stable")
-        a, b = platt(g["p"].to_numpy(float), g["actual"].to_numpy(float))
-        return pd.DataFrame([[*key, a, b, len(g)]], columns=[*keys, "a", "b", "n_fit"])
-
-    return rows.select(*keys, "p", "actual").groupBy(*keys).applyInPandas(fit, schema)
+    Newton steps on the log loss from a = 0 and the base rate's logit. A step needs five sums a key, which are
+    partial aggregates over counts by p, so a key of any size is never in one task. A negative slope is replaced by 0 and the
+    base rate, and slopes stop at 50.
+    """
+    z = logit(F.col("p"))
+    points = rows.where("p is not null and actual is not null").groupBy(*keys, z.alias("z")).agg(F.count(F.lit(1)).alias("n"), F.sum("actual").alias("y"))
+    rate = F.greatest(F.least(F.sum("y") / F.sum("n"), F.lit(1 - 1e-4)), F.lit(1e-4))
+    start = points.groupBy(*keys).agg(F.sum("n").alias("n_fit"), F.log(rate / (1 - rate)).alias("flat")).where(F.col("n_fit") >= least)
+    fit = start.select(*keys, "n_fit", "flat", F.lit(0.0).alias("a"), F.col("flat").alias("b"))
+    for _ in range(steps):
+        s = sigmoid(F.col("a") * F.col("z") + F.col("b"))
+        h = F.col("n") * s * (1 - s)
+        g = F.col("y") - F.col("n") * s
+        held = F.first
+        sums = points.join(fit, keys).groupBy(*keys).agg(
+            held("n_fit").alias("n_fit"), held("flat").alias("flat"), held("a").alias("a"), held("b").alias("b"),
+            F.sum(g * F.col("z")).alias("ga"), F.sum(g).alias("gb"), F.sum(h * F.col("z") * F.col("z")).alias("haa"), F.sum(h * F.col("z")).alias("hab"), F.sum(h).alias("hbb"),
+        )
+        haa, hbb = F.col("haa") + 1e-9, F.col("hbb") + 1e-9
+        det = haa * hbb - F.col("hab") * F.col("hab")
+        fit = sums.select(*keys, "n_fit", "flat", (F.col("a") + (hbb * F.col("ga") - F.col("hab") * F.col("gb")) / det).alias("a"), (F.col("b") + (haa * F.col("gb") - F.col("hab") * F.col("ga")) / det).alias("b"))
+    rising = F.col("a") > 0
+    return fit.select(*keys, F.when(rising, F.least("a", F.lit(50.0))).otherwise(0.0).alias("a"), F.when(rising, F.col("b")).otherwise(F.col("flat")).alias("b"), "n_fit")
 
 
 def apply_map(rows: DataFrame, coefficients: DataFrame, keys: list[str]) -> DataFrame:

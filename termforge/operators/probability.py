@@ -12,24 +12,34 @@ the number of weeks, whatever the size of the tables behind.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from termforge.functions.columns import auc_verdict, average_rank, barrier_hit, loadings, norm_cdf, reliability_bin
+from termforge.functions.columns import auc_verdict, barrier_hit, loadings, norm_cdf, reliability_bin
 
 
-def exceedance(forecasts: DataFrame, pool: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, weight_decay: float | None = None, least: int = 5) -> DataFrame:
+def exceedance(forecasts: DataFrame, pool: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, weight_decay: float | None = None, least: int = 5, default: float = 1e-4) -> DataFrame:
     """week_end, horizon, model, maturity, threshold, p_up, p_down, actual_up, actual_down, n_pool.
 
     weight_decay: weights weight_decay^(weeks since the residual was realised); None: equal.
+    A pool of fewer than `least` residuals gives the normal probability with covariance `default` times the identity.
     """
-    f = forecasts.alias("f").join(pool.alias("p"), ["horizon", "model"]).where("p.realized_date <= f.week_end")
+    keys = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ("horizon", "model")]
+    known = pool.select("horizon", "model", "realized_date", "r0", "r1", "r2").alias("p")
+    f = forecasts.alias("f").join(known, keys[0] & keys[1] & (F.col("p.realized_date") <= F.col("f.week_end")), "left")
+    f = f.select("f.*", "p.realized_date", "p.r0", "p.r1", "p.r2")
+    return pooled_exceedance(f, panel, maturities, thresholds, decay, weight_decay, least, default)
+
+
+def pooled_exceedance(f: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, weight_decay: float | None = None, least: int = 5, default: float = 1e-4) -> DataFrame:
+    """exceedance from forecasts that are already joined with their residuals (realized_date, r0, r1, r2; nulls where there are none)."""
     weight = F.lit(1.0) if weight_decay is None else F.pow(F.lit(weight_decay), F.datediff("week_end", "realized_date") / 7.0)
-    f = f.withColumn("w", weight)
+    f = f.withColumn("w", F.when(F.col("r0").isNotNull(), weight))
     cells = []
     for m in maturities:
         _, s, c = loadings(m, decay)
+        mean = F.col("beta0_hat") + F.lit(s) * F.col("beta1_hat") + F.lit(c) * F.col("beta2_hat")
         price = F.exp(F.col("beta0_hat") + F.col("r0") + F.lit(s) * (F.col("beta1_hat") + F.col("r1")) + F.lit(c) * (F.col("beta2_hat") + F.col("r2")))
-        cells.append(F.struct(F.lit(int(m)).alias("maturity"), price.alias("simulated")))
+        cells.append(F.struct(F.lit(int(m)).alias("maturity"), price.alias("simulated"), mean.alias("mean"), F.lit((default * (1 + s * s + c * c)) ** 0.5).alias("sd")))
     f = f.withColumn("x", F.explode(F.array(*cells))).select("week_end", "horizon", "model", "t_plus_h", "w", "x.*")
     current = panel.select("week_end", "maturity", F.col("price").alias("current_price"))
     f = f.join(current, ["week_end", "maturity"])
@@ -40,9 +50,22 @@ def exceedance(forecasts: DataFrame, pool: DataFrame, panel: DataFrame, maturiti
             (F.sum(F.when(F.col("simulated") > up, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"u{i}"),
             (F.sum(F.when(F.col("simulated") < down, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"d{i}"),
         ]
-    wide = f.groupBy("week_end", "horizon", "model", "maturity", "t_plus_h", "current_price").agg(F.count(F.lit(1)).alias("n_pool"), *shares)
-    wide = wide.where(F.col("n_pool") >= least)
-    rows = F.array(*[F.struct(F.lit(float(k)).alias("threshold"), F.col(f"u{i}").alias("p_up"), F.col(f"d{i}").alias("p_down")) for i, k in enumerate(thresholds)])
+    wide = f.groupBy("week_end", "horizon", "model", "maturity", "t_plus_h", "current_price", "mean", "sd").agg(F.count("w").alias("n_pool"), *shares)
+    few = F.col("n_pool") < least
+
+    def z(k: float) -> Column:
+        return (F.log(F.col("current_price") * (1 + k)) - F.col("mean")) / F.col("sd")
+
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(float(k)).alias("threshold"),
+                F.when(few, 1 - norm_cdf(z(k))).otherwise(F.col(f"u{i}")).alias("p_up"),
+                F.when(few, norm_cdf(z(-k))).otherwise(F.col(f"d{i}")).alias("p_down"),
+            )
+            for i, k in enumerate(thresholds)
+        ]
+    )
     long = wide.withColumn("t", F.explode(rows)).select("week_end", "horizon", "model", "maturity", "t_plus_h", "current_price", "n_pool", "t.*")
     realised = panel.select(F.col("week_end").alias("t_plus_h"), "maturity", F.col("price").alias("realised"))
     out = long.join(realised, ["t_plus_h", "maturity"], "left")
@@ -53,9 +76,23 @@ def exceedance(forecasts: DataFrame, pool: DataFrame, panel: DataFrame, maturiti
     )
 
 
-def gaussian_exceedance(forecasts: DataFrame, covariance: DataFrame, panel: DataFrame, maturities, thresholds, decay: float) -> DataFrame:
-    """Closed form for normal residuals: the log price is normal with mean and variance linear in the loadings."""
-    rows = forecasts.join(F.broadcast(covariance.drop("n")), ["horizon", "model"])
+def as_of(rows: DataFrame, table: DataFrame, columns: list[str], defaults: dict[str, float]) -> DataFrame:
+    """rows (horizon, model, week_end) with the columns that table (the same keys) last gave by the week, or defaults before its first."""
+    keys = ["horizon", "model", "week_end"]
+    weeks = rows.select(*keys).distinct().join(table.select(*keys, *columns), keys, "full")
+    w = Window.partitionBy("horizon", "model").orderBy("week_end").rowsBetween(Window.unboundedPreceding, 0)
+    filled = weeks.select(*keys, *[F.coalesce(F.last(c, True).over(w), F.lit(defaults[c])).alias(c) for c in columns])
+    return rows.join(filled, keys)
+
+
+def gaussian_exceedance(forecasts: DataFrame, covariance: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, default: float = 1e-4) -> DataFrame:
+    """Closed form for normal residuals: the log price is normal with mean and variance linear in the loadings.
+
+    covariance: horizon, model, week_end, s00..s22, one row for each date from which it is known; a forecast takes the last
+    known by its week (`default` times the identity before any).
+    """
+    six = [f"s{i}{j}" for i in range(3) for j in range(i, 3)]
+    rows = as_of(forecasts, covariance, six, {c: default if c[1] == c[2] else 0.0 for c in six})
     cells = []
     for m in maturities:
         _, s, c = loadings(m, decay)
@@ -67,7 +104,7 @@ def gaussian_exceedance(forecasts: DataFrame, covariance: DataFrame, panel: Data
     rows = rows.join(panel.select("week_end", "maturity", F.col("price").alias("current_price")), ["week_end", "maturity"])
     rows = rows.withColumn("threshold", F.explode(F.array(*[F.lit(float(k)) for k in thresholds])))
 
-    def z(sign: int):
+    def z(sign: int) -> Column:
         return (F.log(F.col("current_price") * (1 + sign * F.col("threshold"))) - F.col("mu")) / F.col("sd")
 
     return rows.select("week_end", "horizon", "model", "maturity", "threshold", (1 - norm_cdf(z(1))).alias("p_up"), norm_cdf(z(-1)).alias("p_down"), "mu", "sd")
@@ -96,16 +133,22 @@ def brier(rows: DataFrame, keys: list[str], least: int = 5) -> DataFrame:
     return out.withColumn("brier_skill", 1 - F.col("brier_score") / F.nullif(climate, F.lit(0.0)))
 
 
-def auc(rows: DataFrame, keys: list[str], least: int = 0) -> DataFrame:
-    """auc (ties share mean ranks; null where a class is empty), n_pos, n_neg, verdict of p and actual for each key."""
-    ranked = rows.withColumn("r", average_rank(F.col("p"), keys))
-    out = ranked.groupBy(*keys).agg(
-        F.sum(F.when(F.col("actual") == 1, F.col("r")).otherwise(0.0)).alias("rank_sum"),
-        F.sum((F.col("actual") == 1).cast("long")).alias("n_pos"),
-        F.sum((F.col("actual") == 0).cast("long")).alias("n_neg"),
-    ).where(F.col("n_pos") + F.col("n_neg") >= least)
-    pairs = F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
-    value = (F.col("rank_sum") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0) / pairs
+def auc(rows: DataFrame, keys: list[str], least: int = 0, buckets: int = 4_096) -> DataFrame:
+    """auc (ties count half; null where a class is empty), n_pos, n_neg, verdict of p and actual for each key.
+
+    Rows are folded to counts by p first. Running sums go over buckets of p, and within a bucket over its
+    values, so no task sorts all rows of a key.
+    """
+    bucket = F.least(F.greatest(F.floor(F.col("p") * buckets), F.lit(0)), F.lit(buckets)).cast("int")
+    points = rows.groupBy(*keys, "p").agg(F.sum((F.col("actual") == 1).cast("long")).alias("n1"), F.sum((F.col("actual") == 0).cast("long")).alias("n0")).withColumn("bucket", bucket)
+    sums = points.groupBy(*keys, "bucket").agg(F.sum("n0").alias("n"))
+    before = sums.withColumn("before", F.sum("n").over(Window.partitionBy(*keys).orderBy("bucket")) - F.col("n")).withColumnsRenamed({k: f"__{k}" for k in [*keys, "bucket"]}).drop("n")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, "bucket"]]
+    w = Window.partitionBy(*keys, "bucket").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = points.join(before, on).withColumn("below", F.col("before") + F.sum("n0").over(w) - F.col("n0") / 2.0)
+    out = ranked.groupBy(*keys).agg(F.sum(F.col("n1") * F.col("below")).alias("wins"), F.sum("n1").alias("n_pos"), F.sum("n0").alias("n_neg"))
+    out = out.where(F.col("n_pos") + F.col("n_neg") >= least)
+    value = F.col("wins") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0))
     return out.select(*keys, value.alias("auc"), "n_pos", "n_neg").withColumn("verdict", auc_verdict(F.col("auc"), F.col("n_pos"), F.col("n_neg")))
 
 
@@ -142,9 +185,10 @@ def embargo_counts(facts: DataFrame, at: DataFrame, window_weeks: int | None = N
 
     Counts are running sums over one row per date, so no pairs are formed.
     """
+    at = at.select("t").distinct()
     days = facts.groupBy("realized_date").agg(F.count(F.lit(1)).alias("n"))
     marks = days.select(F.col("realized_date").alias("t"), "n", F.lit(1).alias("d")).union(at.select("t", F.lit(0), F.lit(0)))
     start = Window.unboundedPreceding if window_weeks is None else -7 * window_weeks
     w = Window.orderBy(F.unix_date("t")).rangeBetween(start, 0)
     counted = marks.withColumn("n_used", F.sum("n").over(w)).withColumn("n_dates", F.sum("d").over(w))
-    return counted.join(at.distinct(), "t", "left_semi").where("d = 0").select("t", "n_used", "n_dates").distinct()
+    return counted.where("d = 0").select("t", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("n_dates", F.lit(0)).alias("n_dates"))

@@ -164,24 +164,6 @@ def residual_covariance(pool: DataFrame) -> DataFrame:
     return pool.groupBy("horizon", "model").agg(F.count(F.lit(1)).alias("n"), *[F.covar_samp(f"r{i}", f"r{j}").alias(f"s{i}{j}") for i, j in pairs])
 
 
-def stability(forecasts: DataFrame, size: int = 26) -> DataFrame:
-    """Week-to-week change of the coefficient norm, its trailing mean, and whether it ever again exceeds 1.5 x the terminal median."""
-    w = Window.partitionBy("horizon", "model").orderBy("week_end")
-    rows = forecasts.where("n_rows > 0").withColumn("change", F.abs(F.col("coef_norm") - F.lag("coef_norm").over(w)))
-    rows = rows.withColumn("smooth", F.avg("change").over(w.rowsBetween(1 - size, 0)))
-    later = F.row_number().over(Window.partitionBy("horizon", "model").orderBy(F.col("week_end").desc()))
-    rows = rows.withColumn("__age", later)
-    terminal = rows.where("__age <= 52").groupBy("horizon", "model").agg(F.percentile("change", F.lit(0.5)).alias("terminal"))
-    rows = rows.join(F.broadcast(terminal), ["horizon", "model"])
-    ahead = F.max("smooth").over(w.rowsBetween(0, Window.unboundedFollowing))
-    return rows.withColumn("stable", ahead <= 1.5 * F.col("terminal")).select("week_end", "horizon", "model", "n_rows", "coef_norm", "change", "smooth", "stable")
-
-
-def stabilisation_date(rows: DataFrame) -> DataFrame:
-    """First week from which the coefficients stay stable."""
-    return rows.groupBy("horizon", "model").agg(F.min(F.when(F.col("stable"), F.col("week_end"))).alias("stable_from"))
-
-
 def weighted_var(beta: np.ndarray, lags: int, decay: float) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients, residual covariance) of a vector autoregression with weights decaying by age."""
     n = len(beta) - lags

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termforge.plans import curves, scores, series
+from termforge.plans import curves, files, scores, series
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +15,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return series.Q | curves.Q | scores.Q
+    return series.Q | curves.Q | scores.Q | files.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return series.SQL | curves.SQL | scores.SQL
+    return series.SQL | curves.SQL | scores.SQL | files.SQL

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from termforge.functions.columns import loadings
-from termforge.operators import curve, hypothesis, probability, regress, weekly
+from termforge.functions.columns import effective_size, half_life, loadings
+from termforge.operators import curve, gram, hypothesis, probability, regress, weekly
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
 
 Q, SQL = {}, {}
-GRID = (0.8, 1.2, 1.6, 1.95, 2.4, 3.0, 4.0, 6.0, 9.0)
+#: 100 decays; settings for finer grids are parameters of the operators.
+GRID = tuple(round(0.6 + 0.1 * i, 1) for i in range(100))
 PAIR = (1.5, 4.5)
 
 
@@ -30,11 +33,11 @@ add("ns_fit_fixed_lambda", lambda s, d: rounded(fact(s, d).select("week_end", "b
 
 
 def _holes(spark, d):
-    p = panel(spark, d).where((F.dayofyear("week_end") + F.col("maturity") * 3) % 7 > 2)
+    p = weekly.curve_panel(table(spark, d, "lineitem").where("l_returnflag = 'R'"), "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity", MATURITIES)
     return rounded(curve.factors(p, MATURITIES, DECAY).select("week_end", "n_maturities", "beta0", "beta1", "beta2", "rmse"))
 
 
-add("ns_fit_missing_maturities", _holes, with_sql(PANEL, "part AS (SELECT * FROM panel WHERE (dayofyear(week_end) + maturity * 3) % 7 > 2)", load_sql([DECAY]), fit_sql("part"),
+add("ns_fit_missing_maturities", _holes, with_sql(PANEL.replace("WHERE", "WHERE l_returnflag = 'R' AND"), load_sql([DECAY]), fit_sql(),
     f"SELECT week_end, n_maturities, {_round_sql(['beta0', 'beta1', 'beta2', 'rmse'])} FROM fits"))
 
 add("lambda_grid_rmse", lambda s, d: rounded(curve.grid_rmse(panel(s, d), MATURITIES, GRID)), with_sql(PANEL, load_sql(GRID), fit_sql(),
@@ -82,7 +85,7 @@ add("fit_model_comparison", _compare, with_sql(PANEL, WIDE, *[_wide_sql(dc, lg,
     f"""SELECT model, n_weeks, {_round_sql(['mean_rmse', 'median_rmse', 'max_rmse', 'mean_r2', 'mean_aic', 'pct_flagged'], 4)},
     round(100.0::DOUBLE * ((SELECT mean_rmse FROM m WHERE model = 'ns_raw') - mean_rmse) / (SELECT mean_rmse FROM m WHERE model = 'ns_raw'), 4) AS improvement_pct FROM m"""))
 
-_PAIRS = curve.two_decay_grid((1.0, 1.5, 2.5), (3.0, 4.5, 6.0))
+_PAIRS = curve.two_decay_grid(tuple(1.0 + 0.5 * i for i in range(10)), tuple(1.5 + 0.75 * i for i in range(10)))
 
 
 def _pairs_sql() -> str:
@@ -178,15 +181,101 @@ def joined(spark, d):
     return fact(spark, d).select("week_end", "beta0", "beta1", "beta2").join(macro_wide(spark, d), "week_end", "left")
 
 
-def _backtest(spark, d, models=(1, 2, 3), horizons=(1, 4, 13)):
-    return regress.backtest(joined(spark, d), horizons, models, S.test_start, ["x1", "x2", "x3"], 1, S.ew_decay)
+MACROS = ("x1", "x2", "x3")
+_MACROS = """macros AS (SELECT week_end, """ + ", ".join(f"max(value) FILTER (series LIKE '{i}%') AS x{i}" for i in (1, 2, 3)) + """ FROM macro GROUP BY 1)"""
+_METRIC_SQL = """SELECT {keys}, round(sqrt(avg(error*error)), 5) AS rmse, round(avg(abs(error)), 5) AS mae,
+  round(avg((sign(actual - current_price) = sign(forecast - current_price))::INTEGER) FILTER (actual <> current_price), 5) AS hit_rate, count(*) AS n FROM err GROUP BY ALL"""
+
+
+def direct_sql(model: int, decay: float | None = None, first=S.test_start) -> list[str]:
+    """CTEs of a direct regression by the normal equations: ..., pairs, fit{model}, dir{model}, err{model}, err."""
+    n, xs = model, [0, 1, 2] + ([3, 4, 5] if model > 1 else [])
+    source = "SELECT week_end, beta0 AS v0, beta1 AS v1, beta2 AS v2" + (", x1 AS v3, x2 AS v4, x3 AS v5 FROM fact JOIN macros USING (week_end)" if model > 1 else " FROM fact")
+    complete = " AND ".join(f"v{i} IS NOT NULL" for i in xs)
+    means = f"means{n} AS (SELECT " + ", ".join(f"avg(v{i}) AS mean{i}" for i in xs) + f" FROM rows{n})"
+    pairs = " UNION ALL ".join(
+        f"SELECT week_end, {h} AS horizon, place, lead(week_end, {h}) OVER w AS t_plus_h, " + ", ".join([f"v{i} - mean{i} AS z{i + 1}" for i in xs] + [f"lead(v{i}, {h}) OVER w - mean{i} AS z{len(xs) + 1 + i}" for i in range(3)])
+        + f" FROM (SELECT *, row_number() OVER (ORDER BY week_end) AS place FROM rows{n}), means{n} WINDOW w AS (ORDER BY week_end)" for h in HORIZONS)
+    z = ["1.0::DOUBLE", *[f"z{i}" for i in range(1, len(xs) + 4)]]
+    k, size = len(xs) + 1, len(xs) + 4
+    weight = f"power({1.0 / decay!r}::DOUBLE, place) * " if decay else ""
+    at = "(PARTITION BY horizon ORDER BY week_end ROWS UNBOUNDED PRECEDING)"
+    step = f"SELECT horizon, t_plus_h, count(*) OVER w AS n_fit, " + ", ".join(f"sum({weight}{z[i]} * {z[j]}) OVER w AS g{i}_{j}" for i in range(size) for j in range(i, size)) + f" FROM pairs{n} WHERE t_plus_h IS NOT NULL WINDOW w AS {at}"
+    for p in range(k):
+        kept = [f"g{i}_{j}" for i in range(p + 1) for j in range(i, size)]
+        step = "SELECT horizon, t_plus_h, n_fit, " + ", ".join(kept + [f"g{i}_{j} - g{p}_{i} * g{p}_{j} / nullif(g{p}_{p}, 0) AS g{i}_{j}" for i in range(p + 1, size) for j in range(i, size)]) + f" FROM ({step})"
+    for y in range(3):
+        for p in reversed(range(k)):
+            step = f"SELECT *, (g{p}_{k + y}" + "".join(f" - g{p}_{q} * c{y}_{q}" for q in range(p + 1, k)) + f") / nullif(g{p}_{p}, 0) AS c{y}_{p} FROM ({step})"
+    fit = f"fit{n} AS (SELECT t_plus_h AS week_end, horizon, n_fit, " + ", ".join([f"c{y}_{p}" for y in range(3) for p in range(k)] + [f"g{k + y}_{k + y} AS rss{y}" for y in range(3)]) + f" FROM ({step}))"
+    hats = ", ".join(f"CASE WHEN n_fit >= {len(xs) + 3} THEN mean{y} + c{y}_0" + "".join(f" + c{y}_{p + 1} * (v{x} - mean{x})" for p, x in enumerate(xs)) + f" ELSE v{y} END AS b{y}" for y in range(3))
+    made = f"""dir{n} AS (SELECT week_end, horizon, {n} AS model, t_plus_h, n_fit, {hats} FROM (SELECT p.week_end, p.horizon, p.t_plus_h, r.* EXCLUDE week_end, f.* EXCLUDE (week_end, horizon) FROM pairs{n} p JOIN rows{n} r ON r.week_end = p.week_end
+      LEFT JOIN fit{n} f ON f.week_end = p.week_end AND f.horizon = p.horizon), means{n} WHERE week_end >= DATE '{first}')"""
+    err = f"""err{n} AS (SELECT {n} AS model, d.week_end, d.horizon, l.maturity, exp(b0 + l.s*b1 + l.c*b2) AS forecast, a.price AS actual, k.price AS current_price, exp(b0 + l.s*b1 + l.c*b2) - a.price AS error
+      FROM dir{n} d CROSS JOIN loads l JOIN panel a ON a.week_end = d.t_plus_h AND a.maturity = l.maturity LEFT JOIN panel k ON k.week_end = d.week_end AND k.maturity = l.maturity)"""
+    base = [FACT, MACRO, _MACROS] if model > 1 else [FACT]
+    return [*base, f"rows{n} AS (SELECT * FROM ({source}) WHERE {complete})", means, f"pairs{n} AS ({pairs})", fit, made, err] + ([f"err AS (SELECT * FROM err{n})"] if model == 1 else [])
+
+
+def _direct(spark, d, model, first=S.test_start, decay=None):
+    return gram.direct_forecasts(joined(spark, d), HORIZONS, first, model, MACROS if model > 1 else (), decay)
+
+
+def direct_models(spark, d, first=S.test_start):
+    """The forecasts of all four models."""
+    names = ["week_end", "horizon", "model", "beta0_hat", "beta1_hat", "beta2_hat", "t_plus_h"]
+    return reduce(DataFrame.unionByName, [regress.random_walk(fact(spark, d), HORIZONS, first).select(names), *[_direct(spark, d, m, first, S.ew_decay if m == 3 else None).select(names) for m in (1, 2, 3)]])
+
+
+def _errors(spark, d, *models):
+    f = reduce(DataFrame.unionByName, [_direct(spark, d, m, decay=S.ew_decay if m == 3 else None).drop("coef", "rss", "n_fit") for m in models])
+    return regress.forecast_errors(f, panel(spark, d), MATURITIES, DECAY)
+
+
+add("ar_direct_expanding", lambda s, d: rounded(regress.metrics(_errors(s, d, 1), ["model", "horizon", "maturity"]), 5), with_sql(*direct_sql(1), _METRIC_SQL.format(keys="model, horizon, maturity")))
+add("lp_macro_ew", lambda s, d: rounded(regress.metrics(_errors(s, d, 2, 3), ["model", "horizon"]), 5), with_sql(*direct_sql(2), *direct_sql(3, S.ew_decay)[3:],
+    "err AS (SELECT * FROM err2 UNION ALL SELECT * FROM err3)", _METRIC_SQL.format(keys="model, horizon")))
+
+
+def _last_coefficients(spark, d):
+    f = _direct(spark, d, 1).where("coef is not null")
+    last = f.groupBy("horizon").agg(F.max_by(F.struct("week_end", "n_fit", "coef", "rss"), "week_end").alias("x"))
+    rows = last.select("horizon", "x.*").select("horizon", "week_end", F.col("n_fit").cast("long").alias("n_fit"), "rss", F.posexplode("coef").alias("factor", "c"))
+    return rounded(rows.select("horizon", "week_end", "n_fit", "factor", *[F.col("c")[i].alias(n) for i, n in enumerate(("intercept", "slope0", "slope1", "slope2"))], F.sqrt(F.get("rss", F.col("factor")) / F.col("n_fit")).alias("residual_rmse")), 5)
 
 
-# Least squares on four regressors, expanding: checked against NumPy in the tests.
-add("ar_direct_expanding", lambda s, d: rounded(regress.metrics(regress.forecast_errors(_backtest(s, d, (1,)), panel(s, d), MATURITIES, DECAY), ["model", "horizon", "maturity"])))
-add("lp_macro_ew", lambda s, d: rounded(regress.metrics(regress.forecast_errors(_backtest(s, d, (2, 3)), panel(s, d), MATURITIES, DECAY), ["model", "horizon"])))
-add("ew_decay_search", lambda s, d: rounded(regress.decay_search(joined(s, d), panel(s, d), MATURITIES, DECAY, (0.97, 0.99, 0.997, 1.0), 4, 3, S.test_start, ["x1", "x2", "x3"])))
-add("coefficient_stability", lambda s, d: rounded(regress.stabilisation_date(regress.stability(_backtest(s, d, (1, 2))))))
+add("ar_direct_coefficients", _last_coefficients, with_sql(*direct_sql(1)[:-2], " UNION ALL ".join(
+    f"SELECT horizon, week_end, n_fit, {y} AS factor, round(mean{y} + c{y}_0 - c{y}_1 * mean0 - c{y}_2 * mean1 - c{y}_3 * mean2, 5) AS intercept, round(c{y}_1, 5) AS slope0, round(c{y}_2, 5) AS slope1, round(c{y}_3, 5) AS slope2, "
+    f"round(sqrt(rss{y} / n_fit), 5) AS residual_rmse FROM fit1, means1 WHERE n_fit >= 6 QUALIFY row_number() OVER (PARTITION BY horizon ORDER BY week_end DESC) = 1" for y in range(3))))
+
+
+def _decay_search(spark, d):
+    parts = []
+    for decay in S.ew_grid:
+        f = gram.direct_forecasts(joined(spark, d), [4], S.test_start, 3, MACROS, decay)
+        m = regress.metrics(regress.forecast_errors(f, panel(spark, d), [3], DECAY), ["model", "horizon"])
+        parts.append(m.select(F.lit(float(decay)).alias("decay"), "rmse", "mae", "n", F.lit(effective_size(decay)).alias("ess"), F.lit(half_life(decay)).alias("half_life_weeks")))
+    return rounded(reduce(DataFrame.unionByName, parts))
+
+
+add("ew_decay_search", _decay_search)
+
+
+def _stability(spark, d):
+    f = reduce(DataFrame.unionByName, [_direct(spark, d, m, "1990-01-01", S.ew_decay if m == 3 else None) for m in (1, 2, 3)])
+    return gram.stability(f)
+
+
+add("coefficient_stability", lambda s, d: rounded(gram.stabilisation_date(_stability(s, d)), 5))
+_CHANGE = """f1 AS (SELECT horizon, week_end, n_fit, """ + ", ".join(
+    [f"c{y}_{p} AS k{4 * y + p}" for y in range(3) for p in range(1, 4)] + [f"mean{y} + c{y}_0 - c{y}_1 * mean0 - c{y}_2 * mean1 - c{y}_3 * mean2 AS k{4 * y}" for y in range(3)]) + """ FROM fit1, means1 WHERE n_fit >= 6),
+ch AS (SELECT *, sqrt(""" + " + ".join(f"power(k{i} - lag(k{i}) OVER w, 2)" for i in range(12)) + """) AS change FROM f1 WINDOW w AS (PARTITION BY horizon ORDER BY week_end)),
+sm AS (SELECT *, CASE WHEN count(change) OVER r = 26 THEN avg(change) OVER r END AS smooth, count(change) OVER (PARTITION BY horizon) AS n_changes, row_number() OVER (PARTITION BY horizon ORDER BY week_end DESC) AS age
+  FROM ch WINDOW r AS (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)),
+ah AS (SELECT *, max(smooth) OVER (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM sm WHERE change IS NOT NULL),
+tm AS (SELECT horizon, median(change) AS terminal FROM ah WHERE age <= floor(n_changes * 0.2) GROUP BY 1)"""
+add("ar_direct_stability", lambda s, d: rounded(gram.stabilisation_date(gram.stability(_direct(s, d, 1, "1990-01-01"))), 5), with_sql(*[c.replace(f"WHERE week_end >= DATE '{S.test_start}'", "") for c in direct_sql(1)[:-2]], _CHANGE,
+    "SELECT ah.horizon, 1 AS model, max(n_changes) AS n_changes, round(max(terminal), 5) AS terminal, min(week_end) FILTER (smooth IS NOT NULL AND ahead <= 1.5 * terminal AND n_changes >= 52) AS stable_from FROM ah LEFT JOIN tm USING (horizon) GROUP BY 1"))
 
 _EXP = ", ".join(f"CASE WHEN count(*) OVER w >= 5 THEN covar_samp(r{i}, r{j}) OVER w ELSE {1e-4 if i == j else 0.0} END AS s{i}{j}" for i in range(3) for j in range(i, 3))
 _EXPANDING = f"ecov AS (SELECT horizon, 0 AS model, realized_date AS week_end, count(*) OVER w AS n, {_EXP} FROM pool WINDOW w AS (PARTITION BY horizon ORDER BY realized_date, origin ROWS UNBOUNDED PRECEDING))"
@@ -229,6 +318,17 @@ add("stationarity_tests", lambda s, d: rounded(hypothesis.stationarity(_series(s
 add("granger_ssr_f", lambda s, d: rounded(hypothesis.granger_tests(_gpairs(s, d))))
 add("granger_halves", lambda s, d: rounded(hypothesis.granger_halves(_gpairs(s, d), 2)))
 add("macro_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_gpairs(s, d)))))
+
+
+def _transform_pairs(spark, d):
+    """Every transform of every macro series against every factor; a cause is series:transform."""
+    t = weekly.macro_transforms(macro(spark, d), "value", "series")
+    causes = t.select("week_end", F.concat_ws(":", "series", "transform").alias("cause"), F.col("value").alias("x"))
+    return causes.join(fact(spark, d).unpivot(["week_end"], ["beta0", "beta1", "beta2"], "effect", "y"), "week_end")
+
+
+add("transform_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d)))))
+add("best_transforms", lambda s, d: rounded(hypothesis.best_transform(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d))))))
 add("multi_horizon_projection", lambda s, d: rounded(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
 add("signal_pattern", lambda s, d: hypothesis.signal_pattern(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
 add("residual_diagnostics", lambda s, d: rounded(hypothesis.diagnostics(_series(s, d))))
@@ -259,8 +359,8 @@ add("vif", lambda s, d: rounded(hypothesis.inflation(macro_wide(s, d), ["x1", "x
 
 
 def _emb(spark, d):
-    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v")).where("dim < 4")
+    rows = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("dim", "v"))
     return rounded(rows.groupBy("label", "dim").agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")), 5)
 
 
-add("embedding_moments", _emb, "SELECT label, (i - 1)::INTEGER AS dim, round(avg(embedding[i]::DOUBLE), 5) AS mean, round(stddev_samp(embedding[i]::DOUBLE), 5) AS sd FROM embeddings, range(1, 5) t(i) GROUP BY 1, 2")
+add("embedding_moments", _emb, "SELECT label, (i - 1)::INTEGER AS dim, round(avg(v), 5) AS mean, round(stddev_samp(v), 5) AS sd FROM (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY 1, 2")

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from termforge.functions.columns import logit, sigmoid, loadings
-from termforge.operators import calibrate, deal, probability, regress, weekly
-from termforge.plans.base import DECAY, FACT, MATURITIES, ORDERS, PANEL, WIDE, S, fact, panel, rewalk_sql, rounded, table, wide, with_sql
-from termforge.plans.curves import _POOL
+from termforge.operators import calibrate, deal, gram, probability, regress, weekly
+from termforge.plans.base import DECAY, FACT, MATURITIES, PANEL, WIDE, S, fact, panel, rewalk_sql, rounded, table, wide, with_sql
+from termforge.plans.curves import _POOL, direct_models, direct_sql
 
 Q, SQL = {}, {}
-H, CELLS, KS = 4, (1, 3), (0.02, 0.08)
-#: Forecasts from 1997 on with residuals of earlier weeks; documents and labels give a score and a binary outcome.
-_FIRST = "1999-01-01"
+HORIZONS, CELLS, KS = S.horizons, S.maturities, S.thresholds
+#: Forecasts from 1999 on, with residuals of the weeks from 1995 on; documents and labels give a score and a binary outcome.
+_FIRST, _BURN_IN = "1999-01-01", "1995-01-01"
 
 
 def add(name: str, query, sql: str | None = None) -> None:
@@ -23,7 +23,7 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 def _setup(spark, d):
     base = fact(spark, d)
-    every = regress.random_walk(base, [H], "1995-01-01")
+    every = regress.random_walk(base, HORIZONS, _BURN_IN)
     return every.where(F.col("week_end") >= F.lit(_FIRST).cast("date")), regress.residual_pool(every, base), panel(spark, d)
 
 
@@ -32,38 +32,81 @@ def probabilities(spark, d, weight=None):
     return probability.exceedance(forecasts, pool, p, CELLS, KS, DECAY, weight)
 
 
-_RW4 = rewalk_sql((H,)).replace(f"WHERE week_end >= DATE '{S.test_start}'", "WHERE week_end >= DATE '1995-01-01'")
+_RW4 = rewalk_sql(HORIZONS).replace(f"WHERE week_end >= DATE '{S.test_start}'", f"WHERE week_end >= DATE '{_BURN_IN}'")
+_GRID = ["cells(maturity, s, c) AS (VALUES " + ", ".join(f"({m}, {loadings(m, DECAY)[1]!r}::DOUBLE, {loadings(m, DECAY)[2]!r}::DOUBLE)" for m in CELLS) + ")", "ks(threshold) AS (VALUES " + ", ".join(f"({k}::DOUBLE)" for k in KS) + ")"]
 
 
-def _prob_sql(weight: str) -> list[str]:
-    cells = ", ".join(f"({m}, {loadings(m, DECAY)[1]!r}::DOUBLE, {loadings(m, DECAY)[2]!r}::DOUBLE)" for m in CELLS)
-    return [FACT, _RW4, _POOL, f"cells(maturity, s, c) AS (VALUES {cells})", "ks(threshold) AS (VALUES " + ", ".join(f"({k}::DOUBLE)" for k in KS) + ")",
-        f"""sim AS (SELECT rw.week_end, rw.horizon, rw.t_plus_h, c.maturity, k.price AS cur, {weight} AS w,
-          exp(rw.beta0 + p.r0 + c.s * (rw.beta1 + p.r1) + c.c * (rw.beta2 + p.r2)) AS f
-          FROM rw JOIN pool p ON p.horizon = rw.horizon AND p.realized_date <= rw.week_end CROSS JOIN cells c
-          JOIN panel k ON k.week_end = rw.week_end AND k.maturity = c.maturity WHERE rw.week_end >= DATE '{_FIRST}')""",
-        """probs AS (SELECT s.week_end, s.horizon, 0 AS model, s.maturity, ks.threshold,
-          sum(CASE WHEN f > cur * (1 + threshold) THEN w ELSE 0 END) / sum(w) AS p_up, sum(CASE WHEN f < cur * (1 - threshold) THEN w ELSE 0 END) / sum(w) AS p_down,
+def phi_sql(z: str) -> str:
+    """The normal distribution function by the textbook polynomial that the engine uses, of a column or expression in parentheses."""
+    x = f"(abs({z}) / sqrt(2.0::DOUBLE))"
+    t = f"(1 / (1 + 0.3275911 * {x}))"
+    poly = f"({t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429)))))"
+    erf = f"(1 - {poly} * exp(-{x} * {x}))"
+    return f"(CASE WHEN {z} >= 0 THEN 0.5 * (1 + {erf}) ELSE 0.5 * (1 - {erf}) END)"
+
+
+def probs_sql(forecasts: str, pool: str, weight: str, name: str = "probs") -> list[str]:
+    """CTEs of exceedance: forecasts (week_end, horizon, model, beta0..2, t_plus_h), pool (horizon, model, realized_date, r0..2)."""
+    return [
+        f"""{name}_sim AS (SELECT f.week_end, f.horizon, f.model, f.t_plus_h, c.maturity, k.price AS cur, CASE WHEN p.r0 IS NOT NULL THEN {weight} END AS w, f.beta0 + c.s * f.beta1 + c.c * f.beta2 AS mu,
+          sqrt(1e-4 * (1 + c.s * c.s + c.c * c.c)) AS sd, exp(f.beta0 + p.r0 + c.s * (f.beta1 + p.r1) + c.c * (f.beta2 + p.r2)) AS f
+          FROM {forecasts} f CROSS JOIN cells c JOIN panel k ON k.week_end = f.week_end AND k.maturity = c.maturity
+          LEFT JOIN {pool} p ON p.horizon = f.horizon AND p.model = f.model AND p.realized_date <= f.week_end)""",
+        f"""{name} AS (SELECT s.week_end, s.horizon, s.model, s.maturity, ks.threshold,
+          CASE WHEN count(w) >= 5 THEN sum(CASE WHEN f > cur * (1 + threshold) THEN w ELSE 0 END) / sum(w) ELSE 1 - {phi_sql('((ln(any_value(cur) * (1 + threshold)) - any_value(mu)) / any_value(sd))')} END AS p_up,
+          CASE WHEN count(w) >= 5 THEN sum(CASE WHEN f < cur * (1 - threshold) THEN w ELSE 0 END) / sum(w) ELSE {phi_sql('((ln(any_value(cur) * (1 - threshold)) - any_value(mu)) / any_value(sd))')} END AS p_down,
           CASE WHEN a.price IS NOT NULL THEN (a.price > any_value(cur) * (1 + threshold))::INTEGER END AS actual_up,
-          CASE WHEN a.price IS NOT NULL THEN (a.price < any_value(cur) * (1 - threshold))::INTEGER END AS actual_down, count(*) AS n_pool
-          FROM sim s CROSS JOIN ks LEFT JOIN panel a ON a.week_end = s.t_plus_h AND a.maturity = s.maturity
-          GROUP BY s.week_end, s.horizon, s.maturity, ks.threshold, a.price HAVING count(*) >= 5)""",
-    ]
+          CASE WHEN a.price IS NOT NULL THEN (a.price < any_value(cur) * (1 - threshold))::INTEGER END AS actual_down, count(w) AS n_pool
+          FROM {name}_sim s CROSS JOIN ks LEFT JOIN panel a ON a.week_end = s.t_plus_h AND a.maturity = s.maturity
+          GROUP BY s.week_end, s.horizon, s.model, s.maturity, ks.threshold, a.price)""",
+    ]
+
+
+_FROM_RW = [f"now AS (SELECT *, 0 AS model FROM rw WHERE week_end >= DATE '{_FIRST}')", "known AS (SELECT *, 0 AS model FROM pool)"]
+
+
+def _prob_sql(weight: str) -> list[str]:
+    return [FACT, _RW4, _POOL, *_GRID, *_FROM_RW, *probs_sql("now", "known", weight)]
 
 
 _P = _prob_sql("1.0::DOUBLE")
 _SHOWN = "SELECT week_end, horizon, model, maturity, threshold, round(p_up, 6) AS p_up, round(p_down, 6) AS p_down, actual_up, actual_down, n_pool FROM probs"
 add("bootstrap_exceedance_rw", lambda s, d: rounded(probabilities(s, d)), with_sql(*_P, _SHOWN))
-add("weighted_bootstrap_exceedance", lambda s, d: rounded(probabilities(s, d, 0.997)), with_sql(*_prob_sql("power(0.997, (rw.week_end - p.realized_date) / 7.0::DOUBLE)"), _SHOWN))
+_BY_AGE = "power(0.997, (f.week_end - p.realized_date) / 7.0::DOUBLE)"
+add("weighted_bootstrap_exceedance", lambda s, d: rounded(probabilities(s, d, 0.997)), with_sql(*_prob_sql(_BY_AGE), _SHOWN))
+
+
+def _small_pools(spark, d):
+    """The first weeks after a burn-in that starts late: pools of no, few and enough residuals."""
+    base = fact(spark, d)
+    every = regress.random_walk(base, HORIZONS, _FIRST)
+    early = every.where(F.col("week_end") <= F.lit("1999-09-30").cast("date"))
+    return probability.exceedance(early, regress.residual_pool(every, base), panel(spark, d), CELLS, KS, DECAY)
+
+
+add("exceedance_small_pools", lambda s, d: rounded(_small_pools(s, d), 5), with_sql(FACT, _RW4.replace(_BURN_IN, _FIRST), _POOL, *_GRID, "now AS (SELECT *, 0 AS model FROM rw WHERE week_end <= DATE '1999-09-30')", _FROM_RW[1],
+    *probs_sql("now", "known", "1.0::DOUBLE"), _SHOWN.replace(", 6)", ", 5)")))
 
 
 def _gauss(spark, d):
+    """Each week's normal probabilities by the covariance of the residuals realised by then."""
     forecasts, pool, p = _setup(spark, d)
-    return probability.gaussian_exceedance(forecasts, regress.residual_covariance(pool), p, CELLS, KS, DECAY)
+    return probability.gaussian_exceedance(forecasts, regress.expanding_covariance(pool).drop("n"), p, CELLS, KS, DECAY)
 
 
-add("gaussian_exceedance", lambda s, d: rounded(_gauss(s, d)))
-add("price_bands", lambda s, d: rounded(probability.price_bands(_gauss(s, d), {"p05": -1.6448536269514722, "p50": 0.0, "p95": 1.6448536269514722}), 4))
+_SIX = [(i, j) for i in range(3) for j in range(i, 3)]
+_LOAD = ("1", "c.s", "c.c")
+_GAUSS = [FACT, _RW4, _POOL, *_GRID, *_FROM_RW,
+    "ecov AS (SELECT horizon, realized_date AS week_end, count(*) OVER w AS n, " + ", ".join(f"CASE WHEN count(*) OVER w >= 5 THEN covar_samp(r{i}, r{j}) OVER w ELSE {1e-4 if i == j else 0.0} END AS s{i}{j}" for i, j in _SIX)
+    + " FROM pool WINDOW w AS (PARTITION BY horizon ORDER BY realized_date, origin ROWS UNBOUNDED PRECEDING))",
+    "gs AS (SELECT now.*, " + ", ".join(f"coalesce(e.s{i}{j}, {1e-4 if i == j else 0.0}) AS s{i}{j}" for i, j in _SIX) + " FROM now ASOF LEFT JOIN ecov e ON e.horizon = now.horizon AND e.week_end <= now.week_end)",
+    "gm AS (SELECT gs.week_end, gs.horizon, gs.model, c.maturity, k.price AS cur, beta0 + c.s * beta1 + c.c * beta2 AS mu, sqrt(" + " + ".join(f"{1 if i == j else 2} * {_LOAD[i]} * {_LOAD[j]} * s{i}{j}" for i, j in _SIX)
+    + ") AS sd FROM gs CROSS JOIN cells c JOIN panel k ON k.week_end = gs.week_end AND k.maturity = c.maturity)",
+    f"gauss AS (SELECT *, 1 - {phi_sql('zu')} AS p_up, {phi_sql('zd')} AS p_down FROM (SELECT gm.*, threshold, (ln(cur * (1 + threshold)) - mu) / sd AS zu, (ln(cur * (1 - threshold)) - mu) / sd AS zd FROM gm CROSS JOIN ks))"]
+add("gaussian_exceedance", lambda s, d: rounded(_gauss(s, d), 5), with_sql(*_GAUSS, "SELECT week_end, horizon, model, maturity, threshold, " + ", ".join(f"round({c}, 5) AS {c}" for c in ("p_up", "p_down", "mu", "sd")) + " FROM gauss"))
+_Q = {"p05": -1.6448536269514722, "p50": 0.0, "p95": 1.6448536269514722}
+add("price_bands", lambda s, d: rounded(probability.price_bands(_gauss(s, d), _Q), 3), with_sql(*_GAUSS, "SELECT DISTINCT week_end, horizon, model, maturity, " + ", ".join(f"round(exp(mu + {z!r} * sd), 3) AS {n}" for n, z in _Q.items()) + " FROM gauss"))
+
 
 def _both(spark, d):
     """Brier skill of the pooled and of the Gaussian probabilities, each against the same outcomes."""
@@ -72,15 +115,73 @@ def _both(spark, d):
     normal = _gauss(spark, d).select(*keys, "p_up", "p_down").join(pooled.select(*keys, "actual_up", "actual_down"), keys)
     a = probability.brier(probability.by_direction(pooled), KEYS).select(*KEYS, F.col("brier_score").alias("brier_pool"), F.col("brier_skill").alias("skill_pool"))
     b = probability.brier(probability.by_direction(normal), KEYS).select(*KEYS, F.col("brier_score").alias("brier_normal"), F.col("brier_skill").alias("skill_normal"))
-    return rounded(a.join(b, KEYS).withColumn("pool_better", F.col("brier_pool") < F.col("brier_normal")))
+    return rounded(a.join(b, KEYS).withColumn("pool_better", F.col("brier_pool") < F.col("brier_normal")), 5)
+
 
+KEYS = ["model", "horizon", "maturity", "threshold", "direction"]
+_K = ", ".join(KEYS)
 
-add("gaussian_vs_bootstrap", _both)
+
+def _brier_sql(source: str, kind: str) -> str:
+    return f"""b_{kind} AS (SELECT {_K}, avg((p - actual) * (p - actual)) AS brier_{kind}, 1 - avg((p - actual) * (p - actual)) / nullif(avg(actual) * (1 - avg(actual)), 0) AS skill_{kind}
+      FROM (SELECT horizon, model, maturity, threshold, unnest(['up', 'down']) AS direction, unnest([p_up, p_down]) AS p, unnest([actual_up, actual_down]) AS actual FROM {source}) WHERE actual IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)"""
+
+
+add("gaussian_vs_bootstrap", _both, with_sql(*_GAUSS, *probs_sql("now", "known", "1.0::DOUBLE"), "gp AS (SELECT g.* EXCLUDE cur, p.actual_up, p.actual_down FROM gauss g JOIN probs p USING (week_end, horizon, model, maturity, threshold))",
+    _brier_sql("probs", "pool"), _brier_sql("gp", "normal"), f"SELECT {_K}, round(brier_pool, 5) AS brier_pool, round(skill_pool, 5) AS skill_pool, round(brier_normal, 5) AS brier_normal, round(skill_normal, 5) AS skill_normal, brier_pool < brier_normal AS pool_better FROM b_pool JOIN b_normal USING ({_K})"))
+
+# models 1 to 3 -------------------------------------------------------------------------------
+def walk_forward(spark, d):
+    """Exceedance of all four models from residuals realised by each week; those of model 3 weigh less with age."""
+    base = fact(spark, d)
+    every = direct_models(spark, d, _BURN_IN)
+    now, pool = every.where(F.col("week_end") >= F.lit(S.test_start)), regress.residual_pool(every, base)
+    parts = [probability.exceedance(now.where(c), pool.where(c), panel(spark, d), CELLS, KS, DECAY, w) for c, w in (("model < 3", None), ("model = 3", S.ew_decay))]
+    return parts[0].unionByName(parts[1])
+
+
+_ALL = [*direct_sql(1, first=_BURN_IN)[:-1], *direct_sql(2, first=_BURN_IN)[1:], *direct_sql(3, S.ew_decay, first=_BURN_IN)[3:],
+    "ev AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT week_end, horizon, {m} AS model, {', '.join(f'b{i} AS beta{i}' for i in range(3))}, t_plus_h FROM dir{m}" for m in (1, 2, 3)) + f" UNION ALL SELECT week_end, horizon, 0, beta0, beta1, beta2, t_plus_h FROM rw))",
+    f"now AS (SELECT * FROM ev WHERE week_end >= DATE '{S.test_start}')", "known AS (SELECT ev.horizon, ev.model, ev.t_plus_h AS realized_date, " + ", ".join(f"f.beta{i} - ev.beta{i} AS r{i}" for i in range(3)) + " FROM ev JOIN fact f ON f.week_end = ev.t_plus_h)"]
+_ALL.insert(1, _RW4)
+_WALK = [*_ALL, *_GRID, *probs_sql("now", "known", f"CASE WHEN f.model = 3 THEN {_BY_AGE} ELSE 1.0::DOUBLE END")]
+add("walkforward_exceedance", lambda s, d: walk_forward(s, d).groupBy("horizon", "model", "maturity", "threshold").agg(
+    F.count(F.lit(1)).alias("n"), F.round(F.avg("p_up"), 4).alias("mean_p_up"), F.round(F.avg("p_down"), 4).alias("mean_p_down"), F.sum("actual_up").alias("ups"), F.sum("actual_down").alias("downs"), F.min("n_pool").alias("least_pool")),
+    with_sql(*_WALK, "SELECT horizon, model, maturity, threshold, count(*) AS n, round(avg(p_up), 4) AS mean_p_up, round(avg(p_down), 4) AS mean_p_down, sum(actual_up)::BIGINT AS ups, sum(actual_down)::BIGINT AS downs, min(n_pool) AS least_pool FROM probs GROUP BY ALL"))
+add("walkforward_brier", lambda s, d: rounded(probability.brier(probability.by_direction(walk_forward(s, d)), KEYS).select(*KEYS, F.col("brier_score").alias("brier_all"), F.col("brier_skill").alias("skill_all")), 4), with_sql(*_WALK,
+    _brier_sql("probs", "all"), f"SELECT {_K}, round(brier_all, 4) AS brier_all, round(skill_all, 4) AS skill_all FROM b_all"))
+_SCAN = ["model", "horizon", "direction"]
+
+
+def _walk_auc(spark, d):
+    rows = probability.by_direction(walk_forward(spark, d)).withColumn("p", F.round("p", 6))
+    return probability.auc(rows, KEYS, 10)
+
+
+add("walkforward_auc", lambda s, d: rounded(_walk_auc(s, d), 5))
+add("mean_auc_by_model", lambda s, d: rounded(probability.mean_auc(_walk_auc(s, d), _SCAN), 5))
+
+
+def _preperiod(spark, d):
+    """The autoregression's probabilities before the test period, from the residuals of each week's own fit; outcomes known."""
+    table = fact(spark, d).select("week_end", "beta0", "beta1", "beta2")
+    rows = gram.in_sample_residuals(table, HORIZONS, "1998-01-01", S.test_start)
+    return probability.pooled_exceedance(rows, panel(spark, d), CELLS, KS, DECAY).where("actual_up is not null")
+
+
+_PRE = [*direct_sql(1, first="1998-01-01")[:-2],
+    f"pr AS (SELECT d.week_end, d.horizon, 1 AS model, d.t_plus_h, d.b0 AS beta0, d.b1 AS beta1, d.b2 AS beta2, p.t_plus_h AS realized_date, " + ", ".join(f"p.z{4 + y} - f.c{y}_0 - f.c{y}_1 * p.z1 - f.c{y}_2 * p.z2 - f.c{y}_3 * p.z3 AS r{y}" for y in range(3))
+    + f" FROM dir1 d JOIN fit1 f ON f.week_end = d.week_end AND f.horizon = d.horizon JOIN pairs1 p ON p.horizon = d.horizon AND p.t_plus_h <= d.week_end WHERE d.week_end < DATE '{S.test_start}' AND d.t_plus_h IS NOT NULL AND f.n_fit >= 6)",
+    *_GRID,
+    """sm AS (SELECT pr.week_end, pr.horizon, pr.model, pr.t_plus_h, c.maturity, k.price AS cur, exp(beta0 + r0 + c.s * (beta1 + r1) + c.c * (beta2 + r2)) AS f FROM pr CROSS JOIN cells c JOIN panel k ON k.week_end = pr.week_end AND k.maturity = c.maturity)""",
+    """pp AS (SELECT s.week_end, s.horizon, s.maturity, threshold, avg((f > cur * (1 + threshold))::INTEGER) AS p_up, avg((f < cur * (1 - threshold))::INTEGER) AS p_down, count(*) AS n_pool, (a.price > any_value(cur) * (1 + threshold))::INTEGER AS actual_up, (a.price < any_value(cur) * (1 - threshold))::INTEGER AS actual_down
+      FROM sm s CROSS JOIN ks JOIN panel a ON a.week_end = s.t_plus_h AND a.maturity = s.maturity GROUP BY s.week_end, s.horizon, s.maturity, threshold, a.price)"""]
+add("preperiod_exceedance_ar", lambda s, d: _preperiod(s, d).groupBy("horizon", "maturity", "threshold").agg(
+    F.count(F.lit(1)).alias("n"), F.round(F.avg("p_up"), 4).alias("mean_p_up"), F.round(F.avg("p_down"), 4).alias("mean_p_down"), F.sum("actual_up").alias("ups"), F.sum("actual_down").alias("downs"), F.max("n_pool").alias("largest_pool")),
+    with_sql(*_PRE, "SELECT horizon, maturity, threshold, count(*) AS n, round(avg(p_up), 4) AS mean_p_up, round(avg(p_down), 4) AS mean_p_down, sum(actual_up)::BIGINT AS ups, sum(actual_down)::BIGINT AS downs, max(n_pool) AS largest_pool FROM pp GROUP BY ALL"))
 
 _LONG = """dir AS (SELECT * FROM (SELECT week_end, horizon, model, maturity, threshold, 'up' AS direction, p_up AS p, actual_up AS actual FROM probs
   UNION ALL SELECT week_end, horizon, model, maturity, threshold, 'down', p_down, actual_down FROM probs) WHERE actual IS NOT NULL)"""
-KEYS = ["model", "horizon", "maturity", "threshold", "direction"]
-_K = ", ".join(KEYS)
 
 
 def _rows(spark, d):
@@ -100,9 +201,8 @@ def _auc_sql(keys: str, source: str) -> str:
 
 
 _VERDICT = """CASE WHEN auc IS NULL THEN 'UNDEFINED' WHEN least(n_pos, n_neg) < 5 THEN 'INSUFFICIENT' WHEN auc > 0.58 THEN 'GENUINE' WHEN auc >= 0.42 THEN 'WEAK' ELSE 'INVERTED' END AS verdict"""
-add("auc_verdicts", lambda s, d: rounded(probability.auc(_rows(s, d), KEYS)), with_sql(*_P, "raw_" + _LONG.replace("dir AS", "dir AS", 1), "dir AS (SELECT * EXCLUDE p, round(p, 12) AS p FROM raw_dir)", _auc_sql(_K, "dir"),
+add("auc_verdicts", lambda s, d: rounded(probability.auc(_rows(s, d).withColumn("p", F.round("p", 12)), KEYS)), with_sql(*_P, "raw_" + _LONG.replace("dir AS", "dir AS", 1), "dir AS (SELECT * EXCLUDE p, round(p, 12) AS p FROM raw_dir)", _auc_sql(_K, "dir"),
     f"SELECT {_K}, round(auc, 6) AS auc, n_pos, n_neg, {_VERDICT} FROM sizes LEFT JOIN WITH_PAIRS USING ({_K})"))
-Q["auc_verdicts"] = lambda s, d: rounded(probability.auc(_rows(s, d).withColumn("p", F.round("p", 12)), KEYS))
 
 
 def _documents(spark, d):
@@ -126,28 +226,34 @@ add("directional_accuracy", lambda s, d: rounded(probability.directional_accurac
 _A, _B = 0.7, -0.2
 add("platt_apply", lambda s, d: rounded(_documents(s, d).select("lang", "p", sigmoid(_A * logit(F.col("p")) + _B).alias("p_cal")).groupBy("lang").agg(F.avg("p").alias("p"), F.avg("p_cal").alias("p_cal"))), with_sql(_DOCS,
     "q AS (SELECT lang, p, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM docs)", f"SELECT lang, round(avg(p), 6) AS p, round(avg(1 / (1 + exp(-({_A} * ln(q / (1 - q)) + {_B})))), 6) AS p_cal FROM q GROUP BY 1"))
-add("platt_fit", lambda s, d: rounded(calibrate.fit_pooled(_documents(s, d), ["lang"])))
+_NEWTON = ["pts AS (SELECT lang, ln(q / (1 - q)) AS z, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM (SELECT lang, greatest(least(p, 1 - 1e-4), 1e-4) AS q, actual AS y FROM docs WHERE actual IS NOT NULL) GROUP BY 1, 2)",
+    "start AS (SELECT lang, sum(n)::BIGINT AS n_fit, ln(r / (1 - r)) AS flat FROM (SELECT lang, n, greatest(least(sum(y) OVER v / sum(n) OVER v, 1 - 1e-4), 1e-4) AS r FROM pts WINDOW v AS (PARTITION BY lang)) GROUP BY lang, r HAVING sum(n) >= 20)",
+    "nw0 AS (SELECT *, 0.0::DOUBLE AS a, flat AS b FROM start)",
+    *[f"""nw{i + 1} AS (SELECT lang, n_fit, flat, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+      SELECT lang, n_fit, flat, a, b, sum((y - n * s) * z) AS ga, sum(y - n * s) AS gb, sum(n * s * (1 - s) * z * z) + 1e-9 AS haa, sum(n * s * (1 - s) * z) AS hab, sum(n * s * (1 - s)) + 1e-9 AS hbb
+      FROM (SELECT *, 1 / (1 + exp(-greatest(least(a * z + b, 30), -30))) AS s FROM pts JOIN nw{i} USING (lang)) GROUP BY lang, n_fit, flat, a, b))""" for i in range(12)]]
+add("platt_fit", lambda s, d: rounded(calibrate.fit_pooled(_documents(s, d), ["lang"])), with_sql(_DOCS, *_NEWTON, "SELECT lang, round(CASE WHEN a > 0 THEN least(a, 50) ELSE 0 END, 6) AS a, round(CASE WHEN a > 0 THEN b ELSE flat END, 6) AS b, n_fit FROM nw12"))
 add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(_rows(s, d), KEYS, S.shock), KEYS)))
 
 
 def _realised(spark, d):
-    return _rows(spark, d).withColumn("realized_date", F.date_add("week_end", 7 * H))
+    return _rows(spark, d).withColumn("realized_date", F.expr("date_add(week_end, 7 * horizon)"))
 
 
 _RKEYS = ["horizon", "threshold", "direction"]
 add("platt_rolling", lambda s, d: rounded(calibrate.rolling(_realised(s, d), _RKEYS, 104, S.shock)))
-add("platt_window_search", lambda s, d: rounded(calibrate.window_search(_realised(s, d), _RKEYS, (52, 104, None), S.shock)))
+add("platt_window_search", lambda s, d: rounded(calibrate.window_search(_realised(s, d), _RKEYS, (52, 78, 104, 156, None), S.shock)))
 add("platt_pooled_vs_rolling", lambda s, d: rounded(calibrate.compare_rolling(calibrate.pooled(_rows(s, d), _RKEYS, S.shock), calibrate.rolling_apply(_realised(s, d), _RKEYS, 104, S.shock), _RKEYS)))
 
 
 def _embargo(spark, d):
     rows = _realised(spark, d)
-    return probability.embargo_counts(rows, rows.select(F.col("week_end").alias("t")), 52)
+    out = probability.embargo_counts(rows, rows.select(F.col("week_end").alias("t")), 52)
+    return out.select("t", "n_used", F.col("n_dates").cast("long").alias("n_dates"))
 
 
-add("rolling_platt_embargo_counts", _embargo, with_sql(*_P, _LONG, f"r AS (SELECT week_end, week_end + {7 * H} AS realized FROM dir)", "t AS (SELECT DISTINCT week_end AS t FROM r)",
+add("rolling_platt_embargo_counts", _embargo, with_sql(*_P, _LONG, f"r AS (SELECT week_end, week_end + 7 * horizon AS realized FROM dir)", "t AS (SELECT DISTINCT week_end AS t FROM r)",
     "SELECT t, count(realized) AS n_used, count(DISTINCT realized) AS n_dates FROM t LEFT JOIN r ON realized <= t AND realized >= t - 364 GROUP BY t"))
-Q["rolling_platt_embargo_counts"] = lambda s, d: _embargo(s, d).select("t", F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("n_dates", F.lit(0)).cast("long").alias("n_dates"))
 
 # deals --------------------------------------------------------------------------------------
 DH = 13

@@ -30,20 +30,20 @@ add("weekly_curve_panel", lambda s, d: rounded(wide(s, d)), with_sql(PANEL, WIDE
 
 
 def _spine(spark, d):
-    urgent = table(spark, d, "orders").where(is_weekday(F.col("o_orderdate")) & (F.col("o_orderkey") % 97 == 0))
+    urgent = table(spark, d, "orders").where(is_weekday(F.col("o_orderdate")))
     sparse = urgent.groupBy(week_end(F.col("o_orderdate")).alias("week_end")).agg(F.count(F.lit(1)).alias("n"))
     return weekly.on_spine(sparse).select("week_end", F.coalesce("n", F.lit(0)).alias("n"), F.col("n").isNull().cast("int").alias("missing"))
 
 
 add("weekly_spine_gaps", _spine, with_sql(
-    f"w AS (SELECT {week_sql('o_orderdate')} AS week_end, count(*) AS n FROM orders WHERE isodow(o_orderdate) <= 5 AND o_orderkey % 97 = 0 GROUP BY 1)",
+    f"w AS (SELECT {week_sql('o_orderdate')} AS week_end, count(*) AS n FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1)",
     "sp AS (SELECT unnest(generate_series(min(week_end), max(week_end), INTERVAL 7 DAY))::DATE AS week_end FROM w)",
     "SELECT week_end, coalesce(n, 0) AS n, (n IS NULL)::INTEGER AS missing FROM sp LEFT JOIN w USING (week_end)"))
 
-add("date_gap_check", lambda s, d: weekly.date_gaps(table(s, d, "orders").where("o_orderkey % 211 = 0"), "o_orderdate", 14),
-    """WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 211 = 0),
+add("date_gap_check", lambda s, d: weekly.date_gaps(table(s, d, "orders"), "o_orderdate", 1),
+    """WITH x AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
     y AS (SELECT day, lag(day) OVER (ORDER BY day) AS previous FROM x)
-    SELECT day, previous, CAST(day - previous AS INTEGER) AS gap_days FROM y WHERE day - previous > 14""")
+    SELECT day, previous, CAST(day - previous AS INTEGER) AS gap_days FROM y WHERE day - previous > 1""")
 
 
 def _changes(spark, d):
@@ -72,12 +72,12 @@ add("macro_transform_panel", _transforms, with_sql(MACRO, f"""t AS (SELECT serie
 
 
 def _ffill(spark, d):
-    day = table(spark, d, "orders").where("o_orderkey % 13 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("v"))
+    day = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("v"))
     ends = day.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     return ends.join(day, "day", "left").select("day", "v", weekly.fill_one("v", Window.orderBy("day")).alias("filled"))
 
 
-add("ffill_limit_1", _ffill, """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS v FROM orders WHERE o_orderkey % 13 = 0 GROUP BY 1),
+add("ffill_limit_1", _ffill, """WITH o AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS v FROM orders GROUP BY 1),
 sp AS (SELECT unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM o)
 SELECT day, v, coalesce(v, lag(v) OVER (ORDER BY day)) AS filled FROM sp LEFT JOIN o USING (day)""")
 
@@ -124,18 +124,18 @@ FROM orders WHERE isodow(o_orderdate) <= 5 GROUP BY 1) SELECT week_end, l - s AS
 
 
 def _coverage(spark, d):
-    sparse = table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    sparse = table(spark, d, "lineitem")
     p = weekly.to_wide(weekly.curve_panel(sparse, "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity", range(1, 7)), range(1, 7))
     return rounded(weekly.coverage_by_year(p, [f"m{m:02d}" for m in range(1, 7)]))
 
 
-_SPARSE = PANEL.replace("WHERE", "WHERE l_orderkey % 7 = 0 AND")
+_SPARSE = PANEL
 add("coverage_by_year", _coverage, with_sql(_SPARSE, WIDE, "SELECT CAST(year(week_end) AS INTEGER) AS year, count(*) AS weeks, " + ", ".join(
     f"round(100.0::DOUBLE * count(m{m:02d}) / count(*), 6) AS m{m:02d}" for m in range(1, 7)) + " FROM wide GROUP BY 1"))
 
 
 def _missing(spark, d):
-    sparse = table(spark, d, "lineitem").where("l_orderkey % 7 = 0")
+    sparse = table(spark, d, "lineitem")
     p = weekly.to_wide(weekly.curve_panel(sparse, "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity", range(1, 7)), range(1, 7))
     return rounded(weekly.check_missing(p, [f"m{m:02d}" for m in range(1, 7)]))
 
@@ -146,12 +146,12 @@ add("missing_gate", _missing, with_sql(_SPARSE, WIDE, " UNION ALL ".join(
 
 def _nearest(spark, d):
     targets = orders_weekly(spark, d).select(F.date_add("week_end", 2).alias("target"))
-    rows = table(spark, d, "orders").where("o_orderkey % 31 = 0").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
+    rows = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.max("o_totalprice").alias("price"))
     return weekly.nearest_within(targets, "target", rows, "day").select("target", "day", "price")
 
 
 add("nearest_asof_3d", _nearest, with_sql(ORDERS, "t AS (SELECT week_end + 2 AS target FROM orders_weekly)",
-    "o AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS price FROM orders WHERE o_orderkey % 31 = 0 GROUP BY 1)",
+    "o AS (SELECT CAST(o_orderdate AS DATE) AS day, max(o_totalprice) AS price FROM orders GROUP BY 1)",
     "SELECT target, day, price FROM t LEFT JOIN o ON abs(target - day) <= 3 QUALIFY row_number() OVER (PARTITION BY target ORDER BY abs(target - day), day DESC) = 1"))
 
 
@@ -221,11 +221,11 @@ add("events_hourly_window", _events, "SELECT date_trunc('hour', ts) AS window_st
 
 
 def _holes(spark, d):
-    sparse = table(spark, d, "lineitem").where("l_orderkey % 29 = 0")
+    sparse = table(spark, d, "lineitem")
     return weekly.to_wide(weekly.curve_panel(sparse, "l_shipdate", "l_linenumber", "l_extendedprice", "l_quantity", range(1, 7)), range(1, 7))
 
 
-_THIN = PANEL.replace("WHERE", "WHERE l_orderkey % 29 = 0 AND")
+_THIN = PANEL
 add("sparse_weeks", lambda s, d: weekly.sparse_weeks(_holes(s, d), [f"m{m:02d}" for m in range(1, 7)]), with_sql(_THIN, WIDE,
     "x AS (SELECT week_end, (" + " + ".join(f"(m{m:02d} IS NULL)::INTEGER" for m in range(1, 7)) + ")::INTEGER AS n_missing FROM wide)", "SELECT * FROM x WHERE n_missing > 3"))
 add("nearest_week", lambda s, d: weekly.nearest_week(wide(s, d), "1998-05-18"), with_sql(PANEL, "SELECT arg_min(week_end, (abs(week_end - DATE '1998-05-18'), week_end)) AS week_end FROM panel"))

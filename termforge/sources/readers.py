@@ -122,12 +122,20 @@ def read_metrics_json(spark: SparkSession, path: str, schema: T.StructType | str
     return spark.read.schema(schema).json(path, multiLine=True)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def audit_series(spark: SparkSession, files: dict[str, str], start: str, late_days: int = 30, null_limit: int = 5) -> DataFrame:
-    """name, first_day, last_day, n_null, starts_late, many_nulls of each expected series file that can be read."""
-    frames = [read_macro_csv(spark, p).withColumn("name", F.lit(n)) for n, p in sorted(files.items())]
-    rows = reduce(DataFrame.unionByName, frames)
+    """name, first_day, last_day, n_null, starts_late, many_nulls, missing of each expected series file; a missing one has nulls."""
+    found = {n: p for n, p in sorted(files.items()) if _exists(spark, p)}
+    names = spark.createDataFrame([(n, n not in found) for n in sorted(files)], "name string, missing boolean")
+    empty = spark.createDataFrame([], "day date, value double, name string")
+    rows = reduce(DataFrame.unionByName, [read_macro_csv(spark, p).withColumn("name", F.lit(n)) for n, p in found.items()], empty)
     out = rows.groupBy("name").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day"), F.sum(F.col("value").isNull().cast("long")).alias("n_null"))
-    return out.withColumn("starts_late", F.datediff("first_day", F.lit(start).cast("date")) > late_days).withColumn("many_nulls", F.col("n_null") > null_limit)
+    out = out.withColumn("starts_late", F.datediff("first_day", F.lit(start).cast("date")) > late_days).withColumn("many_nulls", F.col("n_null") > null_limit)
+    return F.broadcast(names).join(out, "name", "left").select("name", "first_day", "last_day", "n_null", "starts_late", "many_nulls", "missing")
 
 
 def missing_names(present: DataFrame, column: str, expected: list[str]) -> DataFrame:

@@ -345,3 +345,129 @@ def test_entry_works_without_the_training_subpackage(tmp_path):
     shutil.copy(f"{top}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 80 and not any(n.startswith('op') for n in e.queries()) and set(e.oracle_sql()) <= set(e.queries())"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+def test_later_rows_change_no_earlier_probability(spark, sf_dir):
+    """Point in time: with all prices after a week doubled, what was known by the week gives the same numbers."""
+    from termforge.operators import gram
+    from termforge.plans import base
+
+    cut = "2000-06-30"
+    table = base.fact(spark, sf_dir).select("week_end", "beta0", "beta1", "beta2").orderBy("week_end").toPandas()
+    changed = table.copy()
+    late = pd.to_datetime(changed["week_end"]) > pd.Timestamp(cut)
+    changed.loc[late, ["beta0", "beta1", "beta2"]] *= 2.0
+    panel = base.panel(spark, sf_dir)
+    out = []
+    for t in (table, changed):
+        fact = spark.createDataFrame(t, "week_end date, beta0 double, beta1 double, beta2 double")
+        every = regress.random_walk(fact, [1, 4], "1999-01-01")
+        pool = regress.residual_pool(every, fact)
+        normal = probability.gaussian_exceedance(every, regress.expanding_covariance(pool).drop("n"), panel, [1], [0.05], 1.95)
+        exact = probability.exceedance(every, pool, panel, [1], [0.05], 1.95).select("week_end", "horizon", "model", "maturity", "threshold", "p_up", "p_down")
+        direct = gram.direct_forecasts(fact, [4], "1999-01-01", 1).select("week_end", F.col("horizon"), F.col("model"), F.lit(0).alias("maturity"), F.lit(0.0).alias("threshold"), F.col("beta0_hat").alias("p_up"), F.col("beta1_hat").alias("p_down"))
+        rows = normal.select(*exact.columns).withColumn("kind", F.lit("normal")).union(exact.withColumn("kind", F.lit("pool"))).union(direct.withColumn("kind", F.lit("direct")))
+        out.append({(r.kind, r.week_end, r.horizon): (r.p_up, r.p_down) for r in rows.where(F.col("week_end") <= cut).collect()})
+    assert len(out[0]) > 200 and out[0].keys() == out[1].keys()
+    for k, v in out[0].items():
+        assert v == pytest.approx(out[1][k], abs=1e-7), k
+
+
+@pytest.mark.parametrize("model,decay", [(1, None), (2, None), (3, 0.97)])
+def test_running_sums_match_a_plain_loop(spark, model, decay):
+    """Forecasts from running Gram sums against a least-squares fit from scratch at every week."""
+    from termforge.operators import gram
+
+    r = np.random.default_rng(model)
+    n, h = 70, 4
+    t = pd.DataFrame(r.normal(size=(n, 4)).cumsum(0) * 0.1 + 7.0, columns=["beta0", "beta1", "beta2", "x1"])
+    t.insert(0, "week_end", pd.date_range("2000-01-07", periods=n, freq="7D").date)
+    macros = ["x1"] if model > 1 else []
+    want = regress.backtest_group(t.assign(week_end=pd.to_datetime(t["week_end"])), h, model, pd.Timestamp("2000-01-01"), ["x1"], 1, decay or 1.0)
+    table = spark.createDataFrame(t, "week_end date, beta0 double, beta1 double, beta2 double, x1 double")
+    got = gram.direct_forecasts(table, [h], "2000-01-01", model, macros, decay).orderBy("week_end").toPandas()
+    assert (got["n_fit"].to_numpy() == want["n_rows"].to_numpy()).all()
+    for b in ("beta0_hat", "beta1_hat", "beta2_hat"):
+        assert got[b].to_numpy() == pytest.approx(want[b].to_numpy(), abs=1e-6)
+    last = got.iloc[-1]["coef"]
+    assert np.sqrt(sum(np.dot(c, c) for c in last)) == pytest.approx(want.iloc[-1]["coef_norm"], rel=1e-5)
+
+
+def test_collinear_regressors_get_least_norm(spark):
+    from termforge.operators import gram
+
+    rows = [(i, 1.0 * i, 2.0 * i, 3.0 * i + 1) for i in range(-3, 4)]
+    table = spark.createDataFrame(rows, "place int, x double, z double, y double").withColumn("k", F.lit(1))
+    fit = gram.expanding_fits(table, ["k"], "place", ["x", "z"], ["y"]).orderBy(F.col("place").desc()).first()
+    a, b, c = fit.coef[0]
+    assert a == pytest.approx(1) and b + 2 * c == pytest.approx(3) and fit.rss[0] == pytest.approx(0, abs=1e-9)
+
+
+def test_stability_rules(spark):
+    from datetime import date, timedelta
+
+    from termforge.operators import gram
+
+    r = np.random.default_rng(0)
+    coefs = np.cumsum(np.where(np.arange(120)[:, None] < 60, 1.0, 0.01) * r.normal(size=(120, 4)), 0)
+    rows = [(date(2000, 1, 7) + timedelta(7 * i), 4, 1, 30, [c.tolist()]) for i, c in enumerate(coefs)]
+    f = spark.createDataFrame(rows, "week_end date, horizon int, model int, n_fit int, coef array<array<double>>")
+    table = gram.stability(f).orderBy("week_end").toPandas()
+    change = pd.Series(np.linalg.norm(np.diff(coefs, axis=0), axis=1))
+    assert table["change"].dropna().to_numpy() == pytest.approx(change.to_numpy())
+    smooth = change.rolling(26).mean()
+    assert table["smooth"].dropna().to_numpy() == pytest.approx(smooth.dropna().to_numpy())
+    got = gram.stabilisation_date(gram.stability(f)).first()
+    limit = 1.5 * change.iloc[-int(len(change) * 0.2) :].median()
+    first = next(i for i in range(len(smooth)) if not np.isnan(smooth[i]) and smooth[i:].max() <= limit)
+    assert got.stable_from == rows[first + 1][0] and got.n_changes == 119
+    assert gram.stabilisation_date(gram.stability(f.where("week_end < '2000-12-01'"))).first().stable_from is None
+
+
+def test_small_pools_get_normal_probabilities(spark):
+    f = spark.createDataFrame([("2000-01-07", 1, 0, 7.0, 0.0, 0.0, None)], "week_end string, horizon int, model int, beta0_hat double, beta1_hat double, beta2_hat double, t_plus_h date").withColumn("week_end", F.to_date("week_end"))
+    panel = spark.createDataFrame([("2000-01-07", 1, float(np.exp(7.0)))], "week_end string, maturity int, price double").withColumn("week_end", F.to_date("week_end"))
+    pool = spark.createDataFrame([(1, 0, "2000-01-01", 9.0, 0.0, 0.0)] * 4, "horizon int, model int, realized_date string, r0 double, r1 double, r2 double").withColumn("realized_date", F.to_date("realized_date"))
+    from termforge.functions.columns import loadings
+
+    _, s, c = loadings(1, 1.95)
+    for p, n in ((pool, 4), (pool.limit(0), 0)):
+        r = probability.exceedance(f, p, panel, [1], [0.02], 1.95).first()
+        z = np.log(1.02) / np.sqrt(1e-4 * (1 + s * s + c * c))
+        assert r.n_pool == n and r.p_up == pytest.approx(1 - 0.5 * (1 + math.erf(z / math.sqrt(2))), abs=1e-6) and r.actual_up is None
+    assert probability.exceedance(f, pool.union(pool), panel, [1], [0.02], 1.95).first().p_up == 1.0
+
+
+def test_newton_sums_match_the_plain_fit(spark):
+    from termforge.functions.linear import platt
+    from termforge.operators import calibrate
+
+    r = np.random.default_rng(7)
+    rows = [("a", float(p), int(r.random() < 0.2 + 0.5 * p)) for p in r.random(400)] + [("falling", float(p), int(r.random() < 0.8 - 0.6 * p)) for p in r.random(300)] + [("few", 0.5, 1)] * 5
+    table = spark.createDataFrame(rows, "k string, p double, actual int")
+    got = {x.k: x for x in calibrate.fit_pooled(table, ["k"]).collect()}
+    assert set(got) == {"a", "falling"}
+    for k in got:
+        p, y = (np.array([v[i] for v in rows if v[0] == k], float) for i in (1, 2))
+        assert (got[k].a, got[k].b) == pytest.approx(platt(p, y), abs=1e-5)
+
+
+def test_gaps_by_fixture(spark):
+    """Missing weeks, missing cells and thin weeks, which the test tables don't have."""
+    from termforge.operators import weekly
+
+    rows = [("2000-01-07", 1.0, 2.0, None), ("2000-01-14", None, None, None), ("2000-02-04", 4.0, None, 5.0)]
+    t = spark.createDataFrame(rows, "week_end string, m01 double, m02 double, m03 double").withColumn("week_end", F.to_date("week_end"))
+    spine = weekly.on_spine(t).orderBy("week_end").collect()
+    assert [str(r.week_end) for r in spine] == ["2000-01-07", "2000-01-14", "2000-01-21", "2000-01-28", "2000-02-04"] and spine[2].m01 is None
+    assert [(str(r.day), r.gap_days) for r in weekly.date_gaps(t, "week_end", 14).collect()] == [("2000-02-04", 21)]
+    filled = spark.createDataFrame([(1, 1.0), (2, None), (3, None), (4, 2.0)], "i int, v double")
+    from pyspark.sql import Window
+
+    assert [r.f for r in filled.select(weekly.fill_one("v", Window.orderBy("i")).alias("f")).collect()] == [1.0, 1.0, None, 2.0]
+    assert [(str(r.week_end), r.n_missing) for r in weekly.sparse_weeks(t, ["m01", "m02", "m03"], 2).collect()] == [("2000-01-14", 3)]
+    gate = {r["column"]: r.over for r in weekly.check_missing(t, ["m01", "m02", "m03"], 0.5).collect()}
+    assert gate == {"m01": False, "m02": True, "m03": True}
+    assert [(r.weeks, round(r.m01, 3)) for r in weekly.coverage_by_year(t, ["m01"]).collect()] == [(3, 66.667)]
+    near = weekly.nearest_within(spark.createDataFrame([("2000-01-10",), ("2000-01-20",)], "d string").select(F.to_date("d").alias("d")), "d", t, "week_end", 3).orderBy("d").collect()
+    assert [str(r.week_end) for r in near] == ["2000-01-07", "None"]
