@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 import numpy as np
@@ -258,7 +259,18 @@ def _decay_search(spark, d):
     return rounded(reduce(DataFrame.unionByName, parts))
 
 
-add("ew_decay_search", _decay_search)
+def _decay_sql() -> str:
+    """The weighted fits of every decay, over the same pairs."""
+    first, *rest = direct_sql(3, S.ew_grid[0])[3:], *[direct_sql(3, decay)[-3:] for decay in S.ew_grid[1:]]
+    shared, fits = first[:-3], [first[-3:], *rest]
+    steps = [re.sub(r"\b(fit|dir|err)3\b", rf"\g<1>3_{i}", cte) for i, three in enumerate(fits) for cte in three]
+    shown = " UNION ALL ".join(
+        f"SELECT {decay}::DOUBLE AS decay, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS n, round({effective_size(decay)!r}::DOUBLE, 6) AS ess, round({half_life(decay)!r}::DOUBLE, 6) AS half_life_weeks FROM err3_{i} WHERE horizon = 4 AND maturity = 3"
+        for i, decay in enumerate(S.ew_grid))
+    return with_sql(*direct_sql(2)[:3], *shared, *steps, shown)
+
+
+add("ew_decay_search", _decay_search, _decay_sql())
 
 
 def _stability(spark, d):
@@ -266,16 +278,29 @@ def _stability(spark, d):
     return gram.stability(f)
 
 
-add("coefficient_stability", lambda s, d: rounded(gram.stabilisation_date(_stability(s, d)), 5))
-_CHANGE = """f1 AS (SELECT horizon, week_end, n_fit, """ + ", ".join(
-    [f"c{y}_{p} AS k{4 * y + p}" for y in range(3) for p in range(1, 4)] + [f"mean{y} + c{y}_0 - c{y}_1 * mean0 - c{y}_2 * mean1 - c{y}_3 * mean2 AS k{4 * y}" for y in range(3)]) + """ FROM fit1, means1 WHERE n_fit >= 6),
-ch AS (SELECT *, sqrt(""" + " + ".join(f"power(k{i} - lag(k{i}) OVER w, 2)" for i in range(12)) + """) AS change FROM f1 WINDOW w AS (PARTITION BY horizon ORDER BY week_end)),
-sm AS (SELECT *, CASE WHEN count(change) OVER r = 26 THEN avg(change) OVER r END AS smooth, count(change) OVER (PARTITION BY horizon) AS n_changes, row_number() OVER (PARTITION BY horizon ORDER BY week_end DESC) AS age
-  FROM ch WINDOW r AS (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN 25 PRECEDING AND CURRENT ROW)),
-ah AS (SELECT *, max(smooth) OVER (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM sm WHERE change IS NOT NULL),
-tm AS (SELECT horizon, median(change) AS terminal FROM ah WHERE age <= floor(n_changes * 0.2) GROUP BY 1)"""
-add("ar_direct_stability", lambda s, d: rounded(gram.stabilisation_date(gram.stability(_direct(s, d, 1, "1990-01-01"))), 5), with_sql(*[c.replace(f"WHERE week_end >= DATE '{S.test_start}'", "") for c in direct_sql(1)[:-2]], _CHANGE,
-    "SELECT ah.horizon, 1 AS model, max(n_changes) AS n_changes, round(max(terminal), 5) AS terminal, min(week_end) FILTER (smooth IS NOT NULL AND ahead <= 1.5 * terminal AND n_changes >= 52) AS stable_from FROM ah LEFT JOIN tm USING (horizon) GROUP BY 1"))
+def stability_sql(model: int) -> list[str]:
+    """CTEs after direct_sql: changes of all coefficients, up to st{model}: horizon, model, n_changes, terminal, stable_from."""
+    n, xs = model, range(3 if model == 1 else 6)
+    k = len(xs) + 1
+    values = [f"c{y}_{p} AS k{k * y + p}" for y in range(3) for p in range(1, k)] + [f"mean{y} + c{y}_0" + "".join(f" - c{y}_{x + 1} * mean{x}" for x in xs) + f" AS k{k * y}" for y in range(3)]
+    change = " + ".join(f"power(k{i} - lag(k{i}) OVER w, 2)" for i in range(3 * k))
+    return [
+        f"f{n} AS (SELECT horizon, week_end, n_fit, {', '.join(values)} FROM fit{n}, means{n} WHERE n_fit >= {len(xs) + 3})",
+        f"ch{n} AS (SELECT *, sqrt({change}) AS change FROM f{n} WINDOW w AS (PARTITION BY horizon ORDER BY week_end))",
+        f"""sm{n} AS (SELECT *, CASE WHEN count(change) OVER r = 26 THEN avg(change) OVER r END AS smooth, count(change) OVER (PARTITION BY horizon) AS n_changes, row_number() OVER (PARTITION BY horizon ORDER BY week_end DESC) AS age
+          FROM ch{n} WINDOW r AS (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN 25 PRECEDING AND CURRENT ROW))""",
+        f"ah{n} AS (SELECT *, max(smooth) OVER (PARTITION BY horizon ORDER BY week_end ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ahead FROM sm{n} WHERE change IS NOT NULL)",
+        f"tm{n} AS (SELECT horizon, median(change) AS terminal FROM ah{n} WHERE age <= floor(n_changes * 0.2) GROUP BY 1)",
+        f"""st{n} AS (SELECT ah{n}.horizon, {n} AS model, max(n_changes) AS n_changes, round(max(terminal), 5) AS terminal, min(week_end) FILTER (smooth IS NOT NULL AND ahead <= 1.5 * terminal AND n_changes >= 52) AS stable_from
+          FROM ah{n} LEFT JOIN tm{n} USING (horizon) GROUP BY 1)""",
+    ]
+
+
+_FITS = {1: direct_sql(1)[:-3], 2: direct_sql(2)[:-2], 3: direct_sql(3, S.ew_decay)[3:-2]}
+add("coefficient_stability", lambda s, d: rounded(gram.stabilisation_date(_stability(s, d)), 5), with_sql(
+    *_FITS[1], *_FITS[2][1:], *_FITS[3], *[cte for m in (1, 2, 3) for cte in stability_sql(m)], " UNION ALL ".join(f"SELECT * FROM st{m}" for m in (1, 2, 3))))
+add("ar_direct_stability", lambda s, d: rounded(gram.stabilisation_date(gram.stability(_direct(s, d, 1, "1990-01-01"))), 5), with_sql(*_FITS[1], *stability_sql(1), "SELECT * FROM st1"))
+
 
 _EXP = ", ".join(f"CASE WHEN count(*) OVER w >= 5 THEN covar_samp(r{i}, r{j}) OVER w ELSE {1e-4 if i == j else 0.0} END AS s{i}{j}" for i in range(3) for j in range(i, 3))
 _EXPANDING = f"ecov AS (SELECT horizon, 0 AS model, realized_date AS week_end, count(*) OVER w AS n, {_EXP} FROM pool WINDOW w AS (PARTITION BY horizon ORDER BY realized_date, origin ROWS UNBOUNDED PRECEDING))"

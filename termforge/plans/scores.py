@@ -154,12 +154,20 @@ _SCAN = ["model", "horizon", "direction"]
 
 
 def _walk_auc(spark, d):
-    rows = probability.by_direction(walk_forward(spark, d)).withColumn("p", F.round("p", 6))
+    rows = probability.by_direction(walk_forward(spark, d)).withColumn("p", F.round("p", 9))
     return probability.auc(rows, KEYS, 10)
 
 
-add("walkforward_auc", lambda s, d: rounded(_walk_auc(s, d), 5))
-add("mean_auc_by_model", lambda s, d: rounded(probability.mean_auc(_walk_auc(s, d), _SCAN), 5))
+_LONG = """dir AS (SELECT * FROM (SELECT week_end, horizon, model, maturity, threshold, 'up' AS direction, p_up AS p, actual_up AS actual FROM probs
+  UNION ALL SELECT week_end, horizon, model, maturity, threshold, 'down', p_down, actual_down FROM probs) WHERE actual IS NOT NULL)"""
+_VERDICT = """CASE WHEN auc IS NULL THEN 'UNDEFINED' WHEN least(n_pos, n_neg) < 5 THEN 'INSUFFICIENT' WHEN auc > 0.58 THEN 'GENUINE' WHEN auc >= 0.42 THEN 'WEAK' ELSE 'INVERTED' END AS verdict"""
+#: AUC by the sum of the positive outcomes' ranks, ties sharing their mean rank.
+_RANKED = [_LONG, f"""rk AS (SELECT {_K}, actual, rank() OVER (PARTITION BY {_K} ORDER BY p) + (count(*) OVER (PARTITION BY {_K}, p) - 1) / 2.0::DOUBLE AS r FROM (SELECT * EXCLUDE p, round(p, 9) AS p FROM dir))""",
+    f"ns AS (SELECT {_K}, sum(r) FILTER (actual = 1) AS ranks, count(*) FILTER (actual = 1) AS n_pos, count(*) FILTER (actual = 0) AS n_neg FROM rk GROUP BY ALL HAVING count(*) >= 10)",
+    f"cells_auc AS (SELECT *, {_VERDICT} FROM (SELECT {_K}, (ranks - n_pos * (n_pos + 1) / 2.0::DOUBLE) / nullif(n_pos * n_neg, 0) AS auc, n_pos, n_neg FROM ns))"]
+add("walkforward_auc", lambda s, d: rounded(_walk_auc(s, d), 5), with_sql(*_WALK, *_RANKED, f"SELECT {_K}, round(auc, 5) AS auc, n_pos, n_neg, verdict FROM cells_auc"))
+add("mean_auc_by_model", lambda s, d: rounded(probability.mean_auc(_walk_auc(s, d), _SCAN), 5), with_sql(*_WALK, *_RANKED,
+    "SELECT model, horizon, direction, round(avg(auc), 5) AS mean_auc, count(*) AS n_cells FROM cells_auc WHERE verdict NOT IN ('UNDEFINED', 'INSUFFICIENT') GROUP BY ALL"))
 
 
 def _preperiod(spark, d):
@@ -180,9 +188,6 @@ add("preperiod_exceedance_ar", lambda s, d: _preperiod(s, d).groupBy("horizon",
     F.count(F.lit(1)).alias("n"), F.round(F.avg("p_up"), 4).alias("mean_p_up"), F.round(F.avg("p_down"), 4).alias("mean_p_down"), F.sum("actual_up").alias("ups"), F.sum("actual_down").alias("downs"), F.max("n_pool").alias("largest_pool")),
     with_sql(*_PRE, "SELECT horizon, maturity, threshold, count(*) AS n, round(avg(p_up), 4) AS mean_p_up, round(avg(p_down), 4) AS mean_p_down, sum(actual_up)::BIGINT AS ups, sum(actual_down)::BIGINT AS downs, max(n_pool) AS largest_pool FROM pp GROUP BY ALL"))
 
-_LONG = """dir AS (SELECT * FROM (SELECT week_end, horizon, model, maturity, threshold, 'up' AS direction, p_up AS p, actual_up AS actual FROM probs
-  UNION ALL SELECT week_end, horizon, model, maturity, threshold, 'down', p_down, actual_down FROM probs) WHERE actual IS NOT NULL)"""
-
 
 def _rows(spark, d):
     return probability.by_direction(probabilities(spark, d))
@@ -200,7 +205,6 @@ def _auc_sql(keys: str, source: str) -> str:
     sizes AS (SELECT {keys}, count(*) FILTER (actual = 1) AS n_pos, count(*) FILTER (actual = 0) AS n_neg FROM {source} GROUP BY ALL)"""
 
 
-_VERDICT = """CASE WHEN auc IS NULL THEN 'UNDEFINED' WHEN least(n_pos, n_neg) < 5 THEN 'INSUFFICIENT' WHEN auc > 0.58 THEN 'GENUINE' WHEN auc >= 0.42 THEN 'WEAK' ELSE 'INVERTED' END AS verdict"""
 add("auc_verdicts", lambda s, d: rounded(probability.auc(_rows(s, d).withColumn("p", F.round("p", 12)), KEYS)), with_sql(*_P, "raw_" + _LONG.replace("dir AS", "dir AS", 1), "dir AS (SELECT * EXCLUDE p, round(p, 12) AS p FROM raw_dir)", _auc_sql(_K, "dir"),
     f"SELECT {_K}, round(auc, 6) AS auc, n_pos, n_neg, {_VERDICT} FROM sizes LEFT JOIN WITH_PAIRS USING ({_K})"))
 
@@ -226,14 +230,25 @@ add("directional_accuracy", lambda s, d: rounded(probability.directional_accurac
 _A, _B = 0.7, -0.2
 add("platt_apply", lambda s, d: rounded(_documents(s, d).select("lang", "p", sigmoid(_A * logit(F.col("p")) + _B).alias("p_cal")).groupBy("lang").agg(F.avg("p").alias("p"), F.avg("p_cal").alias("p_cal"))), with_sql(_DOCS,
     "q AS (SELECT lang, p, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM docs)", f"SELECT lang, round(avg(p), 6) AS p, round(avg(1 / (1 + exp(-({_A} * ln(q / (1 - q)) + {_B})))), 6) AS p_cal FROM q GROUP BY 1"))
-_NEWTON = ["pts AS (SELECT lang, ln(q / (1 - q)) AS z, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM (SELECT lang, greatest(least(p, 1 - 1e-4), 1e-4) AS q, actual AS y FROM docs WHERE actual IS NOT NULL) GROUP BY 1, 2)",
-    "start AS (SELECT lang, sum(n)::BIGINT AS n_fit, ln(r / (1 - r)) AS flat FROM (SELECT lang, n, greatest(least(sum(y) OVER v / sum(n) OVER v, 1 - 1e-4), 1e-4) AS r FROM pts WINDOW v AS (PARTITION BY lang)) GROUP BY lang, r HAVING sum(n) >= 20)",
-    "nw0 AS (SELECT *, 0.0::DOUBLE AS a, flat AS b FROM start)",
-    *[f"""nw{i + 1} AS (SELECT lang, n_fit, flat, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
-      SELECT lang, n_fit, flat, a, b, sum((y - n * s) * z) AS ga, sum(y - n * s) AS gb, sum(n * s * (1 - s) * z * z) + 1e-9 AS haa, sum(n * s * (1 - s) * z) AS hab, sum(n * s * (1 - s)) + 1e-9 AS hbb
-      FROM (SELECT *, 1 / (1 + exp(-greatest(least(a * z + b, 30), -30))) AS s FROM pts JOIN nw{i} USING (lang)) GROUP BY lang, n_fit, flat, a, b))""" for i in range(12)]]
-add("platt_fit", lambda s, d: rounded(calibrate.fit_pooled(_documents(s, d), ["lang"])), with_sql(_DOCS, *_NEWTON, "SELECT lang, round(CASE WHEN a > 0 THEN least(a, 50) ELSE 0 END, 6) AS a, round(CASE WHEN a > 0 THEN b ELSE flat END, 6) AS b, n_fit FROM nw12"))
-add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(_rows(s, d), KEYS, S.shock), KEYS)))
+def newton_sql(keys: str, points: str, steps: int = 12) -> list[str]:
+    """CTEs of calibrate.fit_pooled for rows (keys, p, actual) of `points`, up to `maps`: keys, a, b, n_fit."""
+    out = [
+        f"pts AS (SELECT {keys}, ln(q / (1 - q)) AS z, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM (SELECT {keys}, greatest(least(p, 1 - 1e-4), 1e-4) AS q, actual AS y FROM {points} WHERE actual IS NOT NULL AND p IS NOT NULL) GROUP BY ALL)",
+        f"start AS (SELECT {keys}, n_fit, ln(r / (1 - r)) AS flat FROM (SELECT {keys}, sum(n)::BIGINT AS n_fit, greatest(least(sum(y) / sum(n), 1 - 1e-4), 1e-4) AS r FROM pts GROUP BY ALL) WHERE n_fit >= 20)",
+        "nw0 AS (SELECT *, 0.0::DOUBLE AS a, flat AS b FROM start)",
+    ]
+    for i in range(steps):
+        out.append(f"""nw{i + 1} AS (SELECT {keys}, n_fit, flat, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS b FROM (
+          SELECT {keys}, n_fit, flat, a, b, sum((y - n * s) * z) AS ga, sum(y - n * s) AS gb, sum(n * s * (1 - s) * z * z) + 1e-9 AS haa, sum(n * s * (1 - s) * z) AS hab, sum(n * s * (1 - s)) + 1e-9 AS hbb
+          FROM (SELECT *, 1 / (1 + exp(-greatest(least(a * z + b, 30), -30))) AS s FROM pts JOIN nw{i} USING ({keys})) GROUP BY {keys}, n_fit, flat, a, b))""")
+    return [*out, f"maps AS (SELECT {keys}, CASE WHEN a > 0 THEN least(a, 50) ELSE 0 END AS a, CASE WHEN a > 0 THEN b ELSE flat END AS b, n_fit FROM nw{steps})"]
+
+
+add("platt_fit", lambda s, d: rounded(calibrate.fit_pooled(_documents(s, d), ["lang"])), with_sql(_DOCS, *newton_sql("lang", "docs"), "SELECT lang, round(a, 6) AS a, round(b, 6) AS b, n_fit FROM maps"))
+_CALIBRATED = f"""cal AS (SELECT * EXCLUDE (a, b), 1 / (1 + exp(-greatest(least(a * ln(q / (1 - q)) + b, 30), -30))) AS c FROM (SELECT *, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM dir) LEFT JOIN maps USING ({_K}))"""
+add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(_rows(s, d), KEYS, S.shock), KEYS)), with_sql(*_P, _LONG, f"before AS (SELECT * FROM dir WHERE week_end < DATE '{S.shock}')", *newton_sql(_K, "before"), _CALIBRATED,
+    "sk AS (SELECT " + _K + """, avg((p - actual) * (p - actual)) AS raw, avg((c - actual) * (c - actual)) FILTER (c IS NOT NULL) AS fine, nullif(avg(actual) * (1 - avg(actual)), 0) AS climate, avg(actual) AS rate, count(*) AS n FROM cal GROUP BY ALL HAVING count(*) >= 5)""",
+    f"SELECT {_K}, round(raw, 6) AS brier_raw, round(1 - raw / climate, 6) AS bss_raw, round(rate, 6) AS base_rate, n, round(fine, 6) AS brier_cal, round(1 - fine / climate, 6) AS bss_cal FROM sk"))
 
 
 def _realised(spark, d):
