@@ -265,7 +265,7 @@ def _decay_sql() -> str:
     shared, fits = first[:-3], [first[-3:], *rest]
     steps = [re.sub(r"\b(fit|dir|err)3\b", rf"\g<1>3_{i}", cte) for i, three in enumerate(fits) for cte in three]
     shown = " UNION ALL ".join(
-        f"SELECT {decay}::DOUBLE AS decay, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS n, round({effective_size(decay)!r}::DOUBLE, 6) AS ess, round({half_life(decay)!r}::DOUBLE, 6) AS half_life_weeks FROM err3_{i} WHERE horizon = 4 AND maturity = 3"
+        f"SELECT {decay}::DOUBLE AS decay, round(sqrt(avg(error * error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS n, round('{effective_size(decay)!r}'::DOUBLE, 6) AS ess, round('{half_life(decay)!r}'::DOUBLE, 6) AS half_life_weeks FROM err3_{i} WHERE horizon = 4 AND maturity = 3"
         for i, decay in enumerate(S.ew_grid))
     return with_sql(*direct_sql(2)[:3], *shared, *steps, shown)
 

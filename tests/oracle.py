@@ -38,7 +38,7 @@ def difference(ours: pd.DataFrame, theirs: pd.DataFrame, close: float = 1e-9) ->
     for c in a.columns:
         if pd.api.types.is_numeric_dtype(a[c]) and pd.api.types.is_numeric_dtype(b[c]):
             x, y = a[c].astype(float), b[c].astype(float)
-            bad = ~(((x - y).abs() <= close * (1 + y.abs())) | (x.isna() & y.isna()))
+            bad = ~((x == y) | ((x - y).abs() <= close * (1 + y.abs())) | (x.isna() & y.isna()))
         else:
             bad = ~((a[c] == b[c]) | (a[c].isna() & b[c].isna()))
         if bad.any():
