@@ -13,6 +13,10 @@ pyahocorasick builds the automaton that reports all tokens in a piece in one pas
 Tokens that the merges can't produce are left out of the automaton; like the public
 implementations, a piece that equals a token as a whole is that token, whatever the merges.
 
+The pattern splits with the regex library, but with tiktoken's character classes: code points that only
+one of the two libraries' Unicode tables puts into a class are found once, on the driver, and
+written into the pattern that splits texts with such characters (``split_as_tiktoken``).
+
 Scale: one pass, no shuffle. A worker remembers the ids of at most MEMO_PIECES short pieces.
 
 Defined results. A null or empty text has no ids. Any text of any length decodes to its own
@@ -22,9 +26,11 @@ UTF-8 bytes. Repeated rows give repeated results; extra columns are not read.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
@@ -38,12 +44,48 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def _ranges(points: list[int]) -> str:
+    """A regular expression's set of ascending code points."""
+    starts = [p for i, p in enumerate(points) if not i or points[i - 1] != p - 1]
+    ends = [p for i, p in enumerate(points) if i + 1 == len(points) or points[i + 1] != p + 1]
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, ends)) + "]"
+
+
+@functools.lru_cache(maxsize=None)
+def split_as_tiktoken(pattern: str) -> tuple[str, str, str]:
+    """The pattern, the characters that are in other classes for tiktoken than for the regex library,
+    and the pattern with tiktoken's classes, for texts that have any of these."""
+    import regex
+    import tiktoken
+
+    single = {bytes([i]): i for i in range(256)}
+    text = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    exact, odd = pattern, set()
+    for name in sorted(set(regex.findall(r"\\[pP]\{\^?\w+\}|\\s", pattern))):
+        # An encoding of single bytes gives back all that its pattern matches.
+        found = tiktoken.Encoding("class", pat_str=name, mergeable_ranks=single, special_tokens={}).encode_ordinary(text)
+        theirs, ours = set(bytes(found).decode()), set(regex.findall(name, text))
+        own = name
+        if ours - theirs:
+            own = f"[{own}--{_ranges(sorted(map(ord, ours - theirs)))}]"
+        if theirs - ours:
+            own = f"[{own}||{_ranges(sorted(map(ord, theirs - ours)))}]"
+        exact = exact.replace(name, own)
+        odd |= ours ^ theirs
+    return pattern, "".join(sorted(odd)), f"(?V1){exact}"
+
+
 class ByteBpe:
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    """split: of split_as_tiktoken()."""
+
+    def __init__(self, ranks: dict[bytes, int], split: tuple[str, str, str]):
         import ahocorasick
         import regex
 
-        self.find = regex.compile(pattern).findall
+        plain, odd, exact = split
+        self.find, self.find_exact = regex.compile(plain).findall, regex.compile(exact).findall
+        self.is_odd = np.zeros(0x110000, bool)
+        self.is_odd[list(map(ord, odd))] = True
         self.ranks = ranks
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -144,7 +186,9 @@ class ByteBpe:
         """Ids of a whole text: each match of the pattern by itself."""
         out: list[int] = []
         memo = self.memo
-        for piece in self.find(text or ""):
+        text = text or ""
+        odd = not text.isascii() and self.is_odd[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
+        for piece in (self.find_exact if odd else self.find)(text):
             ids = memo.get(piece)
             if ids is None:
                 ids = tuple(self.encode_piece(piece.encode()))
@@ -159,16 +203,17 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def _coder(path: str, pattern: str) -> ByteBpe:
-    return resident(("bytebpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
+def _coder(path: str, split: tuple[str, str, str]) -> ByteBpe:
+    return resident(("bytebpe", path, split), lambda: ByteBpe(read_ranks(path), split))
 
 
 def encode_column(path: str, pattern: str):
     """A column function: text to array of ids. path: a rank file present on every executor."""
+    split = split_as_tiktoken(pattern)
 
     @F.pandas_udf("array<int>")
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(path, pattern)
+        coder = _coder(path, split)
         for batch in texts:
             yield pd.Series([coder.encode(t if isinstance(t, str) else None) for t in batch], dtype=object)
 
@@ -177,10 +222,11 @@ def encode_column(path: str, pattern: str):
 
 def decode_column(path: str, pattern: str):
     """A column function: array of ids to bytes."""
+    split = split_as_tiktoken(pattern)
 
     @F.pandas_udf("binary")
     def decode(ids: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = _coder(path, pattern)
+        coder = _coder(path, split)
         for batch in ids:
             yield pd.Series([coder.decode(x) if x is not None else b"" for x in batch], dtype=object)
 
@@ -193,10 +239,11 @@ def code_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Encoding, decoding of the ids and both digests are made text by text in one Python call, so
     the ids of only one text are held at a time and no id list crosses back to the JVM.
     """
+    split = split_as_tiktoken(pattern)
 
     @F.pandas_udf("n_tokens long, ids_sha256 string, decoded_sha256 string")
     def digests(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        coder = _coder(path, pattern)
+        coder = _coder(path, split)
         names = [str(i) for i in range(len(coder.tokens))]
         for batch in texts:
             rows = []

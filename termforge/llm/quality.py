@@ -250,8 +250,9 @@ def fit_outliers(counts: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
     by_lang = materialize(by_lang, "quality-lang-cells")
     pooled = materialize(_estimates(by_lang, ["lang"], min_group).withColumnsRenamed({"centre": "near", "precision": "near_precision"}), "quality-lang-params")
     whole = by_lang.groupBy(*axes).agg(*[F.sum(x).alias(x) for x in sums]).withColumn("lang", F.lit("all"))
-    whole = materialize(_estimates(whole, ["lang"], 0), "quality-whole-params").select(F.col("centre").alias("far"), F.col("precision").alias("far_precision"))
-    borrowed = join_per_key(small, pooled, ["lang"]).crossJoin(F.broadcast(whole))
+    # One row, attached by its key.
+    whole = materialize(_estimates(whole, ["lang"], 0), "quality-whole-params").withColumnsRenamed({"lang": "of", "centre": "far", "precision": "far_precision"})
+    borrowed = join_per_key(small.withColumn("of", F.lit("all")), pooled, ["lang"]).join(F.broadcast(whole), "of", "left")
     return own.union(
         borrowed.select("lang", "source", F.coalesce("near", "far").alias("centre"), F.coalesce("near_precision", "far_precision").alias("precision"))
     )

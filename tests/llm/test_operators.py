@@ -695,7 +695,7 @@ def coders():
     import tiktoken
 
     ranks = bytebpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
-    return bytebpe.ByteBpe(ranks, P.PATTERN), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return bytebpe.ByteBpe(ranks, bytebpe.split_as_tiktoken(P.PATTERN)), tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 @settings(max_examples=300, deadline=None)
@@ -707,6 +707,16 @@ def test_pieces_are_exact(coders, parts):
         assert own.encode_piece(piece) == library._encode_single_piece(piece)
 
 
+def test_all_characters_split_as_the_library_splits_them(coders):
+    own, library = coders
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    r = random.Random(3)
+    texts = [" ".join(points[::3]), "".join(points[::5]), "".join(r.choices(points[:0x600] + [" ", "\n", "1"] * 200, k=5_000))]
+    texts += ["".join(r.choices(points, k=r.randint(1, 9))) + r.choice([" \t a", "'s 12", "\u3000 \x85"]) for _ in range(2_000)]
+    for text in texts:
+        assert own.encode(text) == library.encode_ordinary(text)
+
+
 def test_documents_round_trip(docs, none, coders):
     _, library = coders
     texts = {i: t or "" for i, t, *_ in edge_rows()}
