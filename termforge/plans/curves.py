@@ -13,6 +13,7 @@ from termforge.operators import curve, gram, hypothesis, probability, regress, w
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
+from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, screening_sql
 
 Q, SQL = {}, {}
 #: 100 decays; settings for finer grids are parameters of the operators.
@@ -340,9 +341,15 @@ def _gpairs(spark, d):
 
 
 add("stationarity_tests", lambda s, d: rounded(hypothesis.stationarity(_series(s, d))))
-add("granger_ssr_f", lambda s, d: rounded(hypothesis.granger_tests(_gpairs(s, d))))
-add("granger_halves", lambda s, d: rounded(hypothesis.granger_halves(_gpairs(s, d), 2)))
-add("macro_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_gpairs(s, d)))))
+_LONG = "factor AS (" + " UNION ALL ".join(f"SELECT week_end, 'beta{i}' AS series, beta{i} AS value FROM fact" for i in range(3)) + ")"
+_GPAIRS = [FACT, MACRO, _LONG, "gp AS (SELECT week_end, m.series AS cause, f.series AS effect, m.value AS x, f.value AS y FROM macro m JOIN factor f USING (week_end) WHERE f.series <> 'beta2')"]
+_HALVES = ["mid AS (SELECT quantile_disc(week_end, 0.5) AS m FROM (SELECT DISTINCT week_end FROM gp))",
+    "gp1 AS (SELECT gp.* FROM gp, mid WHERE week_end <= m)", "gp2 AS (SELECT gp.* FROM gp, mid WHERE week_end >= m)"]
+_SCREENED = "SELECT cause, effect, round(p, 5) AS p, best_lag, sig, verdict FROM screen"
+add("granger_ssr_f", lambda s, d: rounded(hypothesis.granger_tests(_gpairs(s, d)), 5), with_sql(*_GPAIRS, *granger_sql("gp", 4), f"SELECT {GRANGER_COLUMNS} FROM granger"))
+add("granger_halves", lambda s, d: rounded(hypothesis.granger_halves(_gpairs(s, d), 2), 5), with_sql(*_GPAIRS, *_HALVES, *granger_sql("gp1", 2, "g1"), *granger_sql("gp2", 2, "g2"),
+    f"SELECT {GRANGER_COLUMNS}, 'first' AS half FROM g1 UNION ALL SELECT {GRANGER_COLUMNS}, 'second' FROM g2"))
+add("macro_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_gpairs(s, d))), 5), with_sql(*_GPAIRS, *granger_sql("gp", 4), screening_sql(), _SCREENED))
 
 
 def _transform_pairs(spark, d):
@@ -352,11 +359,19 @@ def _transform_pairs(spark, d):
     return causes.join(fact(spark, d).unpivot(["week_end"], ["beta0", "beta1", "beta2"], "effect", "y"), "week_end")
 
 
-add("transform_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d)))))
-add("best_transforms", lambda s, d: rounded(hypothesis.best_transform(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d))))))
+_TRANSFORMS = "tr AS (SELECT week_end, series || ':level' AS cause, value AS x FROM macro UNION ALL " + " UNION ALL ".join(
+    f"SELECT week_end, series || ':d{k}W', value - lag(value, {k}) OVER (PARTITION BY series ORDER BY week_end) FROM macro" for k in (1, 4, 13, 26)) + """ UNION ALL
+  SELECT week_end, series || ':z52W', CASE WHEN count(value) OVER w >= 26 THEN (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) END FROM macro
+  WINDOW w AS (PARTITION BY series ORDER BY week_end ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))"""
+_TPAIRS = [FACT, MACRO, _LONG, _TRANSFORMS, "tp AS (SELECT week_end, cause, f.series AS effect, x, f.value AS y FROM tr JOIN factor f USING (week_end))", *granger_sql("tp", 4), screening_sql()]
+add("transform_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d))), 5), with_sql(*_TPAIRS, _SCREENED))
+add("best_transforms", lambda s, d: rounded(hypothesis.best_transform(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d)))), 5), with_sql(*_TPAIRS,
+    "split AS (SELECT split_part(cause, ':', 1) AS variable, split_part(cause, ':', 2) AS transform, effect, p FROM screen)",
+    "SELECT variable, effect, arg_min(transform, (p, transform)) AS best_transform, round(min(p), 5) AS p FROM split GROUP BY 1, 2"))
 add("multi_horizon_projection", lambda s, d: rounded(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
 add("signal_pattern", lambda s, d: hypothesis.signal_pattern(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
-add("residual_diagnostics", lambda s, d: rounded(hypothesis.diagnostics(_series(s, d))))
+add("residual_diagnostics", lambda s, d: rounded(hypothesis.diagnostics(_series(s, d)), 5), with_sql(FACT, MACRO, _LONG, "se AS (SELECT week_end, series, value FROM factor UNION ALL SELECT week_end, series, value FROM macro)",
+    *diagnostics_sql("se"), f"SELECT series, {_round_sql(['lb_min_p', 'arch_stat', 'arch_p', 'jb_stat', 'jb_p', 'skew', 'kurtosis'], 5)} FROM diag"))
 add("lag_selection", lambda s, d: rounded(hypothesis.select_lag(fact(s, d), ["beta0", "beta1", "beta2"], 8)))
 add("acf_40", lambda s, d: rounded(hypothesis.autocorrelations(orders_weekly(s, d), "value")), with_sql(ORDERS, "c AS (SELECT week_end, value - avg(value) OVER () AS e, row_number() OVER (ORDER BY week_end) AS i FROM orders_weekly)",
     "v AS (SELECT sum(e*e) AS v, count(*) AS n FROM c)",
