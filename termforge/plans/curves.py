@@ -13,7 +13,7 @@ from termforge.operators import curve, gram, hypothesis, probability, regress, w
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
-from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, screening_sql
+from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, lag_selection_sql, projection_sql, screening_sql
 
 Q, SQL = {}, {}
 #: 100 decays; settings for finer grids are parameters of the operators.
@@ -368,11 +368,16 @@ add("transform_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.
 add("best_transforms", lambda s, d: rounded(hypothesis.best_transform(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d)))), 5), with_sql(*_TPAIRS,
     "split AS (SELECT split_part(cause, ':', 1) AS variable, split_part(cause, ':', 2) AS transform, effect, p FROM screen)",
     "SELECT variable, effect, arg_min(transform, (p, transform)) AS best_transform, round(min(p), 5) AS p FROM split GROUP BY 1, 2"))
-add("multi_horizon_projection", lambda s, d: rounded(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
-add("signal_pattern", lambda s, d: hypothesis.signal_pattern(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)))
+_MARKS = "CASE WHEN p_value < 0.01 THEN '***' WHEN p_value < 0.05 THEN '**' WHEN p_value < 0.1 THEN '*' ELSE '' END AS sig"
+add("multi_horizon_projection", lambda s, d: rounded(hypothesis.projection_tests(_gpairs(s, d), HORIZONS), 5), with_sql(*_GPAIRS, *projection_sql("gp", HORIZONS),
+    f"SELECT cause, effect, horizon, round(wald_f, 5) AS wald_f, round(p_value, 5) AS p_value, n, {_MARKS} FROM proj"))
+add("signal_pattern", lambda s, d: hypothesis.signal_pattern(hypothesis.projection_tests(_gpairs(s, d), HORIZONS)), with_sql(*_GPAIRS, *projection_sql("gp", HORIZONS),
+    """sp AS (SELECT cause, effect, count(*) FILTER (p_value < 0.05 AND horizon <= 4) AS short_hits, count(*) FILTER (p_value < 0.05 AND horizon > 4) AS long_hits, arg_min(horizon, (p_value, horizon)) AS best_horizon FROM proj GROUP BY 1, 2)""",
+    "SELECT *, CASE WHEN short_hits > 0 AND long_hits > 0 THEN 'persistent' WHEN short_hits > 0 THEN 'short' WHEN long_hits > 0 THEN 'long' ELSE 'none' END AS pattern FROM sp"))
 add("residual_diagnostics", lambda s, d: rounded(hypothesis.diagnostics(_series(s, d)), 5), with_sql(FACT, MACRO, _LONG, "se AS (SELECT week_end, series, value FROM factor UNION ALL SELECT week_end, series, value FROM macro)",
     *diagnostics_sql("se"), f"SELECT series, {_round_sql(['lb_min_p', 'arch_stat', 'arch_p', 'jb_stat', 'jb_p', 'skew', 'kurtosis'], 5)} FROM diag"))
-add("lag_selection", lambda s, d: rounded(hypothesis.select_lag(fact(s, d), ["beta0", "beta1", "beta2"], 8)))
+add("lag_selection", lambda s, d: rounded(hypothesis.select_lag(fact(s, d), ["beta0", "beta1", "beta2"], 8), 5), with_sql(FACT, *lag_selection_sql("fact", ["beta0", "beta1", "beta2"], 8),
+    f"SELECT p, {_round_sql(['aic', 'bic', 'hq'], 5)}, row_number() OVER (ORDER BY bic, p) = 1 AS chosen FROM orders"))
 add("acf_40", lambda s, d: rounded(hypothesis.autocorrelations(orders_weekly(s, d), "value")), with_sql(ORDERS, "c AS (SELECT week_end, value - avg(value) OVER () AS e, row_number() OVER (ORDER BY week_end) AS i FROM orders_weekly)",
     "v AS (SELECT sum(e*e) AS v, count(*) AS n FROM c)",
     "SELECT k::INTEGER AS lag, round(sum(a.e * b.e) / any_value(v), 6) AS acf, round(1.96 / sqrt(any_value(n)), 6) AS band FROM range(1, 41) r(k), c a JOIN c b ON b.i = a.i - k, v GROUP BY k"))

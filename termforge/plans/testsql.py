@@ -81,3 +81,57 @@ def diagnostics_sql(source: str, lags: int = 10, arch_lags: int = 5) -> list[str
         f"""diag AS (SELECT series, lb_min_p, lm AS arch_stat, {chi2_sf_sql('lm', arch_lags)} AS arch_p, n / 6 * (power(skew, 2) + power(kurtosis, 2) / 4) AS jb_stat,
           exp(-n / 12 * (power(skew, 2) + power(kurtosis, 2) / 4)) AS jb_p, skew, kurtosis FROM dl JOIN da USING (series) JOIN dm USING (series))""",
     ]
+
+
+def projection_sql(source: str, horizons) -> list[str]:
+    """CTEs up to proj: projection_tests with two lags of the table source (cause, effect, week_end, x, y).
+
+    The lags of x and the lead of y, made orthogonal to a constant and the lags of y, give the same
+    Wald number as the whole regression: with g their cross products and M the weighted products of the
+    scores, it is g' M^-1 g.
+    """
+    keys = "cause, effect, horizon"
+    grid = ", ".join(f"({h})" for h in horizons)
+    leads = "CASE " + " ".join(f"WHEN horizon = {h} THEN lead(y, {h}) OVER w" for h in horizons) + " END"
+    along = "sum({v} * {u}) OVER k / sum({u} * {u}) OVER k"
+    window = f"WINDOW k AS (PARTITION BY {keys})"
+
+    def without(u: str, columns: list[str]) -> str:
+        return ", ".join(f"{v} - {along.format(v=v, u=u)} * {u} AS {v}" for v in columns)
+
+    return [
+        f"""p0 AS (SELECT * FROM (SELECT {keys}, row_number() OVER w AS place, y AS u, lag(y) OVER w AS v, x AS a, lag(x) OVER w AS b, {leads} AS t
+          FROM {source}, (VALUES {grid}) h(horizon) WHERE x IS NOT NULL AND y IS NOT NULL WINDOW w AS (PARTITION BY {keys} ORDER BY week_end)) WHERE place > 1 AND t IS NOT NULL)""",
+        f"p1 AS (SELECT {keys}, place, {', '.join(f'{v} - avg({v}) OVER k AS {v}' for v in 'uvabt')} FROM p0 {window})",
+        f"p2 AS (SELECT {keys}, place, {without('u', ['v', 'a', 'b', 't'])} FROM p1 {window})",
+        f"p3 AS (SELECT {keys}, place, {without('v', ['a', 'b', 't'])} FROM p2 {window})",
+        f"p4 AS (SELECT *, {without('a', ['b']).replace(' AS b', ' AS c')}, t - {along.format(v='t', u='a')} * a AS r FROM p3 {window})",
+        f"p5 AS (SELECT {keys}, place, a, b, t, r - {along.format(v='r', u='c')} * c AS e FROM p4 {window})",
+        f"g AS (SELECT {keys}, count(*) AS n, sum(a * t) AS ga, sum(b * t) AS gb FROM p5 GROUP BY ALL)",
+        f"""m AS (SELECT cause, effect, horizon, sum(w * sa * ta) AS maa, sum(w * sa * tb) AS mab, sum(w * sb * tb) AS mbb FROM (
+          SELECT p.cause, p.effect, p.horizon, 1 - abs(p.place - q.place) / (greatest(p.horizon, 2) + 1.0::DOUBLE) AS w, p.a * p.e AS sa, p.b * p.e AS sb, q.a * q.e AS ta, q.b * q.e AS tb
+          FROM p5 p JOIN p5 q ON p.cause = q.cause AND p.effect = q.effect AND p.horizon = q.horizon AND q.place BETWEEN p.place - greatest(p.horizon, 2) AND p.place + greatest(p.horizon, 2)) GROUP BY ALL)""",
+        f"""wd AS (SELECT {keys}, n, (ga * ga * mbb - 2 * ga * gb * mab + gb * gb * maa) / (maa * mbb - mab * mab) * (n - 5) / n / 2 AS wald_f FROM g JOIN m USING ({keys}))""",
+        f"proj AS (SELECT {keys}, wald_f, power(1 + 2 * wald_f / (n - 5), -(n - 5) / 2.0::DOUBLE) AS p_value, n FROM wd)",
+    ]
+
+
+def lag_selection_sql(source: str, columns: list[str], max_lag: int) -> list[str]:
+    """CTEs up to orders: p, aic, bic, hq of vector autoregressions of the table source (week_end, columns)."""
+    k = len(columns)
+    size = 1 + k * (max_lag + 1)
+    z = ["1.0::DOUBLE", *[f"z{i}" for i in range(1, size)]]
+    past = [f"lag({c}, {p}) OVER w AS z{1 + k * (p - 1) + i}" for p in range(1, max_lag + 1) for i, c in enumerate(columns)] + [f"{c} AS z{1 + k * max_lag + i}" for i, c in enumerate(columns)]
+    ctes = [
+        f"v0 AS (SELECT week_end, {', '.join(f'{c} - avg({c}) OVER () AS {c}' for c in columns)} FROM {source})",
+        f"v1 AS (SELECT * FROM (SELECT row_number() OVER w AS place, {', '.join(past)} FROM v0 WINDOW w AS (ORDER BY week_end)) WHERE place > {max_lag})",
+        "e0 AS MATERIALIZED (SELECT count(*)::DOUBLE AS m, " + ", ".join(f"sum({z[i]} * {z[j]}) AS g{i}_{j}" for i in range(size) for j in range(i, size)) + " FROM v1)",
+    ]
+    t = 1 + k * max_lag
+    for p in range(t):
+        rest = [f"g{i}_{j} - g{p}_{i} * g{p}_{j} / g{p}_{p} AS g{i}_{j}" for i in range(p + 1, size) for j in range(i, size)]
+        ctes.append(f"e{p + 1} AS MATERIALIZED (SELECT m, {', '.join(rest)} FROM e{p})")
+    a, b, c, d, e, f = (f"g{t + i}_{t + j}" for i in range(3) for j in range(i, 3))
+    det = f"({a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {e} * {c}) + {c} * ({b} * {e} - {d} * {c}))"
+    rows = " UNION ALL ".join(f"SELECT {p}::INTEGER AS p, m, ln({det} / power(m, 3)) AS ld, {k * (1 + k * p)}::DOUBLE AS k FROM e{1 + k * p}" for p in range(1, max_lag + 1))
+    return [*ctes, f"orders AS (SELECT p, ld + 2 * k / m AS aic, ld + ln(m) * k / m AS bic, ld + 2 * ln(ln(m)) * k / m AS hq FROM ({rows}))"]
