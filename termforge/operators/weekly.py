@@ -151,3 +151,17 @@ def describe(rows: DataFrame, key: str, value: str) -> DataFrame:
         F.min(value).alias("least"), F.max(value).alias("greatest"),
         F.min_by("week_end", F.struct(value, "week_end")).alias("least_week"), F.max_by("week_end", F.struct(value, "week_end")).alias("greatest_week"),
     )
+
+
+def attach(rows: DataFrame, table: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """rows with columns of a table, by its distinct rows of keys and columns; null where it has no such key.
+
+    A key with several values in the table gives a row for each.
+    """
+    return rows.join(table.select(*keys, *columns).distinct(), keys, "left")
+
+
+def first_rows(rows: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows in an order, with their place from 1; n is small, and each task keeps only its own first n."""
+    first = rows.orderBy(*order).limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))

@@ -52,9 +52,10 @@ def macro_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return macro(spark, sf_dir).groupBy("week_end").agg(*cells)
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, since engines add in different orders."""
-    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6, even: bool = False) -> DataFrame:
+    """Doubles rounded, since engines add in different orders; even: ties go to the even digit, else away from zero."""
+    half = F.bround if even else F.round
+    return df.select(*[half(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 # SQL ----------------------------------------------------------------------------------------

@@ -51,6 +51,22 @@ add("lambda_grid_agreement", lambda s, d: rounded(curve.grid_agreement(panel(s,
     FROM fits JOIN wide USING (week_end) WHERE beta1 IS NOT NULL AND m01 <> m06 GROUP BY 1"""))
 
 
+def _chained(spark, d):
+    """Both measures of each decay side by side."""
+    p = panel(spark, d)
+    left = curve.grid_rmse(p, MATURITIES, GRID).withColumnRenamed("n_weeks", "n_fitted")
+    return left.join(curve.grid_agreement(p, MATURITIES, GRID), "decay")
+
+
+_CHAIN = [PANEL, WIDE, load_sql(GRID), fit_sql(), "r AS (SELECT decay, avg(rmse) AS mean_rmse, count(*) AS n_fitted FROM fits WHERE beta0 IS NOT NULL GROUP BY 1)",
+    """ag AS (SELECT decay, 100.0::DOUBLE * avg((sign(beta1) = sign(m01 - m06))::INTEGER) AS agreement_pct, count(*) AS n_weeks
+    FROM fits JOIN wide USING (week_end) WHERE beta1 IS NOT NULL AND m01 <> m06 GROUP BY 1)"""]
+_BOTH = f"SELECT decay, {_round_sql(['mean_rmse', 'agreement_pct'])}, n_fitted, n_weeks FROM r JOIN ag USING (decay)"
+add("lambda_grid_chained", lambda s, d: rounded(_chained(s, d)), with_sql(*_CHAIN, _BOTH))
+add("lambda_grid_first_five", lambda s, d: rounded(weekly.first_rows(_chained(s, d), [F.col("mean_rmse"), F.col("decay")], 5)), with_sql(*_CHAIN,
+    "o AS (SELECT *, row_number() OVER (ORDER BY mean_rmse, decay)::INTEGER AS place FROM r JOIN ag USING (decay))", f"SELECT decay, {_round_sql(['mean_rmse', 'agreement_pct'])}, n_fitted, n_weeks, place FROM o WHERE place <= 5"))
+
+
 def _wide_sql(decays, log: bool, name: str) -> str:
     """CTE of a constant-matrix fit: week_end, rmse, r2, aic in price units."""
     x = curve.fixed_design(MATURITIES, decays)
@@ -146,6 +162,10 @@ add("rw_backtest_metrics", lambda s, d: rounded(regress.metrics(rw_errors(s, d),
     "SELECT horizon, maturity, round(sqrt(avg(error*error)), 6) AS rmse, round(avg(abs(error)), 6) AS mae, count(*) AS n FROM err GROUP BY 1, 2"))
 
 
+add("attach_target_week", lambda s, d: weekly.attach(rw_errors(s, d).select("week_end", "horizon", "maturity"), _rw(s, d), ["week_end", "horizon"], ["t_plus_h"]), with_sql(*_RW, _ERR,
+    "SELECT err.week_end, err.horizon, err.maturity, k.t_plus_h FROM err LEFT JOIN (SELECT DISTINCT week_end, horizon, t_plus_h FROM rw) k USING (week_end, horizon)"))
+
+
 def _drift(spark, d):
     w = Window.orderBy("week_end")
     base = fact(spark, d)

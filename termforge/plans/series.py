@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from termforge.functions.columns import is_weekday, week_end
 from termforge.operators import weekly
-from termforge.plans.base import MACRO, ORDERS, PANEL, WIDE, macro, orders_weekly, rounded, table, week_sql, wide, with_sql
+from termforge.plans.base import MACRO, ORDERS, PANEL, WIDE, macro, orders_weekly, panel, rounded, table, week_sql, wide, with_sql
 
 Q, SQL = {}, {}
 
@@ -232,3 +232,10 @@ add("nearest_week", lambda s, d: weekly.nearest_week(wide(s, d), "1998-05-18"),
 add("series_description", lambda s, d: rounded(weekly.describe(macro(s, d), "series", "value")), with_sql(MACRO,
     """SELECT series, count(value) AS n, count(DISTINCT value) AS n_distinct, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(min(value), 6) AS least, round(max(value), 6) AS greatest,
     arg_min(week_end, (value, week_end)) AS least_week, arg_max(week_end, (value, week_end)) AS greatest_week FROM macro GROUP BY 1"""))
+
+
+add("latest_price_by_maturity", lambda s, d: rounded(panel(s, d).where("price is not null").groupBy("maturity").agg(F.max("week_end").alias("week_end"), F.max_by("price", "week_end").alias("price"))), with_sql(PANEL,
+    "SELECT maturity, max(week_end) AS week_end, round(arg_max(price, week_end), 6) AS price FROM panel WHERE price IS NOT NULL GROUP BY 1"))
+# Cents are whole numbers, so ties are exact; the SQL decides them by remainder.
+add("prices_half_even", lambda s, d: rounded(table(s, d, "orders").select("o_orderkey", "o_totalprice"), 1, even=True), """WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+SELECT o_orderkey, (cents // 10 + CASE WHEN cents % 10 > 5 OR (cents % 10 = 5 AND (cents // 10) % 2 = 1) THEN 1 ELSE 0 END) / 10.0::DOUBLE AS o_totalprice FROM c""")
