@@ -6,13 +6,14 @@ table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from termforge.config import ship_package
-from termforge.llm import bytebpe, merkle, mixing, ngramjoin, orcstore, quality, sharding, tokencount, toxicity, urlfilter
+from termforge.llm import bytebpe, hardnegatives, licenses, merkle, mixing, ngramjoin, orcstore, periodicity, quality, sharding, tokencount, toxicity, urlfilter
 
 UNIGRAM_PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +42,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": lambda spark, sf_dir: toxicity.score_documents(
             _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
         ),
+        "op11_license_scans": docs(licenses.label_documents),
+        "op12_hard_negatives": lambda spark, sf_dir: hardnegatives.mine_embeddings(_table(spark, sf_dir, "embeddings")),
+        "op13_periodic_runs": docs(periodicity.digest_runs),
     }
 
 
@@ -149,7 +153,86 @@ walk AS (SELECT row, 0 AS step, row AS place FROM o UNION ALL SELECT row, step +
 SELECT doc_id, size, text_crc32, 'rows' AS law, (place % {n_shards})::INTEGER AS shard, place // {n_shards} AS slot, NULL::INTEGER AS grown_shard
 FROM o JOIN walk USING (row) CROSS JOIN sides WHERE step > 0 AND place < n"""
 
+#: CRC-32's byte table, by its polynomial, and the CRC of an ASCII string.
+_CRC_TABLE = """tab AS (
+  SELECT list(c ORDER BY n) AS t FROM (
+    SELECT n, list_reduce(list_prepend(n, range(1, 9)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(256) x(n)))"""
+
+
+def _crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({text}) + 1), lambda i: ascii(substr({text}, i, 1))::BIGINT)),
+    lambda c, x: xor(t[((xor(c, x)) & 255) + 1], c >> 8)), 4294967295::BIGINT)"""
+
+
+_RUNS = f"""
+WITH {_CRC_TABLE},
+c AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {_crc_sql('doc_id::VARCHAR')} AS h FROM documents, tab),
+a AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM c),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+e AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS w FROM p),
+u AS (SELECT r, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM e),
+q AS (SELECT x.r, x.i, y.i - x.i AS q FROM u x JOIN u y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM q),
+s AS (SELECT r, min(i) AS start, count(*) + q AS length, q FROM g GROUP BY r, q, g HAVING count(*) + q >= greatest(24, 3 * q)),
+m AS (SELECT r, start, length, min(q) AS period FROM s GROUP BY 1, 2, 3),
+d AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM m),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS collapsed FROM u ANTI JOIN d USING (r, i) GROUP BY r),
+b AS (SELECT r, count(*) AS n_runs, arg_min({{'start': start, 'length': length, 'period': period}}, (-length::DOUBLE / period, start, period)) AS b,
+  string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM m GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.period::BIGINT AS period, (1000 * b.length // b.period)::BIGINT AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256, n::BIGINT AS n_words
+FROM e LEFT JOIN b USING (r) LEFT JOIN k USING (r)"""
+
+_NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.r AS other, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, other) <= 5),
+n AS (SELECT p.anchor_id, p.r, p.other, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score, s.other AS o
+  FROM p JOIN s ON p.r = s.r AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY r, other ORDER BY negative_score DESC, negative_id NULLS LAST, o)::INTEGER AS rank, negative_id, positive_score, negative_score
+FROM n QUALIFY rank <= 10"""
+
+
+def _licenses_sql() -> str:
+    """Every block against every template, counted in full."""
+    need = lambda t: math.ceil(licenses.THRESHOLD * len(set(t.text.split())) - 1e-9)
+    templates = ", ".join(
+        f"({i}, '{t.label}', {need(t)}, {licenses.SPREAD * len(t.text.split())}, {len(set(t.text.split()))}, {len(set(t.keys))})" for i, t in enumerate(licenses.TEMPLATES)
+    )
+    tokens = ", ".join(f"({i}, '{w}', {w in t.keys})" for i, t in enumerate(licenses.TEMPLATES) for w in sorted(set(t.text.split())))
+    phrases = ", ".join(f"('{p}', '{label}', {len(p.split())})" for p, label in licenses.PHRASES.items())
+    word, half = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", licenses.BLOCK // 2
+    return rf"""
+WITH templates(t, label, need, width, size, n_keys) AS (VALUES {templates}), tokens(t, word, is_key) AS (VALUES {tokens}), phrases(phrase, label, k) AS (VALUES {phrases}),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+g AS (SELECT r, unnest(regexp_split_to_array(x, '
+[ 	
+]*
+')) AS x, generate_subscripts(regexp_split_to_array(x, '
+[ 	
+]*
+'), 1) AS g FROM d),
+gw AS (SELECT r, g, regexp_extract_all(x, '{word}') AS ws FROM g),
+w AS (SELECT r, g, len(ws) AS size, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM gw),
+a AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY g, i) - 1 AS pos FROM w),
+f AS (SELECT r, pos, phrases.label FROM (SELECT *, lead(word, 1) OVER o AS w1, lead(word, 2) OVER o AS w2, lead(word, 3) OVER o AS w3 FROM a WINDOW o AS (PARTITION BY r ORDER BY pos)) x
+  JOIN phrases ON phrase = CASE k WHEN 2 THEN word || ' ' || w1 ELSE word || ' ' || w1 || ' ' || w2 || ' ' || w3 END),
+b AS (SELECT r, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list_distinct(list(label)) AS labels FROM f GROUP BY r),
+h AS (SELECT r, g, i, word, unnest(range(greatest(0, (i - {licenses.BLOCK - half}) // {half} * 1), i // {half} + 1)) AS block, size FROM a WHERE word IN (SELECT word FROM tokens)),
+k AS (SELECT r, g, block, i, t, word, is_key FROM h JOIN tokens USING (word) WHERE i >= block * {half} AND i < block * {half} + {licenses.BLOCK} AND (block = 0 OR block * {half} < size - {half})),
+c AS (SELECT r, g, block, t FROM k JOIN templates USING (t) GROUP BY r, g, block, t HAVING count(DISTINCT word) >= any_value(need)),
+s AS (SELECT r, g, block, t, y.i, count(DISTINCT x.word) AS n, count(DISTINCT CASE WHEN x.is_key THEN x.word END) AS n_k
+  FROM c JOIN templates USING (t) JOIN k y USING (r, g, block, t) JOIN k x USING (r, g, block, t) WHERE x.i > y.i - width AND x.i <= y.i GROUP BY r, g, block, t, y.i),
+m AS (SELECT r, g, block, t, any_value(label) AS label, max(n)::DOUBLE / any_value(size) AS containment FROM s JOIN templates USING (t) WHERE n >= need AND n_k = n_keys GROUP BY r, g, block, t),
+z AS (SELECT r, count(*) AS n_matches, max(containment) AS score, list(label) AS labels FROM m GROUP BY r)
+SELECT doc_id, (SELECT count(*) FROM a WHERE a.r = d.r)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels, array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(z.labels, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score, coalesce(n_matches, 0)::BIGINT AS n_matches
+FROM d LEFT JOIN b USING (r) LEFT JOIN z USING (r)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL of the operators whose functions DuckDB has."""
-    return {"op2_sharding": _shards_sql(), "op6_source_mixing": _MIX, "op7_merkle_fingerprints": _FINGERPRINTS}
+    return {"op2_sharding": _shards_sql(), "op6_source_mixing": _MIX, "op7_merkle_fingerprints": _FINGERPRINTS, "op11_license_scans": _licenses_sql(), "op12_hard_negatives": _NEGATIVES, "op13_periodic_runs": _RUNS}
