@@ -39,6 +39,8 @@ from termforge.llm.common import materialize
 CHUNK = r"(?: *[^ ]+){1,8} *| +"
 RANGE_ROWS, MAX_RANGES = 3_000, 65_536
 ROOT, NODE, LEAF = 32, 8, 6
+#: Nodes up to which a plain search costs less than halving.
+FEW = 32
 
 
 def _chunk_nodes(text: Column) -> Column:
@@ -84,17 +86,36 @@ def _sum(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 
 
+def _holds(ordered: Column, node: Column) -> Column:
+    """Whether an ordered array holds the node: halving the range, so that a lookup in n nodes takes log2 n steps."""
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+    first = F.aggregate(
+        F.sequence(F.lit(1), F.length(F.bin(F.size(ordered)))),
+        F.struct(F.lit(0).alias("lo"), F.size(ordered).alias("hi")),
+        lambda s, _: F.when(s["lo"] >= s["hi"], s)
+        .when(F.get(ordered, middle(s)) < node, F.struct((middle(s) + 1).alias("lo"), s["hi"].alias("hi")))
+        .otherwise(F.struct(s["lo"].alias("lo"), middle(s).alias("hi"))),
+        lambda s: s["lo"],
+    )
+    halved = F.coalesce(F.get(ordered, first) == node, F.lit(False))
+    return F.when(F.size(ordered) <= FEW, F.array_contains(ordered, node)).otherwise(halved)
+
+
 def likeness(rows: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """rows with the likeness of the fingerprints in columns a and b, made by with_tree."""
+    """rows with the likeness of the fingerprints in columns a and b, made by with_tree.
+
+    Common nodes are ordered once and looked up by halving; sets are sets of strings, which Spark hashes.
+    """
     nodes = lambda x: F.transform(x, lambda n: n["node"])
-    inside = lambda x, common: F.filter(x, lambda n: F.array_contains(common, n["node"]))
-    outside = lambda x, common: F.filter(x, lambda n: ~F.array_contains(common, n["node"]))
-    sized = lambda x, size: _sum(F.transform(F.array_distinct(F.transform(x, lambda n: F.struct(n["node"].alias("node"), size(n).alias("n")))), lambda y: y["n"]))
+    inside = lambda x, common: F.filter(x, lambda n: _holds(common, n["node"]))
+    outside = lambda x, common: F.filter(x, lambda n: ~_holds(common, n["node"]))
+    named = lambda x, size: F.transform(x, lambda n: F.concat(n["node"], size(n).cast("string")))
+    sized = lambda x, size: _sum(F.transform(F.array_distinct(named(x, size)), lambda y: F.substr(y, F.lit(NODE + 1)).cast("int")))
     x, y = F.col(f"{a}_tree"), F.col(f"{b}_tree")
-    out = rows.withColumn("__sections", F.array_intersect(nodes(x), nodes(y)))
+    out = rows.withColumn("__sections", F.sort_array(F.array_intersect(nodes(x), nodes(y))))
     whole = sized(inside(x, F.col("__sections")), lambda n: _sum(F.transform(n["paragraphs"], lambda p: F.size(p["chunks"]))))
     rest = {c: F.flatten(F.transform(outside(t, F.col("__sections")), lambda n: n["paragraphs"])) for c, t in (("__x", x), ("__y", y))}
-    out = out.withColumns({"__whole": whole, **rest}).withColumn("__paragraphs", F.array_intersect(nodes(F.col("__x")), nodes(F.col("__y"))))
+    out = out.withColumns({"__whole": whole, **rest}).withColumn("__paragraphs", F.sort_array(F.array_intersect(nodes(F.col("__x")), nodes(F.col("__y")))))
     more = sized(inside(F.col("__x"), F.col("__paragraphs")), lambda n: F.size(n["chunks"]))
     left = {c: F.array_distinct(F.flatten(F.transform(outside(F.col(c), F.col("__paragraphs")), lambda n: n["chunks"]))) for c in ("__x", "__y")}
     out = out.withColumns({"__whole": F.col("__whole") + more, **left})

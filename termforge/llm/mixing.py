@@ -23,13 +23,14 @@ the text only.
 Scale. Words are counted once into a table without texts. Sums by source and class
 are partial sums; a source has at most a few hundred classes. A class's ranking is never
 sorted as a whole: ranks are folded into BUCKETS buckets, the bucket in which the sample size is reached is
-found from counts, and only that bucket's documents are ordered. What is decided is one
+found from counts, and only that bucket's distinct ranks are ordered. What is decided is one
 row for each (source, class): sample size and greatest rank taken. From it every document's copies follow
 in the scan (take_documents moves no text while that table fits a broadcast).
 
 Defined results. A null text has no words; it gets the certain copies of its source and counts
 nothing. A null source is a source, last in order. Sources without words have target 0.
-Rows that repeat id and text have one rank, and are taken or left together. An empty table gives an empty
+Rows that repeat id and text have one rank; at the cut as many of them are taken as the
+sample has places left, so repeats don't move a source off its target. An empty table gives an empty
 result. Extra columns, whatever their names, are not read by mix_documents and kept by take_documents.
 """
 
@@ -37,7 +38,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from termforge.llm.common import WORD, join_per_key, materialize
+from termforge.llm.common import SALTS, WORD, join_per_key, materialize
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP, SEED = 1.5, 2.0, "mix"
@@ -135,17 +136,35 @@ def plan_classes(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: f
     # The bucket in which the sample size is reached, and how many of its documents are taken.
     edge = summed.where("upto >= take").groupBy(*KEYS).agg(F.min(F.struct("bucket", (F.col("take") - F.col("upto") + F.col("n")).alias("open"))).alias("e"))
     edge = materialize(edge.select(*KEYS, F.col("e.bucket").alias("edge"), F.col("e.open").alias("open")), "mix-edges")
-    place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("rank"))
-    cuts = join_per_key(ranked, edge, KEYS, "inner", PLAN_ROWS).where("bucket = edge").withColumn("place", place)
-    cuts = materialize(cuts.where("place = open").select(*KEYS, F.col("rank").alias("cut")), "mix-cuts")
-    return materialize(join_per_key(sizes, cuts, KEYS), "mix-plan")
+    # Equal ranks are counted before they are ordered, so rows that repeat are one row here.
+    ranks = join_per_key(ranked, edge, KEYS, "inner", PLAN_ROWS).where("bucket = edge").groupBy(*KEYS, "open", "rank").agg(F.count(F.lit(1)).alias("n"))
+    reached = ranks.withColumn("upto", F.sum("n").over(Window.partitionBy(*KEYS).orderBy("rank"))).where("upto >= open and upto - n < open")
+    cuts = reached.select(*KEYS, F.col("rank").alias("cut"), F.col("n").alias("at_cut"), (F.col("open") - F.col("upto") + F.col("n")).alias("taken_at_cut"))
+    return materialize(join_per_key(sizes, materialize(cuts, "mix-cuts"), KEYS), "mix-plan")
 
 
-def _copies() -> Column:
-    """Copies of a document, from its class's plan, size and u."""
+def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (source, size_class, size, u) with their class's plan and `copies`: how often each is taken.
+
+    Of rows that share the rank of the cut, as many are taken as the sample has places left. Only where a class has
+    fewer places than such rows are these numbered, dealt over SALTS parts.
+    """
     p = inclusion(F.col("size"))
-    drawn = (p == 1) | (pareto_rank(F.col("u"), p) <= F.col("cut"))
-    return (F.coalesce("certain", F.lit(0)) + F.coalesce(drawn, F.lit(False)).cast("int")).cast("long")
+    rank = pareto_rank(F.col("u"), p)
+    planned = join_per_key(rows, plan, KEYS, limit=PLAN_ROWS)
+    tied = F.coalesce((rank == F.col("cut")) & (F.col("taken_at_cut") < F.col("at_cut")), F.lit(False))
+    drawn = F.coalesce((p == 1) | (rank <= F.col("cut")), F.lit(False))
+    copies = lambda extra: (F.coalesce("certain", F.lit(0)) + extra.cast("int")).cast("long").alias("copies")
+    if plan.where("taken_at_cut < at_cut").isEmpty():
+        return planned.select("*", copies(drawn))
+    salted = planned.where(tied).withColumn("__part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(SALTS)).cast("int"))
+    salted = materialize(salted, "mix-ties")
+    sizes = salted.groupBy(*KEYS, "__part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("__before", F.sum("n").over(Window.partitionBy(*KEYS).orderBy("__part")) - F.col("n")).drop("n")
+    numbered = join_per_key(salted, materialize(before, "mix-tie-counts"), [*KEYS, "__part"])
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(*KEYS, "__part").orderBy("u"))
+    chosen = numbered.select("*", copies(place <= F.col("taken_at_cut"))).drop("__part", "__before")
+    return planned.where(~tied).select("*", copies(drawn)).unionByName(chosen)
 
 
 def _with_size(docs: DataFrame, seed: str, *kept: Column) -> DataFrame:
@@ -157,8 +176,8 @@ def plan_copies(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: flo
     """doc_id, source, size, source_size, target, inclusion (probability of the drawn copy), copies of every document."""
     sized = materialize(_with_size(docs, seed, F.col("doc_id").cast("long").alias("doc_id")), "mix-sizes")
     plan = plan_classes(sized, weights, share, cap)
-    rows = join_per_key(sized, plan, KEYS, limit=PLAN_ROWS)
-    return rows.select("doc_id", "source", "size", "source_size", "target", inclusion(F.col("size")).alias("inclusion"), _copies().alias("copies"))
+    rows = _with_copies(sized, plan)
+    return rows.select("doc_id", "source", "size", "source_size", "target", inclusion(F.col("size")).alias("inclusion"), "copies")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
@@ -171,5 +190,5 @@ def take_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     """The mix itself: every document as often as it is taken, with all its columns."""
     sized = materialize(_with_size(docs, seed), "mix-sizes")
     plan = plan_classes(sized, weights, share, cap)
-    rows = join_per_key(_with_size(docs, seed, F.struct(*docs.columns).alias("row")), plan, KEYS, limit=PLAN_ROWS)
-    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")
+    rows = _with_copies(_with_size(docs, seed, F.struct(*docs.columns).alias("row")), plan)
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -127,9 +127,8 @@ walk(source, step, carry, cls, n, w, even, take) AS (
 p AS (SELECT d.doc_id, d.source, d.size, d.cls, d.u, n, take, CASE WHEN take = n THEN 1.0::DOUBLE WHEN even THEN take::DOUBLE / n ELSE take * d.size / greatest(w, 1.0::DOUBLE) END AS inclusion
   FROM d JOIN walk ON walk.step > 0 AND walk.cls = d.cls AND d.source IS NOT DISTINCT FROM walk.source),
 q AS (SELECT *, CASE WHEN inclusion > 0 AND inclusion < 1 THEN (u / (1 - u)) / (inclusion / (1 - inclusion)) END AS rank FROM p),
-v AS (SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY rank) AS place FROM q),
-x AS (SELECT *, max(CASE WHEN place = take THEN rank END) OVER (PARTITION BY source, cls) AS cut FROM v)
-SELECT doc_id, size, words::BIGINT AS source_size, target, (size * (certain + (inclusion = 1 OR coalesce(rank <= cut, false))::INTEGER))::BIGINT AS taken, inclusion
+x AS (SELECT *, row_number() OVER (PARTITION BY source, cls ORDER BY rank) AS place FROM q)
+SELECT doc_id, size, words::BIGINT AS source_size, target, (size * (certain + (inclusion = 1 OR (rank IS NOT NULL AND place <= take))::INTEGER))::BIGINT AS taken, inclusion
 FROM x JOIN o ON x.source IS NOT DISTINCT FROM o.source"""
 
 
