@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_termforge_shipped"
+_WRITTEN: list[str] = []
 
 
 @dataclass(frozen=True)
@@ -48,3 +50,33 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.join("termforge", os.path.relpath(full, top)))
     context.addPyFile(path)
     setattr(context, _SHIPPED, True)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A path that no other run uses in the folder that driver and executors share, spark.checkpoint.dir.
+
+    Where that is unset, a session in one process gets a folder of its own, and any other an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "/tmp/checkpoints"
+    path = f"{folder.rstrip('/')}/termforge/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this process wrote into the shared folder, for callers that have consumed the results."""
+    while _WRITTEN:
+        where = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a written table: its plan is done once, and a lost executor costs a re-read."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

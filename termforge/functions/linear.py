@@ -10,11 +10,21 @@ from termforge.functions.special import chi2_sf, f_sf, norm_cdf
 
 
 def least_squares(x: np.ndarray, y: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """Coefficients (minimum norm where x is rank deficient); weights multiply squared errors."""
+    """Coefficients (of least norm in columns of unit length, where x is rank deficient); weights multiply squared errors."""
     if weights is not None:
         root = np.sqrt(weights)[:, None]
         x, y = x * root, y * (root if y.ndim == 2 else root[:, 0])
-    return np.linalg.lstsq(x, y, rcond=None)[0]
+    length = np.sqrt((x * x).sum(0))
+    length[length == 0] = 1.0
+    beta = np.linalg.lstsq(x / length, y, rcond=None)[0]
+    return beta / (length[:, None] if y.ndim == 2 else length)
+
+
+def standard(y: np.ndarray) -> np.ndarray:
+    """The values centred and divided by their deviation: tests with a constant don't depend on level and unit."""
+    e = y - y.mean()
+    spread = math.sqrt(float(e @ e) / max(len(e), 1))
+    return e / spread if spread > 0 else e
 
 
 def rss(x: np.ndarray, y: np.ndarray) -> float:
@@ -30,6 +40,7 @@ def lagged(y: np.ndarray, lags: int) -> np.ndarray:
 
 def granger(effect: np.ndarray, cause: np.ndarray, lag: int) -> tuple[float, float, float, float]:
     """(F, p of F, chi2, p of chi2) of leaving `lag` lags of the cause out of an autoregression of the effect."""
+    effect, cause = standard(effect), standard(cause)
     y = effect[lag:]
     own = np.column_stack([np.ones(len(y)), lagged(effect, lag)])
     full = np.column_stack([own, lagged(cause, lag)])
@@ -45,6 +56,7 @@ def granger(effect: np.ndarray, cause: np.ndarray, lag: int) -> tuple[float, flo
 def projection_test(y: np.ndarray, x: np.ndarray, horizon: int, lags: int) -> tuple[float, float, int]:
     """(Wald F, p, rows): do lags of x help predict y `horizon` ahead, with Newey-West errors of width max(horizon, lags)."""
     n = len(y)
+    y, x = standard(y), standard(x)
     rows = np.arange(lags - 1, n - horizon)
     if len(rows) < 2 * (2 * lags + 1):
         return math.nan, math.nan, len(rows)
@@ -80,30 +92,45 @@ def adf_p_value(tau: float) -> float:
     return norm_cdf(sum(c * tau**i for i, c in enumerate(powers)))
 
 
+def nested_rss(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of y on the first 1, 2, ... columns of x, from one factorisation."""
+    q = np.linalg.qr(x / np.maximum(np.sqrt((x * x).sum(0)), 1e-300))[0]
+    left, out = y.copy(), []
+    for k in range(q.shape[1]):
+        left = left - q[:, k] * (q[:, k] @ left)
+        out.append(float(left @ left))
+    return np.array(out)
+
+
+def unit_root_design(y: np.ndarray, lags: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """(constant, level, `lags` lagged differences; difference) from difference number `first` on."""
+    d = np.diff(y)
+    t = np.arange(first, len(d))
+    return np.column_stack([np.ones(len(t)), y[t], *[d[t - k] for k in range(1, lags + 1)]]), d[t]
+
+
 def adf(y: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
-    """(statistic, p, lags) of the augmented Dickey-Fuller test with constant; lags by AIC on a common sample."""
-    n = len(y)
+    """(statistic, p, lags) of the augmented Dickey-Fuller test with constant; lags by AIC on a common sample.
+
+    Level and unit of y change nothing. All orders come from one factorisation of the longest regression.
+    """
+    n, y = len(y), standard(y)
     if max_lag is None:
         max_lag = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
-    d = np.diff(y)
-
-    def design(lags: int, first: int) -> tuple[np.ndarray, np.ndarray]:
-        t = np.arange(first, len(d))
-        return np.column_stack([y[t], *[d[t - k] for k in range(1, lags + 1)], np.ones(len(t))]), d[t]
-
-    best = None
-    for lags in range(max_lag + 1):
-        x, target = design(lags, max_lag)
-        m = len(target)
-        aic = m * (math.log(2 * math.pi * rss(x, target) / m) + 1) + 2 * x.shape[1]
-        if best is None or aic < best[0]:
-            best = (aic, lags)
-    x, target = design(best[1], best[1])
-    beta = least_squares(x, target)
-    e = target - x @ beta
-    sigma = e @ e / (len(target) - x.shape[1])
-    tau = float(beta[0] / math.sqrt(sigma * np.linalg.pinv(x.T @ x)[0, 0]))
-    return tau, adf_p_value(tau), best[1]
+    x, target = unit_root_design(y, max_lag, max_lag)
+    m = len(target)
+    left = np.maximum(nested_rss(x, target)[1:], 1e-300)
+    aic = m * np.log(left / m) + 2.0 * np.arange(2, max_lag + 3)
+    lags = int(np.argmin(aic))
+    x, target = unit_root_design(y, lags, lags)
+    others = np.delete(x, 1, axis=1)
+    level = x[:, 1] - others @ least_squares(others, x[:, 1])
+    rest = target - others @ least_squares(others, target)
+    slope = float(level @ rest) / float(level @ level)
+    e = rest - slope * level
+    sigma = float(e @ e) / (len(target) - x.shape[1])
+    tau = slope / math.sqrt(sigma / float(level @ level)) if sigma > 0 else -math.inf
+    return tau, adf_p_value(tau), lags
 
 
 #: Upper tail points of the level-stationarity statistic (Kwiatkowski et al. 1992, table 1).
@@ -112,8 +139,7 @@ KPSS_POINTS = ((0.347, 0.10), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
 
 def kpss(y: np.ndarray) -> tuple[float, float, int]:
     """(statistic, p within 0.01 to 0.10, lags) of the level-stationarity test; automatic bandwidth (Hobijn et al.)."""
-    n = len(y)
-    e = y - y.mean()
+    n, e = len(y), standard(y)
     width = int(n ** (2.0 / 9.0))
     s0, s1 = e @ e / n, 0.0
     for i in range(1, width + 1):
@@ -175,10 +201,13 @@ def variance_inflation(x: np.ndarray, centred: bool = False) -> list[float]:
 def var_fit(y: np.ndarray, lags: int, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(coefficients with the constant first, residuals) of a vector autoregression, rows from `first` on."""
     first = lags if first is None else first
-    t = np.arange(first, len(y))
-    x = np.column_stack([np.ones(len(t)), *[y[t - k] for k in range(1, lags + 1)]])
-    beta = least_squares(x, y[t])
-    return beta, y[t] - x @ beta
+    t, mean = np.arange(first, len(y)), y.mean(0)
+    centred = y - mean
+    x = np.column_stack([np.ones(len(t)), *[centred[t - k] for k in range(1, lags + 1)]])
+    beta = least_squares(x, centred[t])
+    e = centred[t] - x @ beta
+    beta[0] += mean - np.tile(mean, lags) @ beta[1:]
+    return beta, e
 
 
 def lag_criteria(y: np.ndarray, max_lag: int) -> list[tuple[int, float, float, float]]:

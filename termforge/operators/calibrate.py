@@ -1,7 +1,7 @@
 """Calibration maps p' = sigmoid(a * logit(p) + b), pooled and rolling, fitted point in time.
 
-Fits are two-parameter problems on the rows of one key; keys are independent groups. Scores
-and map application are column expressions.
+Fits are two-parameter problems on the rows of one key: Newton steps on sums, which are aggregates or
+running sums. Scores and map application are column expressions.
 """
 
 from __future__ import annotations
@@ -9,9 +9,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from termforge.functions.columns import logit, sigmoid
-from termforge.functions.linear import platt
 from termforge.operators.probability import brier
 
 
@@ -61,35 +61,92 @@ def skill_table(calibrated: DataFrame, keys: list[str]) -> DataFrame:
     return raw.join(cal.select(*keys, F.col("brier_score").alias("brier_cal"), F.col("brier_skill").alias("bss_cal")), keys, "left")
 
 
+#: Bins of the logit over (-EDGE, EDGE), steps, the largest step, and the penalty on half the squared slope, of rolling fits.
+BINS, EDGE, STEPS, LARGEST_STEP, RIDGE = 64, 9.22, 16, 2.0, 0.01
+#: Logits are added as whole numbers of 1 / UNIT, so that sums don't depend on the order of rows.
+UNIT = 1_000_000_000
+
+
+@F.pandas_udf(StructType().add("a", DoubleType()).add("b", DoubleType()))
+def newton(n: pd.Series, y: pd.Series, z: pd.Series) -> pd.DataFrame:
+    """a, b of sigmoid(a * z + b) for each row's arrays of counts, of hits and of mean logits: Newton steps of many rows at once.
+
+    Steps start from a = 0 and the base rate and are cut to LARGEST_STEP; the penalty keeps separated outcomes
+    finite. Where all outcomes are equal, or the slope would not be positive, a is 0 and b the base rate.
+    """
+    width = max([BINS, *map(len, n)])  # the same for all batches, so that sums are too
+    grid = np.zeros((3, len(n), width))
+    for k, column in enumerate((n, y, z)):
+        for i, values in enumerate(column):
+            grid[k, i, : len(values)] = values
+    n, y, z = grid
+    total, hits = n.sum(1), y.sum(1)
+    rate = np.clip(hits / np.maximum(total, 1), 1e-4, 1 - 1e-4)
+    flat = np.log(rate / (1 - rate))
+    a, b = np.zeros(len(n)), flat.copy()
+    for _ in range(STEPS):
+        s = 1 / (1 + np.exp(-np.clip(a[:, None] * z + b[:, None], -30, 30)))
+        g, h = y - n * s, n * s * (1 - s)
+        ga, gb = (g * z).sum(1) - RIDGE * a, g.sum(1)
+        haa, hab, hbb = (h * z * z).sum(1) + RIDGE, (h * z).sum(1), h.sum(1) + 1e-9
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        cut = np.maximum(1.0, np.maximum(np.abs(da), np.abs(db)) / LARGEST_STEP)
+        a, b = a + da / cut, b + db / cut
+    plain = (hits == 0) | (hits == total) | (a <= 0)
+    return pd.DataFrame({"a": np.where(plain, 0.0, a), "b": np.where(plain, flat, b)})
+
+
+def _active(cells: DataFrame, keys: list[str], dates: DataFrame, values: list[str], window_weeks: int | None) -> DataFrame:
+    """keys, week_end, sums of values over the cells (week_end, realized_date) that count at each date of dates: realised by it, and not too old.
+
+    A cell comes in on the day it is realised and goes out when it is too old; running sums over those days give all dates at once.
+    """
+    came = cells.select(*keys, F.col("realized_date").alias("day"), *values)
+    if window_weeks is not None:
+        lasts = F.date_add("week_end", 7 * window_weeks)
+        cells = cells.where(F.col("realized_date") <= lasts)
+        came = cells.select(*keys, F.col("realized_date").alias("day"), *values)
+        came = came.unionByName(cells.select(*keys, F.date_add(lasts, 1).alias("day"), *[(-F.col(v)).alias(v) for v in values]))
+    marks = dates.select(*keys, F.col("week_end").alias("day"), *[F.lit(None).cast("long").alias(v) for v in values], F.lit(True).alias("asked"))
+    both = came.withColumn("asked", F.lit(False)).unionByName(marks)
+    upto = Window.partitionBy(*keys).orderBy(F.unix_date("day")).rangeBetween(Window.unboundedPreceding, 0)
+    summed = both.select(*keys, F.col("day").alias("week_end"), "asked", *[F.sum(v).over(upto).alias(v) for v in values])
+    return summed.where("asked").drop("asked")
+
+
 def rolling(rows: DataFrame, keys: list[str], window_weeks: int | None, shock, least_rows: int = 20, least_dates: int = 10) -> DataFrame:
     """One fit per key and date t from outcomes realised by t, at most window_weeks old; after the shock the last fit stands.
 
     rows: keys, week_end, realized_date, p, actual (several rows a date are pooled into its
     fit). Returns keys, week_end, a, b, n_used, n_dates_used, in_domain, one row per key and
-    date. A key's history is one weekly series times its pooled cells.
+    date; in_domain: fitted at the date itself, before the shock. Rows from the shock on are never fitted on; dates with fewer
+    rows or dates than asked for have no fit before the shock, and the last there was from it on.
+
+    No date is refitted from its rows. Logits fall into BINS bins, each with its number of rows, of hits and its mean logit,
+    as running sums over the days on which rows come in and go out; the fits are Newton steps on
+    these, many dates in one Arrow batch.
     """
-    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*keys).schema)
-    schema = f"{types}, week_end date, a double, b double, n_used int, n_dates_used int, in_domain boolean"
-    shock = pd.Timestamp(shock)
-
-    def fit(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(week_end=pd.to_datetime(g["week_end"]), realized_date=pd.to_datetime(g["realized_date"]))
-        g = g.sort_values(["realized_date", "week_end", "p"], kind="stable")
-        done, origin = g["realized_date"].to_numpy(), g["week_end"].to_numpy()
-        p, y = g["p"].to_numpy(float), g["actual"].to_numpy(float)
-        out, last = [], (None, None)
-        for t in np.sort(g["week_end"].unique()):
-            known = (done <= t) & (origin < np.datetime64(shock)) & ~np.isnan(y)
-            if window_weeks is not None:
-                known &= origin >= t - np.timedelta64(7 * window_weeks, "D")
-            n, dates = int(known.sum()), len(np.unique(origin[known]))
-            inside = pd.Timestamp(t) < shock
-            if inside:
-                last = platt(p[known], y[known]) if n >= least_rows and dates >= least_dates else (None, None)
-            out.append([*key, pd.Timestamp(t).date(), last[0], last[1], n, dates, inside])
-        return pd.DataFrame(out, columns=[*keys, "week_end", "a", "b", "n_used", "n_dates_used", "in_domain"])
-
-    return rows.select(*keys, "week_end", "realized_date", "p", "actual").groupBy(*keys).applyInPandas(fit, schema)
+    known = rows.where(F.col("p").isNotNull() & F.col("actual").isNotNull() & F.col("realized_date").isNotNull() & (F.col("week_end") < F.lit(shock)))
+    z = logit(F.col("p"))
+    place = F.least(F.floor((z + EDGE) / (2 * EDGE) * BINS), F.lit(BINS - 1)).cast("int")
+    cells = known.groupBy(*keys, "week_end", "realized_date", place.alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("actual").cast("long").alias("y"), F.sum(F.round(z * UNIT).cast("long")).alias("z")
+    )
+    dates = rows.select(*keys, "week_end").distinct()
+    used = dates.join(cells.select(*keys, "bin").distinct(), keys)
+    sums = _active(cells, [*keys, "bin"], used, ["n", "y", "z"], window_weeks).where("n > 0")
+    listed = sums.groupBy(*keys, "week_end").agg(F.sum("n").cast("int").alias("n_used"), F.sort_array(F.collect_list(F.struct("bin", "n", "y", (F.col("z") / F.col("n") / UNIT).alias("z")))).alias("bins"))
+    origins = known.select(*keys, "week_end", "realized_date").distinct().withColumn("d", F.lit(1).cast("long"))
+    counted = _active(origins, keys, dates, ["d"], window_weeks).select(*keys, "week_end", F.col("d").cast("int").alias("n_dates_used"))
+    inside = F.col("week_end") < F.lit(shock)
+    ready = inside & (F.col("n_used") >= least_rows) & (F.col("n_dates_used") >= least_dates)
+    fitted = listed.join(counted, [*keys, "week_end"]).where(ready).withColumn("f", newton("bins.n", "bins.y", "bins.z")).select(*keys, "week_end", "f.a", "f.b")
+    every = dates.join(listed.drop("bins"), [*keys, "week_end"], "left").join(counted, [*keys, "week_end"], "left").join(fitted, [*keys, "week_end"], "left")
+    last = Window.partitionBy(*keys).orderBy("week_end").rowsBetween(Window.unboundedPreceding, 0)
+    stands = lambda c: F.when(inside, F.col(c)).otherwise(F.last(c, True).over(last)).alias(c)
+    zero = F.lit(0)
+    return every.select(*keys, "week_end", stands("a"), stands("b"), F.coalesce("n_used", zero).alias("n_used"), F.coalesce("n_dates_used", zero).alias("n_dates_used"), F.coalesce(inside & F.col("a").isNotNull(), F.lit(False)).alias("in_domain"))
 
 
 def rolling_apply(rows: DataFrame, keys: list[str], window_weeks: int | None, shock, **least) -> DataFrame:
@@ -114,8 +171,3 @@ def compare_rolling(pooled_rows: DataFrame, rolling_rows: DataFrame, keys: list[
     b = skill_table(rolling_rows, keys).select(*keys, F.col("bss_cal").alias("bss_rolling"))
     return a.join(b, keys, "full")
 
-
-def forward_coefficients(fits: DataFrame, keys: list[str]) -> DataFrame:
-    """Each date's coefficients, or the last earlier ones where it has none."""
-    w = Window.partitionBy(*keys).orderBy("week_end")
-    return fits.withColumns({c: F.last(c, True).over(w) for c in ("a", "b")})

@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from termforge.functions import linear
 from termforge.functions.columns import stars, stationarity_verdict
+from termforge.functions.special import f_sf
 
 
 def _values(g: pd.DataFrame, column: str = "value") -> np.ndarray:
@@ -69,20 +71,96 @@ def best_transform(screen: DataFrame) -> DataFrame:
     return rows.groupBy("variable", "effect").agg(F.min_by("transform", F.struct("p", "transform")).alias("best_transform"), F.min("p").alias("p"))
 
 
-def projection_tests(pairs: DataFrame, horizons, lags: int = 2) -> DataFrame:
-    """cause, effect, horizon, wald_f, p_value, n, sig of direct projections with Newey-West errors."""
-    spark = pairs.sparkSession
-    grid = spark.createDataFrame([(int(h),) for h in horizons], "horizon int")
+def _partial(lags: int):
+    """A column function: the upper triangle of the Gram matrix of (1, lags of y, lags of x, target) to what the projection test needs.
 
-    def run(k, g):
-        g = g.dropna(subset=["x", "y"]).sort_values("week_end")
-        return pd.DataFrame([[*k, *linear.projection_test(g["y"].to_numpy(float), g["x"].to_numpy(float), int(k[2]), lags)]], columns=cols)
+    coef: of each lag of x and of the target on a constant and the lags of y; beta: of the target on what is
+    left of the lags of x; cross: what is left of the products of the lags of x with the target.
+    """
+    k = 1 + lags
+    upper = np.triu_indices(k + lags + 1)
+
+    @F.pandas_udf("coef array<array<double>>, beta array<double>, cross array<double>")
+    def solve(sums: pd.Series) -> pd.DataFrame:
+        out = []
+        for row in sums:
+            gram = np.zeros((k + lags + 1,) * 2)
+            gram[upper] = row
+            gram.T[upper] = row
+            unit = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+            gram = gram / unit[:, None] / unit[None, :]
+            coef = np.linalg.pinv(gram[:k, :k], rcond=1e-12, hermitian=True) @ gram[:k, k:]
+            left = gram[k:, k:] - gram[k:, :k] @ coef
+            beta = np.linalg.pinv(left[:-1, :-1], rcond=1e-10, hermitian=True) @ left[:-1, -1]
+            out.append([(coef / unit[:k, None] * unit[k:]).T.tolist(), (beta / unit[k:-1] * unit[-1]).tolist(), (left[:-1, -1] * unit[k:-1] * unit[-1]).tolist()])
+        return pd.DataFrame(out, columns=["coef", "beta", "cross"])
+
+    return solve
+
+
+@F.pandas_udf(DoubleType())
+def _quadratic(cross: pd.Series, meat: pd.Series) -> pd.Series:
+    """g' M^-1 g, with M as the rows of a square matrix."""
+    out = []
+    for g, m in zip(cross, meat):
+        m = np.reshape(m, (len(g), len(g)))
+        unit = np.sqrt(np.maximum(np.diag(m), 1e-300))
+        out.append(float((g / unit) @ np.linalg.pinv(m / unit[:, None] / unit[None, :], rcond=1e-10, hermitian=True) @ (g / unit)))
+    return pd.Series(out, dtype="float64")
+
+
+@F.pandas_udf(DoubleType())
+def _f_tail(f: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.Series:
+    return pd.Series([f_sf(*map(float, v)) if v[0] == v[0] else None for v in zip(f, df1, df2)], dtype="float64")
 
-    cols = ["cause", "effect", "horizon", "wald_f", "p_value", "n"]
-    out = pairs.crossJoin(F.broadcast(grid)).groupBy("cause", "effect", "horizon").applyInPandas(
-        run, "cause string, effect string, horizon int, wald_f double, p_value double, n long"
-    )
-    return out.withColumn("sig", stars(F.col("p_value")))
+
+def projection_tests(pairs: DataFrame, horizons, lags: int = 2) -> DataFrame:
+    """cause, effect, horizon, wald_f, p_value, n, sig: do lags of x help predict y `horizon` rows ahead, with Newey-West errors.
+
+    All causes, effects and horizons in one plan. Series are centred and scaled, so that level and unit change
+    nothing. One aggregation gives each key's Gram matrix; it takes the constant and the lags of y out of the lags of x
+    and of the target. The weighted products of the scores up to max(horizon, lags) rows apart come from two running sums over
+    such a frame, of the scores and of the scores times their place: sum (W + 1 - l) s[t - l] = (W + 1 - t) sum s + sum t s.
+    Fewer than 2 * (2 * lags + 1) rows, or constant columns: wald_f and p_value are null.
+    """
+    keys = ["cause", "effect", "horizon"]
+    whole = Window.partitionBy("cause", "effect")
+    known = pairs.where("x is not null and y is not null").select("cause", "effect", "week_end", "x", "y")
+    unit = lambda c: (F.col(c) - F.avg(c).over(whole)) / F.nullif(F.stddev_pop(c).over(whole), F.lit(0.0))
+    known = known.select("cause", "effect", "week_end", unit("x").alias("x"), unit("y").alias("y"))
+    along = whole.orderBy("week_end")
+    past = [F.lag(c, k).over(along).alias(f"{c}{k}") for c in ("y", "x") for k in range(lags)]
+    ahead = F.array(*[F.struct(F.lit(int(h)).alias("horizon"), F.lead("y", int(h)).over(along).alias("t")) for h in horizons])
+    rows = known.select("cause", "effect", F.row_number().over(along).alias("place"), *past, ahead.alias("h")).where(F.col("place") >= lags)
+    rows = rows.withColumn("h", F.explode("h")).select(*rows.columns[:-1], "h.*").where("t is not null")
+    ys, xs = [f"y{k}" for k in range(lags)], [f"x{k}" for k in range(lags)]
+    z = [F.lit(1.0), *[F.col(c) for c in (*ys, *xs, "t")]]
+    grams = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(z[i] * z[j]) for i in range(len(z)) for j in range(i, len(z))]).alias("g"))
+    fits = grams.where(~F.exists("g", F.isnull)).withColumn("f", _partial(lags)("g")).select(*keys, "n", "f.*")
+    joined = rows.join(fits, keys)
+    left = lambda c, i: F.col(c) - F.col("coef")[i][0] - sum((F.col("coef")[i][1 + k] * F.col(y) for k, y in enumerate(ys)), F.lit(0.0))
+    joined = joined.select(*keys, "place", "n", "beta", "cross", *[left(x, i).alias(x) for i, x in enumerate(xs)], left("t", lags).alias("t"))
+    error = F.col("t") - sum((F.col("beta")[i] * F.col(x) for i, x in enumerate(xs)), F.lit(0.0))
+    scored = joined.select(*keys, "place", "n", "cross", *[(F.col(x) * error).alias(f"s{i}") for i, x in enumerate(xs)])
+    order = Window.partitionBy(*keys).orderBy("place")
+    recent = {h: max(int(h), lags) for h in horizons}
+
+    def before(i: int) -> Column:
+        """Bartlett-weighted sum of the earlier scores i."""
+        out = F.lit(0.0)
+        for width in sorted(set(recent.values())):
+            frame = order.rowsBetween(-width, -1)
+            part = ((width + 1 - F.col("place")) * F.coalesce(F.sum(f"s{i}").over(frame), F.lit(0.0)) + F.coalesce(F.sum(F.col("place") * F.col(f"s{i}")).over(frame), F.lit(0.0))) / (width + 1)
+            out = F.when(F.col("horizon").isin([int(h) for h in horizons if recent[h] == width]), part).otherwise(out)
+        return out
+
+    weighted = scored.select("*", *[before(i).alias(f"b{i}") for i in range(lags)])
+    cell = lambda i, j: F.sum(F.col(f"s{i}") * F.col(f"s{j}") + F.col(f"s{i}") * F.col(f"b{j}") + F.col(f"b{i}") * F.col(f"s{j}"))
+    meat = weighted.groupBy(*keys).agg(F.first("n").alias("n"), F.first("cross").alias("cross"), F.array(*[cell(i, j) for i in range(lags) for j in range(lags)]).alias("meat"))
+    free = F.col("n") - (2 * lags + 1)
+    tested = meat.where(F.col("n") >= 2 * (2 * lags + 1)).select(*keys, (_quadratic("cross", "meat") * free / F.col("n") / lags).alias("wald_f"))
+    out = grams.select(*keys, "n").join(tested, keys, "left")
+    return out.select(*keys, "wald_f", _f_tail("wald_f", F.lit(float(lags)), free.cast("double")).alias("p_value"), F.col("n").cast("long").alias("n")).withColumn("sig", stars(F.col("p_value")))
 
 
 def signal_pattern(tests: DataFrame, short: int = 4) -> DataFrame:
@@ -110,8 +188,6 @@ def diagnostics(residuals: DataFrame, key: str = "series", lags: int = 10) -> Da
 
 def autocorrelations(series: DataFrame, value: str, lags: int = 40) -> DataFrame:
     """lag, acf, band (1.96 / sqrt(n)) of one weekly series, as lagged products of columns."""
-    from pyspark.sql import Window
-
     centred = series.where(F.col(value).isNotNull()).select("week_end", (F.col(value) - F.avg(value).over(Window.partitionBy())).alias("e"))
     w = Window.orderBy("week_end")
     sums = centred.select("e", *[(F.col("e") * F.lag("e", k).over(w)).alias(f"p{k}") for k in range(1, lags + 1)])

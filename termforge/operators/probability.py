@@ -4,10 +4,9 @@ Probabilities are exact expectations over the pool rather than simulations:
 
     p_up = sum w * 1[price(mu + r) > barrier] / sum w.
 
-Point-in-time rule: a residual counts at week t only if it was realised by t. The join has
-(horizon, model) as equality keys and the date as a further condition. The pool is weekly
-(a few thousand rows a key), so the expansion weeks x residuals is bounded by the square of
-the number of weeks, whatever the size of the tables behind.
+Point-in-time rule: a residual counts at week t only if it was realised by t. Residuals that are
+known at t are counted by blocks of residuals in order of date, without joining weeks and residuals. Only
+pools that are refitted every week (pooled_exceedance) come as rows of weeks and residuals.
 """
 
 from __future__ import annotations
@@ -17,30 +16,77 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from termforge.functions.columns import auc_verdict, barrier_hit, loadings, norm_cdf, reliability_bin
 
 
+def _cells(maturities, decay: float, default: float) -> Column:
+    """Array of (maturity, s, c, sd): loadings, and the deviation of the log price with `default` times the identity as covariance."""
+    cells = []
+    for m in maturities:
+        _, s, c = loadings(m, decay)
+        cells.append(F.struct(F.lit(int(m)).alias("maturity"), F.lit(s).alias("s"), F.lit(c).alias("c"), F.lit((default * (1 + s * s + c * c)) ** 0.5).alias("sd")))
+    return F.array(*cells)
+
+
 def exceedance(forecasts: DataFrame, pool: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, weight_decay: float | None = None, least: int = 5, default: float = 1e-4) -> DataFrame:
-    """week_end, horizon, model, maturity, threshold, p_up, p_down, actual_up, actual_down, n_pool.
+    """week_end, horizon, model, maturity, threshold, p_up, p_down, actual_up, actual_down, n_pool, t_plus_h.
 
     weight_decay: weights weight_decay^(weeks since the residual was realised); None: equal.
     A pool of fewer than `least` residuals gives the normal probability with covariance `default` times the identity.
+
+    The log price is the forecast's mean plus the residual's value at the loadings, so p_up at t is the weight of residuals
+    realised by t with a value over log(barrier) - mean: a dominance count in (date, value). Residuals are numbered by date; those known at t are
+    the first n, and these are at most log2(n) blocks of 1, 2, 4, ... residuals, one for each binary digit of n. In each block a
+    running sum in order of value answers all its weeks at once. So rows grow as weeks * log(weeks), and no week meets
+    each residual. Weights factor into one of the residual's date and one of t, and the latter drops out.
     """
-    keys = [F.col(f"f.{k}").eqNullSafe(F.col(f"p.{k}")) for k in ("horizon", "model")]
-    known = pool.select("horizon", "model", "realized_date", "r0", "r1", "r2").alias("p")
-    f = forecasts.alias("f").join(known, keys[0] & keys[1] & (F.col("p.realized_date") <= F.col("f.week_end")), "left")
-    f = f.select("f.*", "p.realized_date", "p.r0", "p.r1", "p.r2")
-    return pooled_exceedance(f, panel, maturities, thresholds, decay, weight_decay, least, default)
+    keys = ["horizon", "model"]
+    known = pool.where("r0 is not null").select(*keys, "realized_date", "r0", "r1", "r2")
+    whole = Window.partitionBy(*keys)
+    age = F.datediff("realized_date", F.min("realized_date").over(whole)) / 7.0
+    weight = F.lit(1.0) if weight_decay is None else F.pow(F.lit(1.0 / weight_decay), age)
+    place = F.row_number().over(whole.orderBy("realized_date", "r0", "r1", "r2")) - 1
+    points = known.select("*", weight.alias("w"), place.alias("i"), F.count(F.lit(1)).over(whole).alias("n"))
+    marks = points.select(*keys, F.col("realized_date").alias("week_end"), F.lit(1).alias("one"), "w")
+    marks = marks.unionByName(forecasts.select(*keys, "week_end", F.lit(0).alias("one"), F.lit(0.0).alias("w")).distinct())
+    upto = whole.orderBy(F.unix_date("week_end")).rangeBetween(Window.unboundedPreceding, 0)
+    pools = marks.select(*keys, "week_end", "one", F.sum("one").over(upto).alias("n_pool"), F.sum("w").over(upto).alias("w_pool")).where("one = 0").drop("one").distinct()
+    current = panel.select("week_end", "maturity", F.col("price").alias("current_price"))
+    rows = forecasts.join(pools, [*keys, "week_end"]).withColumn("x", F.explode(_cells(maturities, decay, default)))
+    mean = F.col("beta0_hat") + F.col("x.s") * F.col("beta1_hat") + F.col("x.c") * F.col("beta2_hat")
+    rows = rows.select("week_end", *keys, "t_plus_h", "n_pool", "w_pool", "x.maturity", "x.sd", mean.alias("mean")).join(current, ["week_end", "maturity"])
+
+    digits = lambda n: F.sequence(F.lit(0), F.length(F.bin(n)) - 1)
+    # Even blocks only: a set digit's block starts where the digits above it end.
+    known = points.withColumn("level", F.explode(digits(F.col("n")))).withColumn("block", F.expr("cast(shiftright(i, level) as long)")).where("block % 2 = 0")
+    known = known.withColumn("x", F.explode(_cells(maturities, decay, default)))
+    value = F.col("r0") + F.col("x.s") * F.col("r1") + F.col("x.c") * F.col("r2")
+    known = known.select(*keys, "x.maturity", "level", "block", value.alias("value"), F.lit(1).alias("kind"), "w", F.lit(None).cast("date").alias("week_end"), F.lit(None).cast("int").alias("k"))
+    bars = []
+    for i, k in enumerate(thresholds):
+        for kind, side in ((0, 1 - k), (2, 1 + k)):
+            bars.append(F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("k"), (F.log(F.col("current_price") * side) - F.col("mean")).alias("value")))
+    asked = rows.withColumn("level", F.explode(digits(F.col("n_pool")))).where("shiftright(n_pool, level) % 2 = 1")
+    asked = asked.withColumn("b", F.explode(F.array(*bars)))
+    asked = asked.select(*keys, "maturity", "level", F.expr("cast(shiftright(n_pool, level) - 1 as long)").alias("block"), "b.value", "b.kind", F.lit(0.0).alias("w"), "week_end", "b.k")
+    cell = Window.partitionBy(*keys, "maturity", "level", "block")
+    # At equal values prices below a barrier come before the residual and those above it after: both hits are strict.
+    running = F.sum("w").over(cell.orderBy("value", "kind").rowsBetween(Window.unboundedPreceding, 0))
+    part = known.unionByName(asked).withColumn("part", F.when(F.col("kind") == 0, running).otherwise(F.sum("w").over(cell) - running)).where("kind <> 1")
+    hits = part.groupBy("week_end", *keys, "maturity").agg(
+        *[F.sum(F.when((F.col("k") == i) & (F.col("kind") == kind), F.col("part")).otherwise(0.0)).alias(f"{name}{i}") for i in range(len(thresholds)) for kind, name in ((2, "u"), (0, "d"))]
+    )
+    wide = rows.join(hits, ["week_end", *keys, "maturity"], "left")
+    share = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / F.nullif(F.col("w_pool"), F.lit(0.0))
+    shares = [share(f"{name}{i}").alias(f"{name}{i}") for i in range(len(thresholds)) for name in "ud"]
+    return _thresholds(wide.select("week_end", *keys, "maturity", "t_plus_h", "current_price", "mean", "sd", "n_pool", *shares), panel, thresholds, least)
 
 
 def pooled_exceedance(f: DataFrame, panel: DataFrame, maturities, thresholds, decay: float, weight_decay: float | None = None, least: int = 5, default: float = 1e-4) -> DataFrame:
     """exceedance from forecasts that are already joined with their residuals (realized_date, r0, r1, r2; nulls where there are none)."""
     weight = F.lit(1.0) if weight_decay is None else F.pow(F.lit(weight_decay), F.datediff("week_end", "realized_date") / 7.0)
     f = f.withColumn("w", F.when(F.col("r0").isNotNull(), weight))
-    cells = []
-    for m in maturities:
-        _, s, c = loadings(m, decay)
-        mean = F.col("beta0_hat") + F.lit(s) * F.col("beta1_hat") + F.lit(c) * F.col("beta2_hat")
-        price = F.exp(F.col("beta0_hat") + F.col("r0") + F.lit(s) * (F.col("beta1_hat") + F.col("r1")) + F.lit(c) * (F.col("beta2_hat") + F.col("r2")))
-        cells.append(F.struct(F.lit(int(m)).alias("maturity"), price.alias("simulated"), mean.alias("mean"), F.lit((default * (1 + s * s + c * c)) ** 0.5).alias("sd")))
-    f = f.withColumn("x", F.explode(F.array(*cells))).select("week_end", "horizon", "model", "t_plus_h", "w", "x.*")
+    f = f.withColumn("x", F.explode(_cells(maturities, decay, default)))
+    mean = F.col("beta0_hat") + F.col("x.s") * F.col("beta1_hat") + F.col("x.c") * F.col("beta2_hat")
+    price = F.exp(F.col("beta0_hat") + F.col("r0") + F.col("x.s") * (F.col("beta1_hat") + F.col("r1")) + F.col("x.c") * (F.col("beta2_hat") + F.col("r2")))
+    f = f.select("week_end", "horizon", "model", "t_plus_h", "w", "x.maturity", "x.sd", price.alias("simulated"), mean.alias("mean"))
     current = panel.select("week_end", "maturity", F.col("price").alias("current_price"))
     f = f.join(current, ["week_end", "maturity"])
     shares = []
@@ -51,6 +97,11 @@ def pooled_exceedance(f: DataFrame, panel: DataFrame, maturities, thresholds, de
             (F.sum(F.when(F.col("simulated") < down, F.col("w")).otherwise(0.0)) / F.sum("w")).alias(f"d{i}"),
         ]
     wide = f.groupBy("week_end", "horizon", "model", "maturity", "t_plus_h", "current_price", "mean", "sd").agg(F.count("w").alias("n_pool"), *shares)
+    return _thresholds(wide, panel, thresholds, least)
+
+
+def _thresholds(wide: DataFrame, panel: DataFrame, thresholds, least: int) -> DataFrame:
+    """One row a threshold of wide (shares u0, d0, u1, ...), with what came true."""
     few = F.col("n_pool") < least
 
     def z(k: float) -> Column:
@@ -72,7 +123,7 @@ def pooled_exceedance(f: DataFrame, panel: DataFrame, maturities, thresholds, de
     up, down = F.col("current_price") * (1 + F.col("threshold")), F.col("current_price") * (1 - F.col("threshold"))
     return out.select(
         "week_end", "horizon", "model", "maturity", "threshold", "p_up", "p_down",
-        barrier_hit(F.col("realised"), up, True).alias("actual_up"), barrier_hit(F.col("realised"), down, False).alias("actual_down"), "n_pool",
+        barrier_hit(F.col("realised"), up, True).alias("actual_up"), barrier_hit(F.col("realised"), down, False).alias("actual_down"), "n_pool", "t_plus_h",
     )
 
 

@@ -6,10 +6,9 @@ executors elsewhere can read them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from termforge.config import shared_path
 from termforge.functions.columns import is_weekday, week_end
 from termforge.operators import weekly
 from termforge.plans.base import rounded, table, week_sql
@@ -25,12 +24,7 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = "/tmp/checkpoints"
-    return f"{shared.rstrip('/')}/termforge/files-{uuid.uuid4().hex}"
+    return shared_path(spark, "files")
 
 
 def _write(df: DataFrame, path: str, **options) -> str:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from termforge.config import written
 from termforge.functions.columns import logit, sigmoid, loadings
-from termforge.operators import calibrate, deal, gram, probability, regress, weekly
+from termforge.operators import calibrate, curve, deal, gram, probability, regress, weekly
 from termforge.plans.base import DECAY, FACT, MATURITIES, PANEL, WIDE, S, fact, panel, rewalk_sql, rounded, table, wide, with_sql
 from termforge.plans.curves import _POOL, direct_models, direct_sql
 
@@ -21,10 +24,16 @@ def add(name: str, query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+def _weekly(spark, d):
+    """The weekly prices and their factors, written: what follows reads them several times, and never the daily rows again."""
+    p = written(panel(spark, d), "panel")
+    return p, written(curve.factors(p, MATURITIES, DECAY), "factors")
+
+
 def _setup(spark, d):
-    base = fact(spark, d)
+    p, base = _weekly(spark, d)
     every = regress.random_walk(base, HORIZONS, _BURN_IN)
-    return every.where(F.col("week_end") >= F.lit(_FIRST).cast("date")), regress.residual_pool(every, base), panel(spark, d)
+    return every.where(F.col("week_end") >= F.lit(_FIRST).cast("date")), regress.residual_pool(every, base), p
 
 
 def probabilities(spark, d, weight=None):
@@ -56,7 +65,7 @@ def probs_sql(forecasts: str, pool: str, weight: str, name: str = "probs") -> li
           CASE WHEN count(w) >= 5 THEN sum(CASE WHEN f > cur * (1 + threshold) THEN w ELSE 0 END) / sum(w) ELSE 1 - {phi_sql('((ln(any_value(cur) * (1 + threshold)) - any_value(mu)) / any_value(sd))')} END AS p_up,
           CASE WHEN count(w) >= 5 THEN sum(CASE WHEN f < cur * (1 - threshold) THEN w ELSE 0 END) / sum(w) ELSE {phi_sql('((ln(any_value(cur) * (1 - threshold)) - any_value(mu)) / any_value(sd))')} END AS p_down,
           CASE WHEN a.price IS NOT NULL THEN (a.price > any_value(cur) * (1 + threshold))::INTEGER END AS actual_up,
-          CASE WHEN a.price IS NOT NULL THEN (a.price < any_value(cur) * (1 - threshold))::INTEGER END AS actual_down, count(w) AS n_pool
+          CASE WHEN a.price IS NOT NULL THEN (a.price < any_value(cur) * (1 - threshold))::INTEGER END AS actual_down, count(w) AS n_pool, any_value(s.t_plus_h) AS t_plus_h
           FROM {name}_sim s CROSS JOIN ks LEFT JOIN panel a ON a.week_end = s.t_plus_h AND a.maturity = s.maturity
           GROUP BY s.week_end, s.horizon, s.model, s.maturity, ks.threshold, a.price)""",
     ]
@@ -71,9 +80,9 @@ def _prob_sql(weight: str) -> list[str]:
 
 _P = _prob_sql("1.0::DOUBLE")
 _SHOWN = "SELECT week_end, horizon, model, maturity, threshold, round(p_up, 6) AS p_up, round(p_down, 6) AS p_down, actual_up, actual_down, n_pool FROM probs"
-add("bootstrap_exceedance_rw", lambda s, d: rounded(probabilities(s, d)), with_sql(*_P, _SHOWN))
+add("bootstrap_exceedance_rw", lambda s, d: rounded(probabilities(s, d).drop("t_plus_h")), with_sql(*_P, _SHOWN))
 _BY_AGE = "power(0.997, (f.week_end - p.realized_date) / 7.0::DOUBLE)"
-add("weighted_bootstrap_exceedance", lambda s, d: rounded(probabilities(s, d, 0.997)), with_sql(*_prob_sql(_BY_AGE), _SHOWN))
+add("weighted_bootstrap_exceedance", lambda s, d: rounded(probabilities(s, d, 0.997).drop("t_plus_h")), with_sql(*_prob_sql(_BY_AGE), _SHOWN))
 
 
 def _small_pools(spark, d):
@@ -133,10 +142,10 @@ add("gaussian_vs_bootstrap", _both, with_sql(*_GAUSS, *probs_sql("now", "known",
 # models 1 to 3 -------------------------------------------------------------------------------
 def walk_forward(spark, d):
     """Exceedance of all four models from residuals realised by each week; those of model 3 weigh less with age."""
-    base = fact(spark, d)
-    every = direct_models(spark, d, _BURN_IN)
+    p, base = _weekly(spark, d)
+    every = written(direct_models(spark, d, _BURN_IN), "forecasts")
     now, pool = every.where(F.col("week_end") >= F.lit(S.test_start)), regress.residual_pool(every, base)
-    parts = [probability.exceedance(now.where(c), pool.where(c), panel(spark, d), CELLS, KS, DECAY, w) for c, w in (("model < 3", None), ("model = 3", S.ew_decay))]
+    parts = [probability.exceedance(now.where(c), pool.where(c), p, CELLS, KS, DECAY, w) for c, w in (("model < 3", None), ("model = 3", S.ew_decay))]
     return parts[0].unionByName(parts[1])
 
 
@@ -172,9 +181,9 @@ add("mean_auc_by_model", lambda s, d: rounded(probability.mean_auc(_walk_auc(s,
 
 def _preperiod(spark, d):
     """The autoregression's probabilities before the test period, from the residuals of each week's own fit; outcomes known."""
-    table = fact(spark, d).select("week_end", "beta0", "beta1", "beta2")
-    rows = gram.in_sample_residuals(table, HORIZONS, "1998-01-01", S.test_start)
-    return probability.pooled_exceedance(rows, panel(spark, d), CELLS, KS, DECAY).where("actual_up is not null")
+    p, base = _weekly(spark, d)
+    rows = gram.in_sample_residuals(base.select("week_end", "beta0", "beta1", "beta2"), HORIZONS, "1998-01-01", S.test_start)
+    return probability.pooled_exceedance(rows, p, CELLS, KS, DECAY).where("actual_up is not null")
 
 
 _PRE = [*direct_sql(1, first="1998-01-01")[:-2],
@@ -252,22 +261,91 @@ add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(
 
 
 def _realised(spark, d):
-    return _rows(spark, d).withColumn("realized_date", F.expr("date_add(week_end, 7 * horizon)"))
+    """All models' probabilities and the autoregression's before the test period, with the week in which each came true."""
+    rows = walk_forward(spark, d).unionByName(_preperiod(spark, d))
+    # Calibrations read these rows several times.
+    return written(probability.by_direction(rows).withColumnRenamed("t_plus_h", "realized_date"), "probabilities")
+
+
+_RKEYS = ["model", "horizon", "threshold", "direction"]
+_PRE_REALISED = """pre AS (SELECT p.week_end, p.horizon, 1 AS model, maturity, threshold, p_up, p_down, actual_up, actual_down, d.t_plus_h FROM pp p JOIN dir1 d USING (week_end, horizon))"""
+#: The rows of _realised: those of the test period come from other fits than those before it, so each has its own names.
+_REALISED = [*_WALK, *[re.sub(r"\b(means1|pairs1|run1|fit1|dir1|err1|rows1)\b", r"pre_\1", part) for part in [*_PRE[1:], _PRE_REALISED] if not part.startswith(("cells(", "ks("))],
+    """rdir AS (SELECT model, horizon, threshold, maturity, week_end, t_plus_h AS realized, unnest(['up', 'down']) AS direction, unnest([p_up, p_down]) AS p, unnest([actual_up, actual_down]) AS actual
+      FROM (SELECT week_end, horizon, model, maturity, threshold, p_up, p_down, actual_up, actual_down, t_plus_h FROM probs UNION ALL SELECT * FROM pre))"""]
+
+
+def rolling_sql(keys: str, source: str, weeks: int | None, shock, least_rows: int = 20, least_dates: int = 10, name: str = "rf") -> list[str]:
+    """CTEs of calibrate.rolling up to `name` for rows (keys, week_end, realized, p, actual) of source: each date meets the cells that count."""
+    c, young = calibrate, "" if weeks is None else f" AND c.week_end >= t.week_end - {7 * weeks}"
+    join = f"{name}_t t JOIN {name}_c c ON " + " AND ".join(f"t.{k} = c.{k}" for k in keys.split(", ")) + f" AND c.realized <= t.week_end{young}"
+    on = ", ".join(f"t.{k}" for k in keys.split(", ")) + ", t.week_end"
+    out = [
+        f"{name}_t AS (SELECT DISTINCT {keys}, week_end FROM {source} WHERE actual IS NOT NULL)",
+        f"""{name}_c AS (SELECT {keys}, week_end, realized, least(floor((z + {c.EDGE}) / {2 * c.EDGE} * {c.BINS}), {c.BINS - 1}) AS bin, count(*)::DOUBLE AS n, sum(actual)::DOUBLE AS y, sum(z) AS z
+          FROM (SELECT *, ln(q / (1 - q)) AS z FROM (SELECT *, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM {source} WHERE p IS NOT NULL AND actual IS NOT NULL AND realized IS NOT NULL AND week_end < DATE '{shock}')) GROUP BY ALL)""",
+        f"{name}_b AS (SELECT {on}, bin, sum(n) AS n, sum(y) AS y, sum(z) / sum(n) AS z FROM {join} GROUP BY ALL)",
+        f"{name}_d AS (SELECT {on}, sum(n)::INTEGER AS n_used, count(DISTINCT c.week_end)::INTEGER AS n_dates_used, sum(n) AS n, sum(y) AS y FROM {join} GROUP BY ALL)",
+        f"{name}_0 AS (SELECT {keys}, week_end, n, y AS hits, ln(r / (1 - r)) AS flat, 0.0::DOUBLE AS a, ln(r / (1 - r)) AS b FROM (SELECT *, greatest(least(y / n, 1 - 1e-4), 1e-4) AS r FROM {name}_d WHERE week_end < DATE '{shock}' AND n_used >= {least_rows} AND n_dates_used >= {least_dates}))",
+    ]
+    for i in range(c.STEPS):
+        out.append(f"""{name}_{i + 1} AS MATERIALIZED (SELECT {keys}, week_end, n, hits, flat, a + da / greatest(1.0, abs(da) / {c.LARGEST_STEP}, abs(db) / {c.LARGEST_STEP}) AS a, b + db / greatest(1.0, abs(da) / {c.LARGEST_STEP}, abs(db) / {c.LARGEST_STEP}) AS b FROM (
+          SELECT *, (hbb * ga - hab * gb) / (haa * hbb - hab * hab) AS da, (haa * gb - hab * ga) / (haa * hbb - hab * hab) AS db FROM (
+          SELECT {keys}, week_end, n, hits, flat, a, b, sum((y - k * s) * z) - {c.RIDGE} * a AS ga, sum(y - k * s) AS gb, sum(k * s * (1 - s) * z * z) + {c.RIDGE} AS haa, sum(k * s * (1 - s) * z) AS hab, sum(k * s * (1 - s)) + 1e-9 AS hbb
+          FROM (SELECT f.*, p.n AS k, p.y, p.z, 1 / (1 + exp(-greatest(least(a * z + b, 30), -30))) AS s FROM {name}_{i} f JOIN {name}_b p USING ({keys}, week_end)) GROUP BY {keys}, week_end, n, hits, flat, a, b)))""")
+    plain = "hits = 0 OR hits = n OR a <= 0"
+    return [*out,
+        f"{name}_f AS (SELECT {keys}, week_end, CASE WHEN {plain} THEN 0.0 ELSE a END AS a, CASE WHEN {plain} THEN flat ELSE b END AS b FROM {name}_{c.STEPS})",
+        f"""{name} AS (SELECT {keys}, week_end, CASE WHEN week_end < DATE '{shock}' THEN a ELSE last_value(a IGNORE NULLS) OVER w END AS a, CASE WHEN week_end < DATE '{shock}' THEN b ELSE last_value(b IGNORE NULLS) OVER w END AS b,
+          coalesce(n_used, 0) AS n_used, coalesce(n_dates_used, 0) AS n_dates_used, week_end < DATE '{shock}' AND a IS NOT NULL AS in_domain
+          FROM {name}_t LEFT JOIN {name}_d USING ({keys}, week_end) LEFT JOIN {name}_f USING ({keys}, week_end) WINDOW w AS (PARTITION BY {keys} ORDER BY week_end ROWS UNBOUNDED PRECEDING))"""]
+
+
+def _calibrated_sql(keys: str, source: str, name: str) -> str:
+    """CTE cal_{name}: rows of source with c, the calibrated probability."""
+    return f"""cal_{name} AS (SELECT s.*, in_domain, n_used, CASE WHEN a IS NOT NULL THEN 1 / (1 + exp(-greatest(least(a * ln(q / (1 - q)) + b, 30), -30))) END AS c
+      FROM (SELECT *, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM {source} WHERE actual IS NOT NULL) s LEFT JOIN {name} USING ({keys}, week_end))"""
+
 
+def _skill(p: str, where: str = "TRUE") -> str:
+    return f"1 - avg(({p} - actual) * ({p} - actual)) FILTER ({where}) / nullif(avg(actual) FILTER ({where}) * (1 - avg(actual) FILTER ({where})), 0)"
 
-_RKEYS = ["horizon", "threshold", "direction"]
-add("platt_rolling", lambda s, d: rounded(calibrate.rolling(_realised(s, d), _RKEYS, 104, S.shock)))
-add("platt_window_search", lambda s, d: rounded(calibrate.window_search(_realised(s, d), _RKEYS, (52, 78, 104, 156, None), S.shock)))
-add("platt_pooled_vs_rolling", lambda s, d: rounded(calibrate.compare_rolling(calibrate.pooled(_rows(s, d), _RKEYS, S.shock), calibrate.rolling_apply(_realised(s, d), _RKEYS, 104, S.shock), _RKEYS)))
+
+_R, _WINDOWS = ", ".join(_RKEYS), (52, 78, 104, 156, None)
+add("platt_rolling", lambda s, d: rounded(calibrate.rolling(_realised(s, d), _RKEYS, 104, S.shock), 5), with_sql(*_REALISED, *rolling_sql(_R, "rdir", 104, S.shock),
+    f"SELECT {_R}, week_end, round(a, 5) AS a, round(b, 5) AS b, n_used, n_dates_used, in_domain FROM rf"))
+
+
+def _window_search(spark, d):
+    """The autoregression at the threshold of 8 per cent, as a choice of window needs no more."""
+    return rounded(calibrate.window_search(_realised(spark, d).where("model = 1 and threshold = 0.08"), _RKEYS, _WINDOWS, S.shock), 5)
+
+
+add("platt_window_search", _window_search, with_sql(*_REALISED, "one AS (SELECT * FROM rdir WHERE model = 1 AND threshold = 0.08)", *[cte for i, w in enumerate(_WINDOWS) for cte in (*rolling_sql(_R, "one", w, S.shock, name=f"rf{i}"), _calibrated_sql(_R, "one", f"rf{i}"))],
+    " UNION ALL ".join(f"SELECT {w or 'NULL'}::INTEGER AS window_weeks, round(avg(skill), 5) AS mean_bss, count(*) AS n_cells FROM (SELECT {_R}, {_skill('c')} AS skill FROM cal_rf{i} WHERE in_domain AND c IS NOT NULL GROUP BY ALL HAVING count(*) >= 5)" for i, w in enumerate(_WINDOWS))))
+_POOLED_MAPS = [f"before AS (SELECT * FROM rdir WHERE actual IS NOT NULL AND week_end < DATE '{S.shock}')", *newton_sql(_R, "before"),
+    f"calp AS (SELECT s.*, CASE WHEN a IS NOT NULL THEN 1 / (1 + exp(-greatest(least(a * ln(q / (1 - q)) + b, 30), -30))) END AS c FROM (SELECT *, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM rdir WHERE actual IS NOT NULL) s LEFT JOIN maps USING ({_R}))"]
+
+
+def _both_maps(spark, d):
+    rows = _realised(spark, d)
+    return rounded(calibrate.compare_rolling(calibrate.pooled(rows, _RKEYS, S.shock), calibrate.rolling_apply(rows, _RKEYS, 104, S.shock), _RKEYS), 5)
+
+
+add("platt_pooled_vs_rolling", _both_maps,
+    with_sql(*_REALISED, *_POOLED_MAPS, *rolling_sql(_R, "rdir", 104, S.shock), _calibrated_sql(_R, "rdir", "rf"),
+        f"sp AS (SELECT {_R}, {_skill('p')} AS raw, {_skill('c', 'c IS NOT NULL')} AS pooled, count(c) AS m FROM calp GROUP BY ALL HAVING count(*) >= 5)",
+        f"sr AS (SELECT {_R}, {_skill('c', 'c IS NOT NULL')} AS rolled, count(c) AS m FROM cal_rf GROUP BY ALL HAVING count(*) >= 5)",
+        f"SELECT {_R}, round(raw, 5) AS bss_raw, round(CASE WHEN sp.m >= 5 THEN pooled END, 5) AS bss_pooled, round(CASE WHEN sr.m >= 5 THEN rolled END, 5) AS bss_rolling FROM sp JOIN sr USING ({_R})"))
 
 
 def _embargo(spark, d):
     rows = _realised(spark, d)
-    out = probability.embargo_counts(rows, rows.select(F.col("week_end").alias("t")), 52)
+    out = probability.embargo_counts(rows.where("realized_date is not null"), rows.select(F.col("week_end").alias("t")), 52)
     return out.select("t", "n_used", F.col("n_dates").cast("long").alias("n_dates"))
 
 
-add("rolling_platt_embargo_counts", _embargo, with_sql(*_P, _LONG, f"r AS (SELECT week_end, week_end + 7 * horizon AS realized FROM dir)", "t AS (SELECT DISTINCT week_end AS t FROM r)",
+add("rolling_platt_embargo_counts", _embargo, with_sql(*_REALISED, "r AS (SELECT week_end, realized FROM rdir WHERE actual IS NOT NULL)", "t AS (SELECT DISTINCT week_end AS t FROM r)",
     "SELECT t, count(realized) AS n_used, count(DISTINCT realized) AS n_dates FROM t LEFT JOIN r ON realized <= t AND realized >= t - 364 GROUP BY t"))
 
 # deals --------------------------------------------------------------------------------------
@@ -311,13 +389,34 @@ add("volatility_errors", lambda s, d: rounded(deal.volatility_errors(_deal(s, d)
     "SELECT 0 AS model, round(avg(a), 6) AS mae_naive, round(avg(b), 6) AS mae_model, round(avg((b < a)::INTEGER), 6) AS win_rate, count(*) AS n FROM e HAVING count(*) > 0"))
 
 
-def _deal_rolling(spark, d):
-    rows = _deal(spark, d).select("week_end", F.lit(DH).alias("horizon"), "model", F.lit(3).alias("maturity"), F.lit(0.0).alias("threshold"), "p_up", "p_down", "actual_up", "actual_down")
-    long = probability.by_direction(rows).withColumn("realized_date", F.date_add("week_end", 7 * DH))
-    return rounded(calibrate.rolling_apply(long, ["model", "direction"], None, S.shock, least_rows=10, least_dates=10).select("week_end", "model", "direction", "p", "p_cal", "n_used", "in_domain"))
+def _all_deals(spark, d):
+    """Deals of all four models from the burn-in's end on, each from the residuals its own forecasts had by then, with the week of the h-th later row."""
+    p, base = _weekly(spark, d)
+    w = weekly.to_wide(p, MATURITIES)
+    every = written(direct_models(spark, d, _BURN_IN).where(F.col("horizon") == DH), "deal-forecasts")
+    exits = w.where("m01 is not null").select(F.date_add("week_end", 2).alias("day"), F.col("m01").alias("exit_price"))
+    deals = deal.roll_down(every, regress.residual_pool(every, base), w, exits, 3, DH, DECAY)
+    return deals.join(every.select("week_end", "model", F.col("t_plus_h").alias("realized_date")), ["week_end", "model"])
 
 
-add("deal_rolling_calibration", _deal_rolling)
+def _deal_rolling(spark, d):
+    """Every test week's deal probabilities by the map fitted on deals, before the test period too, that were closed by then; none after the shock."""
+    rows = _all_deals(spark, d).select("week_end", "model", "p_up", "p_down", "actual_up", "actual_down", "realized_date")
+    long = written(probability.by_direction(rows), "deals")
+    out = calibrate.rolling_apply(long, ["model", "direction"], None, S.shock, least_rows=20, least_dates=1).where(F.col("week_end") >= F.lit(S.test_start))
+    p_cal = F.when(F.col("week_end") < F.lit(S.shock), F.col("p_cal")).alias("p_cal")
+    return rounded(out.select("week_end", "model", "direction", "p", p_cal, "n_used", "in_domain"))
+
+
+_DS, _DC = loadings(deal.remaining_maturity(3, DH), DECAY)[1:]
+add("deal_rolling_calibration", _deal_rolling, with_sql(*_ALL, WIDE, *_deal_sql(False)[4:6], _deal_sql(False)[8],
+    f"sd AS (SELECT e.week_end, e.model, e.t_plus_h, entry_price, sigma, exp(beta0 + r0 + {_DS!r}::DOUBLE * (beta1 + r1) + {_DC!r}::DOUBLE * (beta2 + r2)) / entry_price - 1 AS q FROM ev e JOIN vol USING (week_end) JOIN known k ON k.horizon = e.horizon AND k.model = e.model AND k.realized_date <= e.week_end WHERE e.horizon = {DH} AND sigma IS NOT NULL)",
+    "da AS (SELECT week_end, model, t_plus_h, entry_price, sigma, avg((q > sigma)::INTEGER) AS p_up, avg((q < -sigma)::INTEGER) AS p_down FROM sd GROUP BY ALL HAVING count(*) >= 5)",
+    f"""dx AS (SELECT da.*, exit_price FROM da LEFT JOIN ex ON abs(week_end + {7 * DH} - day) <= 3 QUALIFY row_number() OVER (PARTITION BY week_end, model ORDER BY abs(week_end + {7 * DH} - day), day DESC) = 1)""",
+    """dr AS (SELECT * FROM (SELECT week_end, model, t_plus_h AS realized, unnest(['up', 'down']) AS direction, unnest([p_up, p_down]) AS p,
+      unnest([(exit_price > entry_price * (1 + sigma))::INTEGER, (exit_price < entry_price * (1 - sigma))::INTEGER]) AS actual FROM dx) WHERE actual IS NOT NULL)""",
+    *rolling_sql("model, direction", "dr", None, S.shock, 20, 1), _calibrated_sql("model, direction", "dr", "rf"),
+    f"SELECT week_end, model, direction, round(p, 6) AS p, round(CASE WHEN week_end < DATE '{S.shock}' THEN c END, 6) AS p_cal, n_used, in_domain FROM cal_rf WHERE week_end >= DATE '{S.test_start}'"))
 
 
 def _breaches(spark, d):

@@ -471,3 +471,87 @@ def test_gaps_by_fixture(spark):
     assert [(r.weeks, round(r.m01, 3)) for r in weekly.coverage_by_year(t, ["m01"]).collect()] == [(3, 66.667)]
     near = weekly.nearest_within(spark.createDataFrame([("2000-01-10",), ("2000-01-20",)], "d string").select(F.to_date("d").alias("d")), "d", t, "week_end", 3).orderBy("d").collect()
     assert [str(r.week_end) for r in near] == ["2000-01-07", "None"]
+
+
+def test_tests_do_not_depend_on_level_and_unit(spark):
+    """Statistics stay when series are shifted by a million or multiplied by 1e-6 to 1e6."""
+    from termforge.functions import linear
+
+    r = np.random.default_rng(11)
+    walk = np.cumsum(r.normal(size=300))
+    plain = linear.adf(walk)
+    assert plain[1] > 0.05  # a random walk
+    assert linear.adf(walk + 1e6) == pytest.approx(plain, rel=1e-5) and linear.adf(walk * 1e6) == pytest.approx(plain, rel=1e-8) and linear.adf(walk * 1e-6) == pytest.approx(plain, rel=1e-8)
+    assert linear.kpss(walk + 1e6) == pytest.approx(linear.kpss(walk), rel=1e-6)
+    x, y = r.normal(size=300), r.normal(size=300)
+    y[2:] += 0.3 * x[:-2]
+    for a, b, scale, shift in ((1e6, 1e-6, 1e-7, 0.0), (1.0, 1e7, 1e-7, 1e6), (1e-6, 1.0, 1e-7, -1e3)):
+        assert linear.granger(a * y + shift, b * x + shift, 3) == pytest.approx(linear.granger(y, x, 3), rel=1e-4)
+        assert linear.projection_test(a * y + shift, b * x + shift, 4, 2) == pytest.approx(linear.projection_test(y, x, 4, 2), rel=1e-4)
+
+
+def test_projection_plan_matches_the_plain_test(spark):
+    """Window sums give the Wald numbers of the plain computation, for any unit of cause and effect."""
+    from termforge.functions import linear
+    from termforge.operators import hypothesis
+
+    r = np.random.default_rng(12)
+    x = r.normal(size=120)
+    y = 0.5 * np.concatenate([[0, 0], x[:-2]]) + r.normal(size=120)
+    units = {"plain": (1.0, 0.0), "large": (1e6, 0.0), "high": (1.0, 1e6), "small": (1e-6, 0.0)}
+    rows = [(k, "y", FRIDAYS[i], float(a * x[i] + b), float(y[i])) for k, (a, b) in units.items() for i in range(120)] + [("flat", "y", FRIDAYS[i], 1.0, float(y[i])) for i in range(120)] + [("few", "y", FRIDAYS[i], float(x[i]), float(y[i])) for i in range(9)] + [("plain", "y", FRIDAYS[125], None, 1.0)]
+    table = spark.createDataFrame(rows, "cause string, effect string, week_end date, x double, y double")
+    for lags in (1, 2, 3):
+        got = {(v.cause, v.horizon): v for v in hypothesis.projection_tests(table, (1, 4, 13), lags).collect()}
+        for h in (1, 4, 13):
+            wald, p, n = linear.projection_test(y, x, h, lags)
+            for k in units:
+                v = got[(k, h)]
+                assert (v.wald_f, v.p_value, v.n) == pytest.approx((wald, p, n), rel=1e-5)
+            assert got.get(("flat", h)) is None or got[("flat", h)].wald_f is None
+        assert lags == 1 or got[("few", 1)].wald_f is None  # 8 or 7 rows for 2 * (2 * lags + 1)
+
+
+@pytest.mark.parametrize("decay", [None, 0.95])
+def test_exceedance_by_blocks_matches_the_join(spark, decay):
+    """Dominance counts by blocks of residuals equal the sums over weeks joined with residuals; ties of price and barrier hit neither."""
+    r = np.random.default_rng(13)
+    weeks = 70
+    pool = [(h, m, FRIDAYS[i], *(float(v) for v in np.round(r.normal(0, 0.03, 3), 3))) for h in (1, 4) for m in (0, 1) for i in range(0, weeks, 1 + m) for _ in range(1 + (i % 3 == 0))]
+    pool += [(1, 0, FRIDAYS[3], 0.0, 0.0, 0.0)] * 3
+    forecasts = [(FRIDAYS[i], h, m, 0.0, 0.1, 0.0, FRIDAYS[i + h]) for i in range(weeks) for h in (1, 4) for m in (0, 1)]
+    panel = [(FRIDAYS[i], k, float(np.exp(r.normal(0, 0.02)))) for i in range(weeks) for k in (1, 3)]
+    f = spark.createDataFrame(forecasts, "week_end date, horizon int, model int, beta0_hat double, beta1_hat double, beta2_hat double, t_plus_h date")
+    p = spark.createDataFrame(pool, "horizon int, model int, realized_date date, r0 double, r1 double, r2 double")
+    k = spark.createDataFrame(panel, "week_end date, maturity int, price double")
+    joined = f.join(p, (f.horizon == p.horizon) & (f.model == p.model) & (p.realized_date <= f.week_end), "left").select(f["*"], "realized_date", "r0", "r1", "r2")
+    slow = probability.pooled_exceedance(joined, k, [1, 3], [0.02, 0.05], 1.95, decay)
+    order = ["horizon", "model", "maturity", "threshold", "week_end"]
+    fast = probability.exceedance(f, p, k, [1, 3], [0.02, 0.05], 1.95, decay)
+    a, b = (x.orderBy(*order).toPandas() for x in (fast, slow.select(fast.columns)))
+    assert len(a) == weeks * 2 * 2 * 2 * 2
+    for c in a.columns:
+        assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9, equal_nan=True) if a[c].dtype != object else (a[c].fillna("") == b[c].fillna("")).all()
+
+
+def test_rolling_maps_are_near_exact_fits(spark):
+    """Binned Newton fits of all dates against the exact fit of each date's own rows; the last fit outlives dates with too few rows."""
+    from termforge.functions.linear import platt
+
+    r = np.random.default_rng(14)
+    rows = [("k", FRIDAYS[i], FRIDAYS[i + 3], float(p), int(r.uniform() < 0.15 + 0.6 * p)) for i in range(90) for p in r.uniform(0.02, 0.98, 8)]
+    table = spark.createDataFrame(rows, "k string, week_end date, realized_date date, p double, actual int")
+    for window in (None, 20):
+        got = {x.week_end: x for x in calibrate.rolling(table, ["k"], window, FRIDAYS[80]).collect()}
+        for i in (30, 55, 79):
+            own = [x for x in rows if x[2] <= FRIDAYS[i] and (window is None or x[1] >= FRIDAYS[i - window])]
+            x = got[FRIDAYS[i]]
+            assert x.n_used == len(own) and x.n_dates_used == len({o[1] for o in own}) and x.in_domain
+            a, b = platt(np.array([o[3] for o in own]), np.array([o[4] for o in own], float))
+            grid = np.log(np.linspace(0.05, 0.95, 10) / (1 - np.linspace(0.05, 0.95, 10)))
+            assert np.abs(1 / (1 + np.exp(-(a * grid + b))) - 1 / (1 + np.exp(-(x.a * grid + x.b)))).max() < 0.01
+    # Rows stop long before the shock: dates whose window is empty have no fit, and the shock gets the last there was.
+    thin = [x for x in rows if x[1] <= FRIDAYS[40] or x[1] >= FRIDAYS[78]]
+    got = {x.week_end: x for x in calibrate.rolling(spark.createDataFrame(thin, table.schema), ["k"], 20, FRIDAYS[80]).collect()}
+    assert got[FRIDAYS[78]].a is None and not got[FRIDAYS[78]].in_domain
+    assert got[FRIDAYS[85]].a == got[FRIDAYS[40]].a is not None and not got[FRIDAYS[85]].in_domain
