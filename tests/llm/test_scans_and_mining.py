@@ -255,7 +255,7 @@ def test_repeated_rows_do_not_move_a_source_off_its_target(spark):
 
     rows = [(7, "same words in this one row here " * 4, "a", 1)] * 2_000 + [(i + 100, f"w{i} " * (10 + i % 40), "a", 2) for i in range(400)]
     rows += [(i + 1_000, f"v{i} " * (10 + i % 40), "b", 3) for i in range(1_500)] + [(None, "no id at all", "c", 4)] * 800 + [(9, None, "c", 5)] * 20
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cut double").repartition(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, cut int").repartition(5)
     mixed = mixing.mix_documents(docs).toPandas()
     assert len(mixed) == len(rows)
     source = {7: "a"} | {i + 100: "a" for i in range(400)} | {i + 1_000: "b" for i in range(1_500)}
