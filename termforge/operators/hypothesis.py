@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from termforge.functions import linear
 from termforge.functions.columns import stars, stationarity_verdict
-from termforge.functions.special import f_sf
+from termforge.functions.special import chi2_sf, f_sf
 
 
 def _values(g: pd.DataFrame, column: str = "value") -> np.ndarray:
@@ -22,7 +22,7 @@ def _values(g: pd.DataFrame, column: str = "value") -> np.ndarray:
 def stationarity(series: DataFrame, key: str = "series", least: int = 30) -> DataFrame:
     """series, adf_stat, adf_p, adf_lags, kpss_stat, kpss_p, kpss_lags, verdict of (week_end, series, value)."""
 
-    def run(k, g):
+    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         y = _values(g)
         if len(y) < least or np.ptp(y) == 0:
             return pd.DataFrame([[k[0], None, None, None, None, None, None]], columns=cols)
@@ -38,7 +38,7 @@ def stationarity(series: DataFrame, key: str = "series", least: int = 30) -> Dat
 def granger_tests(pairs: DataFrame, max_lag: int = 4) -> DataFrame:
     """cause, effect, lag, f_stat, f_p, chi2_stat, chi2_p, n of (week_end, cause, effect, x, y), complete rows only."""
 
-    def run(k, g):
+    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.dropna(subset=["x", "y"]).sort_values("week_end")
         x, y = g["x"].to_numpy(float), g["y"].to_numpy(float)
         return pd.DataFrame([[*k, lag, *linear.granger(y, x, lag), len(y)] for lag in range(1, max_lag + 1)], columns=cols)
@@ -177,7 +177,7 @@ def signal_pattern(tests: DataFrame, short: int = 4) -> DataFrame:
 def diagnostics(residuals: DataFrame, key: str = "series", lags: int = 10) -> DataFrame:
     """series, lb_min_p, arch_stat, arch_p, jb_stat, jb_p, skew, kurtosis of (week_end, series, value)."""
 
-    def run(k, g):
+    def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
         e = _values(g)
         lb = min(p for _, _, p in linear.ljung_box(e, lags))
         return pd.DataFrame([[k[0], lb, *linear.arch_test(e), *linear.jarque_bera(e)]], columns=cols)
@@ -215,24 +215,132 @@ def inflation(table: DataFrame, columns: list[str], centred: bool = False) -> Da
     return table.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, vif)], "variable string, vif double")
 
 
+def _autoregression(size: int, m: int):
+    """A column function: the upper triangle of the Gram matrix of `size` regressors and m targets to coef (a row a target) and log_det of the residuals' covariance."""
+    upper = np.triu_indices(size + m)
+
+    @F.pandas_udf("coef array<array<double>>, log_det double")
+    def solve(sums: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for row, count in zip(sums, n):
+            gram = np.zeros((size + m,) * 2)
+            gram[upper] = row
+            gram.T[upper] = row
+            unit = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+            unit[np.diag(gram) == 0] = 1.0  # lags beyond the order are columns of zeros
+            gram = gram / unit[:, None] / unit[None, :]
+            coef = np.linalg.pinv(gram[:size, :size], rcond=1e-12, hermitian=True) @ gram[:size, size:]
+            left = gram[size:, size:] - gram[size:, :size] @ coef
+            out.append([(coef / unit[:size, None] * unit[size:]).T.tolist(), float(np.linalg.slogdet(left / count)[1] + 2 * np.log(unit[size:]).sum())])
+        return pd.DataFrame(out, columns=["coef", "log_det"])
+
+    return solve
+
+
+def _lagged_rows(table: DataFrame, columns: list[str], max_lag: int, common: bool) -> DataFrame:
+    """p, place, z (1, lags 1 to max_lag of the columns, zeros beyond p), y (the columns), for orders p of 1 to max_lag.
+
+    common: all orders on the rows that the longest has. Columns are centred and scaled by one aggregation.
+    """
+    known = table.where(" and ".join(f"{c} is not null" for c in columns))
+    units = known.agg(*[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns])
+    scaled = known.join(F.broadcast(units)).select("week_end", *[((F.col(c) - F.col(f"m_{c}")) / F.when(F.col(f"s_{c}") > 0, F.col(f"s_{c}")).otherwise(1.0)).alias(c) for c in columns])
+    w = Window.orderBy("week_end")
+    past = [F.lag(c, k).over(w).alias(f"{c}__{k}") for k in range(1, max_lag + 1) for c in columns]
+    rows = scaled.select(F.row_number().over(w).alias("place"), F.array(*columns).alias("y"), *past)
+    rows = rows.withColumn("p", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).where(F.col("place") > (F.lit(max_lag) if common else F.col("p")))
+    lags = [F.when(F.col("p") >= k, F.col(f"{c}__{k}")).otherwise(0.0) for k in range(1, max_lag + 1) for c in columns]
+    return rows.select("p", "place", F.array(F.lit(1.0), *lags).alias("z"), "y")
+
+
+def _autoregressions(rows: DataFrame, size: int, m: int) -> DataFrame:
+    """p, n, coef, log_det, aic, bic, hq of every order, from one aggregation of the products of its rows."""
+    x = [*[F.col("z")[i] for i in range(size)], *[F.col("y")[i] for i in range(m)]]
+    grams = rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x[i] * x[j]) for i in range(size + m) for j in range(i, size + m)]).alias("g"))
+    fits = grams.withColumn("f", _autoregression(size, m)("g", "n")).select("p", "n", "f.*")
+    k, n = F.lit(m) * (1 + F.lit(m) * F.col("p")), F.col("n")
+    return fits.withColumns({"aic": F.col("log_det") + 2 * k / n, "bic": F.col("log_det") + F.log(n) * k / n, "hq": F.col("log_det") + 2 * F.log(F.log(n)) * k / n})
+
+
 def select_lag(table: DataFrame, columns: list[str], max_lag: int = 4) -> DataFrame:
-    """p, aic, bic, hq of vector autoregressions on a common sample; chosen marks the order (least BIC)."""
+    """p, aic, bic, hq of vector autoregressions on a common sample; chosen marks the order (least BIC).
 
-    def run(g):
-        y = g.sort_values("week_end")[columns].dropna().to_numpy(float)
-        out = linear.lag_criteria(y, max_lag)
-        best = min(out, key=lambda r: (r[2], r[0]))[0]
-        return pd.DataFrame([[*r, r[0] == best] for r in out], columns=["p", "aic", "bic", "hq", "chosen"])
+    All orders come from one aggregation of products; their number doesn't grow with the rows. Values are those of the
+    centred columns divided by their deviations, plus the logarithms of these, as if fitted on the columns.
+    """
+    m = len(columns)
+    fits = _autoregressions(_lagged_rows(table, columns, max_lag, True), 1 + m * max_lag, m)
+    spread = table.where(" and ".join(f"{c} is not null" for c in columns)).agg(sum((2 * F.log(F.stddev_pop(c)) for c in columns), F.lit(0.0)).alias("spread"))
+    fits = fits.join(F.broadcast(spread))
+    told = fits.select("p", *[(F.col(c) + F.col("spread")).alias(c) for c in ("aic", "bic", "hq")])
+    best = told.agg(F.min_by("p", F.struct("bic", "p")).alias("best"))
+    return told.join(F.broadcast(best)).select("p", "aic", "bic", "hq", (F.col("p") == F.col("best")).alias("chosen"))
 
-    return table.select("week_end", *columns, F.lit(1).alias("__all")).groupBy("__all").applyInPandas(run, "p int, aic double, bic double, hq double, chosen boolean")
+
+@F.pandas_udf(DoubleType())
+def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    return pd.Series([chi2_sf(float(a), int(b)) if a == a else None for a, b in zip(x, df)], dtype="float64")
 
 
-def choose_transforms(tested: DataFrame, order: tuple[str, ...] = ("level", "z52W"), otherwise: str = "d1W") -> DataFrame:
-    """For each series the first transform of `order` that is stationary, else `otherwise`.
+def lag_robustness(table: DataFrame, columns: list[str], max_lag: int = 8, difference_first: bool = False) -> DataFrame:
+    """p, aic, bic, n_failures, worst_series, min_p: for each order of vector autoregression, on its own rows, how many residual
+    series fail a Ljung-Box test at 5 per cent at any of 1 to 2p lags, and which has the least p.
 
-    tested: series, transform, verdict.
+    difference_first: take first differences of the first column. Residuals are columns, their autocorrelations
+    sums of lagged products by (order, series).
+    """
+    if difference_first:
+        known = table.where(" and ".join(f"{c} is not null" for c in columns))
+        table = known.withColumn(columns[0], F.col(columns[0]) - F.lag(columns[0]).over(Window.orderBy("week_end")))
+    m = len(columns)
+    size = 1 + m * max_lag
+    rows = _lagged_rows(table, columns, max_lag, False)
+    fits = _autoregressions(rows, size, m)
+    product = lambda i: F.aggregate(F.zip_with("z", F.col("coef")[i], lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+    errors = F.array(*[F.struct(F.lit(c).alias("series"), (F.col("y")[i] - product(i)).alias("e")) for i, c in enumerate(columns)])
+    # One row an order: `fits` has max_lag rows.
+    residuals = rows.join(F.broadcast(fits.select("p", "coef")), "p").select("p", "place", F.explode(errors).alias("x")).select("p", "place", "x.*")
+    w = Window.partitionBy("p", "series").orderBy("place")
+    lagged = residuals.select("p", "series", "e", *[(F.col("e") * F.lag("e", k).over(w)).alias(f"c{k}") for k in range(1, 2 * max_lag + 1)])
+    sums = lagged.groupBy("p", "series").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("e")).alias("v"), F.array(*[F.sum(f"c{k}") for k in range(1, 2 * max_lag + 1)]).alias("c"))
+    cells = sums.select("p", "series", "n", "v", F.posexplode(F.slice("c", F.lit(1), 2 * F.col("p"))).alias("i", "c")).withColumn("lag", F.col("i") + 1)
+    share = F.pow(F.col("c") / F.col("v"), 2) / (F.col("n") - F.col("lag"))
+    q = F.col("n") * (F.col("n") + 2) * F.sum(share).over(Window.partitionBy("p", "series").orderBy("lag"))
+    tested = cells.withColumn("q", q).withColumn("tail", _chi2_tail("q", "lag")).groupBy("p", "series").agg(F.min("tail").alias("tail"))
+    worst = tested.groupBy("p").agg(F.sum((F.col("tail") < 0.05).cast("int")).cast("int").alias("n_failures"), F.min(F.struct("tail", "series")).alias("w"))
+    # Criteria of the columns themselves, not of the scaled ones.
+    known = table.where(" and ".join(f"{c} is not null" for c in columns))
+    spread = known.agg(sum((2 * F.log(F.stddev_pop(c)) for c in columns), F.lit(0.0)).alias("spread"))
+    out = fits.join(worst, "p").join(F.broadcast(spread))
+    return out.select("p", (F.col("aic") + F.col("spread")).alias("aic"), (F.col("bic") + F.col("spread")).alias("bic"), "n_failures", F.col("w.series").alias("worst_series"), F.col("w.tail").alias("min_p"))
+
+
+#: Transforms in the order in which a specification tries them: levels, deviation from the past year, differences over growing windows.
+TREE = ("level", "z52W", "d1W", "d4W", "d13W", "d26W")
+
+
+def specification(transforms: DataFrame, order: tuple[str, ...] = TREE, alpha: float = 0.05, least: int = 30) -> DataFrame:
+    """series, step, transform, adf_p, kpss_p, verdict, chosen: the tests made for each series, in order, up to the first transform accepted.
+
+    transforms: week_end, series, transform, value. A transform is accepted where the unit root is rejected, whatever the
+    stationarity test says (stationary, or stationary about a trend). The next one is tested only where one failed;
+    a transform with fewer than `least` values or a constant one is undefined and fails. A series that fails them all
+    has no row with chosen. One group is one weekly series with its transforms.
     """
     place = F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)])
-    good = F.when(F.col("verdict").isin("STATIONARY"), place[F.col("transform")])
-    best = tested.groupBy("series").agg(F.min_by("transform", good).alias("first"), F.min(good).alias("place"))
-    return best.select("series", F.when(F.col("place").isNull(), otherwise).otherwise(F.col("first")).alias("transform"))
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for step, transform in enumerate(order):
+            y = _values(g[g["step"] == step])
+            p = (None, None) if len(y) < least or np.ptp(y) == 0 else (linear.adf(y)[1], linear.kpss(y)[1])
+            accepted = p[0] is not None and p[0] < alpha
+            out.append([key[0], step, transform, *p, accepted])
+            if accepted:
+                break
+        return pd.DataFrame(out, columns=["series", "step", "transform", "adf_p", "kpss_p", "chosen"])
+
+    rows = transforms.withColumn("step", place[F.col("transform")]).where("step is not null").select("series", "step", "week_end", "value")
+    tested = rows.groupBy("series").applyInPandas(run, "series string, step int, transform string, adf_p double, kpss_p double, chosen boolean")
+    verdict = F.when(F.col("adf_p").isNull(), "UNDEFINED").otherwise(stationarity_verdict(F.col("adf_p"), F.col("kpss_p"), alpha))
+    return tested.select("series", "step", "transform", "adf_p", "kpss_p", verdict.alias("verdict"), "chosen")

@@ -199,24 +199,3 @@ def with_default(rows: DataFrame, table: DataFrame, keys: list[str], defaults: d
     """rows with the columns of a keyed table, and stated defaults where the key is missing."""
     out = rows.join(table, keys, "left")
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})
-
-
-def lag_robustness(table: DataFrame, columns: list[str], max_lag: int = 8, test_lags: int = 10, difference_first: bool = False) -> DataFrame:
-    """p, n_failures, min_p: for orders 1 to max_lag, how many residual series fail a Ljung-Box test at 5 per cent.
-
-    difference_first: take first differences of the first column.
-    """
-    from termforge.functions.linear import ljung_box
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        y = g.sort_values("week_end")[columns].dropna().to_numpy(float)
-        if difference_first:
-            y = np.column_stack([np.diff(y[:, 0]), y[1:, 1:]])
-        out = []
-        for p in range(1, max_lag + 1):
-            residual = var_fit(y, p)[1]
-            worst = [min(q for _, _, q in ljung_box(residual[:, k], test_lags)) for k in range(len(columns))]
-            out.append((p, sum(q < 0.05 for q in worst), min(worst)))
-        return pd.DataFrame(out, columns=["p", "n_failures", "min_p"])
-
-    return table.select("week_end", *columns, F.lit(1).alias("__all")).groupBy("__all").applyInPandas(run, "p int, n_failures int, min_p double")

@@ -8,12 +8,13 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from termforge.config import written
 from termforge.functions.columns import effective_size, half_life, loadings
 from termforge.operators import curve, gram, hypothesis, probability, regress, weekly
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
-from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, lag_selection_sql, projection_sql, screening_sql
+from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
 
 Q, SQL = {}, {}
 #: 100 decays; settings for finer grids are parameters of the operators.
@@ -336,18 +337,11 @@ def _default(spark, d):
 
 add("covariance_with_default", _default, with_sql(FACT, _BASIC, _POOL, _EXPANDING, "SELECT f.week_end, 13 AS horizon, 0 AS model, " + ", ".join(
     f"round(coalesce({c}, {1e-4 if c[1] == c[2] else 0.0}), 6) AS {c}" for c in _SIX) + " FROM fact f LEFT JOIN ecov e ON e.week_end = f.week_end AND e.horizon = 13"))
-add("lag_robustness", lambda s, d: rounded(regress.lag_robustness(fact(s, d), ["beta0", "beta1", "beta2"], difference_first=True)))
+add("lag_robustness", lambda s, d: rounded(hypothesis.lag_robustness(written(fact(s, d), "factors"), ["beta0", "beta1", "beta2"], difference_first=True), 5), with_sql(FACT,
+    "moved AS (SELECT * FROM (SELECT week_end, beta0 - lag(beta0) OVER (ORDER BY week_end) AS beta0, beta1, beta2 FROM fact) WHERE beta0 IS NOT NULL)", *lag_robustness_sql("moved", ["beta0", "beta1", "beta2"], 8),
+    f"SELECT p::INTEGER AS p, {_round_sql(['aic', 'bic', 'min_p'], 5)}, n_failures, worst_series FROM robust"))
 
 
-def _spec(spark, d):
-    t = weekly.macro_transforms(macro(spark, d), "value", "series").where(F.col("transform").isin("level", "z52W", "d1W"))
-    rows = t.select("week_end", F.concat_ws("|", "series", "transform").alias("series"), "value")
-    tested = hypothesis.stationarity(rows).select(F.split("series", r"\|")[0].alias("series"), F.split("series", r"\|")[1].alias("transform"), "verdict")
-    return hypothesis.choose_transforms(tested)
-
-
-add("transform_choice", _spec)
-
 # tests on series ----------------------------------------------------------------------------
 def _series(spark, d):
     f = fact(spark, d).select("week_end", *[F.col(f"beta{i}").alias(f"beta{i}") for i in range(3)])
@@ -360,8 +354,11 @@ def _gpairs(spark, d):
     return m.join(f, "week_end")
 
 
-add("stationarity_tests", lambda s, d: rounded(hypothesis.stationarity(_series(s, d))))
 _LONG = "factor AS (" + " UNION ALL ".join(f"SELECT week_end, 'beta{i}' AS series, beta{i} AS value FROM fact" for i in range(3)) + ")"
+_SERIES = [FACT, MACRO, _LONG, "se AS (SELECT week_end, series, value FROM factor UNION ALL SELECT week_end, series, value FROM macro)"]
+_TESTED = ["adf_stat", "adf_p", "kpss_stat", "kpss_p"]
+add("stationarity_tests", lambda s, d: rounded(hypothesis.stationarity(_series(s, d)), 5), with_sql(*_SERIES, *stationarity_sql("se"),
+    f"SELECT series, {_round_sql(_TESTED, 5)}, adf_lags, kpss_lags, verdict FROM st"))
 _GPAIRS = [FACT, MACRO, _LONG, "gp AS (SELECT week_end, m.series AS cause, f.series AS effect, m.value AS x, f.value AS y FROM macro m JOIN factor f USING (week_end) WHERE f.series <> 'beta2')"]
 _HALVES = ["mid AS (SELECT quantile_disc(week_end, 0.5) AS m FROM (SELECT DISTINCT week_end FROM gp))",
     "gp1 AS (SELECT gp.* FROM gp, mid WHERE week_end <= m)", "gp2 AS (SELECT gp.* FROM gp, mid WHERE week_end >= m)"]
@@ -383,6 +380,25 @@ _TRANSFORMS = "tr AS (SELECT week_end, series || ':level' AS cause, value AS x F
     f"SELECT week_end, series || ':d{k}W', value - lag(value, {k}) OVER (PARTITION BY series ORDER BY week_end) FROM macro" for k in (1, 4, 13, 26)) + """ UNION ALL
   SELECT week_end, series || ':z52W', CASE WHEN count(value) OVER w >= 26 THEN (value - avg(value) OVER w) / nullif(stddev_samp(value) OVER w, 0) END FROM macro
   WINDOW w AS (PARTITION BY series ORDER BY week_end ROWS BETWEEN 51 PRECEDING AND CURRENT ROW))"""
+
+
+def _spec(spark, d):
+    """Every macro series, and an index that grows without end (running sums of the order values by week), by the tree of transforms."""
+    m = macro(spark, d)
+    w = Window.partitionBy("series").orderBy("week_end").rowsBetween(Window.unboundedPreceding, 0)
+    drift = m.select("week_end", F.concat_ws(" ", "series", F.lit("summed")).alias("series"), F.sum("value").over(w).alias("value"))
+    summed = drift.select("week_end", F.concat_ws(" ", "series", F.lit("twice")).alias("series"), F.sum("value").over(w).alias("value"))
+    t = weekly.macro_transforms(m.unionByName(drift).unionByName(summed), "value", "series")
+    return rounded(hypothesis.specification(t.select("week_end", "series", "transform", "value")), 4)
+
+
+_RUNNING = "sum(value) OVER (PARTITION BY series ORDER BY week_end)"
+add("transform_choice", _spec, with_sql(MACRO.replace("macro AS", "macro0 AS"), f"macro1 AS (SELECT week_end, series || ' summed' AS series, {_RUNNING} AS value FROM macro0)", f"macro2 AS (SELECT week_end, series || ' twice' AS series, {_RUNNING} AS value FROM macro1)",
+    "macro AS (SELECT * FROM macro0 UNION ALL SELECT * FROM macro1 UNION ALL SELECT * FROM macro2)", _TRANSFORMS, "se AS (SELECT week_end, cause AS series, x AS value FROM tr)", *stationarity_sql("se"),
+    "steps(step, transform) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(hypothesis.TREE)) + ")",
+    "tree AS (SELECT split_part(series, ':', 1) AS series, step, transform, adf_p, kpss_p, verdict, coalesce(adf_p < 0.05, false) AS chosen FROM st JOIN steps ON transform = split_part(series, ':', 2))",
+    """SELECT series, step, transform, round(adf_p, 4) AS adf_p, round(CASE WHEN adf_p IS NOT NULL THEN kpss_p END, 4) AS kpss_p, verdict, chosen FROM tree
+    QUALIFY step <= coalesce(min(CASE WHEN chosen THEN step END) OVER (PARTITION BY series), 99)"""))
 _TPAIRS = [FACT, MACRO, _LONG, _TRANSFORMS, "tp AS (SELECT week_end, cause, f.series AS effect, x, f.value AS y FROM tr JOIN factor f USING (week_end))", *granger_sql("tp", 4), screening_sql()]
 add("transform_screening", lambda s, d: rounded(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d))), 5), with_sql(*_TPAIRS, _SCREENED))
 add("best_transforms", lambda s, d: rounded(hypothesis.best_transform(hypothesis.screening(hypothesis.granger_tests(_transform_pairs(s, d)))), 5), with_sql(*_TPAIRS,
@@ -396,7 +412,7 @@ add("signal_pattern", lambda s, d: hypothesis.signal_pattern(hypothesis.projecti
     "SELECT *, CASE WHEN short_hits > 0 AND long_hits > 0 THEN 'persistent' WHEN short_hits > 0 THEN 'short' WHEN long_hits > 0 THEN 'long' ELSE 'none' END AS pattern FROM sp"))
 add("residual_diagnostics", lambda s, d: rounded(hypothesis.diagnostics(_series(s, d)), 5), with_sql(FACT, MACRO, _LONG, "se AS (SELECT week_end, series, value FROM factor UNION ALL SELECT week_end, series, value FROM macro)",
     *diagnostics_sql("se"), f"SELECT series, {_round_sql(['lb_min_p', 'arch_stat', 'arch_p', 'jb_stat', 'jb_p', 'skew', 'kurtosis'], 5)} FROM diag"))
-add("lag_selection", lambda s, d: rounded(hypothesis.select_lag(fact(s, d), ["beta0", "beta1", "beta2"], 8), 5), with_sql(FACT, *lag_selection_sql("fact", ["beta0", "beta1", "beta2"], 8),
+add("lag_selection", lambda s, d: rounded(hypothesis.select_lag(written(fact(s, d), "factors"), ["beta0", "beta1", "beta2"], 8), 5), with_sql(FACT, *lag_selection_sql("fact", ["beta0", "beta1", "beta2"], 8),
     f"SELECT p, {_round_sql(['aic', 'bic', 'hq'], 5)}, row_number() OVER (ORDER BY bic, p) = 1 AS chosen FROM orders"))
 add("acf_40", lambda s, d: rounded(hypothesis.autocorrelations(orders_weekly(s, d), "value")), with_sql(ORDERS, "c AS (SELECT week_end, value - avg(value) OVER () AS e, row_number() OVER (ORDER BY week_end) AS i FROM orders_weekly)",
     "v AS (SELECT sum(e*e) AS v, count(*) AS n FROM c)",

@@ -135,3 +135,84 @@ def lag_selection_sql(source: str, columns: list[str], max_lag: int) -> list[str
     det = f"({a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {e} * {c}) + {c} * ({b} * {e} - {d} * {c}))"
     rows = " UNION ALL ".join(f"SELECT {p}::INTEGER AS p, m, ln({det} / power(m, 3)) AS ld, {k * (1 + k * p)}::DOUBLE AS k FROM e{1 + k * p}" for p in range(1, max_lag + 1))
     return [*ctes, f"orders AS (SELECT p, ld + 2 * k / m AS aic, ld + ln(m) * k / m AS bic, ld + 2 * ln(ln(m)) * k / m AS hq FROM ({rows}))"]
+
+
+def _eliminated(source: str, keys: str, columns: list[str], kept: dict[int, str], name: str) -> list[str]:
+    """CTEs {name}0, {name}1, ...: the cross products of columns by keys, with one column after the other taken out of the rest.
+
+    The last column's sum of squares before column number i goes is kept under the name kept[i]. Columns of zeros are passed over.
+    """
+    size, held = len(columns), ""
+    last = size - 1
+    out = [f"{name}0 AS MATERIALIZED (SELECT {keys}, count(*) AS m, " + ", ".join(f"sum(({columns[i]}) * ({columns[j]})) AS g{i}_{j}" for i in range(size) for j in range(i, size)) + f" FROM {source} GROUP BY {keys})"]
+    for p in range(last):
+        if p in kept:
+            held += f", g{last}_{last} AS {kept[p]}"
+        rest = [f"CASE WHEN g{p}_{p} > 1e-9 THEN g{i}_{j} - g{p}_{i} * g{p}_{j} / g{p}_{p} ELSE g{i}_{j} END AS g{i}_{j}" for i in range(p + 1, size) for j in range(i, size)]
+        out.append(f"{name}{p + 1} AS MATERIALIZED (SELECT {keys}, m{held}, {', '.join(rest)} FROM {name}{p})")
+        held = "".join(f", {n}" for i, n in kept.items() if i <= p)
+    return out
+
+
+def stationarity_sql(source: str, longest: int = 20, least: int = 30, name: str = "st") -> list[str]:
+    """CTEs up to `name`: stationarity() of the table source (series, week_end, value); lags up to `longest`, which no series here exceeds."""
+    n, lags = name, range(1, longest + 1)
+    w = "WINDOW w AS (PARTITION BY series ORDER BY week_end)"
+    along = "WINDOW w AS (PARTITION BY series ORDER BY t)"
+    zero = lambda top: [f"CASE WHEN {k} <= {top} THEN l{k} ELSE 0 END" for k in lags]
+    left = lambda k: f"r{k}" if k < longest else f"g{k + 2}_{k + 2}"
+    aics = ", ".join(f"CASE WHEN {k} <= top THEN m * ln(greatest({left(k)}, 1e-300) / m) + {2 * (k + 2)} END" for k in (0, *lags))
+    tail = lambda x: f"(CASE WHEN {x} < 0 THEN {chi2_sf_sql(f'({x} * {x})', 1)} / 2 ELSE 1 - {chi2_sf_sql(f'({x} * {x})', 1)} / 2 END)"
+    small, large = "(2.1659 + 1.4412 * tau + 0.038269 * tau * tau)", "(1.7339 + 0.93202 * tau - 0.12745 * tau * tau - 0.010368 * tau * tau * tau)"
+    return [
+        f"""{n}_v AS (SELECT * FROM (SELECT series, week_end, (value - avg(value) OVER s) / nullif(stddev_pop(value) OVER s, 0) AS e, count(*) OVER s AS n, row_number() OVER (s ORDER BY week_end) - 1 AS t
+          FROM {source} WHERE value IS NOT NULL WINDOW s AS (PARTITION BY series)) WHERE n >= {least} AND e IS NOT NULL)""",
+        f"{n}_d AS (SELECT * FROM (SELECT series, n, t, e AS level, lead(e) OVER w - e AS d, least(ceil(12.0 * power(n / 100.0, 0.25)), n // 2 - 2)::INTEGER AS top FROM {n}_v {w}) WHERE d IS NOT NULL)",
+        f"{n}_l AS (SELECT *, {', '.join(f'lag(d, {k}) OVER w AS l{k}' for k in lags)} FROM {n}_d {along})",
+        *_eliminated(f"(SELECT * FROM {n}_l WHERE t >= top)", "series, top", ["1.0::DOUBLE", "level", *zero("top"), "d"], {k + 2: f"r{k}" for k in (0, *lags[:-1])}, f"{n}_a"),
+        f"{n}_k AS (SELECT series, list_position(a, list_min(a)) - 1 AS lags FROM (SELECT series, [{aics}] AS a FROM {n}_a{longest + 2}))",
+        *_eliminated(f"(SELECT x.*, lags FROM {n}_l x JOIN {n}_k USING (series) WHERE t >= lags)", "series, lags", ["1.0::DOUBLE", *zero("lags"), "level", "d"], {}, f"{n}_b"),
+        f"""{n}_t AS (SELECT series, lags, a / sqrt((c - b * b / g) / (m - lags - 2) / g) AS tau FROM (SELECT series, lags, m, g{longest + 1}_{longest + 2} / g{longest + 1}_{longest + 1} AS a, g{longest + 1}_{longest + 1} AS g,
+          g{longest + 1}_{longest + 2} AS b, g{longest + 2}_{longest + 2} AS c FROM {n}_b{longest + 1}))""",
+        f"{n}_p AS (SELECT series, lags, tau, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE {tail('z')} END AS p FROM (SELECT *, CASE WHEN tau <= -1.61 THEN {small} ELSE {large} END AS z FROM {n}_t))",
+        # level stationarity: bandwidth from lagged products, then the weighted variance, then the sums of sums
+        f"{n}_w AS (SELECT x.series, x.t - y.t AS i, any_value(x.n) AS n, sum(x.e * y.e) / any_value(x.n) AS c FROM {n}_v x JOIN {n}_v y ON x.series = y.series AND y.t BETWEEN x.t - 200 AND x.t GROUP BY 1, 2)",
+        f"""{n}_g AS (SELECT series, any_value(n) AS n, least(floor(1.1447 * power(power(2 * sum(i * c) FILTER (i BETWEEN 1 AND floor(power(n, 2.0 / 9))) / (any_value(c) FILTER (i = 0) + 2 * sum(c) FILTER (i BETWEEN 1 AND floor(power(n, 2.0 / 9)))), 2), 1.0 / 3)
+          * power(any_value(n), 1.0 / 3)), any_value(n) - 1) AS width FROM {n}_w GROUP BY series)""",
+        f"{n}_s AS (SELECT series, any_value(width)::INTEGER AS width, sum(CASE WHEN i = 0 THEN c ELSE 2 * (1 - i / (width + 1)) * c END) FILTER (i <= width) AS v FROM {n}_w JOIN {n}_g USING (series) GROUP BY series)",
+        f"{n}_q AS (SELECT series, sum(s * s) / any_value(n * n) AS u FROM (SELECT series, n, sum(e) OVER (PARTITION BY series ORDER BY t) AS s FROM {n}_v) GROUP BY series)",
+        f"""{n}_h AS (SELECT series, width, stat, CASE WHEN stat <= 0.347 THEN 0.1 WHEN stat <= 0.463 THEN 0.1 - 0.05 * (stat - 0.347) / 0.116 WHEN stat <= 0.574 THEN 0.05 - 0.025 * (stat - 0.463) / 0.111
+          WHEN stat <= 0.739 THEN 0.025 - 0.015 * (stat - 0.574) / 0.165 ELSE 0.01 END AS p FROM (SELECT series, width, u / v AS stat FROM {n}_q JOIN {n}_s USING (series)))""",
+        f"""{name} AS (SELECT k.series, t.tau AS adf_stat, CASE WHEN t.p IS NOT NULL THEN greatest(t.p, 0.0) END AS adf_p, t.lags::INTEGER AS adf_lags, h.stat AS kpss_stat, h.p AS kpss_p, h.width AS kpss_lags,
+          CASE WHEN t.p IS NULL THEN 'UNDEFINED' WHEN t.p < 0.05 AND h.p >= 0.05 THEN 'STATIONARY' WHEN t.p >= 0.05 AND h.p < 0.05 THEN 'NON_STATIONARY' WHEN t.p < 0.05 THEN 'TREND_STATIONARY' ELSE 'INCONCLUSIVE' END AS verdict
+          FROM (SELECT DISTINCT series FROM {source}) k LEFT JOIN {n}_p t USING (series) LEFT JOIN {n}_h h USING (series))""",
+    ]
+
+
+def lag_robustness_sql(source: str, columns: list[str], max_lag: int) -> list[str]:
+    """CTEs up to robust: lag_robustness of the table source (week_end, columns): each regressor is taken out of the rows in turn, order by order."""
+    k, orders = len(columns), ", ".join(f"({p})" for p in range(1, max_lag + 1))
+    zs = [f"z{i}" for i in range(k * max_lag)]
+    past = ", ".join(f"CASE WHEN p >= {lag} THEN lag({c}, {lag}) OVER w ELSE 0 END AS z{k * (lag - 1) + i}" for lag in range(1, max_lag + 1) for i, c in enumerate(columns))
+    out = [
+        f"u0 AS (SELECT p, place, {', '.join(f'{c} AS y{i}' for i, c in enumerate(columns))}, {past} FROM (SELECT *, row_number() OVER (ORDER BY week_end) AS place FROM {source}), (VALUES {orders}) o(p) WINDOW w AS (PARTITION BY p ORDER BY place))",
+        f"u1 AS MATERIALIZED (SELECT p, place, {', '.join(f'{v} - avg({v}) OVER (PARTITION BY p) AS {v}' for v in [*zs, *[f'y{i}' for i in range(k)]])} FROM u0 WHERE place > p)",
+    ]
+    for i, u in enumerate(zs):
+        rest = [*zs[i + 1 :], *[f"y{j}" for j in range(k)]]
+        spread = f"sum({u} * {u}) OVER o"
+        out.append(f"u{i + 2} AS MATERIALIZED (SELECT p, place, {', '.join(f'CASE WHEN {spread} > 1e-12 THEN {v} - sum({v} * {u}) OVER o / ({spread}) * {u} ELSE {v} END AS {v}' for v in rest)} FROM u{i + 1} WINDOW o AS (PARTITION BY p))")
+    left = f"u{len(zs) + 1}"
+    s = lambda i, j: f"(sum(y{i} * y{j}) / count(*))"
+    det = f"({s(0, 0)} * ({s(1, 1)} * {s(2, 2)} - {s(1, 2)} * {s(1, 2)}) - {s(0, 1)} * ({s(0, 1)} * {s(2, 2)} - {s(1, 2)} * {s(0, 2)}) + {s(0, 2)} * ({s(0, 1)} * {s(1, 2)} - {s(1, 1)} * {s(0, 2)}))"
+    z, a = "(greatest(q, 1e-300) / 2)", "(lag / 2.0::DOUBLE)"
+    tail = f"(1 - list_sum(list_transform(range(0, {TERMS}), lambda k: exp(({a} + k) * ln({z}) - {z} - lgamma({a} + k + 1)))))"
+    return [
+        *out,
+        f"ld AS (SELECT p, count(*)::DOUBLE AS n, ln({det}) AS ld, {k} * (1 + {k} * p)::DOUBLE AS k FROM {left} GROUP BY p)",
+        f"le AS (SELECT p, place, unnest([{', '.join(repr(c) for c in columns)}]) AS series, unnest([{', '.join(f'y{i}' for i in range(k))}]) AS e FROM {left})",
+        f"lc AS (SELECT x.p, x.series, x.place - y.place AS lag, sum(x.e * y.e) AS c FROM le x JOIN le y ON x.p = y.p AND x.series = y.series AND y.place BETWEEN x.place - 2 * x.p AND x.place GROUP BY ALL)",
+        "lq AS (SELECT p, series, lag, n * (n + 2) * sum(power(c / v, 2) / (n - lag)) OVER (PARTITION BY p, series ORDER BY lag) AS q FROM lc JOIN (SELECT p, series, c AS v FROM lc WHERE lag = 0) USING (p, series) JOIN ld USING (p) WHERE lag > 0)",
+        f"lw AS (SELECT p, series, greatest(min({tail}), 0.0) AS tail FROM lq GROUP BY p, series)",
+        """robust AS (SELECT p, ld + 2 * k / n AS aic, ld + ln(n) * k / n AS bic, n_failures, worst_series, min_p FROM ld JOIN (SELECT p, sum((tail < 0.05)::INTEGER)::INTEGER AS n_failures, arg_min(series, (tail, series)) AS worst_series, min(tail) AS min_p FROM lw GROUP BY p) USING (p))""",
+    ]
