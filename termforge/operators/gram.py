@@ -152,3 +152,75 @@ def in_sample_residuals(table: DataFrame, horizons, first, last) -> DataFrame:
     joined = forecasts.join(pairs, "horizon").where("realized_date <= week_end and coef is not null")
     residuals = [(F.col(f"y{i}") - F.col("coef")[i][0] - sum((F.col("coef")[i][p + 1] * F.col(f"x{p}") for p in range(3)), F.lit(0.0))).alias(f"r{i}") for i in range(3)]
     return joined.select("week_end", "horizon", "model", *[f"{b}_hat" for b in BETAS], "t_plus_h", "origin", "realized_date", *residuals)
+
+
+def _paths(k: int, lags: int, horizons: tuple[int, ...]):
+    """A column function: running Gram sums, their weight and the last observations to forecasts and error covariances at the horizons.
+
+    Forecasts feed forecasts; the covariance adds Phi_i Sigma Phi_i' over the steps, with Phi_i from powers of the companion matrix. All
+    rows of an Arrow batch go step by step together.
+    """
+    size = 1 + k * lags
+    upper, corner = np.triu_indices(size + k), np.triu_indices(k)
+
+    @F.pandas_udf("forecast array<array<double>>, covariance array<array<double>>")
+    def walk(sums: pd.Series, weight: pd.Series, last: pd.Series) -> pd.DataFrame:
+        n = len(sums)
+        if not n:
+            return pd.DataFrame({"forecast": [], "covariance": []})
+        gram = np.zeros((n, size + k, size + k))
+        gram[:, upper[0], upper[1]] = np.stack(sums.to_numpy())
+        gram[:, upper[1], upper[0]] = gram[:, upper[0], upper[1]]
+        unit = np.sqrt(np.maximum(np.einsum("nii->ni", gram[:, :size, :size]), 1e-300))
+        xx = gram[:, :size, :size] / unit[:, :, None] / unit[:, None, :]
+        coef = np.linalg.pinv(xx, rcond=1e-12, hermitian=True) @ (gram[:, :size, size:] / unit[:, :, None]) / unit[:, :, None]
+        sigma = (gram[:, size:, size:] - np.swapaxes(coef, 1, 2) @ gram[:, :size, size:]) / weight.to_numpy()[:, None, None]
+        companion = np.zeros((n, k * lags, k * lags))
+        companion[:, :k] = np.swapaxes(coef[:, 1:], 1, 2)
+        companion[:, k:, : k * (lags - 1)] = np.eye(k * (lags - 1))
+        state = np.stack(last.to_numpy())
+        power, total = np.broadcast_to(np.eye(k * lags), companion.shape).copy(), np.zeros((n, k, k))
+        forecasts, covariances = [], []
+        for step in range(1, max(horizons) + 1):
+            ahead = np.einsum("nij,nj->ni", companion, state)
+            ahead[:, :k] += coef[:, 0]
+            state = ahead
+            phi = power[:, :k, :k]
+            total = total + phi @ sigma @ np.swapaxes(phi, 1, 2)
+            power = power @ companion
+            if step in horizons:
+                forecasts.append(state[:, :k])
+                covariances.append(total[:, corner[0], corner[1]])
+        return pd.DataFrame({"forecast": [[f[i].tolist() for f in forecasts] for i in range(n)], "covariance": [[c[i].tolist() for c in covariances] for i in range(n)]})
+
+    return walk
+
+
+def iterated_forecasts(rows: DataFrame, keys: list[str], columns: list[str], horizons, lags: int = 1, decay: float | None = None) -> DataFrame:
+    """keys, week_end, horizon, n_fit, forecast_<column>, s_<i><j>: iterated forecasts, and the covariance of their errors, of an
+    autoregression of the columns with a constant, fitted on all rows up to each week.
+
+    decay: weights falling by this factor a row. One column: a scalar autoregression; several: a vector one. All weeks come
+    from one pass of running sums; weeks with fewer rows than coefficients + 2 have none. Rows are complete, or left out.
+    """
+    horizons = tuple(sorted(int(h) for h in horizons))
+    known = rows.where(" and ".join(f"{c} is not null" for c in columns))
+    whole = Window.partitionBy(*keys)
+    order = whole.orderBy("week_end")
+    centred = known.select(*keys, "week_end", F.row_number().over(order).alias("place"), *[F.avg(c).over(whole).alias(f"mean_{c}") for c in columns], *[(F.col(c) - F.avg(c).over(whole)).alias(c) for c in columns])
+    past = centred.select("*", *[F.lag(c, k).over(order).alias(f"{c}__{k}") for k in range(1, lags + 1) for c in columns]).where(F.col("place") > lags)
+    z = [F.lit(1.0), *[F.col(f"{c}__{k}") for k in range(1, lags + 1) for c in columns], *[F.col(c) for c in columns]]
+    weight = F.lit(1.0) if decay in (None, 1.0) else F.pow(F.lit(1.0 / decay), F.col("place"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    sums = F.array(*[F.sum(weight * z[i] * z[j]).over(upto) for i in range(len(z)) for j in range(i, len(z))])
+    last = F.array(*[F.col(c if k == 0 else f"{c}__{k}") for k in range(lags) for c in columns])
+    fitted = past.select(*keys, "week_end", F.count(F.lit(1)).over(upto).alias("n_fit"), sums.alias("sums"), F.sum(weight).over(upto).alias("weight"), last.alias("last"), *[f"mean_{c}" for c in columns])
+    fitted = fitted.where(F.col("n_fit") >= 3 + len(columns) * lags)
+    walked = fitted.withColumn("x", _paths(len(columns), lags, horizons)("sums", "weight", "last"))
+    cells = F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("horizon"), F.col("x.forecast").alias("forecast"), F.col("x.covariance").alias("covariance"))
+    told = walked.withColumn("c", F.explode(cells))
+    m = len(columns)
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    return told.select(
+        *keys, "week_end", "c.horizon", "n_fit", *[(F.col("c.forecast")[i] + F.col(f"mean_{c}")).alias(f"forecast_{c}") for i, c in enumerate(columns)], *[F.col("c.covariance")[q].alias(f"s_{i}{j}") for q, (i, j) in enumerate(pairs)]
+    )

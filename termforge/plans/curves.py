@@ -14,7 +14,7 @@ from termforge.operators import curve, gram, hypothesis, probability, regress, w
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
-from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
+from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, iterated_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
 
 Q, SQL = {}, {}
 #: 100 decays; settings for finer grids are parameters of the operators.
@@ -342,6 +342,30 @@ add("lag_robustness", lambda s, d: rounded(hypothesis.lag_robustness(written(fac
     f"SELECT p::INTEGER AS p, {_round_sql(['aic', 'bic', 'min_p'], 5)}, n_failures, worst_series FROM robust"))
 
 
+# iterated forecasts --------------------------------------------------------------------------
+_BETAS = ["beta0", "beta1", "beta2"]
+_SIGMAS = [f"s_{i}{j}" for i in range(3) for j in range(i, 3)]
+
+
+def _weighted_var(spark, d):
+    """The weighted vector autoregression of the factors at every week: forecasts and the covariance of their errors."""
+    rows = fact(spark, d).select(F.lit("all").alias("grp"), "week_end", *_BETAS)
+    return rounded(gram.iterated_forecasts(rows, ["grp"], _BETAS, HORIZONS, 1, S.ew_decay).where(F.col("n_fit") >= 26).drop("grp"), 5)
+
+
+add("weighted_var_forecasts", _weighted_var, with_sql(FACT, "fg AS (SELECT 'all' AS grp, week_end, beta0, beta1, beta2 FROM fact)", *iterated_sql("fg", "grp", _BETAS, HORIZONS, 1, S.ew_decay),
+    f"SELECT week_end, horizon, n_fit, {_round_sql([*[f'forecast_{b}' for b in _BETAS], *_SIGMAS], 5)} FROM it WHERE n_fit >= 26"))
+
+
+def _iterated_ar(spark, d):
+    """Each factor's own autoregression of order two, its forecasts fed back, at every week."""
+    rows = fact(spark, d).unpivot(["week_end"], _BETAS, "factor", "value")
+    return rounded(gram.iterated_forecasts(rows, ["factor"], ["value"], HORIZONS, 2).where(F.col("n_fit") >= 26), 5)
+
+
+add("iterated_autoregression", _iterated_ar, with_sql(FACT, "fl AS (" + " UNION ALL ".join(f"SELECT week_end, '{b}' AS factor, {b} AS value FROM fact" for b in _BETAS) + ")",
+    *iterated_sql("fl", "factor", ["value"], HORIZONS, 2), f"SELECT factor, week_end, horizon, n_fit, {_round_sql(['forecast_value', 's_00'], 5)} FROM it WHERE n_fit >= 26"))
+
 # tests on series ----------------------------------------------------------------------------
 def _series(spark, d):
     f = fact(spark, d).select("week_end", *[F.col(f"beta{i}").alias(f"beta{i}") for i in range(3)])

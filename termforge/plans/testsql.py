@@ -216,3 +216,39 @@ def lag_robustness_sql(source: str, columns: list[str], max_lag: int) -> list[st
         f"lw AS (SELECT p, series, greatest(min({tail}), 0.0) AS tail FROM lq GROUP BY p, series)",
         """robust AS (SELECT p, ld + 2 * k / n AS aic, ld + ln(n) * k / n AS bic, n_failures, worst_series, min_p FROM ld JOIN (SELECT p, sum((tail < 0.05)::INTEGER)::INTEGER AS n_failures, arg_min(series, (tail, series)) AS worst_series, min(tail) AS min_p FROM lw GROUP BY p) USING (p))""",
     ]
+
+
+def iterated_sql(source: str, keys: str, columns: list[str], horizons, lags: int, decay: float | None = None, name: str = "it") -> list[str]:
+    """CTEs up to `name`: gram.iterated_forecasts of the table source (keys, week_end, columns): running sums, elimination, and one CTE a step ahead."""
+    n, k, size = name, len(columns), 1 + len(columns) * lags
+    z = ["1.0::DOUBLE", *[f"l{i}" for i in range(k * lags)], *[f"y{i}" for i in range(k)]]
+    weight = "1.0::DOUBLE" if decay is None else f"power({1.0 / decay!r}::DOUBLE, place)"
+    w = f"(PARTITION BY {keys} ORDER BY week_end)"
+    past = ", ".join(f"lag(y{i}, {lag}) OVER {w} AS l{k * (lag - 1) + i}" for lag in range(1, lags + 1) for i in range(k))
+    means = ", ".join(f"mean{i}" for i in range(k))
+    last = ", ".join(f"{f'y{i}' if lag == 0 else f'l{k * (lag - 1) + i}'} AS h{k * lag + i}" for lag in range(lags) for i in range(k))
+    base = f"{keys}, week_end, n_fit, wt, {means}, " + ", ".join(f"h{i}" for i in range(k * lags))
+    step = f"SELECT {keys}, week_end, {means}, {last}, count(*) OVER u AS n_fit, sum({weight}) OVER u AS wt, " + ", ".join(f"sum({weight} * {z[i]} * {z[j]}) OVER u AS g{i}_{j}" for i in range(size + k) for j in range(i, size + k)) + f" FROM {n}_l WINDOW u AS (PARTITION BY {keys} ORDER BY week_end ROWS UNBOUNDED PRECEDING)"
+    for p in range(size):
+        kept = [f"g{i}_{j}" for i in range(p + 1) for j in range(i, size + k)]
+        step = f"SELECT {base}, " + ", ".join(kept + [f"g{i}_{j} - g{p}_{i} * g{p}_{j} / nullif(g{p}_{p}, 0) AS g{i}_{j}" for i in range(p + 1, size + k) for j in range(i, size + k)]) + f" FROM ({step})"
+    for y in range(k):
+        for p in reversed(range(size)):
+            step = f"SELECT *, (g{p}_{size + y}" + "".join(f" - g{p}_{q} * c{y}_{q}" for q in range(p + 1, size)) + f") / nullif(g{p}_{p}, 0) AS c{y}_{p} FROM ({step})"
+    coefs = [f"c{y}_{p}" for y in range(k) for p in range(size)]
+    sigma = lambda i, j: f"v{min(i, j)}{max(i, j)}"
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    start = [f"{1.0 if i == j else 0.0}::DOUBLE AS p{i}_{j}" for i in range(k) for j in range(k * lags)] + [f"0.0::DOUBLE AS s_{i}{j}" for i, j in pairs]
+    shared = f"{keys}, week_end, n_fit, {means}, " + ", ".join([*coefs, *[sigma(i, j) for i, j in pairs]])
+    out = [
+        f"{n}_c AS (SELECT {keys}, week_end, row_number() OVER {w} AS place, {', '.join(f'{c} - avg({c}) OVER m AS y{i}, avg({c}) OVER m AS mean{i}' for i, c in enumerate(columns))} FROM {source} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in columns)} WINDOW m AS (PARTITION BY {keys}))",
+        f"{n}_l AS (SELECT * FROM (SELECT *, {past} FROM {n}_c) WHERE place > {lags})",
+        f"{n}_0 AS MATERIALIZED (SELECT {keys}, week_end, n_fit, {means}, {', '.join(coefs)}, " + ", ".join(f"g{size + i}_{size + j} / wt AS {sigma(i, j)}" for i, j in pairs) + ", " + ", ".join([*[f"h{i}" for i in range(k * lags)], *start]) + f" FROM ({step}) WHERE n_fit >= {2 + size})",
+    ]
+    for s in range(max(horizons)):
+        ahead = [f"c{i}_0" + "".join(f" + c{i}_{1 + q} * h{q}" for q in range(k * lags)) + f" AS h{i}" for i in range(k)] + [f"h{i - k} AS h{i}" for i in range(k, k * lags)]
+        added = [f"s_{i}{j} + " + " + ".join(f"p{i}_{a} * {sigma(a, b)} * p{j}_{b}" for a in range(k) for b in range(k)) + f" AS s_{i}{j}" for i, j in pairs]
+        power = [" + ".join([f"p{i}_{m} * c{m}_{1 + j}" for m in range(k)] + ([f"p{i}_{j + k}"] if j + k < k * lags else [])) + f" AS p{i}_{j}" for i in range(k) for j in range(k * lags)]
+        out.append(f"{n}_{s + 1} AS MATERIALIZED (SELECT {shared}, {', '.join([*ahead, *added, *power])} FROM {n}_{s})")
+    told = ", ".join([f"h{i} + mean{i} AS forecast_{c}" for i, c in enumerate(columns)] + [f"s_{i}{j}" for i, j in pairs])
+    return [*out, f"{name} AS (" + " UNION ALL ".join(f"SELECT {keys}, week_end, {h} AS horizon, n_fit, {told} FROM {n}_{h}" for h in horizons) + ")"]
