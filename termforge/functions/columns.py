@@ -130,3 +130,36 @@ def norm_cdf(z: Column) -> Column:
     poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
     erf = 1 - poly * F.exp(-x * x)
     return F.when(z >= 0, 0.5 * (1 + erf)).otherwise(0.5 * (1 - erf))
+
+
+def log_gamma_half(df: Column) -> Column:
+    """log gamma(df / 2) of a whole number df: a sum of logarithms down from df / 2."""
+    terms = F.sequence(F.lit(1), F.greatest(F.floor((df - 1) / 2).cast("int"), F.lit(1)))
+    start = F.when(df % 2 == 1, F.lit(0.5 * math.log(math.pi))).otherwise(F.lit(0.0))
+    return start + F.when(df > 2, F.aggregate(terms, F.lit(0.0), lambda s, k: s + F.log(df / 2.0 - k))).otherwise(0.0)
+
+
+def chi2_log_tail(x: Column, df: Column, steps: int = 300) -> Column:
+    """Logarithm of the chance of a chi-square number above x, for whole df: finite where the chance itself underflows.
+
+    Far out (x / 2 >= df / 2 + 1) the continued fraction of the upper incomplete gamma function is multiplied out; nearer,
+    one minus the power series of the lower one is taken.
+    """
+    a, z = df / 2.0, F.greatest(x, F.lit(1e-300)) / 2.0
+    front = a * F.log(z) - z - log_gamma_half(df)
+    tiny = 1e-300
+
+    def fraction(s: Column, i: Column) -> Column:
+        numerator, b = -i * (i - a), s["b"] + 2.0
+        d = 1.0 / (numerator * s["d"] + b)
+        c = b + numerator / s["c"]
+        return F.struct(b.alias("b"), c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    b = z + 1.0 - a
+    first = F.struct(b.alias("b"), F.lit(1 / tiny).alias("c"), (1.0 / b).alias("d"), (1.0 / b).alias("h"))
+    upper = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: k.cast("double")), first, fraction, lambda s: s["h"])
+    term = F.struct((1.0 / a).alias("t"), (1.0 / a).alias("s"))
+    lower = F.aggregate(
+        F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: k.cast("double")), term, lambda s, k: F.struct((s["t"] * z / (a + k)).alias("t"), (s["s"] + s["t"] * z / (a + k)).alias("s")), lambda s: s["s"]
+    )
+    return F.when(z >= a + 1.0, front + F.log(upper)).otherwise(F.log1p(-F.least(F.exp(front) * lower, F.lit(1.0))))

@@ -78,6 +78,16 @@ def grid_agreement(panel: DataFrame, maturities, decays) -> DataFrame:
     )
 
 
+def chosen_decay(grid: DataFrame, edge: float = 1e-6, flat: float = 1e-4) -> DataFrame:
+    """decay, chosen_by, by_rmse, by_agreement, spread: choose_decay within the plan, of grid (decay, mean_rmse, agreement_pct); one row, none for an empty grid."""
+    best = grid.agg(
+        F.min("decay").alias("lo"), F.max("decay").alias("hi"), (F.max("mean_rmse") - F.min("mean_rmse")).alias("spread"),
+        F.min_by("decay", F.struct("mean_rmse", "decay")).alias("by_rmse"), F.min_by("decay", F.struct(-F.col("agreement_pct"), F.col("decay"))).alias("by_agreement"),
+    ).where("lo is not null")
+    unsure = (F.least(F.abs(F.col("by_rmse") - F.col("lo")), F.abs(F.col("by_rmse") - F.col("hi"))) <= edge) | (F.col("spread") < flat)
+    return best.select(F.when(unsure, F.col("by_agreement")).otherwise(F.col("by_rmse")).alias("decay"), F.when(unsure, "agreement").otherwise("rmse").alias("chosen_by"), "by_rmse", "by_agreement", "spread")
+
+
 def choose_decay(rmse_rows: list, agreement_rows: list, edge: float = 1e-6, flat: float = 1e-4) -> tuple[float, str]:
     """Least-rmse decay, or that of best agreement where the former is at the grid's edge or the curve is flat.
 

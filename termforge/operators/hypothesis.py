@@ -5,13 +5,15 @@ Series are weekly, so a group is a few thousand numbers however large the tables
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from termforge.functions import linear
-from termforge.functions.columns import stars, stationarity_verdict
+from termforge.functions.columns import chi2_log_tail, stars, stationarity_verdict
 from termforge.functions.special import chi2_sf, f_sf
 
 
@@ -203,16 +205,44 @@ def jarque_bera_table(rows: DataFrame, keys: list[str], value: str) -> DataFrame
 
 
 def inflation(table: DataFrame, columns: list[str], centred: bool = False) -> DataFrame:
-    """variable, vif of the columns, from the matrix of their cross products (one aggregation, any number of rows)."""
+    """variable, vif of the columns: the diagonal of the matrix of their cross products times that of its inverse.
+
+    One aggregation of any number of rows, and a k x k inverse in an Arrow batch; nothing passes through the driver. Without
+    `centred` the fits have no constant.
+    """
     k = len(columns)
-    cross = [F.sum(F.col(columns[i]) * F.col(columns[j])).alias(f"x{i}_{j}") for i in range(k) for j in range(i, k)]
-    row = table.na.drop(subset=columns).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(columns)], *cross).first()
-    gram = np.array([[row[f"x{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)], float)
-    if centred:
-        s = np.array([row[f"s{i}"] for i in range(k)], float)
-        gram = gram - np.outer(s, s) / row["n"]
-    vif = np.diag(np.linalg.pinv(gram)) * np.diag(gram)
-    return table.sparkSession.createDataFrame([(c, float(v)) for c, v in zip(columns, vif)], "variable string, vif double")
+    upper = np.triu_indices(k)
+
+    @F.pandas_udf("array<double>")
+    def diagonal(products: pd.Series, sums: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for p, s, count in zip(products, sums, n):
+            gram = np.zeros((k, k))
+            gram[upper] = p
+            gram.T[upper] = p
+            if centred:
+                gram = gram - np.outer(s, s) / count
+            unit = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+            gram = gram / unit[:, None] / unit[None, :]
+            out.append((np.diag(np.linalg.pinv(gram, hermitian=True)) * np.diag(gram)).tolist())
+        return pd.Series(out)
+
+    products = F.array(*[F.sum(F.col(columns[i]) * F.col(columns[j])) for i in range(k) for j in range(i, k)])
+    one = table.na.drop(subset=columns).agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(c).cast("double") for c in columns]).alias("s"), products.alias("p")).where("n > 0")
+    told = one.select(F.posexplode(diagonal("p", "s", "n")).alias("i", "vif"))
+    return told.select(F.element_at(F.array(*[F.lit(c) for c in columns]), F.col("i") + 1).alias("variable"), "vif")
+
+
+def ljung_box_tails(rows: DataFrame, keys: list[str], order: str, value: str, lags: int = 10) -> DataFrame:
+    """keys, n, q, log10_p of each key's series: the Ljung-Box statistic and the decimal logarithm of its tail, finite however large it is."""
+    whole = Window.partitionBy(*keys)
+    centred = rows.where(F.col(value).isNotNull()).select(*keys, order, (F.col(value) - F.avg(value).over(whole)).alias("e"))
+    w = whole.orderBy(order)
+    lagged = centred.select(*keys, "e", *[(F.col("e") * F.lag("e", k).over(w)).alias(f"c{k}") for k in range(1, lags + 1)])
+    sums = lagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("e") * F.col("e")).alias("v"), *[F.sum(f"c{k}").alias(f"c{k}") for k in range(1, lags + 1)])
+    q = F.col("n") * (F.col("n") + 2) * sum((F.pow(F.col(f"c{k}") / F.col("v"), 2) / (F.col("n") - k) for k in range(1, lags + 1)), F.lit(0.0))
+    told = sums.where((F.col("v") > 0) & (F.col("n") > lags)).select(*keys, "n", q.alias("q"))
+    return told.withColumn("log10_p", chi2_log_tail(F.col("q"), F.lit(lags)) / math.log(10.0))
 
 
 def _autoregression(size: int, m: int):

@@ -14,7 +14,7 @@ from termforge.operators import curve, gram, hypothesis, probability, regress, w
 from termforge.plans.base import (
     DECAY, FACT, MACRO, MATURITIES, ORDERS, PANEL, WIDE, S, fact, fit_sql, load_sql, macro, macro_wide, orders_weekly, panel, rewalk_sql, rounded, table, wide, with_sql,
 )
-from termforge.plans.testsql import GRANGER_COLUMNS, diagnostics_sql, granger_sql, iterated_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
+from termforge.plans.testsql import GRANGER_COLUMNS, eliminated, diagnostics_sql, granger_sql, iterated_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
 
 Q, SQL = {}, {}
 #: 100 decays; settings for finer grids are parameters of the operators.
@@ -64,6 +64,10 @@ _CHAIN = [PANEL, WIDE, load_sql(GRID), fit_sql(), "r AS (SELECT decay, avg(rmse)
     FROM fits JOIN wide USING (week_end) WHERE beta1 IS NOT NULL AND m01 <> m06 GROUP BY 1)"""]
 _BOTH = f"SELECT decay, {_round_sql(['mean_rmse', 'agreement_pct'])}, n_fitted, n_weeks FROM r JOIN ag USING (decay)"
 add("lambda_grid_chained", lambda s, d: rounded(_chained(s, d)), with_sql(*_CHAIN, _BOTH))
+add("decay_choice", lambda s, d: rounded(curve.chosen_decay(_chained(s, d))), with_sql(*_CHAIN, "both_grids AS (SELECT * FROM r JOIN ag USING (decay))",
+    "ends AS (SELECT min(decay) AS lo, max(decay) AS hi, max(mean_rmse) - min(mean_rmse) AS spread, arg_min(decay, (mean_rmse, decay)) AS by_rmse, arg_min(decay, (-agreement_pct, decay)) AS by_agreement FROM both_grids)",
+    """SELECT CASE WHEN least(abs(by_rmse - lo), abs(by_rmse - hi)) <= 1e-6 OR spread < 1e-4 THEN by_agreement ELSE by_rmse END AS decay,
+      CASE WHEN least(abs(by_rmse - lo), abs(by_rmse - hi)) <= 1e-6 OR spread < 1e-4 THEN 'agreement' ELSE 'rmse' END AS chosen_by, by_rmse, by_agreement, round(spread, 6) AS spread FROM ends"""))
 add("lambda_grid_first_five", lambda s, d: rounded(weekly.first_rows(_chained(s, d), [F.col("mean_rmse"), F.col("decay")], 5)), with_sql(*_CHAIN,
     "o AS (SELECT *, row_number() OVER (ORDER BY mean_rmse, decay)::INTEGER AS place FROM r JOIN ag USING (decay))", f"SELECT decay, {_round_sql(['mean_rmse', 'agreement_pct'])}, n_fitted, n_weeks, place FROM o WHERE place <= 5"))
 
@@ -185,10 +189,10 @@ add("subperiod_metrics_grouping_sets", lambda s, d: rounded(regress.subperiod_me
     FROM e2 GROUP BY GROUPING SETS ((model, horizon, period), (model, horizon))"""))
 
 _POOL = "pool AS (SELECT rw.horizon, rw.week_end AS origin, rw.t_plus_h AS realized_date, " + ", ".join(f"f.beta{i} - rw.beta{i} AS r{i}" for i in range(3)) + " FROM rw JOIN fact f ON f.week_end = rw.t_plus_h)"
-_BASIC = rewalk_sql((4, 13)).replace(f"WHERE week_end >= DATE '{S.test_start}'", "WHERE week_end >= DATE '1996-01-01'")
+_BASIC = rewalk_sql(S.horizons).replace(f"WHERE week_end >= DATE '{S.test_start}'", "WHERE week_end >= DATE '1996-01-01'")
 
 
-def _pool(spark, d, horizons=(4, 13), first="1996-01-01"):
+def _pool(spark, d, horizons=S.horizons, first="1996-01-01"):
     base = fact(spark, d)
     return regress.residual_pool(regress.random_walk(base, horizons, first), base)
 
@@ -331,17 +335,38 @@ add("expanding_covariance", lambda s, d: rounded(regress.expanding_covariance(_p
 
 
 def _default(spark, d):
-    weeks = fact(spark, d).select("week_end", F.lit(13).alias("horizon"), F.lit(0).alias("model"))
+    weeks = fact(spark, d).select("week_end", F.explode(F.array(*[F.lit(h) for h in S.horizons])).alias("horizon"), F.lit(0).alias("model"))
     return rounded(regress.with_default(weeks, regress.expanding_covariance(_pool(spark, d)).drop("n"), ["horizon", "model", "week_end"], {c: 1e-4 if c[1] == c[2] else 0.0 for c in _SIX}))
 
 
-add("covariance_with_default", _default, with_sql(FACT, _BASIC, _POOL, _EXPANDING, "SELECT f.week_end, 13 AS horizon, 0 AS model, " + ", ".join(
-    f"round(coalesce({c}, {1e-4 if c[1] == c[2] else 0.0}), 6) AS {c}" for c in _SIX) + " FROM fact f LEFT JOIN ecov e ON e.week_end = f.week_end AND e.horizon = 13"))
+add("covariance_with_default", _default, with_sql(FACT, _BASIC, _POOL, _EXPANDING, "SELECT f.week_end, h.horizon, 0 AS model, " + ", ".join(
+    f"round(coalesce({c}, {1e-4 if c[1] == c[2] else 0.0}), 6) AS {c}" for c in _SIX) + f" FROM fact f CROSS JOIN (VALUES {', '.join(f'({h})' for h in S.horizons)}) h(horizon) LEFT JOIN ecov e ON e.week_end = f.week_end AND e.horizon = h.horizon"))
 add("lag_robustness", lambda s, d: rounded(hypothesis.lag_robustness(written(fact(s, d), "factors"), ["beta0", "beta1", "beta2"], difference_first=True), 5), with_sql(FACT,
     "moved AS (SELECT * FROM (SELECT week_end, beta0 - lag(beta0) OVER (ORDER BY week_end) AS beta0, beta1, beta2 FROM fact) WHERE beta0 IS NOT NULL)", *lag_robustness_sql("moved", ["beta0", "beta1", "beta2"], 8),
     f"SELECT p::INTEGER AS p, {_round_sql(['aic', 'bic', 'min_p'], 5)}, n_failures, worst_series FROM robust"))
 
 
+def _log_tails(spark, d):
+    """Ljung-Box statistics, over ten lags, of every model's residuals, with the decimal logarithm of their tail, which no double underflows."""
+    base = written(fact(spark, d), "factors")
+    pool = regress.residual_pool(written(direct_models(spark, d, "1996-01-01"), "forecasts"), base)
+    long = pool.unpivot(["model", "horizon", "origin"], ["r0", "r1", "r2"], "factor", "value")
+    return rounded(hypothesis.ljung_box_tails(long, ["model", "horizon", "factor"], "origin", "value", 10), 4)
+
+
+_EVERY = [*direct_sql(1, first="1996-01-01")[:-1], *direct_sql(2, first="1996-01-01")[1:], *direct_sql(3, S.ew_decay, first="1996-01-01")[3:]]
+_EVERY.insert(1, _BASIC)
+_LB_SUMS = ", ".join(f"sum(e * lag{k}) AS a{k}" for k in range(1, 11))
+_LB_LAGS = ", ".join(f"lag(e, {k}) OVER w AS lag{k}" for k in range(1, 11))
+add("ljung_box_log_tails", _log_tails, with_sql(*_EVERY,
+    "ev AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT week_end, horizon, {m} AS model, {', '.join(f'b{i} AS beta{i}' for i in range(3))}, t_plus_h FROM dir{m}" for m in (1, 2, 3)) + " UNION ALL SELECT week_end, horizon, 0, beta0, beta1, beta2, t_plus_h FROM rw))",
+    "res AS (SELECT model, horizon, ev.week_end AS origin, unnest(['r0', 'r1', 'r2']) AS factor, unnest([f.beta0 - ev.beta0, f.beta1 - ev.beta1, f.beta2 - ev.beta2]) AS value FROM ev JOIN fact f ON f.week_end = ev.t_plus_h)",
+    "ec AS (SELECT *, value - avg(value) OVER (PARTITION BY model, horizon, factor) AS e FROM res)",
+    f"el AS (SELECT model, horizon, factor, sum(e * e) AS v, count(*)::DOUBLE AS n, {_LB_SUMS} FROM (SELECT *, {_LB_LAGS} FROM ec WINDOW w AS (PARTITION BY model, horizon, factor ORDER BY origin)) GROUP BY ALL)",
+    "eq AS (SELECT *, n * (n + 2) * (" + " + ".join(f"power(a{k} / v, 2) / (n - {k})" for k in range(1, 11)) + ") AS q FROM el)",
+    # ten degrees of freedom: the tail is exp(-q/2) times the first five terms of the exponential series
+    "SELECT model, horizon, factor, n::BIGINT AS n, round(q, 4) AS q, round((-q / 2 + ln(list_sum(list_transform(range(0, 5), lambda k: power(q / 2, k) / gamma(k + 1))))) / ln(10), 4) AS log10_p FROM eq"))
+
 # iterated forecasts --------------------------------------------------------------------------
 _BETAS = ["beta0", "beta1", "beta2"]
 _SIGMAS = [f"s_{i}{j}" for i in range(3) for j in range(i, 3)]
@@ -374,7 +399,7 @@ def _series(spark, d):
 
 def _gpairs(spark, d):
     m = macro(spark, d).select("week_end", F.col("series").alias("cause"), F.col("value").alias("x"))
-    f = fact(spark, d).unpivot(["week_end"], ["beta0", "beta1"], "effect", "y")
+    f = fact(spark, d).unpivot(["week_end"], ["beta0", "beta1", "beta2"], "effect", "y")
     return m.join(f, "week_end")
 
 
@@ -383,7 +408,7 @@ _SERIES = [FACT, MACRO, _LONG, "se AS (SELECT week_end, series, value FROM facto
 _TESTED = ["adf_stat", "adf_p", "kpss_stat", "kpss_p"]
 add("stationarity_tests", lambda s, d: rounded(hypothesis.stationarity(_series(s, d)), 5), with_sql(*_SERIES, *stationarity_sql("se"),
     f"SELECT series, {_round_sql(_TESTED, 5)}, adf_lags, kpss_lags, verdict FROM st"))
-_GPAIRS = [FACT, MACRO, _LONG, "gp AS (SELECT week_end, m.series AS cause, f.series AS effect, m.value AS x, f.value AS y FROM macro m JOIN factor f USING (week_end) WHERE f.series <> 'beta2')"]
+_GPAIRS = [FACT, MACRO, _LONG, "gp AS (SELECT week_end, m.series AS cause, f.series AS effect, m.value AS x, f.value AS y FROM macro m JOIN factor f USING (week_end))"]
 _HALVES = ["mid AS (SELECT quantile_disc(week_end, 0.5) AS m FROM (SELECT DISTINCT week_end FROM gp))",
     "gp1 AS (SELECT gp.* FROM gp, mid WHERE week_end <= m)", "gp2 AS (SELECT gp.* FROM gp, mid WHERE week_end >= m)"]
 _SCREENED = "SELECT cause, effect, round(p, 5) AS p, best_lag, sig, verdict FROM screen"
@@ -457,10 +482,11 @@ def _ljung(spark, d):
 add("ljung_box", _ljung, with_sql(ORDERS, "c AS (SELECT value - avg(value) OVER () AS e, row_number() OVER (ORDER BY week_end) AS i FROM orders_weekly)", "v AS (SELECT sum(e*e) AS v, count(*)::DOUBLE AS n FROM c)",
     "a AS (SELECT k AS lag, sum(a.e * b.e) / any_value(v) AS r, any_value(n) AS n FROM range(1, 11) t(k), c a JOIN c b ON b.i = a.i - k, v GROUP BY k)",
     "SELECT lag::INTEGER AS lag, round(n * (n + 2) * sum(r*r / (n - lag)) OVER (ORDER BY lag), 5) AS q FROM a"))
-add("vif", lambda s, d: rounded(hypothesis.inflation(macro_wide(s, d), ["x1", "x2"]), 4), with_sql(MACRO,
-    "w AS (SELECT week_end, max(value) FILTER (series LIKE '1%') AS a, max(value) FILTER (series LIKE '2%') AS b FROM macro GROUP BY 1)",
-    "v AS (SELECT 1 / (1 - power(sum(a*b), 2) / (sum(a*a) * sum(b*b))) AS v FROM w WHERE a IS NOT NULL AND b IS NOT NULL)",
-    "SELECT 'x1' AS variable, round(v, 4) AS vif FROM v UNION ALL SELECT 'x2', round(v, 4) FROM v"))
+_XS = [f"x{i}" for i in range(1, 6)]
+_INFLATED = [(_XS[j], eliminated("wx", "one", [*[x for x in _XS if x != _XS[j]], _XS[j]], {0: "whole"}, f"vif{j}_")) for j in range(5)]
+add("vif", lambda s, d: rounded(hypothesis.inflation(macro_wide(s, d), _XS), 4), with_sql(MACRO,
+    "wx AS (SELECT * FROM (SELECT 1 AS one, " + ", ".join(f"max(value) FILTER (series LIKE '{i}%') AS x{i}" for i in range(1, 6)) + " FROM macro GROUP BY week_end) WHERE " + " AND ".join(f"{x} IS NOT NULL" for x in _XS) + ")",
+    *[cte for _, ctes in _INFLATED for cte in ctes], " UNION ALL ".join(f"SELECT '{x}' AS variable, round(whole / g4_4, 4) AS vif FROM vif{j}_4" for j, (x, _) in enumerate(_INFLATED))))
 
 
 def _emb(spark, d):

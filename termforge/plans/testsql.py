@@ -137,7 +137,7 @@ def lag_selection_sql(source: str, columns: list[str], max_lag: int) -> list[str
     return [*ctes, f"orders AS (SELECT p, ld + 2 * k / m AS aic, ld + ln(m) * k / m AS bic, ld + 2 * ln(ln(m)) * k / m AS hq FROM ({rows}))"]
 
 
-def _eliminated(source: str, keys: str, columns: list[str], kept: dict[int, str], name: str) -> list[str]:
+def eliminated(source: str, keys: str, columns: list[str], kept: dict[int, str], name: str) -> list[str]:
     """CTEs {name}0, {name}1, ...: the cross products of columns by keys, with one column after the other taken out of the rest.
 
     The last column's sum of squares before column number i goes is kept under the name kept[i]. Columns of zeros are passed over.
@@ -169,9 +169,9 @@ def stationarity_sql(source: str, longest: int = 20, least: int = 30, name: str
           FROM {source} WHERE value IS NOT NULL WINDOW s AS (PARTITION BY series)) WHERE n >= {least} AND e IS NOT NULL)""",
         f"{n}_d AS (SELECT * FROM (SELECT series, n, t, e AS level, lead(e) OVER w - e AS d, least(ceil(12.0 * power(n / 100.0, 0.25)), n // 2 - 2)::INTEGER AS top FROM {n}_v {w}) WHERE d IS NOT NULL)",
         f"{n}_l AS (SELECT *, {', '.join(f'lag(d, {k}) OVER w AS l{k}' for k in lags)} FROM {n}_d {along})",
-        *_eliminated(f"(SELECT * FROM {n}_l WHERE t >= top)", "series, top", ["1.0::DOUBLE", "level", *zero("top"), "d"], {k + 2: f"r{k}" for k in (0, *lags[:-1])}, f"{n}_a"),
+        *eliminated(f"(SELECT * FROM {n}_l WHERE t >= top)", "series, top", ["1.0::DOUBLE", "level", *zero("top"), "d"], {k + 2: f"r{k}" for k in (0, *lags[:-1])}, f"{n}_a"),
         f"{n}_k AS (SELECT series, list_position(a, list_min(a)) - 1 AS lags FROM (SELECT series, [{aics}] AS a FROM {n}_a{longest + 2}))",
-        *_eliminated(f"(SELECT x.*, lags FROM {n}_l x JOIN {n}_k USING (series) WHERE t >= lags)", "series, lags", ["1.0::DOUBLE", *zero("lags"), "level", "d"], {}, f"{n}_b"),
+        *eliminated(f"(SELECT x.*, lags FROM {n}_l x JOIN {n}_k USING (series) WHERE t >= lags)", "series, lags", ["1.0::DOUBLE", *zero("lags"), "level", "d"], {}, f"{n}_b"),
         f"""{n}_t AS (SELECT series, lags, a / sqrt((c - b * b / g) / (m - lags - 2) / g) AS tau FROM (SELECT series, lags, m, g{longest + 1}_{longest + 2} / g{longest + 1}_{longest + 1} AS a, g{longest + 1}_{longest + 1} AS g,
           g{longest + 1}_{longest + 2} AS b, g{longest + 2}_{longest + 2} AS c FROM {n}_b{longest + 1}))""",
         f"{n}_p AS (SELECT series, lags, tau, CASE WHEN tau > 2.74 THEN 1.0 WHEN tau < -18.83 THEN 0.0 ELSE {tail('z')} END AS p FROM (SELECT *, CASE WHEN tau <= -1.61 THEN {small} ELSE {large} END AS z FROM {n}_t))",

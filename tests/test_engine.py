@@ -555,3 +555,92 @@ def test_rolling_maps_are_near_exact_fits(spark):
     got = {x.week_end: x for x in calibrate.rolling(spark.createDataFrame(thin, table.schema), ["k"], 20, FRIDAYS[80]).collect()}
     assert got[FRIDAYS[78]].a is None and not got[FRIDAYS[78]].in_domain
     assert got[FRIDAYS[85]].a == got[FRIDAYS[40]].a is not None and not got[FRIDAYS[85]].in_domain
+
+
+def test_log_tails_do_not_underflow(spark):
+    from termforge.functions.columns import chi2_log_tail, log_gamma_half
+    from termforge.functions.special import chi2_log_sf
+
+    rows = [(float(x), int(df)) for x in (0.01, 0.5, 3.0, 11.0, 12.0, 60.0, 1_400.0, 4_600.0, 1e6) for df in (1, 2, 3, 10, 25)]
+    got = spark.createDataFrame(rows, "x double, df int").select("x", "df", chi2_log_tail(F.col("x"), F.col("df")).alias("t"), log_gamma_half(F.col("df")).alias("g")).collect()
+    for r in got:
+        assert r.g == pytest.approx(math.lgamma(r.df / 2), abs=1e-12)
+        assert r.t == pytest.approx(chi2_log_sf(r.x, r.df), rel=1e-9, abs=1e-11)
+    # ten degrees of freedom have a closed form
+    x = 4_600.0
+    want = -x / 2 + math.log(sum((x / 2) ** k / math.factorial(k) for k in range(5)))
+    assert next(r.t for r in got if (r.x, r.df) == (x, 10)) == pytest.approx(want, rel=1e-12)
+
+
+@pytest.mark.parametrize("decay", [None, 0.97])
+def test_iterated_forecasts_match_step_by_step_fits(spark, decay):
+    from termforge.functions import linear
+    from termforge.operators import gram
+
+    r = np.random.default_rng(15)
+    y = np.zeros((60, 2))
+    for t in range(1, 60):
+        y[t] = [0.3, 5.0] + np.array([[0.6, 0.01], [2.0, 0.3]]) @ y[t - 1] + r.normal(size=2) * [0.1, 2.0]
+    rows = [("k", FRIDAYS[t], float(y[t, 0]), float(y[t, 1])) for t in range(60)] + [("k", FRIDAYS[60], None, 1.0)]
+    table = spark.createDataFrame(rows, "k string, week_end date, a double, b double")
+    for lags in (1, 2):
+        got = {(x.week_end, x.horizon): x for x in gram.iterated_forecasts(table, ["k"], ["a", "b"], (1, 5, 12), lags, decay).collect()}
+        for t in (20, 59):
+            coef, sigma = regress.weighted_var(y[: t + 1], lags, decay or 1.0)
+            for h in (1, 5, 12):
+                x = got[(FRIDAYS[t], h)]
+                assert (x.forecast_a, x.forecast_b) == pytest.approx(tuple(linear.var_forecast(y[: t + 1], coef, lags, h)), rel=1e-6)
+                c = linear.forecast_covariance(coef, sigma, lags, h)
+                assert (x.s_00, x.s_01, x.s_11) == pytest.approx((c[0, 0], c[0, 1], c[1, 1]), rel=1e-5, abs=1e-9)
+        assert min(w for w, _ in got) == FRIDAYS[lags + 2 * lags + 2]
+
+
+def test_orders_come_from_one_aggregation(spark):
+    """Criteria and residual tests of all orders against plain fits, for columns of very different units."""
+    from termforge.functions import linear
+    from termforge.operators import hypothesis
+
+    r = np.random.default_rng(16)
+    y = np.zeros((150, 2))
+    for t in range(2, 150):
+        y[t] = 0.5 * y[t - 1] - 0.3 * y[t - 2] + r.normal(size=2)
+    y = y * [1e-3, 1e4] + [5.0, 1e6]
+    table = spark.createDataFrame([(FRIDAYS[t], float(y[t, 0]), float(y[t, 1])) for t in range(150)], "week_end date, a double, b double").repartition(3)
+    want = linear.lag_criteria(y, 4)
+    got = sorted(hypothesis.select_lag(table, ["a", "b"], 4).collect())
+    for x, w in zip(got, want):
+        assert (x.p, x.aic, x.bic, x.hq) == pytest.approx(w, rel=1e-6)
+    assert [x.chosen for x in got] == [w == min(want, key=lambda v: v[2]) for w in want]
+    for x in hypothesis.lag_robustness(table, ["a", "b"], 4).collect():
+        e = linear.var_fit(y, x.p)[1]
+        least = [min(q for _, _, q in linear.ljung_box(e[:, k], 2 * x.p)) for k in range(2)]
+        assert x.min_p == pytest.approx(min(least), rel=1e-4) and x.n_failures == sum(v < 0.05 for v in least) and x.worst_series == "ab"[int(np.argmin(least))]
+
+
+def test_specification_tests_only_what_failed(spark):
+    from termforge.operators import hypothesis
+
+    r = np.random.default_rng(17)
+    noise = r.normal(size=200)
+    walk, twice = np.cumsum(noise), np.cumsum(np.cumsum(r.normal(size=200)))
+    rows = []
+    for name, y in (("noise", noise), ("walk", walk), ("twice", twice), ("flat", np.ones(200)), ("few", noise[:20])):
+        for transform, values in (("level", y), ("z52W", y), ("d1W", np.append(np.nan, np.diff(y)))):
+            rows += [(FRIDAYS[t], name, transform, None if values[t] != values[t] else float(values[t])) for t in range(len(y))]
+    table = spark.createDataFrame(rows, "week_end date, series string, transform string, value double")
+    got = {}
+    for x in hypothesis.specification(table, ("level", "z52W", "d1W")).orderBy("series", "step").collect():
+        got.setdefault(x.series, []).append((x.transform, x.verdict == "UNDEFINED", x.chosen))
+    assert got["noise"] == [("level", False, True)]
+    assert [t for t, _, _ in got["walk"]] == ["level", "z52W", "d1W"] and got["walk"][-1][2] and not got["walk"][0][2]
+    assert not any(c for _, _, c in got["twice"][:2])
+    assert all(u and not c for _, u, c in got["flat"] + got["few"]) and len(got["flat"]) == 3
+
+
+def test_decay_is_chosen_within_the_plan(spark):
+    for rows in ([(1.0, 0.3, 80.0), (2.0, 0.1, 70.0), (3.0, 0.2, 90.0)], [(1.0, 0.1, 80.0), (2.0, 0.2, 90.0), (3.0, 0.3, 90.0)], [(1.0, 0.10002, 80.0), (2.0, 0.1, 70.0), (3.0, 0.10001, 60.0)]):
+        grid = spark.createDataFrame(rows, "decay double, mean_rmse double, agreement_pct double")
+        got = curve.chosen_decay(grid).first()
+        listed = grid.collect()
+        assert (got.decay, got.chosen_by) == curve.choose_decay(listed, listed)
+    assert curve.chosen_decay(grid.limit(0)).count() == 0
