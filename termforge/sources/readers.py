@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -16,6 +18,41 @@ def _any_date(c: Column, formats) -> Column:
     return F.coalesce(*[F.to_date(F.try_to_timestamp(F.trim(c), F.lit(f))) for f in formats])
 
 
+#: A cell up to its comma, in quotes or not.
+_CELL = r'("(?:[^"\\]|\\.|"")*"|[^,]*),'
+
+
+def _cells(line: Column) -> Column:
+    """The cells of a line of comma-separated values, without quotes and padding."""
+    plain = lambda c: F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), r'""|\\"', '"')
+    return F.transform(F.regexp_extract_all(F.concat(line, F.lit(",")), F.lit(_CELL), F.lit(1)), lambda c: F.trim(F.when(c.startswith('"'), plain(c)).otherwise(c)))
+
+
+def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """file, place, at, header, cells: the lines below the header of every file of the paths (files, folders or globs), in one plan.
+
+    Each file's first line is its own header, found by an aggregate over the same files, so a thousand files are two scan
+    nodes and no job each. place: of the
+    file's path in the list (0 for globs); `at` orders the lines of a file. Blank lines are left out; cells don't span lines.
+    """
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(listed).select(
+        F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
+    ).where("trim(line) <> ''")
+    heads = lines.groupBy("file").agg(F.min_by("line", "at").alias("first"), F.min("at").alias("top"))
+    tails = F.array(*[F.lit(re.sub(r"^[A-Za-z0-9+.-]+://", "", quote(p, safe="/:")).rstrip("/") + "/") for p in listed])
+    known = F.filter(F.transform(tails, lambda p, i: F.when(F.instr(F.concat("file", F.lit("/")), p) > 0, i)), lambda i: i.isNotNull())
+    heads = heads.select("file", "top", F.coalesce(F.get(known, F.lit(0)), F.lit(0)).alias("place"), _cells(F.col("first")).alias("header"))
+    return lines.join(heads, "file").where("at > top").select("file", "place", "at", "header", _cells(F.col("line")).alias("cells"))
+
+
+def _named(name: str, fold: bool = False) -> Column:
+    """The cell under a header name; null where the file has no such column."""
+    header = F.transform("header", F.lower) if fold else F.col("header")
+    place = F.array_position(header, F.lit(name))
+    return F.when(place > 0, F.get("cells", (place - 1).cast("int")))
+
+
 def read_macro_csv(spark: SparkSession, path: str) -> DataFrame:
     """(day, value) of a two-column series file; '.' and blanks are null, the date column is the one named *date*."""
     raw = spark.read.csv(path, header=True)
@@ -27,27 +64,24 @@ def read_macro_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(day.alias("day"), F.nullif(F.trim(F.col(value)), F.lit(".")).try_cast("double").alias("value")).where("day is not null")
 
 
-def read_price_files(spark: SparkSession, paths: list[str], first_only: bool = False) -> DataFrame:
+def read_price_files(spark: SparkSession, paths: str | list[str], first_only: bool = False, width: int | None = None) -> DataFrame:
     """(day, m01, m02, ...) from files of a date and price columns, whatever the prices are called.
 
     Columns are renamed by position; text that is no number is null; rows without a date are
-    dropped; of rows with one date that of the last file, then the last row, stays.
-    first_only: keep the first price column only (inventories).
+    dropped; of rows with one date that of the last file of the list (then by name), then the last row, stays. Files without a price
+    column are skipped. first_only: keep the first price column only (inventories). width: price columns; None: those of
+    the widest file, which one job looks up.
     """
-    frames = []
-    for i, path in enumerate(paths):
-        raw = spark.read.csv(path, header=True)
-        if len(raw.columns) < 2:
-            continue  # no prices: skipped
-        names = raw.columns[1:2] if first_only else raw.columns[1:]
-        day = _any_date(F.col(f"`{raw.columns[0]}`"), ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"])
-        cells = [_clean_number(F.col(f"`{c}`")).alias(f"m{k:02d}") for k, c in enumerate(names, 1)]
-        frames.append(raw.select(day.alias("day"), F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("row")).alias("__at"), *cells))
-    if not frames:
-        raise ValueError("no price file could be read")
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).where("day is not null")
-    values = [c for c in rows.columns if c not in ("day", "__at")]
-    return rows.groupBy("day").agg(*[F.max_by(c, "__at").alias(c) for c in values])
+    rows = scan_files(spark, paths).where(F.size("header") >= 2)
+    if width is None:
+        width = rows.agg(F.max(F.size("header"))).first()[0]
+        if width is None:
+            raise ValueError("no price file could be read")
+        width -= 1
+    day = _any_date(F.get("cells", F.lit(0)), ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy"])
+    values = [f"m{k:02d}" for k in range(1, (1 if first_only else width) + 1)]
+    told = rows.select(day.alias("day"), F.struct("place", "file", "at").alias("__at"), *[_clean_number(F.get("cells", F.lit(k))).alias(c) for k, c in enumerate(values, 1)])
+    return told.where("day is not null").groupBy("day").agg(*[F.max_by(c, "__at").alias(c) for c in values])
 
 
 def read_risk_index(spark: SparkSession, path: str, date_col: str = "date", value_col: str = "GPRD") -> DataFrame:
@@ -72,50 +106,35 @@ POSITIONS = {
 }
 
 
-def read_positions(spark: SparkSession, paths: list[str], codes: list[str]) -> DataFrame:
+def read_positions(spark: SparkSession, paths: str | list[str], codes: list[str]) -> DataFrame:
     """day, code, market, positions and net_speculative, net_spec_pct_oi; files with another header are skipped.
 
-    Of rows with one date and code that of the first file stays.
+    Of rows with one date and code that of the first file stays. Raises where no file has the header.
     """
-    frames = []
-    for i, path in enumerate(paths):
-        raw = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True)
-        if not set(POSITIONS.values()) <= set(raw.columns):
-            continue
-        cols = {n: F.trim(F.col(f"`{c}`")) for n, c in POSITIONS.items()}
-        numbers = [_clean_number(cols[n]).cast("long").alias(n) for n in list(POSITIONS)[3:]]
-        frames.append(
-            raw.select(_any_date(cols["day"], ["yyyy-MM-dd"]).alias("day"), cols["code"].alias("code"), cols["market"].alias("market"), *numbers, F.struct(F.lit(i), F.monotonically_increasing_id()).alias("__at"))
-        )
-    if not frames:
+    rows = scan_files(spark, paths).where(" and ".join(f"array_contains(header, '{c}')" for c in POSITIONS.values()))
+    if rows.isEmpty():
         raise ValueError("no positions file could be read")
-    rows = reduce(DataFrame.unionByName, frames).where(F.col("code").isin(*codes) & F.col("day").isNotNull())
-    values = [c for c in rows.columns if c not in ("day", "code", "__at")]
-    rows = rows.groupBy("day", "code").agg(*[F.min_by(c, "__at").alias(c) for c in values])
+    numbers = [_clean_number(_named(POSITIONS[n])).cast("long").alias(n) for n in list(POSITIONS)[3:]]
+    told = rows.select(_any_date(_named(POSITIONS["day"]), ["yyyy-MM-dd"]).alias("day"), _named(POSITIONS["code"]).alias("code"), _named(POSITIONS["market"]).alias("market"), *numbers, F.struct("place", "file", "at").alias("__at"))
+    told = told.where(F.col("code").isin(*codes) & F.col("day").isNotNull())
+    values = [c for c in told.columns if c not in ("day", "code", "__at")]
+    first = told.groupBy("day", "code").agg(*[F.min_by(c, "__at").alias(c) for c in values])
     net = F.col("noncomm_long") - F.col("noncomm_short")
-    return rows.withColumn("net_speculative", net).withColumn("net_spec_pct_oi", 100.0 * net / F.nullif(F.col("open_interest"), F.lit(0)))
+    return first.withColumn("net_speculative", net).withColumn("net_spec_pct_oi", 100.0 * net / F.nullif(F.col("open_interest"), F.lit(0)))
 
 
-def read_cash_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_cash_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(day, cash, m03) of yearly files with 'DD. Month YYYY' dates, repeated header rows and thousands commas.
 
-    A file without both price columns is skipped.
+    A file without the date and both price columns is skipped. Raises where no file has them.
     """
-    frames = []
-    for i, path in enumerate(paths):
-        raw = spark.read.csv(path, header=True)
-        lower = {c.lower().strip(): c for c in raw.columns}
-        names = [lower.get("date"), lower.get("cash"), lower.get("three_month")]
-        if None in names:
-            continue
-        day = _any_date(F.regexp_replace(F.col(f"`{names[0]}`"), r"\.", ""), ["d MMMM yyyy"])
-        frames.append(
-            raw.select(day.alias("day"), _clean_number(F.col(f"`{names[1]}`")).alias("cash"), _clean_number(F.col(f"`{names[2]}`")).alias("m03"), F.struct(F.lit(i), F.monotonically_increasing_id()).alias("__at"))
-        )
-    if not frames:
+    rows = scan_files(spark, paths).where(" and ".join(f"array_contains(transform(header, x -> lower(x)), '{c}')" for c in ("date", "cash", "three_month")))
+    if rows.isEmpty():
         raise ValueError("no cash file could be read")
-    rows = reduce(DataFrame.unionByName, frames).where("day is not null")  # repeated headers have no date
-    return rows.groupBy("day").agg(F.max_by("cash", "__at").alias("cash"), F.max_by("m03", "__at").alias("m03"))
+    day = _any_date(F.regexp_replace(_named("date", True), r"\.", ""), ["d MMMM yyyy"])
+    told = rows.select(day.alias("day"), _clean_number(_named("cash", True)).alias("cash"), _clean_number(_named("three_month", True)).alias("m03"), F.struct("place", "file", "at").alias("__at"))
+    told = told.where("day is not null")  # repeated headers have no date
+    return told.groupBy("day").agg(F.max_by("cash", "__at").alias("cash"), F.max_by("m03", "__at").alias("m03"))
 
 
 def read_metrics_json(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:

@@ -644,3 +644,33 @@ def test_decay_is_chosen_within_the_plan(spark):
         listed = grid.collect()
         assert (got.decay, got.chosen_by) == curve.choose_decay(listed, listed)
     assert curve.chosen_decay(grid.limit(0)).count() == 0
+
+
+def test_many_files_are_one_plan(spark, tmp_path):
+    """Files of different widths, headers and quoting under one glob; later files win; the plan doesn't grow with the files."""
+    from termforge.sources import readers
+
+    for i in range(60):
+        name, quoted = f"f{i:03d}.csv", i % 3 == 0
+        cells = [f'"{1_000 + i:,}.5"' if quoted else f"{1_000 + i}.5", "n/a" if i % 2 else "7"]
+        extra = ("", "") if i % 4 else (",Third", ",3")
+        (tmp_path / name).write_text(f"﻿Day of {i},\"First, of {i}\",Second{extra[0]}\r\n2020-01-{1 + i % 28:02d},{','.join(cells)}{extra[1]}\n\nno date,1,2\n")
+    (tmp_path / "q.txt").write_text('a,b,"c"\n"x, ""y""","p\\"q",\n')
+    assert [r.cells for r in readers.scan_files(spark, f"{tmp_path}/q.txt").collect()] == [['x, "y"', 'p", q', ""]]
+    (tmp_path / "only.csv").write_text("Date\n2020-01-01\n")
+    (tmp_path / "empty.csv").write_text("")
+    got = {str(r.day): r for r in readers.read_price_files(spark, f"{tmp_path}/*.csv").collect()}
+    assert len(got) == 28 and len(next(iter(got.values()))) == 4
+    for d in range(28):
+        last = max(i for i in range(60) if i % 28 == d)
+        r = got[f"2020-01-{d + 1:02d}"]
+        texts = [i for i in range(60) if i % 28 == d]
+        assert r.m01 == 1_000 + last + 0.5 and r.m02 == (7 if last % 2 == 0 else None) and r.m03 == (3 if last % 4 == 0 else None) and texts
+    listed = [f"{tmp_path}/f{i:03d}.csv" for i in reversed(range(60))]
+    assert {str(r.day): r.m01 for r in readers.read_price_files(spark, listed).collect()}["2020-01-01"] == 1_000.5  # the list's last file
+    plan = readers.read_price_files(spark, listed, width=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan text") == 2  # headers and lines, however many files
+    with pytest.raises(ValueError):
+        readers.read_price_files(spark, f"{tmp_path}/only.csv")
+    with pytest.raises(ValueError):
+        readers.read_cash_files(spark, f"{tmp_path}/*.csv")
