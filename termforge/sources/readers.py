@@ -22,6 +22,10 @@ def _any_date(c: Column, formats) -> Column:
 _CELL = r'("(?:[^"\\]|\\.|"")*"|[^,]*),'
 
 
+#: Scheme and host of a path.
+_SCHEME = r"^[A-Za-z0-9+.-]+:(//[^/]*)?"
+
+
 def _cells(line: Column) -> Column:
     """The cells of a line of comma-separated values, without quotes and padding."""
     plain = lambda c: F.regexp_replace(F.substring(c, F.lit(2), F.length(c) - 2), r'""|\\"', '"')
@@ -32,18 +36,20 @@ def scan_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """file, place, at, header, cells: the lines below the header of every file of the paths (files, folders or globs), in one plan.
 
     Each file's first line is its own header, found by an aggregate over the same files, so a thousand files are two scan
-    nodes and no job each. place: of the
-    file's path in the list (0 for globs); `at` orders the lines of a file. Blank lines are left out; cells don't span lines.
+    nodes and no job each. place: in the order
+    of the list (0 for globs); `at` orders the lines of a file. Blank lines are left out; cells don't span lines.
     """
     listed = [paths] if isinstance(paths, str) else list(paths)
     lines = spark.read.text(listed).select(
         F.regexp_replace("value", "^\ufeff", "").alias("line"), F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at")
     ).where("trim(line) <> ''")
-    heads = lines.groupBy("file").agg(F.min_by("line", "at").alias("first"), F.min("at").alias("top"))
-    tails = F.array(*[F.lit(re.sub(r"^[A-Za-z0-9+.-]+://", "", quote(p, safe="/:")).rstrip("/") + "/") for p in listed])
-    known = F.filter(F.transform(tails, lambda p, i: F.when(F.instr(F.concat("file", F.lit("/")), p) > 0, i)), lambda i: i.isNotNull())
-    heads = heads.select("file", "top", F.coalesce(F.get(known, F.lit(0)), F.lit(0)).alias("place"), _cells(F.col("first")).alias("header"))
-    return lines.join(heads, "file").where("at > top").select("file", "place", "at", "header", _cells(F.col("line")).alias("cells"))
+    heads = lines.select(F.col("file").alias("of"), "line", "at").groupBy("of").agg(F.min_by("line", "at").alias("first"), F.min("at").alias("top"))
+    # A path's place is where it, or its folder, stands in the list written as one text.
+    text = "\n".join(["", *[re.sub(_SCHEME, "", quote(p, safe="/:")).rstrip("/") for p in listed], ""])
+    own = F.regexp_replace("of", _SCHEME, "")
+    stands = lambda c: F.instr(F.lit(text), F.concat(F.lit("\n"), c, F.lit("\n")))
+    heads = heads.select("of", "top", F.greatest(stands(own), stands(F.regexp_replace(own, "/[^/]*$", ""))).alias("place"), _cells(F.col("first")).alias("header"))
+    return lines.join(heads, F.col("file") == F.col("of")).where("at > top").select("file", "place", "at", "header", _cells(F.col("line")).alias("cells"))
 
 
 def _named(name: str, fold: bool = False) -> Column:

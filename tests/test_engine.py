@@ -655,7 +655,7 @@ def test_many_files_are_one_plan(spark, tmp_path):
         cells = [f'"{1_000 + i:,}.5"' if quoted else f"{1_000 + i}.5", "n/a" if i % 2 else "7"]
         extra = ("", "") if i % 4 else (",Third", ",3")
         (tmp_path / name).write_text(f"﻿Day of {i},\"First, of {i}\",Second{extra[0]}\r\n2020-01-{1 + i % 28:02d},{','.join(cells)}{extra[1]}\n\nno date,1,2\n")
-    (tmp_path / "q.txt").write_text('a,b,"c"\n"x, ""y""","p\\"q",\n')
+    (tmp_path / "q.txt").write_text('a,b,"c"\n"x, ""y""","p\\", q",\n')
     assert [r.cells for r in readers.scan_files(spark, f"{tmp_path}/q.txt").collect()] == [['x, "y"', 'p", q', ""]]
     (tmp_path / "only.csv").write_text("Date\n2020-01-01\n")
     (tmp_path / "empty.csv").write_text("")
