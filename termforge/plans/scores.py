@@ -409,12 +409,35 @@ def _deal_rolling(spark, d):
 
 
 _DS, _DC = loadings(deal.remaining_maturity(3, DH), DECAY)[1:]
-add("deal_rolling_calibration", _deal_rolling, with_sql(*_ALL, WIDE, *_deal_sql(False)[4:6], _deal_sql(False)[8],
+#: Deals of all four models: the pools, their shares beyond the volatility, and the price at the close.
+_DEALS = [*_ALL, WIDE, *_deal_sql(False)[4:6], _deal_sql(False)[8],
     f"sd AS (SELECT e.week_end, e.model, e.t_plus_h, entry_price, sigma, exp(beta0 + r0 + {_DS!r}::DOUBLE * (beta1 + r1) + {_DC!r}::DOUBLE * (beta2 + r2)) / entry_price - 1 AS q FROM ev e JOIN vol USING (week_end) JOIN known k ON k.horizon = e.horizon AND k.model = e.model AND k.realized_date <= e.week_end WHERE e.horizon = {DH} AND sigma IS NOT NULL)",
-    "da AS (SELECT week_end, model, t_plus_h, entry_price, sigma, avg((q > sigma)::INTEGER) AS p_up, avg((q < -sigma)::INTEGER) AS p_down FROM sd GROUP BY ALL HAVING count(*) >= 5)",
-    f"""dx AS (SELECT da.*, exit_price FROM da LEFT JOIN ex ON abs(week_end + {7 * DH} - day) <= 3 QUALIFY row_number() OVER (PARTITION BY week_end, model ORDER BY abs(week_end + {7 * DH} - day), day DESC) = 1)""",
-    """dr AS (SELECT * FROM (SELECT week_end, model, t_plus_h AS realized, unnest(['up', 'down']) AS direction, unnest([p_up, p_down]) AS p,
-      unnest([(exit_price > entry_price * (1 + sigma))::INTEGER, (exit_price < entry_price * (1 - sigma))::INTEGER]) AS actual FROM dx) WHERE actual IS NOT NULL)""",
+    "da AS (SELECT week_end, model, t_plus_h, entry_price, sigma, avg((q > sigma)::INTEGER) AS p_up, avg((q < -sigma)::INTEGER) AS p_down, stddev_pop(q) AS expected_vol, count(*) AS n_pool FROM sd GROUP BY ALL HAVING count(*) >= 5)",
+    f"""dx AS (SELECT da.*, exit_price, (exit_price > entry_price * (1 + sigma))::INTEGER AS actual_up, (exit_price < entry_price * (1 - sigma))::INTEGER AS actual_down
+      FROM da LEFT JOIN ex ON abs(week_end + {7 * DH} - day) <= 3 QUALIFY row_number() OVER (PARTITION BY week_end, model ORDER BY abs(week_end + {7 * DH} - day), day DESC) = 1)"""]
+
+
+def _walk_deals(spark, d):
+    """The test period's deals of all four models, each from the residuals its own forecasts had by then."""
+    rows = _all_deals(spark, d).where(F.col("week_end") >= F.lit(S.test_start)).drop("realized_date")
+    return rounded(rows.select("week_end", "model", "entry_price", "sigma", "p_up", "p_down", "expected_vol", "exit_price", "n_pool", "actual_up", "actual_down"))
+
+
+add("deal_rolldown_walkforward", _walk_deals, with_sql(*_DEALS, "SELECT week_end, model, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("entry_price", "sigma", "p_up", "p_down", "expected_vol", "exit_price")) + f", n_pool, actual_up, actual_down FROM dx WHERE week_end >= DATE '{S.test_start}'"))
+
+
+def _walk_deal_scores(spark, d):
+    """By model: errors of its volatility and of the trailing one, and the side it leaned to where the price broke out."""
+    deals = written(_all_deals(spark, d).where(F.col("week_end") >= F.lit(S.test_start)), "deals")
+    return rounded(deal.volatility_errors(deals).join(probability.directional_accuracy(deals, ["model"]), "model", "left"))
+
+
+add("deal_scores_walkforward", _walk_deal_scores, with_sql(*_DEALS, f"dt AS (SELECT * FROM dx WHERE week_end >= DATE '{S.test_start}')",
+    "ve AS (SELECT model, avg(a) AS mae_naive, avg(b) AS mae_model, avg((b < a)::INTEGER) AS win_rate, count(*) AS n FROM (SELECT model, abs(sigma - abs(exit_price / entry_price - 1)) AS a, abs(expected_vol - abs(exit_price / entry_price - 1)) AS b FROM dt WHERE exit_price IS NOT NULL) GROUP BY 1)",
+    "ac AS (SELECT model, avg(((actual_up = 1 AND p_up > p_down) OR (actual_down = 1 AND p_down > p_up))::INTEGER) AS accuracy, count(*) AS n_breaches FROM dt WHERE actual_up = 1 OR actual_down = 1 GROUP BY 1)",
+    "SELECT model, round(mae_naive, 6) AS mae_naive, round(mae_model, 6) AS mae_model, round(win_rate, 6) AS win_rate, n, round(accuracy, 6) AS accuracy, n_breaches FROM ve LEFT JOIN ac USING (model)"))
+add("deal_rolling_calibration", _deal_rolling, with_sql(*_DEALS,
+    """dr AS (SELECT * FROM (SELECT week_end, model, t_plus_h AS realized, unnest(['up', 'down']) AS direction, unnest([p_up, p_down]) AS p, unnest([actual_up, actual_down]) AS actual FROM dx) WHERE actual IS NOT NULL)""",
     *rolling_sql("model, direction", "dr", None, S.shock, 20, 1), _calibrated_sql("model, direction", "dr", "rf"),
     f"SELECT week_end, model, direction, round(p, 6) AS p, round(CASE WHEN week_end < DATE '{S.shock}' THEN c END, 6) AS p_cal, n_used, in_domain FROM cal_rf WHERE week_end >= DATE '{S.test_start}'"))
 
