@@ -93,7 +93,7 @@ def _small_pools(spark, d):
     return probability.exceedance(early, regress.residual_pool(every, base), panel(spark, d), CELLS, KS, DECAY)
 
 
-add("exceedance_small_pools", lambda s, d: rounded(_small_pools(s, d), 5), with_sql(FACT, _RW4.replace(_BURN_IN, _FIRST), _POOL, *_GRID, "now AS (SELECT *, 0 AS model FROM rw WHERE week_end <= DATE '1999-09-30')", _FROM_RW[1],
+add("exceedance_small_pools", lambda s, d: rounded(_small_pools(s, d).drop("t_plus_h"), 5), with_sql(FACT, _RW4.replace(_BURN_IN, _FIRST), _POOL, *_GRID, "now AS (SELECT *, 0 AS model FROM rw WHERE week_end <= DATE '1999-09-30')", _FROM_RW[1],
     *probs_sql("now", "known", "1.0::DOUBLE"), _SHOWN.replace(", 6)", ", 5)")))
 
 
@@ -255,7 +255,7 @@ def newton_sql(keys: str, points: str, steps: int = 12) -> list[str]:
 
 add("platt_fit", lambda s, d: rounded(calibrate.fit_pooled(_documents(s, d), ["lang"])), with_sql(_DOCS, *newton_sql("lang", "docs"), "SELECT lang, round(a, 6) AS a, round(b, 6) AS b, n_fit FROM maps"))
 _CALIBRATED = f"""cal AS (SELECT * EXCLUDE (a, b), 1 / (1 + exp(-greatest(least(a * ln(q / (1 - q)) + b, 30), -30))) AS c FROM (SELECT *, greatest(least(p, 1 - 1e-4), 1e-4) AS q FROM dir) LEFT JOIN maps USING ({_K}))"""
-add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(_rows(s, d), KEYS, S.shock), KEYS)), with_sql(*_P, _LONG, f"before AS (SELECT * FROM dir WHERE week_end < DATE '{S.shock}')", *newton_sql(_K, "before"), _CALIBRATED,
+add("platt_pooled", lambda s, d: rounded(calibrate.skill_table(calibrate.pooled(written(_rows(s, d), "probabilities"), KEYS, S.shock), KEYS)), with_sql(*_P, _LONG, f"before AS (SELECT * FROM dir WHERE week_end < DATE '{S.shock}')", *newton_sql(_K, "before"), _CALIBRATED,
     "sk AS (SELECT " + _K + """, avg((p - actual) * (p - actual)) AS raw, avg((c - actual) * (c - actual)) FILTER (c IS NOT NULL) AS fine, nullif(avg(actual) * (1 - avg(actual)), 0) AS climate, avg(actual) AS rate, count(*) AS n FROM cal GROUP BY ALL HAVING count(*) >= 5)""",
     f"SELECT {_K}, round(raw, 6) AS brier_raw, round(1 - raw / climate, 6) AS bss_raw, round(rate, 6) AS base_rate, n, round(fine, 6) AS brier_cal, round(1 - fine / climate, 6) AS bss_cal FROM sk"))
 
