@@ -7,7 +7,7 @@ which ORC stores by its integer run-length encoding; stripes are the unit that r
 at. Each row also has its part number and its start within the part, so that a document's
 place among all ids needs only the totals of the parts.
 
-Scale. Texts are dealt into ranges by doc_id, and equal or null ids by the MD5 of their texts, before they are encoded
+Scale. Texts are dealt into ranges of about RANGE_ROWS documents by doc_id, whatever the session's number of shuffle partitions, and equal or null ids by the MD5 of their texts, before they are encoded
 (the sampling for the ranges runs no encoder), each task encodes and writes its range, and
 nothing is sorted after. A file has a stripe for about every STRIPE_BYTES of ids, and a stripe a row group for
 every ROW_GROUP documents, which the row index and the Bloom filters tell apart. Part totals, one row per file, are the only thing summed up globally.
@@ -36,6 +36,8 @@ from termforge.llm.common import BROADCAST_ROWS, fresh_path, materialize, reside
 END_ID = 2
 #: ORC allows no row groups of fewer than 1,000 rows.
 STRIPE_BYTES = 4 << 20
+#: Documents of a range, and so of a file and of the task that sorts and encodes it.
+RANGE_ROWS = 16_384
 ROW_GROUP = 1_000
 MEMO_WORDS, MEMO_CHARS, PARTED = 1_400_000, 64, 512
 PART = "^"
@@ -148,7 +150,8 @@ def write_store(docs: DataFrame, store: str, tokenizer: str, end_id: int = END_I
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.md5(F.coalesce("text", F.lit("")))
-    ranged = picked.withColumn("tie", tie).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    n_ranges = max(1, -(-docs.count() // RANGE_ROWS))  # a Parquet table's count is read from its footers
+    ranged = picked.withColumn("tie", tie).repartitionByRange(n_ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     (
         ranged.mapInArrow(encode, STORE)
         .write.option("orc.bloom.filter.columns", "doc_id")
