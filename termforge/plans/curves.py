@@ -17,8 +17,8 @@ from termforge.plans.base import (
 from termforge.plans.testsql import GRANGER_COLUMNS, eliminated, diagnostics_sql, granger_sql, iterated_sql, lag_robustness_sql, lag_selection_sql, projection_sql, screening_sql, stationarity_sql
 
 Q, SQL = {}, {}
-#: 100 decays; settings for finer grids are parameters of the operators.
-GRID = tuple(round(0.6 + 0.1 * i, 1) for i in range(100))
+#: 200 decays; settings for finer grids are parameters of the operators.
+GRID = tuple(round(0.6 + 0.05 * i, 2) for i in range(200))
 PAIR = (1.5, 4.5)
 
 
