@@ -277,10 +277,12 @@ add("ar_direct_coefficients", _last_coefficients, with_sql(*direct_sql(1)[:-2],
 
 
 def _decay_search(spark, d):
+    # Fifteen fits read these weekly tables, and the daily rows once.
+    rows, p = written(joined(spark, d), "factors"), written(panel(spark, d), "panel")
     parts = []
     for decay in S.ew_grid:
-        f = gram.direct_forecasts(joined(spark, d), [4], S.test_start, 3, MACROS, decay)
-        m = regress.metrics(regress.forecast_errors(f, panel(spark, d), [3], DECAY), ["model", "horizon"])
+        f = gram.direct_forecasts(rows, [4], S.test_start, 3, MACROS, decay)
+        m = regress.metrics(regress.forecast_errors(f, p, [3], DECAY), ["model", "horizon"])
         parts.append(m.select(F.lit(float(decay)).alias("decay"), "rmse", "mae", "n", F.lit(effective_size(decay)).alias("ess"), F.lit(half_life(decay)).alias("half_life_weeks")))
     return rounded(reduce(DataFrame.unionByName, parts))
 
