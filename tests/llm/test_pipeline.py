@@ -55,4 +55,4 @@ def test_stages_on_odd_tables(spark, sf_dir):
 
 def test_registered_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 14)]
