@@ -220,6 +220,16 @@ def test_negatives_match_all_pairs(spark, seed, monkeypatch):
     assert len(want) > 200 and sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
 
 
+@pytest.mark.parametrize("chunk, times", [(3, 1.0), (6, 3e3), (1_000, 2e5)])
+def test_negatives_of_many_chunks_and_large_components(spark, monkeypatch, chunk, times):
+    """Anchors sent in several parts; scores in float32, in float64 and in whole numbers."""
+    monkeypatch.setattr(hardnegatives, "CHUNK", chunk)
+    rows = [(i, [x * times for x in v], label, score, row) for i, v, label, score, row in clustered(4, 240)]
+    got = hardnegatives.mine_embeddings(spark.createDataFrame(rows, EMBEDDINGS).repartition(3))
+    want = slow_negatives(rows)
+    assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_negatives_of_empty_tables(spark):
     assert hardnegatives.mine_embeddings(spark.createDataFrame([], EMBEDDINGS)).count() == 0
     assert hardnegatives.mine_embeddings(spark.createDataFrame([(1, [1.0], 1, 1, "x")], EMBEDDINGS)).count() == 0
